@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,22 +15,37 @@ from pyspark.sql.types import StructField, StructType
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ASCII_SPACES = " \t\n\x0b\x0c\r"
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder.
+def on_workers(df: DataFrame) -> DataFrame:
+    """``df``, after a word to the session's Python workers where this package lies, if they are on this machine."""
+    environment = df.sparkSession.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    return df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset, as in a local test, a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
+    a local test, a temporary folder takes its place.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-        )
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder, which cuts its lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -67,7 +83,7 @@ def append_arrow(
             columns = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns[:n], *fn(*columns[n:])], names=titles)
 
-    return both.mapInArrow(run, schema)
+    return on_workers(both).mapInArrow(run, schema)
 
 
 def chunks(lengths: Sequence[int], most: int) -> Iterator[tuple[int, int]]:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import bpe, merkle, mixing, simhash, token_counts, warc
 from .common import table
 
 
@@ -29,10 +30,42 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", simhash.hex16(F.col("simhash")).alias("fingerprint"), "component_id")
+
+
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
+    "op7_simhash": op7_simhash,
+    "op8_merkle": op8_merkle,
+    "op9_warc": op9_warc,
 }
 
 #: SQL of the same rows, for the queries that DuckDB can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT d.page_id, d.payload_bytes, d.payload_digest,
+               CASE WHEN d.page_id <> f.first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN d.page_id <> f.first THEN f.first END AS refers_to
+        FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
+    """,
+}
