@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, mixing, quality, simhash, token_counts, warc
+from . import bpe, licenses, merkle, mixing, quality, simhash, token_counts, toxicity, warc
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, keep=["doc_id"])
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(
         table(spark, sf_dir, "documents"),
@@ -52,7 +57,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "license_family", "license_status", "license_probability",
+        F.size("license_spans").alias("n_license_paragraphs"),
+        F.size(F.filter("license_spans", lambda s: s.confirmed)).alias("n_confirmed"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
@@ -60,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_merkle": op8_merkle,
     "op9_warc": op9_warc,
+    "op10_licenses": op10_licenses,
 }
 
 #: SQL of the same rows, for the queries that DuckDB can express.
