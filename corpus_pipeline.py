@@ -1,27 +1,66 @@
-"""From raw documents to tokens: the training-data operators one after another."""
+"""From raw documents to tokens: training-data operators one after another.
+
+Each stage works on all that the one before it kept. All but the last return the
+columns of ``documents``; the last adds the tokens to them.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strideframe.llm import bpe, mixing, quality, simhash, substring_dedup
+from strideframe.llm.common import cut, table
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the passages that an earlier one has; words are then parted by one space."""
+    cleaned = substring_dedup.remove_repeats(docs, outputs=("n_removed", "kept_text"))
+    changed = F.col("n_removed") > 0
+    return cleaned.withColumn("n_chars", F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long")).withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))).select(*docs.columns)
+
 
-from strideframe.llm import bpe
-from strideframe.llm.common import table
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in their target shares: a row for each whole time that a document is taken, and one for the rest."""
+    return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their tokens."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), outputs=("token_ids", "n_tokens", "ids_sha256", "decoded_sha256"))
+    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), outputs=("token_ids", "n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-STAGES = [("byte_bpe", tokens)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mix", mix),
+    ("tokens", tokens),
+]
 
-#: Hashed n-gram scores, bit-sampled links and merges have no SQL form; tests hold the stages against brute force.
+#: Hashed n-gram scores, fingerprints and merges have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's result is kept in the shared checkpoint folder before the next begins."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs
