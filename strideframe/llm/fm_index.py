@@ -101,8 +101,8 @@ class FmIndex:
 
         All pieces are read from their ends at once. The state of each is its match's
         interval and length; a match of full depth drops its last word before the next
-        step, and one that can't go on starts anew. (A match that breaks is at fault for
-        every window over the break, so only restarting loses nothing at full depth.)
+        step, and one that can't go on starts anew. A window that such a break may have
+        hidden is then looked up by itself.
         """
         out = np.full(len(stream), -1, np.int64)
         n_rows = len(self.rows)
@@ -123,4 +123,16 @@ class FmIndex:
             done = np.flatnonzero(ln == self.depth)
             out[at[done]] = self.group[lo[done]]
             low[:live], high[:live], length[:live] = lo, hi, ln
+        counts = np.maximum(sizes - self.depth + 1, 0)
+        windows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+        hidden = windows[out[windows] < 0]
+        out[hidden] = self.search(stream, hidden)
         return out
+
+    def search(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The group of rows that match the ``depth`` words from each place, or -1."""
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.rows), np.int64)
+        for k in range(self.depth - 1, -1, -1):
+            low, high = self.step(stream[at + k], low, high)
+            high = np.maximum(low, high)
+        return np.where(low < high, self.group[np.minimum(low, len(self.rows) - 1)], -1)
