@@ -105,19 +105,24 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """The smallest node reachable from each node of ``edges`` (u, v): neighbours' least label, then the label's label, until nothing changes."""
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("label")))
-    total = None
+    """The smallest node reachable from each node of ``edges`` (u, v), by star contraction.
+
+    In turn every node's larger neighbours, and then its smaller ones, are tied to the
+    least of them all. The edges, which soon are one for each node, stop changing as a
+    star around the smallest node of each component.
+    """
+    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    seen = None
     while True:
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
-        lower = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("other"))
-        hooked = labels.join(lower, "u").select("u", F.least("label", "other").alias("label"))
-        jump = labels.select(F.col("u").alias("label"), F.col("label").alias("further"))
-        labels = cut(hooked.join(jump, "label", "left").select("u", F.coalesce("further", "label").alias("label")))
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            return now.select("u", F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("label")).distinct())
+        seen = mark
+        least = now.select("u", "v").union(now.select("v", "v")).groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(now.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        now = cut(small.select("e.u", "e.v").where("u <> v").distinct())
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4) -> DataFrame:
