@@ -85,6 +85,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: SQL of the same rows, for the queries that DuckDB can express.
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+        firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (k) WHERE first < doc_id) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(list_filter(w, lambda x, p: NOT list_contains(coalesce(ps, []), p)), ' ')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id)
+    """,
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
