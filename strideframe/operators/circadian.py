@@ -87,3 +87,13 @@ def cosinor(df: DataFrame, value: Column, least: int = 24) -> DataFrame:
         "subject", "n", (F.col("my") - F.col("beta") * F.col("mc") - F.col("gamma") * F.col("ms")).alias("mesor"), F.sqrt(F.col("beta") ** 2 + F.col("gamma") ** 2).alias("amplitude"),
         acrophase.alias("acrophase"), F.pmod(F.lit(24.0) - acrophase, F.lit(24.0)).alias("peak_hour"), r2.alias("r_squared"), F.pow(1 - r2, (F.col("n") - 3) / 2).alias("p_value"),
     )
+
+
+def group_profile(df: DataFrame, value: Column) -> DataFrame:
+    """By hour: the mean over subjects of their means, and how many subjects have one."""
+    return hourly_profile(df, value).groupBy("hour").agg(F.avg("mean_activity").alias("mean_activity"), F.count("mean_activity").alias("n_subjects"))
+
+
+def group_rest_activity(df: DataFrame, value: Column) -> DataFrame:
+    """Means over subjects of L5, M10 and the relative amplitude."""
+    return rest_activity(df, value).agg(F.count("*").alias("n_subjects"), *[F.avg(c).alias(f"mean_{c}") for c in ("l5", "m10", "ra")])

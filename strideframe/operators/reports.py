@@ -102,3 +102,24 @@ def daily_summary(df: DataFrame, epoch_seconds: float = 60) -> DataFrame:
         *[(F.count_if(F.col("intensity") == x) * minutes).alias(f"{x}_min") for x in LEVELS], F.avg("cpm").alias("mean_cpm"), F.avg("mets").alias("mean_mets"), F.sum("kcal").alias("total_kcal")
     )
     return wear.join(worn, ["subject", "date"], "left")
+
+
+def plot_daily(df: DataFrame) -> DataFrame:
+    """By subject and date, for plots: sums over all epochs, wear or not."""
+    return df.groupBy("subject", "date").agg(
+        F.sum("counts_used").alias("counts"), F.sum("steps").alias("steps"),
+        F.count_if(F.col("intensity").isin("moderate", "vigorous", "very_vigorous")).alias("mvpa_minutes"), F.count_if(F.col("intensity") == "sedentary").alias("sedentary_minutes"),
+    )
+
+
+def overview(df: DataFrame, epoch_seconds: float = 60, least_hours: float = 10) -> DataFrame:
+    """By subject: days, valid days, hours of wear and their mean a day."""
+    days = df.groupBy("subject", "date").agg((F.count_if("wear_time") * epoch_seconds / 3600).alias("hours"))
+    return days.groupBy("subject").agg(F.count("*").alias("n_days"), F.count_if(F.col("hours") >= least_hours).alias("valid_days"), F.sum("hours").alias("wear_hours"), F.avg("hours").alias("mean_wear_hours"))
+
+
+def activity_per_day(df: DataFrame, epoch_seconds: float = 60) -> DataFrame:
+    """By subject over wear: minutes a day of each class; very vigorous ones count as vigorous. Days are those with any wear."""
+    worn = df.where("wear_time")
+    minutes = lambda *names: F.count_if(F.col("intensity").isin(*names)) * epoch_seconds / 60 / F.countDistinct("date")
+    return worn.groupBy("subject").agg(F.countDistinct("date").alias("n_days"), minutes("sedentary").alias("sedentary"), minutes("light").alias("light"), minutes("moderate").alias("moderate"), minutes("vigorous", "very_vigorous").alias("vigorous"))

@@ -305,6 +305,12 @@ query("group_stats", rich_sql(f", {_BATCH} SELECT count(*) AS n_subjects, {r6('a
 query("overall_summary", rich_sql(f"SELECT subject, wear_minutes, {', '.join([*A.LEVELS, 'mvpa', *[r6(f'100 * {c} / wear_minutes', f'{c}_percent') for c in [*A.LEVELS, 'mvpa']]])} FROM (SELECT *, moderate + vigorous + very_vigorous AS mvpa FROM (SELECT subject, count(*)::DOUBLE AS wear_minutes, " + ", ".join(f"count(*) FILTER (WHERE intensity = '{x}')::DOUBLE AS {x}" for x in A.LEVELS) + " FROM d WHERE wear_time GROUP BY subject))"), "rich")(reports.overall_summary)
 query("daily_left_join", rich_sql(f"SELECT a.subject, strftime(a.date, '%Y-%m-%d') AS date, wear_minutes, is_valid, {', '.join(f'{x}_min' for x in A.LEVELS)}, {r6('mean_cpm', 'mean_cpm')}, {r6('mean_mets', 'mean_mets')}, {r6('total_kcal', 'total_kcal')} FROM (SELECT subject, date, count(*) FILTER (WHERE wear_time)::DOUBLE AS wear_minutes, max(is_valid_day) AS is_valid FROM d GROUP BY ALL) a LEFT JOIN (SELECT subject, date, " + ", ".join(f"count(*) FILTER (WHERE intensity = '{x}')::DOUBLE AS {x}_min" for x in A.LEVELS) + ", avg(cpm) AS mean_cpm, avg(mets) AS mean_mets, sum(kcal) AS total_kcal FROM d WHERE wear_time GROUP BY ALL) b ON a.subject = b.subject AND a.date = b.date"), "rich")(reports.daily_summary)
 
+query("plot_daily", rich_sql(f"SELECT subject, {_day}, sum(axis1) AS counts, sum(steps) AS steps, count(*) FILTER (WHERE {_MVPA}) AS mvpa_minutes, count(*) FILTER (WHERE intensity = 'sedentary') AS sedentary_minutes FROM d GROUP BY subject, date"), "rich")(reports.plot_daily)
+query("overview", rich_sql(f"SELECT subject, count(*) AS n_days, count(*) FILTER (WHERE h >= 10) AS valid_days, {r6('sum(h)', 'wear_hours')}, {r6('avg(h)', 'mean_wear_hours')} FROM (SELECT subject, date, count(*) FILTER (WHERE wear_time) / 60 AS h FROM d GROUP BY ALL) GROUP BY subject"), "rich")(reports.overview)
+query("activity_per_day", rich_sql("SELECT subject, count(DISTINCT date) AS n_days, " + ", ".join(r6(f"count(*) FILTER (WHERE intensity IN ({names})) / count(DISTINCT date)", n) for n, names in (("sedentary", "'sedentary'"), ("light", "'light'"), ("moderate", "'moderate'"), ("vigorous", "'vigorous', 'very_vigorous'"))) + " FROM d WHERE wear_time GROUP BY subject"), "rich")(reports.activity_per_day)
+query("group_profile", rich_sql(f"SELECT hour::BIGINT AS hour, {r6('avg(m)', 'mean_activity')}, count(m) AS n_subjects FROM (SELECT subject, hour, avg({_V}) AS m FROM d GROUP BY ALL) GROUP BY hour"), "rich")(lambda d: circadian.group_profile(d, _worn(d)))
+query("group_rest_activity", rich_sql(f", {_lx('subject')} SELECT count(*) AS n_subjects, {r6('avg(l5)', 'mean_l5')}, {r6('avg(m10)', 'mean_m10')}, {r6('avg(CASE WHEN m10 + l5 <> 0 THEN (m10 - l5) / (m10 + l5) END)', 'mean_ra')} FROM l5t JOIN m10t USING (subject)"), "rich")(lambda d: circadian.group_rest_activity(d, _worn(d)))
+
 # Relational primitives.
 query("time_range_filter", plain_sql("SELECT subject, epoch, axis1 FROM e WHERE timestamp BETWEEN TIMESTAMP '2024-01-01 08:00:00' AND TIMESTAMP '2024-01-01 12:00:00'"))(lambda d: d.where(F.col("timestamp").between("2024-01-01 08:00:00", "2024-01-01 12:00:00")).select(*_id, "axis1"))
 query("valid_day_semijoin", rich_sql("SELECT subject, epoch, axis1 FROM d WHERE (subject, date) IN (SELECT (subject, date) FROM d GROUP BY subject, date HAVING sum(wear_time::INT) >= 600)"), "rich")(lambda d: d.where("is_valid_day").select(*_id, "axis1"))
