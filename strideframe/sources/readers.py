@@ -154,10 +154,14 @@ def read_device_csv(spark: SparkSession, path: str, rate: float = 60, skip: int
 
 
 def read_accelerometer(spark: SparkSession, path: str, **options):
-    """By the extension: count databases as rows of ``read_agd``, CSV files as samples. Other devices' files need their own packages."""
+    """By the extension: count databases as rows of ``read_agd``, CSV files and raw archives as samples. Other devices' files need their own packages."""
     extension = os.path.splitext(path)[1].lower().lstrip(".")
     if extension == "agd":
         return read_agd(spark.read.format("binaryFile").load(path))
+    if extension == "gt3x":
+        from .gt3x import read_gt3x
+
+        return read_gt3x(spark.read.format("binaryFile").load(path))
     if extension == "csv":
         return read_csv(spark, path, **options)[0]
     if extension in EXTENSIONS:
@@ -166,7 +170,7 @@ def read_accelerometer(spark: SparkSession, path: str, **options):
 
 
 def device_support(spark: SparkSession) -> DataFrame:
-    rows = [("count database", ".agd", "none", True), ("CSV", ".csv", "none", True), ("raw archive", ".gt3x", "a parser of its samples", False), ("raw binary", ".bin", "a parser of its pages", False), ("raw binary", ".cwa", "a parser of its sectors", False)]
+    rows = [("count database", ".agd", "none", True), ("CSV", ".csv", "none", True), ("raw archive", ".gt3x", "none", True), ("raw binary", ".bin", "a parser of its pages", False), ("raw binary", ".cwa", "a parser of its sectors", False)]
     return spark.createDataFrame(rows, "device string, extension string, needs string, available boolean")
 
 

@@ -58,8 +58,28 @@ def test_dispatch(spark):
     with pytest.raises(ValueError):
         readers.read_accelerometer(spark, "x.docx")
     with pytest.raises(NotImplementedError):
-        readers.read_accelerometer(spark, "x.gt3x")
-    assert readers.device_support(spark).where("available").count() == 2
+        readers.read_accelerometer(spark, "x.cwa")
+    assert readers.device_support(spark).where("available").count() == 3
+
+
+def test_raw_archives(spark, tmp_path):
+    import struct
+    import zipfile
+
+    def record(kind, time, payload):
+        return struct.pack("<BBIH", 0x1E, kind, time, len(payload)) + payload + b"\0"
+
+    wide = struct.pack("<6h", 256, 0, -256, 0, 256, 128)  # two samples, x y z
+    bits = "".join(f"{v & 0xFFF:012b}" for v in (341, 0, -341, 0, 682, 0))  # two samples, y x z
+    packed = int(bits, 2).to_bytes(len(bits) // 8, "big")
+    with zipfile.ZipFile(tmp_path / "s1.gt3x", "w") as z:
+        z.writestr("info.txt", "Serial Number: X\nSample Rate: 2\n")
+        z.writestr("log.bin", record(0x1A, 1704067200, wide) + record(0x06, 1704067201, b"text") + record(0x00, 1704067202, packed))
+    (tmp_path / "bad.gt3x").write_bytes(b"no archive")
+    rows = readers.read_accelerometer(spark, str(tmp_path / "*.gt3x")).orderBy("subject", "sample").collect()
+    assert rows[0].subject == "bad" and rows[0].error
+    assert [(r.x, r.y, r.z) for r in rows[1:]] == [(1, 0, -1), (0, 1, 0.5), (0, 0, 0), (0, 0, 0), (0, 1, -1), (2, 0, 0)]
+    assert rows[1].rate == 2.0
 
 
 def test_reports_are_written(spark, tmp_path):
