@@ -8,7 +8,7 @@ its runs of seven words, so equal windows have equal anchors. The job has four p
 2. A shard tells each block which of its anchors other blocks have as well, and which
    many have. That a window has such an anchor is needed for a match, not enough.
 3. A block sends the words of its runs of windows with shared anchors to index shards:
-   a run goes by its anchor, and a window whose anchor many blocks have goes by its own
+   a run goes by its anchor, and a window whose anchor is a common one goes by its own
    13 words, so that no shard gathers a common phrase in all its contexts. A run that
    several documents of the block have is sent once, with the least doc_id.
 4. An index shard builds a compressed FM-index of the runs that it got, streams the
@@ -40,11 +40,11 @@ from .words import WordTable, mix
 
 WINDOW = 13
 ANCHOR = 7
-#: Bytes of text in a block, blocks to a shard of anchors, windows in a run at most, blocks from which an anchor is common.
+#: Bytes of text in a block, blocks to a shard of anchors, windows in a run at most, windows from which an anchor is common.
 BLOCK_BYTES = 2 << 20
 BLOCKS_A_SHARD = 16
 LONGEST_RUN = 64
-COMMON = 32
+COMMON = 16_384
 NO_ID = np.iinfo(np.int64).max
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +93,10 @@ class Block:
             self.anchor = self.whole = np.zeros(0, np.uint64)
         self.keys, self.key_of = np.unique(self.anchor, return_inverse=True)
 
+    def different_windows(self) -> np.ndarray:
+        """How many different windows each key is the anchor of."""
+        return np.bincount(self.key_of[np.unique(self.whole, return_index=True)[1]], minlength=len(self.keys))
+
     def by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order of the keys by shard, the shards that have any, and where each begins."""
         shard = (self.keys % np.uint64(shards)).astype(np.int64)
@@ -168,18 +172,25 @@ def _send_anchors(shards: int):
         block, number = Block(table), table.column("block")[0].as_py()
         order, found, begins = block.by_shard(shards)
         short = (block.keys[order] >> np.uint64(32)).astype(np.uint32)
-        return _binary_table(_PARCEL, [(number, s, ANCHORS, short[a:b].tobytes(), None) for s, a, b in zip(found.tolist(), begins, begins[1:])])
+        windows = np.minimum(block.different_windows()[order], 65535).astype(np.uint16)
+        return _binary_table(_PARCEL, [(number, s, ANCHORS, short[a:b].tobytes(), windows[a:b].tobytes()) for s, a, b in zip(found.tolist(), begins, begins[1:])])
 
     return run
 
 
-def _answer_anchors(table: pa.Table) -> pa.Table:
-    blocks, bodies = table.column("block").to_pylist(), [np.frombuffer(b, np.uint32) for b in table.column("body").to_pylist()]
-    shard = table.column("shard")[0].as_py()
-    values, counts = np.unique(np.concatenate([np.unique(b) for b in bodies]), return_counts=True)
-    several, many = values[counts > 1], values[counts > COMMON]
-    bits = lambda b: np.packbits(np.concatenate((np.isin(b, several), np.isin(b, many)))).tobytes()
-    return _binary_table(_PARCEL, [(n, shard, ANSWER, bits(b), None) for n, b in zip(blocks, bodies)])
+def _answer_anchors(common: int):
+    def run(table: pa.Table) -> pa.Table:
+        blocks, shard = table.column("block").to_pylist(), table.column("shard")[0].as_py()
+        keys = [np.frombuffer(b, np.uint32) for b in table.column("body").to_pylist()]
+        windows = np.concatenate([np.frombuffer(b, np.uint16) for b in table.column("ids").to_pylist()])
+        which = np.unique(np.concatenate(keys), return_inverse=True)[1]
+        several = (np.bincount(which) > 1)[which]
+        many = (np.bincount(which, windows) > common)[which]
+        ends = np.cumsum([len(k) for k in keys])
+        bits = [np.packbits(np.concatenate((several[e - len(k) : e], many[e - len(k) : e]))).tobytes() for k, e in zip(keys, ends)]
+        return _binary_table(_PARCEL, [(n, shard, ANSWER, b, None) for n, b in zip(blocks, bits)])
+
+    return run
 
 
 def _send_runs(shards: int, index_shards: int):
@@ -266,10 +277,10 @@ def _remove(shards: int, index_shards: int, kept: Sequence[str], outputs: Sequen
     return run
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", outputs: Sequence[str] = ("n_words", "n_removed", "kept_text"), keep: Sequence[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", outputs: Sequence[str] = ("n_words", "n_removed", "kept_text"), keep: Sequence[str] | None = None, block_bytes: int = BLOCK_BYTES, common: int = COMMON) -> DataFrame:
     """``df`` with what is left of ``text`` when windows that an earlier document has are removed; ``outputs`` are names in ``OUTPUTS``.
 
-    ``removed_spans`` has pairs of word numbers, the second one past the end. Columns named as outputs give way to them.
+    An anchor of more than ``common`` different windows, summed over blocks, is dealt by window. ``removed_spans`` has pairs of word numbers, the second one past the end. Columns named as outputs give way to them.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -283,7 +294,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", outpu
     block = F.pmod(F.xxhash64(number, F.lit(3)), F.lit(blocks)).cast("int")
     dealt = on_workers(df).select(block.alias("block"), number.alias("__id"), F.col(text).alias("__text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
     anchors = dealt.groupBy("block").applyInArrow(_send_anchors(shards), _PARCEL_DDL)
-    answers = anchors.groupBy("shard").applyInArrow(_answer_anchors, _PARCEL_DDL)
+    answers = anchors.groupBy("shard").applyInArrow(_answer_anchors(common), _PARCEL_DDL)
     runs = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_runs(shards, index_shards), _PARCEL_DDL)
     found = runs.groupBy("shard").applyInArrow(_look_up, _PARCEL_DDL)
     fields = [dealt.schema[n] for n in names] + [T.StructField(o, OUTPUTS[o], False) for o in outputs]

@@ -48,7 +48,7 @@ def test_common_anchors_are_dealt_by_window(documents):
     rng = random.Random(5)
     phrase = " ".join(f"common{i}" for i in range(12))
     rows = [(i, f"{' '.join(f'u{i}x{j}' for j in range(15))} {phrase} {' '.join(f'v{rng.randint(0, 3)}' for _ in range(9))}") for i in range(300)]
-    found = substring_dedup.remove_repeats(documents(rows), outputs=("n_words", "n_removed", "kept_sha256"), keep=["doc_id"], block_bytes=1000)
+    found = substring_dedup.remove_repeats(documents(rows), outputs=("n_words", "n_removed", "kept_sha256"), keep=["doc_id"], block_bytes=1000, common=50)
     assert sorted(map(tuple, found.collect()), key=repr) == brute(rows)
 
 
