@@ -21,6 +21,8 @@ from .common import cut
 LEAF_CHARS = 160
 #: Hex digits of a leaf's digest, and of those that a fingerprint holds.
 DIGEST, SHORT = 32, 8
+#: doc_ids are above this; rows without one get numbers from here down.
+NUMBERED = -(1 << 62)
 
 
 def tree(text: Column) -> Column:
@@ -78,11 +80,14 @@ def fingerprints(df: DataFrame, text: str = "text", output: str = "fingerprint")
 
 
 def followers(documents: DataFrame) -> DataFrame:
-    """For each doc_id that another precedes in ascending order (the last precedes the first): the one before, and its half's length.
+    """For each numbered doc_id that another precedes in ascending order (the last precedes the first): the one before, and its half's length.
 
     The order is dealt to ranges, so that no task sees all ids; only the ranges' first and last ids meet in one place.
     """
-    ids = documents.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 2)).cast("int").alias("half"))
+    half = F.max(F.floor(F.length("text") / 2)).cast("int")
+    ids = documents.groupBy("doc_id").agg(half.alias("half"))
+    # Told by the half, not by the id: a condition on the id would reach one use of the texts and part it from the other.
+    ids = ids.withColumn("half", F.when(F.col("doc_id") > NUMBERED, F.col("half")).otherwise(-1)).where("half >= 0")
     dealt = cut(ids.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
     last = dealt.groupBy("range").agg(F.max(F.struct("doc_id", "half")).alias("last"))
     ranges = Window.orderBy("range")
@@ -101,7 +106,9 @@ def compare_with_edits(df: DataFrame, text: str = "text", key: str = "doc_id") -
 
     A document goes out twice: to the join that completes it, and as a beginning to the document before it.
     """
-    documents = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Without nulls among the keys both joins read one and the same exchange of the texts.
+    nameless = F.lit(NUMBERED) - F.shiftrightunsigned(F.xxhash64(F.col(text)), 2)
+    documents = df.select(F.coalesce(F.col(key).cast("long"), nameless).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sent = (
         documents.join(followers(documents), "doc_id")
         .select(
@@ -121,7 +128,7 @@ def compare_with_edits(df: DataFrame, text: str = "text", key: str = "doc_id") -
     )
     own, other = F.col("own_leaves"), F.col("other_leaves")
     return trees.withColumn("own_leaves", leaves(F.col("own"))).withColumn("other_leaves", leaves(F.col("other"))).select(
-        "doc_id",
+        F.when(F.col("doc_id") > NUMBERED, F.col("doc_id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("own")).alias("fingerprint"),
