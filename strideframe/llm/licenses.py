@@ -218,8 +218,11 @@ def scan_texts(model: Classifier, texts: Sequence[str]) -> list[list[tuple]]:
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` with license_family, license_status (confirmed, unconfirmed or none), license_probability, and license_spans (``SPAN``, of bytes)."""
-    chosen = df.select(F.col(key).alias("k"), F.col(text).alias("text")).where("text is not null").orderBy(F.xxhash64("k", F.lit(10)), "k").limit(SAMPLE_DOCS)
-    model = train([t for _, t in sorted((repr(k), t) for k, t in chosen.collect())])
+    # Keys are chosen first, so that tasks send the driver no more texts than the sample has.
+    texts = df.select(F.col(key).alias("k"), F.col(text).alias("text")).where("k is not null and text is not null")
+    chosen = texts.select("k").distinct().orderBy(F.xxhash64("k", F.lit(10)), "k").limit(SAMPLE_DOCS)
+    sample = texts.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).collect()
+    model = train([t for _, t in sorted((repr(k), t) for k, t in sample)])
 
     def make():
         def run(column: pa.Array) -> list[pa.Array]:
