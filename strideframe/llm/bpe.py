@@ -63,6 +63,12 @@ def token_offsets(merger: Merger, ids: Sequence[int]) -> np.ndarray:
     return np.cumsum(sizes, dtype=np.int32) - sizes
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """A list column of these arrays, without a Python object for each number."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]), pa.int32()))
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", outputs: Sequence[str] = ("token_ids", "token_offsets"), keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` with the tokens of ``text`` by the rank file ``vocabulary``; ``outputs`` are names in ``FIELDS``."""
     wanted = set(outputs)
@@ -76,9 +82,9 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", outputs: Sequence
             made: dict[str, list] = {k: [] for k in outputs}
             for a, b in chunks([len(t) for t in texts], CHUNK):
                 for packed in encode_texts(cache, texts[a:b]):
-                    ids = packed.tolist()
                     if "token_ids" in wanted:
-                        made["token_ids"].append(ids)
+                        made["token_ids"].append(packed)
+                    ids = packed.tolist()
                     if "token_offsets" in wanted:
                         made["token_offsets"].append(token_offsets(merger, ids))
                     if "n_tokens" in wanted:
@@ -87,8 +93,8 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", outputs: Sequence
                         made["ids_sha256"].append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                     if "decoded_sha256" in wanted:
                         made["decoded_sha256"].append(hashlib.sha256(decode_ids(merger, ids)).hexdigest())
-            kinds = {"token_ids": pa.list_(pa.int32()), "token_offsets": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-            return [pa.array(made[k], kinds.get(k, pa.string())) for k in outputs]
+            lists = {"token_ids", "token_offsets"}
+            return [_lists(made[k]) if k in lists else pa.array(made[k], pa.int64() if k == "n_tokens" else pa.string()) for k in outputs]
 
         return run
 

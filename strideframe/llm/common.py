@@ -15,6 +15,12 @@ from pyspark.sql.types import StructField, StructType
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ASCII_SPACES = " \t\n\x0b\x0c\r"
 
+#: Rows that a function gets at a time, which bounds what a worker holds.
+ROWS = 1000
+
+#: What makes a worker give memory back once arrays are freed, unless the session says otherwise.
+MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "2097152", "MALLOC_MMAP_THRESHOLD_": "262144"}
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -23,8 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def on_workers(df: DataFrame) -> DataFrame:
-    """``df``, after a word to the session's Python workers where this package lies, if they are on this machine."""
+    """``df``, after a word to the session's Python workers where this package lies, if on their machine, and how to keep memory."""
     environment = df.sparkSession.sparkContext.environment
+    for name, value in MEMORY.items():
+        environment.setdefault(name, value)
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
@@ -79,9 +87,12 @@ def append_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns[:n], *fn(*columns[n:])], names=titles)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                columns = [batch.column(i) for i in range(batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*columns[:n], *fn(*columns[n:])], names=titles)
+        pa.default_memory_pool().release_unused()  # workers go on to other tasks
 
     return on_workers(both).mapInArrow(run, schema)
 

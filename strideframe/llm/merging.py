@@ -16,7 +16,7 @@ ID_MASK = (1 << ID_BITS) - 1
 LONG = 200
 #: Pre-tokens that are merged side by side.
 BATCH = 20_000
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 150_000
 CACHE_BYTES = 64
 
 
