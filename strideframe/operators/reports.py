@@ -67,16 +67,22 @@ def hourly_report(df: DataFrame) -> DataFrame:
 
 
 def in_filters(epochs: DataFrame, filters: DataFrame) -> DataFrame:
-    """Epochs in any interval (start_time to stop_time, both included) of their subject; without filters all of them."""
+    """Epochs in any interval (start_time to stop_time, both included) of their subject; all epochs of a subject that has none."""
     f = filters.select(F.col("subject").alias("_s"), "start_time", "stop_time")
-    return epochs.join(f, (epochs.subject == f._s) & epochs.timestamp.between(f.start_time, f.stop_time), "left_semi")
+    inside = epochs.join(f, (epochs.subject == f._s) & epochs.timestamp.between(f.start_time, f.stop_time), "left_semi")
+    return inside.unionByName(epochs.join(f.select("_s").distinct(), epochs.subject == F.col("_s"), "left_anti"))
 
 
-def batch_report(df: DataFrame, valid: DataFrame, epoch_seconds: float = 60) -> DataFrame:
-    """One row for each subject over all its epochs, with activity a day by valid days (at least one)."""
-    out = activity_stats(df, BATCH, epoch_seconds).drop("calendar_days", "mvpa_per_day")
+def batch_report(df: DataFrame, valid: DataFrame, epoch_seconds: float = 60, filters: DataFrame | None = None) -> DataFrame:
+    """One row for each subject of ``valid`` over its epochs in ``filters``, with activity a day by valid days (at least one).
+
+    Valid days are those of all epochs; a subject with no epoch in its intervals has zeros.
+    """
+    rows = df if filters is None else in_filters(df, filters)
+    out = activity_stats(rows, BATCH, epoch_seconds).drop("calendar_days", "mvpa_per_day")
     days = valid.groupBy("subject").agg(F.count_if("is_valid").alias("valid_days"))
-    return out.join(days, "subject").withColumn("mvpa_per_day", F.col("total_mvpa") / F.greatest("valid_days", F.lit(1)))
+    joined = days.join(out, "subject", "left").fillna(0, [c for c in out.columns if c != "subject"]).select(*out.columns, "valid_days")
+    return joined.withColumn("mvpa_per_day", F.col("total_mvpa") / F.greatest("valid_days", F.lit(1)))
 
 
 def group_stats(batch: DataFrame, columns: list[str]) -> DataFrame:

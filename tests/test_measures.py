@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from strideframe.functions import activity as A
-from strideframe.operators import bouts, circadian, raw, stats, wear
-from strideframe.plans.analysis import analyze, analyze_sleep
+from strideframe.operators import bouts, circadian, raw, reports, stats, wear
+from strideframe.plans.analysis import analyze, analyze_sleep, enrich
 from strideframe.sources import readers
 
 
@@ -144,3 +144,21 @@ def test_calibration(spark):
     fixed = raw.apply_calibration(df, raw.calibration(df, 5))
     assert fixed.columns == df.columns and fixed.count() == df.count()
     assert not raw.calibration(df, 5, least=1000).first().success
+
+
+def test_intervals_bind_only_subjects_that_have_some(spark):
+    epochs = readers.demo_epochs(spark, 3, 1).cache()
+    one = epochs.where("subject = 'demo0' and epoch = 481").select("subject", F.col("timestamp").alias("start_time"), (F.col("timestamp") + F.expr("INTERVAL 59 MINUTES")).alias("stop_time"))
+    outside = one.select(F.lit("demo1").alias("subject"), (F.col("start_time") - F.expr("INTERVAL 9 DAYS")).alias("start_time"), (F.col("stop_time") - F.expr("INTERVAL 9 DAYS")).alias("stop_time"))
+    filters = one.union(one).union(outside)
+    kept = reports.in_filters(epochs, filters)
+    assert kept.columns == epochs.columns and {r.subject: r["count"] for r in kept.groupBy("subject").count().collect()} == {"demo0": 60, "demo2": 1440}
+    assert reports.in_filters(epochs, filters.limit(0)).count() == 3 * 1440
+    rich = enrich(epochs).cache()
+    valid = wear.valid_days(rich)
+    plain, found = ({r.subject: r for r in reports.batch_report(rich, valid, filters=f).collect()} for f in (None, filters))
+    assert {s: r.n_epochs for s, r in found.items()} == {"demo0": 60, "demo1": 0, "demo2": 1440}
+    assert found["demo2"] == plain["demo2"] and found["demo0"].valid_days == plain["demo0"].valid_days
+    assert found["demo0"].axis1_counts == epochs.where("subject = 'demo0' and epoch between 481 and 540").agg(F.sum("axis1")).first()[0]
+    assert found["demo1"].axis1_counts == found["demo1"].sedentary_percent == found["demo1"].mvpa_per_day == 0
+    assert {s: r.n_epochs for s, r in ((r.subject, r) for r in reports.batch_report(rich, valid, filters=filters.limit(0)).collect())} == {s: 1440 for s in plain}
