@@ -97,10 +97,8 @@ def streams(rows: DataFrame, n_rows: int, seed: int) -> DataFrame:
     return hashed.join(sums, ["number", "bucket"]).withColumn("start", start)
 
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = 32, seed: int = 7, share: float = 1.5) -> DataFrame:
-    """For each row: doc_id, size, source, source_size, target and taken."""
-    columns = [F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")]
-    sizes = cut(df.select(*columns).withColumn("row", F.monotonically_increasing_id()))
+def _taken(sizes: DataFrame, block: int = 32, seed: int = 7, share: float = 1.5) -> DataFrame:
+    """``sizes`` (row, doc_id, source, size; kept, as it is read several times) with source_size, target and taken."""
     sources = cut(targets(sizes, share))
     n_sources, n_rows = sources.count(), sizes.count()
     maybe_broadcast = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda x: x
@@ -114,17 +112,29 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     words = F.least("b", (F.col("block") + 1) * block) - F.greatest("a", F.col("block") * block)
     pieces = pieces.select("row", "number", "block", words.alias("words"))
     taken = pieces.join(schedule(sources, block, maybe_broadcast), ["number", "block"]).groupBy("row").agg(F.sum("words").alias("taken"))
-    return rows.join(taken, "row", "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(taken, "row", "left").select("row", "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _sizes(text: str, source: str, key: str) -> list[Column]:
+    return [F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")]
+
+
+def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = 32, seed: int = 7, share: float = 1.5) -> DataFrame:
+    """For each row: doc_id, size, source, source_size, target and taken."""
+    sizes = cut(df.select(*_sizes(text, source, key)).withColumn("row", F.monotonically_increasing_id()))
+    return _taken(sizes, block, seed, share).drop("row")
 
 
 def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", chars: str = "n_chars", **options) -> DataFrame:
     """The mix as documents: a row for each whole time that a document is taken, and one with its first words for what remains.
 
-    ``key`` numbers the documents of ``df``; the columns are those of ``df``.
+    Each row of ``df`` is a document of its own, whether or not others share its ``key``; the columns are those of ``df``.
     """
-    taken = mix(df, text, source, key, **options).where("taken > 0").select(F.col("doc_id").alias("__key"), "size", "taken")
-    taken = taken.groupBy("__key").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    joined = df.join(taken, F.col(key).eqNullSafe(F.col("__key")))
+    # Numbered once and kept: numbers given anew to the rows could fall to others.
+    numbered = cut(df.withColumn("__row", F.monotonically_increasing_id()))
+    sizes = cut(numbered.select(*_sizes(text, source, key), F.col("__row").alias("row")))
+    taken = _taken(sizes, **options).where("taken > 0").select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    joined = numbered.join(taken, "__row")
     times = F.floor(F.col("__taken") / F.col("__size"))
     rest = (F.col("__taken") % F.col("__size")).cast("int")
     parts = F.concat(F.array_repeat(F.lit(0), times.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
@@ -133,4 +143,4 @@ def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", k
     out = joined.withColumn("__part", F.explode(parts)).withColumn(text, cut_text)
     if chars in df.columns:
         out = out.withColumn(chars, F.length(text).cast("long"))
-    return without(out, ["__key", "__size", "__taken", "__part"]).select(*df.columns)
+    return without(out, ["__row", "__size", "__taken", "__part"]).select(*df.columns)

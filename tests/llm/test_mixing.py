@@ -56,6 +56,21 @@ def test_mixed_documents_hold_what_was_taken(documents):
     assert mixed.where(F.length("text") != F.col("n_chars")).count() == 0
 
 
+def test_rows_without_or_with_one_id_are_documents_of_their_own(documents):
+    sizes = {None: (1000, 10, 301, 44, 7), 5: (20, 33, 90), 6: (2,)}
+    df = documents([(i, " ".join(f"{n}x{k}" for k in range(n)), "src") for i, ns in sizes.items() for n in ns])
+    taken = {r["size"]: r.taken for r in mixing.mix(df).collect()}
+    assert 0 < sum(taken.values()) and len({t / n for n, t in taken.items()}) > 1
+    emitted = defaultdict(list)
+    for r in mixing.mixed_documents(df).collect():
+        words = r.text.split(" ")
+        n = int(words[0].split("x")[0])
+        assert words == [f"{n}x{k}" for k in range(len(words))] and n in sizes[r.doc_id]
+        emitted[n].append(len(words))
+    for n, t in taken.items():
+        assert sorted(emitted[n], reverse=True) == [n] * (t // n) + [t % n] * (t % n > 0), n
+
+
 def test_odd_rows(odd):
     found = mixing.mix(odd).collect()
     assert len(found) == odd.count() and all(r.taken == 0 for r in found if not r["size"])
