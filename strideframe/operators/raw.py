@@ -7,6 +7,7 @@ so each subject and axis is a group; what can be summed by window is summed by S
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.activity import freedson, to_cpm, vector_magnitude
+from . import bouts
+from . import wear as wear_ops
 
 #: The published counts filter and its limits.
 COUNTS_A = [1, -3.63, 5.04, -3.10, 0.506, 0.324, -0.157, 0.0195]
@@ -148,11 +151,44 @@ def steps(raw: DataFrame, rate: float, by_period: bool = False, axis: str = "y")
     return _by_subject(raw, "subject string, steps long", lambda rows: pd.DataFrame({"subject": [rows["subject"].iloc[0]], "steps": [count(rows[axis].to_numpy(), rate)]}))
 
 
-def process(raw: DataFrame, rate: float, epoch_seconds: int = 60, cut_points: Callable[[Column], Column] = freedson) -> DataFrame:
-    """Counts, their magnitude and class; ``cut_points`` is any function of counts per minute."""
-    out = counts(raw, rate, epoch_seconds)
+def process(raw: DataFrame, rate: float, epoch_seconds: int = 60, cut_points: Callable[[Column], Column] = freedson, wear_algorithm: str = "troiano", lfe: bool = False) -> DataFrame:
+    """Counts, their magnitude, wear and class, both from axis1, the vertical; ``cut_points`` is any function of counts per minute."""
+    rule = wear_ops.RULES.get(wear_algorithm.lower())
+    if rule is None:
+        raise ValueError(f"wear_algorithm is one of {', '.join(wear_ops.RULES)}")
+    out = counts(raw, rate, epoch_seconds, lfe)
     out = out.withColumn("vm", vector_magnitude(F.col("axis1"), F.col("axis2"), F.col("axis3")))
-    return out.withColumn("intensity", cut_points(to_cpm(F.col("vm"), epoch_seconds)))
+    out = wear_ops.wear(out, rule)
+    return out.withColumn("intensity", cut_points(to_cpm(F.col("axis1"), epoch_seconds)))
+
+
+@dataclass
+class Processed:
+    """Epochs, the classes over wear, and by subject the totals over wear; none computed before it is asked for."""
+
+    epochs: DataFrame
+    intensity: DataFrame
+    totals: DataFrame
+
+
+def processed(raw: DataFrame, rate: float, epoch_seconds: int = 60, cut_points: Callable[[Column], Column] = freedson, wear_algorithm: str = "troiano", calculate_steps: bool = True, step_method: str = "peak", lfe: bool = False) -> Processed:
+    """All of a recording's results: those of ``process`` with their summaries, and steps (null unless asked for).
+
+    Minutes are scaled by the epoch's length. A subject with less than one epoch has zeros in the totals.
+    """
+    if step_method not in ("peak", "autocorr"):
+        raise ValueError("step_method is peak or autocorr")
+    epochs = process(raw, rate, epoch_seconds, cut_points, wear_algorithm, lfe)
+    minutes = epoch_seconds / 60
+    intensity = bouts.intensity_summary(epochs).withColumn("minutes", F.col("minutes") * minutes)
+    worn = lambda c: F.coalesce(F.sum(F.when(F.col("wear_time"), F.col(c))), F.lit(0.0))
+    sums = epochs.groupBy("subject").agg(worn("axis1").alias("total_counts_y"), worn("vm").alias("total_counts_vm"), (F.count_if("wear_time") * minutes).alias("total_wear_minutes"))
+    mvpa = bouts.mvpa_minutes(epochs).withColumn("mvpa_minutes", F.col("mvpa_minutes") * minutes)
+    totals = raw.select("subject").distinct().join(sums.join(mvpa, "subject"), "subject", "left").fillna(0)
+    if calculate_steps:
+        found = steps(raw, rate, step_method == "autocorr").withColumnRenamed("steps", "total_steps")
+        return Processed(epochs, intensity, totals.join(found, "subject", "left"))
+    return Processed(epochs, intensity, totals.withColumn("total_steps", F.lit(None).cast("long")))
 
 
 def mad_blocks(raw: DataFrame, block: int) -> DataFrame:

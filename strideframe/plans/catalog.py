@@ -338,3 +338,6 @@ query("calibrate", None, "raw")(lambda d: raw.calibration(d, 10, least=10))
 query("counts_raw", None, "raw")(lambda d: raw.counts(d, 30, 5))
 query("steps_peak", None, "raw")(lambda d: raw.steps(d, 30))
 query("steps_autocorr", None, "raw")(lambda d: raw.steps(d, 30, True))
+query("process_epochs", None, "raw")(lambda d: raw.process(d, 30, 5))
+query("process_intensity", None, "raw")(lambda d: raw.processed(d, 30, 5).intensity)
+query("process_totals", None, "raw")(lambda d: raw.processed(d, 30, 5).totals)

@@ -162,3 +162,26 @@ def test_intervals_bind_only_subjects_that_have_some(spark):
     assert found["demo0"].axis1_counts == epochs.where("subject = 'demo0' and epoch between 481 and 540").agg(F.sum("axis1")).first()[0]
     assert found["demo1"].axis1_counts == found["demo1"].sedentary_percent == found["demo1"].mvpa_per_day == 0
     assert {s: r.n_epochs for s, r in ((r.subject, r) for r in reports.batch_report(rich, valid, filters=filters.limit(0)).collect())} == {s: 1440 for s in plain}
+
+
+def test_a_recording_is_processed_whole(spark):
+    walk = "0.5 * sin(id * 2 * pi() * 1.8 / 30)"
+    make = lambda name, n, moving: spark.range(n).select(F.lit(name).alias("subject"), (F.col("id") + 1).alias("sample"), F.lit(0.01).alias("x"), (1 + F.when(F.col("id") >= moving, F.expr(walk)).otherwise(0.0)).alias("y"), F.expr(walk).alias("z"))
+    df = make("a", 70 * 1800, 65 * 1800).union(make("short", 900, 0)).cache()
+    done = raw.processed(df, 30)
+    epochs = done.epochs.where("subject = 'a'").orderBy("epoch").collect()
+    assert [r.wear_time for r in epochs[:60]] == [False] * 60 and epochs[-1].wear_time
+    assert all(r.intensity == "sedentary" and r.vm > 1952 for r in epochs[:60])  # z moves, the vertical doesn't
+    totals = {r.subject: r for r in done.totals.collect()}
+    a, worn = totals["a"], [r for r in epochs if r.wear_time]
+    assert (a.total_wear_minutes, a.mvpa_minutes) == (len(worn), sum(r.intensity in A.MVPA for r in worn)) and a.mvpa_minutes >= 4
+    assert a.total_counts_y == sum(r.axis1 for r in worn) and a.total_counts_vm == pytest.approx(sum(r.vm for r in worn))
+    assert {r.intensity: r.minutes for r in done.intensity.collect()} == {x: sum(r.intensity == x for r in worn) for x in A.LEVELS}
+    y = np.array([r.y for r in df.where("subject = 'a'").orderBy("sample").collect()])
+    assert a.total_steps == raw.count_steps(y, 30) and totals["short"].total_wear_minutes == totals["short"].total_counts_y == 0
+    other = raw.processed(df.where("subject = 'short'"), 30, 5, A.canhr, "CANHR2025", True, "autocorr", True).totals.first()
+    assert other.total_steps == raw.count_steps_by_period(1 + 0.5 * np.sin(np.arange(900) * 2 * np.pi * 1.8 / 30), 30) and other.total_wear_minutes == 0.5
+    for wrong in ({"wear_algorithm": "none"}, {"step_method": "none"}):
+        with pytest.raises(ValueError):
+            raw.processed(df, 30, **wrong)
+    assert raw.processed(df, 30, calculate_steps=False).totals.first().total_steps is None
