@@ -135,11 +135,12 @@ def _by_subject(df: DataFrame, schema: str, make: Callable[[pd.DataFrame], pd.Da
     return df.groupBy("subject").applyInPandas(lambda rows: make(rows.sort_values("sample")), schema)
 
 
-def counts(raw: DataFrame, rate: float, epoch_seconds: int = 60, lfe: bool = False) -> DataFrame:
-    """Counts by subject and epoch of all three axes of ``raw`` (subject, sample, x, y, z); axis1 is the vertical y."""
+def counts(raw: DataFrame, rate: float | None, epoch_seconds: int = 60, lfe: bool = False) -> DataFrame:
+    """Counts by subject and epoch of all three axes of ``raw`` (subject, sample, x, y, z); axis1 is the vertical y. Without ``rate`` it is a column of ``raw``."""
 
     def make(rows: pd.DataFrame) -> pd.DataFrame:
-        axes = [count_signal(rows[c].to_numpy(), rate, epoch_seconds, lfe) for c in "yxz"]
+        own = float(rows["rate"].iloc[0]) if rate is None else rate
+        axes = [count_signal(rows[c].to_numpy(), own, epoch_seconds, lfe) for c in "yxz"]
         return pd.DataFrame({"subject": rows["subject"].iloc[0], "epoch": np.arange(1, len(axes[0]) + 1), "axis1": axes[0], "axis2": axes[1], "axis3": axes[2]})
 
     return _by_subject(raw, "subject string, epoch long, axis1 double, axis2 double, axis3 double", make)

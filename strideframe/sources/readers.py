@@ -6,19 +6,27 @@ import os
 import re
 import sqlite3
 import tempfile
+from array import array
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.activity import ticks_to_timestamp
+from ..operators.raw import counts
 
 EXTENSIONS = ("agd", "gt3x", "bin", "cwa", "csv")
 #: Names of columns, tried in order; the first that a pattern finds is taken.
 TIME_PATTERNS = ["timestamp", "time", "datetime", "date"]
 AXIS_PATTERNS = ["^{a}$", "accelerometer.{a}", "accel.{a}", "acc.{a}", "axis.?{a}"]
 SKIPPED_LINES = 10
+#: Names of a raw database's axes, tried in order.
+RAW_AXES = [("x", "y", "z"), ("axis1", "axis2", "axis3"), ("accelerometerX", "accelerometerY", "accelerometerZ")]
+RAW_RATE, RAW_START = 30.0, (1704067200 + 62135596800) * 10_000_000
+#: Rows of a database that are handed on at a time.
+BATCH_ROWS = 100_000
 
 _AGD = "path string, kind string, row long, ticks long, axis1 double, axis2 double, axis3 double, steps double, name string, value string, error string"
 
@@ -29,53 +37,111 @@ def device_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
 
 
-def _tables(content: bytes) -> list[tuple]:
-    """Rows of the count table, the settings and the filters of one database."""
+def _ticks(value) -> int | None:
+    """Ticks of a time as text or as seconds since 1970, in UTC."""
+    if value is None:
+        return None
+    if isinstance(value, str):
+        value = datetime.fromisoformat(value.strip().replace("/", "-")).replace(tzinfo=timezone.utc).timestamp()
+    return round((value + 62135596800) * 1e6) * 10
+
+
+def _raw_samples(db: sqlite3.Connection, settings: dict[str, str | None]) -> tuple[list, tuple[array, array, array], float]:
+    """Ticks, axes and rate of the table ``accelerometer``. Of other names the first three numeric columns that aren't times are the axes."""
+    rate = float(settings.get("samplerate") or RAW_RATE)
+    cursor = db.execute("SELECT * FROM accelerometer")
+    columns = [c[0] for c in cursor.description]
+    names = next((n for n in RAW_AXES if n[0] in columns), None)
+    if names is None:
+        others = [c for c in columns if c not in ("dataTimestamp", "timestamp")]
+        kinds = db.execute("SELECT " + ", ".join(f'(SELECT typeof("{c}") FROM accelerometer WHERE "{c}" IS NOT NULL LIMIT 1)' for c in others)).fetchone() if others else ()  # noqa: S608
+        names = tuple(c for c, kind in zip(others, kinds) if kind in ("integer", "real"))[:3]
+    if len(names) < 3 or not set(names) <= set(columns):
+        raise ValueError(f"no acceleration among {', '.join(columns)}")
+    time = next((c for c in ("dataTimestamp", "timestamp") if c in columns), None)
+    at, when = [columns.index(n) for n in names], None if time is None else columns.index(time)
+    start = int(float(settings.get("startdatetime") or RAW_START)) if time is None else 0
+    ticks, axes = [], (array("d"), array("d"), array("d"))
+    for i, row in enumerate(cursor):
+        for axis, k in zip(axes, at):
+            axis.append(float("nan") if row[k] is None else row[k])
+        value = start + round(i * 1e7 / rate) if when is None else row[when]
+        ticks.append(_ticks(value) if time == "timestamp" else None if value is None else int(value))
+    return ticks, axes, rate
+
+
+def _tables(content: bytes) -> tuple[list[tuple], tuple | None]:
+    """Rows of the count table, the settings and the filters of one database; of a raw one its samples instead of counts."""
     with tempfile.NamedTemporaryFile(suffix=".agd") as f:
         f.write(content)
         f.flush()
         db = sqlite3.connect(f.name)
         try:
             names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")]
-            source = next((t for t in ("data", "epochs") if t in names), None)
+            source = next((t for t in ("accelerometer", "data", "epochs") if t in names), None)
             if source is None:
-                raise ValueError(f"no table of epochs among {', '.join(sorted(names)) or 'none'}")
-            out = []
-            cursor = db.execute(f"SELECT * FROM {source}")  # noqa: S608
-            columns = [c[0] for c in cursor.description]
-            for i, row in enumerate(cursor, 1):
-                r = dict(zip(columns, row))
-                out.append(("epoch", i, r.get("dataTimestamp"), *(r.get(c) for c in ("axis1", "axis2", "axis3", "steps")), None, None, None))
+                raise ValueError(f"no table of epochs or samples among {', '.join(sorted(names)) or 'none'}")
+            out, samples = [], None
+            if source == "accelerometer":
+                pairs = db.execute("SELECT settingName, settingValue FROM settings").fetchall() if "settings" in names else []
+                samples = _raw_samples(db, dict(pairs[::-1]))  # the first of a name
+            else:
+                cursor = db.execute(f"SELECT * FROM {source}")  # noqa: S608
+                columns = [c[0] for c in cursor.description]
+                for i, row in enumerate(cursor, 1):
+                    r = dict(zip(columns, row))
+                    out.append(("epoch", i, r.get("dataTimestamp"), *(r.get(c) for c in ("axis1", "axis2", "axis3", "steps")), None, None, None))
             if "settings" in names:
                 for i, (name, value) in enumerate(db.execute("SELECT settingName, settingValue FROM settings"), 1):
                     out.append(("setting", i, None, None, None, None, None, name, None if value is None else str(value), None))
             if "filters" in names:
                 for i, (start, stop) in enumerate(db.execute("SELECT filterStartTimestamp, filterStopTimestamp FROM filters"), 1):
                     out.append(("filter", i, start, None, None, None, None, None, str(stop), None))
-            return out
+            return out, samples
         finally:
             db.close()
 
 
 def read_agd(files: DataFrame) -> DataFrame:
-    """The rows of count databases (``path``, ``content``): kind is epoch, setting, filter or error."""
+    """The rows of count databases (``path``, ``content``): kind is epoch, sample (of a raw one, its rate as value), setting, filter or error."""
     names = [c.split()[0] for c in _AGD.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
+                samples = None
                 try:
-                    rows = [(path, *r) for r in _tables(bytes(content))]
+                    rows, samples = _tables(bytes(content))
+                    rows = [(path, *r) for r in rows]
                 except Exception as e:  # one file's fault is its own row
                     rows = [(path, "error", 0, *[None] * 7, str(e))]
                 yield pd.DataFrame(rows, columns=names)
+                if samples is not None:
+                    ticks, axes, rate = samples
+                    for a in range(0, len(ticks), BATCH_ROWS):
+                        part = ticks[a : a + BATCH_ROWS]
+                        x, y, z = (axis[a : a + BATCH_ROWS] for axis in axes)
+                        values = {"path": path, "kind": "sample", "row": range(a + 1, a + len(part) + 1), "ticks": pd.array(part, dtype="Int64"), "axis1": x, "axis2": y, "axis3": z, "steps": None, "name": None, "value": str(rate), "error": None}
+                        yield pd.DataFrame(values, columns=names)
 
     return files.select("path", "content").mapInPandas(run, _AGD)
 
 
-def agd_epochs(rows: DataFrame) -> DataFrame:
-    """The canonical series of each file; without ticks the timestamp is null."""
-    return rows.where("kind = 'epoch'").select(subject_id(F.col("path")).alias("subject"), F.col("row").alias("epoch"), ticks_to_timestamp(F.col("ticks")).alias("timestamp"), "axis1", "axis2", "axis3", "steps")
+def agd_samples(rows: DataFrame) -> DataFrame:
+    """The samples of raw databases: subject, sample, timestamp, x, y, z, rate."""
+    axes = [F.col(f"axis{k}").alias(a) for k, a in enumerate("xyz", 1)]
+    return rows.where("kind = 'sample'").select(subject_id(F.col("path")).alias("subject"), F.col("row").alias("sample"), ticks_to_timestamp(F.col("ticks")).alias("timestamp"), *axes, F.col("value").cast("double").alias("rate"))
+
+
+def agd_epochs(rows: DataFrame, epoch_seconds: int = 60) -> DataFrame:
+    """The canonical series of each file; without ticks the timestamp is null. Samples of a raw one are counted, x as axis1, without steps."""
+    own = rows.where("kind = 'epoch'").select(subject_id(F.col("path")).alias("subject"), F.col("row").alias("epoch"), ticks_to_timestamp(F.col("ticks")).alias("timestamp"), "axis1", "axis2", "axis3", "steps")
+    samples = agd_samples(rows)
+    first = samples.where("sample = 1").select("subject", F.unix_micros("timestamp").alias("_first"))
+    counted = counts(samples, None, epoch_seconds).join(first, "subject", "left")
+    time = F.timestamp_micros(F.col("_first") + (F.col("epoch") - 1) * (epoch_seconds * 1_000_000))
+    # Elsewhere axis1 is y; the counts of a raw database keep the order of its axes.
+    return own.unionByName(counted.select("subject", "epoch", time.alias("timestamp"), F.col("axis2").alias("axis1"), F.col("axis1").alias("axis2"), "axis3", F.lit(0.0).alias("steps")))
 
 
 def agd_filters(rows: DataFrame) -> DataFrame:
@@ -85,7 +151,7 @@ def agd_filters(rows: DataFrame) -> DataFrame:
 
 def agd_metadata(rows: DataFrame) -> DataFrame:
     """By file: rows of each kind and the error, if any."""
-    return rows.groupBy("path").agg(F.count_if(F.col("kind") == "epoch").alias("n_epochs"), F.count_if(F.col("kind") == "setting").alias("n_settings"), F.count_if(F.col("kind") == "filter").alias("n_filters"), F.max("error").alias("error"))
+    return rows.groupBy("path").agg(F.count_if(F.col("kind") == "epoch").alias("n_epochs"), F.count_if(F.col("kind") == "setting").alias("n_settings"), F.count_if(F.col("kind") == "filter").alias("n_filters"), F.count_if(F.col("kind") == "sample").alias("n_samples"), F.max("error").alias("error"))
 
 
 def subject_id(path: Column) -> Column:

@@ -38,6 +38,33 @@ def test_count_databases(spark, tmp_path):
     assert readers.agd_filters(rows).where("stop_time > start_time").count() == 2
 
 
+def test_raw_databases(spark, tmp_path):
+    import numpy as np
+    from strideframe.operators.raw import count_signal
+
+    n = 60 * 61
+    wave = [float(v) for v in 0.5 * np.sin(np.arange(n) * 2 * np.pi * 1.8 / 60)]
+    for name, columns, settings in (("a", "x REAL, y REAL, z REAL", [("samplerate", "60"), ("startdatetime", str(START))]), ("b", "dataTimestamp INTEGER, label TEXT, p REAL, q REAL, r REAL", [("samplerate", "60")]), ("c", "timestamp TEXT, axis1 REAL, axis2 REAL, axis3 REAL", [])):
+        db = sqlite3.connect(tmp_path / f"{name}.agd")
+        db.execute(f"CREATE TABLE accelerometer ({columns})")
+        lead = {"a": lambda i: (), "b": lambda i: (START + i * 10_000_000 // 60, "t"), "c": lambda i: (f"2024-01-01 00:{i // 1800:02d}:{i // 30 % 60:02d}",)}[name]
+        db.executemany(f"INSERT INTO accelerometer VALUES ({', '.join('?' * len(columns.split(',')))})", [(*lead(i), w, 1.0, 0.0) for i, w in enumerate(wave)])
+        db.execute("CREATE TABLE data (dataTimestamp INTEGER, axis1 INTEGER)")
+        db.execute("INSERT INTO data VALUES (1, 9)")
+        db.execute("CREATE TABLE settings (settingName TEXT, settingValue TEXT)")
+        db.executemany("INSERT INTO settings VALUES (?, ?)", settings)
+        db.commit()
+        db.close()
+    rows = readers.read_agd(readers.device_files(spark, str(tmp_path), ("agd",))).cache()
+    assert {(r.n_epochs, r.n_samples, r.error) for r in readers.agd_metadata(rows).collect()} == {(0, n, None)}
+    assert {r.subject: r.rate for r in readers.agd_samples(rows).select("subject", "rate").distinct().collect()} == {"a": 60.0, "b": 60.0, "c": 30.0}
+    found = {(r.subject, r.epoch): r for r in readers.agd_epochs(rows).withColumn("timestamp", F.col("timestamp").cast("string")).collect()}
+    assert sorted(found) == [("a", 1), ("b", 1), ("c", 1), ("c", 2)]
+    for (s, e), r in found.items():
+        assert r.axis1 == count_signal(np.array(wave), 30 if s == "c" else 60)[e - 1] > 100 and r.axis2 == r.axis3 == r.steps == 0
+        assert r.timestamp == f"2024-01-01 00:0{e - 1}:00"
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "raw.csv").write_text("Time,Acc X,Acc Y,Acc Z\n2024-01-01 00:00:00,0,1,0\n2024-01-01 00:00:01,0.1,1,0\n")
     df, is_raw = readers.read_csv(spark, str(tmp_path / "raw.csv"))
