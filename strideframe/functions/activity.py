@@ -13,7 +13,7 @@ MVPA = ("moderate", "vigorous", "very_vigorous")
 
 #: The first and last count per minute of each class (the last one open).
 FREEDSON = [(0, 100), (101, 1951), (1952, 5724), (5725, 9498), (9499, None)]
-CANHR = [(0, 149), (150, 2200), (2201, 6000), (6001, 10000), (10001, None)]
+BROAD = [(0, 150), (151, 2200), (2201, 6000), (6001, 10000), (10001, None)]
 #: The METs from which each class begins.
 MET_BREAKS = [(1.5, "light"), (3.0, "moderate"), (6.0, "vigorous"), (9.0, "very_vigorous")]
 DEFAULT_MASS = 70.0
@@ -39,11 +39,11 @@ def freedson(cpm: Column) -> Column:
     return classify(cpm, FREEDSON)
 
 
-def canhr(cpm: Column) -> Column:
-    return classify(cpm, CANHR)
+def broad(cpm: Column) -> Column:
+    return classify(cpm, BROAD)
 
 
-CUT_POINTS: dict[str, Callable[[Column], Column]] = {"freedson": freedson, "canhr": canhr}
+CUT_POINTS: dict[str, Callable[[Column], Column]] = {"freedson": freedson, "broad": broad}
 
 
 def classify_mets(mets: Column) -> Column:
@@ -151,7 +151,7 @@ def circular_minutes(minutes: Column) -> Column:
 
 def clock_12h(minutes: Column) -> Column:
     """H:MM AM or PM of minutes of the day."""
-    whole = F.round(minutes).cast("int") % 1440
+    whole = F.round(F.round(minutes, 6)).cast("int") % 1440  # means of whole minutes may lie at a half
     hour = F.floor(whole / 60).cast("int")
     twelve = F.when(hour % 12 == 0, 12).otherwise(hour % 12)
     return F.format_string("%d:%02d %s", twelve, whole % 60, F.when(hour < 12, F.lit("AM")).otherwise(F.lit("PM")))
@@ -162,6 +162,26 @@ def device_datetime(ts: Column) -> Column:
     return F.date_format(ts, "M/d/yyyy hh:mm:ss a")
 
 
+def format_height(centimetres: Column) -> Column:
+    """Feet and inches; N/A for null and 0."""
+    inches = centimetres / 2.54
+    text = F.format_string("%dft %din", F.floor(inches / 12), F.bround(inches % 12, 0).cast("long"))
+    return F.when(F.coalesce(centimetres, F.lit(0.0)) != 0, text).otherwise(F.lit("N/A"))
+
+
+def format_weight(kilograms: Column) -> Column:
+    """Whole pounds; N/A for null and 0."""
+    text = F.format_string("%dlbs", F.bround(kilograms * 2.20462, 0).cast("long"))
+    return F.when(F.coalesce(kilograms, F.lit(0.0)) != 0, text).otherwise(F.lit("N/A"))
+
+
+def format_sex(sex: Column) -> Column:
+    """Male or Female of names, initials and the codes 1 and 2; N/A for nothing; else as it is."""
+    low = F.lower(sex)
+    known = F.when(low.isin("male", "m", "1"), F.lit("Male")).when(low.isin("female", "f", "2"), F.lit("Female"))
+    return F.when(sex.isNull() | sex.isin("", "0"), F.lit("N/A")).otherwise(F.coalesce(known, sex))
+
+
 def format_gender(sex: Column) -> Column:
     first = F.upper(F.substring(F.trim(sex), 1, 1))
     return F.when(first == "F", F.lit("Female")).when(first == "M", F.lit("Male")).otherwise(F.lit("Undefined"))

@@ -14,17 +14,20 @@ from .islands import renumber, runs, series
 BINS = [(5, "1-5 min"), (10, "5-10 min"), (20, "10-20 min"), (30, "20-30 min"), (60, "30-60 min"), (None, ">60 min")]
 
 
-def intensity_summary(df: DataFrame) -> DataFrame:
-    """By subject and class: wear epochs, and their share of all wear epochs; classes without any have a row."""
+def intensity_summary(df: DataFrame, epoch_seconds: float = 60) -> DataFrame:
+    """By subject and class: minutes of wear, and their share of all wear; classes without any have a row."""
     worn = df.where("wear_time")
     counts = worn.groupBy("subject").agg(F.count("*").alias("total"), *[F.count_if(F.col("intensity") == x).alias(x) for x in LEVELS])
-    pairs = F.array(*[F.struct(F.lit(x).alias("intensity"), F.col(x).alias("minutes")) for x in LEVELS])
+    pairs = F.array(*[F.struct(F.lit(x).alias("intensity"), F.col(x).alias("n")) for x in LEVELS])
     one = counts.select("subject", "total", F.explode(pairs).alias("p"))
-    return one.select("subject", "p.intensity", "p.minutes", (100.0 * F.col("p.minutes") / F.col("total")).alias("percent"))
+    return one.select("subject", "p.intensity", (F.col("p.n") * epoch_seconds / 60).alias("minutes"), (100.0 * F.col("p.n") / F.col("total")).alias("percent"))
 
 
-def mvpa_minutes(df: DataFrame, levels: tuple[str, ...] = MVPA) -> DataFrame:
-    return df.groupBy("subject").agg(F.count_if(F.col("wear_time") & is_mvpa(F.col("intensity"), levels)).alias("mvpa_minutes"))
+def mvpa_minutes(df: DataFrame, include_vigorous: bool = True, epoch_seconds: float = 60) -> DataFrame:
+    """By subject: minutes of wear that are moderate or more, or moderate alone."""
+    levels = MVPA if include_vigorous else MVPA[:1]
+    n = F.count_if(F.col("wear_time") & is_mvpa(F.col("intensity"), levels))
+    return df.groupBy("subject").agg((n * epoch_seconds / 60).alias("mvpa_minutes"))
 
 
 def _with_counts(df: DataFrame, bouts: DataFrame, active: Column) -> DataFrame:
@@ -147,11 +150,12 @@ def bout_distribution(bouts: DataFrame) -> DataFrame:
     return counts.select("subject", "n", F.explode(pairs).alias("p")).select("subject", "p.category", "p.n_bouts", (100.0 * F.col("p.n_bouts") / F.col("n")).alias("percent"))
 
 
-def hourly_breaks(df: DataFrame) -> DataFrame:
-    """By subject and hour: sitting and wear epochs, changes from sitting to not, and those an hour of sitting."""
+def hourly_breaks(df: DataFrame, epoch_seconds: float = 60) -> DataFrame:
+    """By subject and hour: minutes of sitting and of wear, changes from sitting to not, and those an hour of sitting."""
+    minutes = epoch_seconds / 60
     marked = df.withColumn("sed", sedentary(df))
     marked = marked.withColumn("break", F.coalesce(F.lag("sed").over(series()), F.lit(False)) & ~F.col("sed"))
-    out = marked.groupBy("subject", F.hour("timestamp").alias("hour")).agg(F.count_if("sed").alias("sedentary_min"), F.count_if("break").alias("breaks"), F.count_if("wear_time").alias("wear_min"))
+    out = marked.groupBy("subject", F.hour("timestamp").alias("hour")).agg((F.count_if("sed") * minutes).alias("sedentary_min"), F.count_if("break").alias("breaks"), (F.count_if("wear_time") * minutes).alias("wear_min"))
     return out.withColumn("breaks_per_sed_hour", F.coalesce(F.try_divide(F.col("breaks").cast("double"), F.col("sedentary_min") / 60), F.lit(0.0)))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +90,26 @@ def cosinor(df: DataFrame, value: Column, least: int = 24) -> DataFrame:
     )
 
 
+@dataclass
+class Rhythm:
+    """A row of measures for each subject, the hourly profile and the daily rows; none computed before it is asked for."""
+
+    summary: DataFrame
+    hourly: DataFrame
+    daily: DataFrame
+
+
+def rhythm(df: DataFrame, value: Column, epoch_seconds: float = 60) -> Rhythm:
+    """All measures: rest and activity, stability and variability, the cosine, days and those with enough values."""
+    daily = daily_rest_activity(df, value, epoch_seconds)
+    days = daily.groupBy("subject").agg(F.count("*").alias("n_days"), F.count("l5").alias("n_valid_days"))
+    wave = cosinor(df, value).drop("n")
+    summary = days
+    for part in (rest_activity(df, value), stability_and_variability(df, value), wave):
+        summary = summary.join(part, "subject", "left")
+    return Rhythm(summary, hourly_profile(df, value), daily)
+
+
 def group_profile(df: DataFrame, value: Column) -> DataFrame:
     """By hour: the mean over subjects of their means, and how many subjects have one."""
     return hourly_profile(df, value).groupBy("hour").agg(F.avg("mean_activity").alias("mean_activity"), F.count("mean_activity").alias("n_subjects"))

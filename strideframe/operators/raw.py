@@ -181,10 +181,10 @@ def processed(raw: DataFrame, rate: float, epoch_seconds: int = 60, cut_points:
         raise ValueError("step_method is peak or autocorr")
     epochs = process(raw, rate, epoch_seconds, cut_points, wear_algorithm, lfe)
     minutes = epoch_seconds / 60
-    intensity = bouts.intensity_summary(epochs).withColumn("minutes", F.col("minutes") * minutes)
+    intensity = bouts.intensity_summary(epochs, epoch_seconds)
     worn = lambda c: F.coalesce(F.sum(F.when(F.col("wear_time"), F.col(c))), F.lit(0.0))
     sums = epochs.groupBy("subject").agg(worn("axis1").alias("total_counts_y"), worn("vm").alias("total_counts_vm"), (F.count_if("wear_time") * minutes).alias("total_wear_minutes"))
-    mvpa = bouts.mvpa_minutes(epochs).withColumn("mvpa_minutes", F.col("mvpa_minutes") * minutes)
+    mvpa = bouts.mvpa_minutes(epochs, epoch_seconds=epoch_seconds)
     totals = raw.select("subject").distinct().join(sums.join(mvpa, "subject"), "subject", "left").fillna(0)
     if calculate_steps:
         found = steps(raw, rate, step_method == "autocorr").withColumnRenamed("steps", "total_steps")

@@ -38,7 +38,7 @@ def activity_stats(df: DataFrame, policy: Policy, epoch_seconds: float = 60) ->
     df = df.withColumn("hour", F.hour("timestamp"))
     rows = df.where("is_valid_day") if policy.valid_days_only else df
     worn = F.lit(True) if policy.ignore_wear else F.col("wear_time")
-    minutes = epoch_seconds / 60 if policy.ignore_wear else 1
+    minutes = epoch_seconds / 60
     classes = []
     for level in LEVELS:
         inside = F.coalesce(F.col("intensity") == level, F.lit(False)) & worn
@@ -47,19 +47,20 @@ def activity_stats(df: DataFrame, policy: Policy, epoch_seconds: float = 60) ->
         classes.append((F.count_if(inside) * minutes).cast("double").alias(level))
     magnitude = vector_magnitude(F.col("axis1"), F.col("axis2"), F.col("axis3"))
     values = [("axis1", F.col("axis1")), ("axis2", F.col("axis2")), ("axis3", F.col("axis3")), ("vm", magnitude), ("steps", F.col("steps"))]
+    values += [("lux", F.col("lux"))] if "lux" in df.columns else []
     out = rows.groupBy(*policy.keys).agg(*classes, F.count("*").alias("n_epochs"), F.countDistinct("date").alias("calendar_days"), *[c for n, v in values for c in _stats(n, v, worn)])
     out = out.withColumn("total_mvpa", F.col("moderate") + F.col("vigorous") + F.col("very_vigorous"))
     all_minutes = F.col("n_epochs") * minutes
     for c in [*LEVELS, "total_mvpa"]:
         out = out.withColumn(f"{c}_percent", 100.0 * F.col(c) / all_minutes)
     if "date" in policy.keys:
-        return out.withColumn("mvpa_per_hour", F.col("total_mvpa") / (F.col("n_epochs") / 60))
+        return out.withColumn("mvpa_per_hour", F.col("total_mvpa") / (all_minutes / 60))
     return out.withColumn("mvpa_per_day", F.col("total_mvpa") / F.greatest("calendar_days", F.lit(1)))
 
 
-def hourly_report(df: DataFrame) -> DataFrame:
+def hourly_report(df: DataFrame, epoch_seconds: float = 60) -> DataFrame:
     """Hours of valid days; those of other days are there with zeros."""
-    stats = activity_stats(df, HOURLY)
+    stats = activity_stats(df, HOURLY, epoch_seconds)
     days = df.select("subject", "date", "is_valid_day").distinct()
     joined = stats.join(days, ["subject", "date"])
     zeroed = [c for c, t in stats.dtypes if c not in HOURLY.keys and c != "calendar_days"]
@@ -85,6 +86,44 @@ def batch_report(df: DataFrame, valid: DataFrame, epoch_seconds: float = 60, fil
     return joined.withColumn("mvpa_per_day", F.col("total_mvpa") / F.greatest("valid_days", F.lit(1)))
 
 
+def _title(level: str) -> str:
+    return level.replace("_", " ").title()
+
+
+def in_layout(stats: DataFrame, policy: Policy, epoch_seconds: float = 60, info: DataFrame | None = None) -> DataFrame:
+    """``stats`` in the layout of the policy's report: shares as text with two digits, means with one, names in words.
+
+    ``info`` has a row for each subject: subject, and any of filename, weight_lbs, age and gender; without it they are empty or 0.
+    """
+    own = {"filename": F.lit(""), "weight_lbs": F.lit(0.0), "age": F.lit(0.0), "gender": F.lit("")}
+    if info is not None:
+        stats = stats.join(info.select("subject", *[F.col(c).alias(f"_{c}") for c in own if c in info.columns]), "subject", "left")
+        own |= {c: F.coalesce(F.col(f"_{c}"), own[c]) for c in own if c in info.columns}
+    rounded = lambda c, scale=1.0: F.bround(F.col(c) * scale, 1)
+    share = lambda c: F.format_string("%.2f%%", F.bround(F.coalesce(F.col(c), F.lit(0.0)), 2))
+    per_minute, minutes = 60 / epoch_seconds, F.col("n_epochs") * (epoch_seconds / 60)
+    out = [F.col("subject").alias("Subject"), own["filename"].alias("Filename"), F.lit(float(epoch_seconds)).alias("Epoch"), own["weight_lbs"].alias("Weight (lbs)"), own["age"].alias("Age"), own["gender"].alias("Gender")]
+    if "date" in policy.keys:
+        hour = F.col("hour") if "hour" in policy.keys else F.lit(0)
+        clock = F.format_string("%02d:00 %s", F.when(hour % 12 == 0, 12).otherwise(hour % 12), F.when(hour < 12, "AM").otherwise("PM")).alias("Hour")
+        out += [F.date_format("date", "MM/dd/yyyy").alias("Date"), *([clock] if "hour" in policy.keys else []), F.date_format("date", "EEEE").alias("Day of Week"), (F.weekday("date") + 1).cast("long").alias("Day of Week Num")]
+    out += [F.col(c).alias(_title(c)) for c in LEVELS] + [share(f"{c}_percent").alias(f"% in {_title(c)}") for c in LEVELS]
+    out += [F.col("total_mvpa").alias("Total MVPA"), share("total_mvpa_percent").alias("% in MVPA")]
+    if "hour" not in policy.keys:
+        per = "hour" if "date" in policy.keys else "day"
+        out.append(rounded(f"mvpa_per_{per}").alias("Average MVPA Per " + ("Hour" if per == "hour" else "day")))
+    axes = (1, 2, 3)
+    out += [F.col(f"axis{k}_counts").alias(f"Axis {k} Counts") for k in axes] + [rounded(f"axis{k}_average").alias(f"Axis {k} Average Counts") for k in axes]
+    out += [F.col(f"axis{k}_max").alias(f"Axis {k} Max Counts") for k in axes] + [rounded(f"axis{k}_average", per_minute).alias(f"Axis {k} CPM") for k in axes]
+    out += [rounded("vm_counts").alias("Vector Magnitude Counts"), rounded("vm_average").alias("Vector Magnitude Average Counts"), rounded("vm_max").alias("Vector Magnitude Max Counts"), rounded("vm_average", per_minute).alias("Vector Magnitude CPM")]
+    out += [F.col("steps_counts").alias("Steps Counts"), rounded("steps_average").alias("Steps Average Counts"), F.col("steps_max").alias("Steps Max Counts"), rounded("steps_average", per_minute).alias("Steps Per Minute")]
+    lux = "lux_average" in stats.columns
+    out += [(rounded(f"lux_{what}") if lux else F.lit(0.0)).alias(f"Lux {what.title()} Counts") for what in ("average", "max")]
+    out += [F.col("n_epochs").alias("Number of Epochs"), (F.bround(minutes / 60, 1) if policy.ignore_wear else minutes.cast("double")).alias("Time")]
+    out.append((F.col("valid_days") if policy.ignore_wear else F.col("calendar_days")).cast("long").alias("Calendar Days"))
+    return stats.select(*out)
+
+
 def group_stats(batch: DataFrame, columns: list[str]) -> DataFrame:
     """Means over subjects."""
     return batch.agg(F.count("*").alias("n_subjects"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
@@ -110,6 +149,11 @@ def daily_summary(df: DataFrame, epoch_seconds: float = 60) -> DataFrame:
     return wear.join(worn, ["subject", "date"], "left")
 
 
+def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that more than one row has, and how many have them."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+
+
 def plot_daily(df: DataFrame) -> DataFrame:
     """By subject and date, for plots: sums over all epochs, wear or not."""
     return df.groupBy("subject", "date").agg(

@@ -56,8 +56,8 @@ def sadeh(df: DataFrame, counts: str = "axis1") -> DataFrame:
     return df.withColumn("sleep_wake", F.when(index > -4, F.lit("S")).otherwise(F.lit("W"))).drop("_c")
 
 
-def sleep_periods(df: DataFrame, counts: str = "axis1", bedtime: int = 5, waking: int = 10, least: int = 160, most: int = 1440, least_sleep: int = 15) -> DataFrame:
-    """Sleep periods with their measures.
+def sleep_periods(df: DataFrame, counts: str = "axis1", bedtime: int = 5, waking: int = 10, least: int = 160, most: int = 1440, least_sleep: int = 15, epoch_seconds: float = 60) -> DataFrame:
+    """Sleep periods with their measures; the parameters are in epochs, times of sleep and wake in minutes.
 
     A period begins with ``bedtime`` epochs of sleep and ends before the next ``waking``
     epochs of wake. Starts before one waking share it, so the earliest start whose
@@ -67,12 +67,15 @@ def sleep_periods(df: DataFrame, counts: str = "axis1", bedtime: int = 5, waking
     w = series()
     asleep = (F.col("sleep_wake") == "S").cast("int")
     s = df.withColumn("s", asleep)
-    ahead = lambda n: w.rowsBetween(0, n - 1)
-    s = s.withColumn("_n", F.max("epoch").over(Window.partitionBy("subject")))
-    starts = (F.sum("s").over(ahead(bedtime)) == bedtime) & (F.col("epoch") + bedtime - 1 <= F.col("_n"))
-    wakes = (F.sum("s").over(ahead(waking)) == 0) & (F.col("epoch") + waking - 1 <= F.col("_n"))
-    s = s.withColumn("starts", starts).withColumn("wakes", wakes).withColumn("upto", F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    next_wake = F.min(F.when(F.col("wakes"), F.struct("epoch", (F.col("upto") - F.col("s")).alias("slept")))).over(w.rowsBetween(bedtime, Window.unboundedFollowing))
+    upto = F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    s = s.withColumn("upto", upto)
+    ahead = lambda n: F.lead("upto", n - 1).over(w) - F.col("upto") + F.col("s")
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    s = s.withColumn("starts", holds(ahead(bedtime) == bedtime)).withColumn("wakes", holds(ahead(waking) == 0))
+    # The next waking is a running minimum from the end.
+    onward = Window.partitionBy("subject").orderBy(F.desc("epoch")).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("waking", F.min(F.when(F.col("wakes"), F.struct("epoch", (F.col("upto") - F.col("s")).alias("slept")))).over(onward))
+    next_wake = F.lead("waking", bedtime).over(w)
     s = s.withColumn("wake", next_wake)
     length = F.col("wake.epoch") - F.col("epoch")
     slept = F.col("wake.slept") - F.col("upto") + F.col("s")
@@ -90,13 +93,15 @@ def sleep_periods(df: DataFrame, counts: str = "axis1", bedtime: int = 5, waking
         F.count_if(F.col("sleep_wake") == "S").alias("sleep_time"), F.count_if(F.col("sleep_wake") == "W").alias("wake_time"),
         F.count_if("new_wake").alias("number_of_awakenings"), F.count("*").alias("_total"), F.sum(F.coalesce(F.col(counts), F.lit(0.0))).alias("total_counts"),
     )
-    total = F.col("_total")
+    total, minutes = F.col("_total"), epoch_seconds / 60
     measured = measured.withColumn("average_awakening", F.coalesce(F.try_divide(F.col("wake_time").cast("double"), F.col("number_of_awakenings")), F.lit(0.0)))
+    measured = measured.withColumn("average_awakening", F.col("average_awakening") * minutes)
     measured = measured.withColumn("movement_index", 100.0 * F.col("wake_time") / total)
     measured = measured.withColumn("fragmentation_index", (F.col("number_of_awakenings") + F.col("movement_index")) / total)
     measured = measured.withColumn("sleep_efficiency", 100.0 * F.col("sleep_time") / total).drop("_total")
     removal = (F.col("sleep_time") > 720) & (F.col("sleep_efficiency") > 99) & (F.col("number_of_awakenings") == 0)
-    return renumber(measured.where(~removal), "period_number")
+    scaled = measured.where(~removal).withColumns({c: F.col(c) * minutes for c in ("sleep_time", "wake_time")})
+    return renumber(scaled, "period_number")
 
 
 def sleep_summary(df: DataFrame, periods: DataFrame) -> DataFrame:
@@ -106,33 +111,80 @@ def sleep_summary(df: DataFrame, periods: DataFrame) -> DataFrame:
     return total.join(found, "subject", "left").fillna(0, ["n_periods", "total_sleep_time", "mean_efficiency", "mean_awakenings"])
 
 
-def sleep_details_report(periods: DataFrame) -> DataFrame:
-    """A row for each period, in the layout of the details report."""
+ALGORITHMS = {"cole_kripke": "Cole-Kripke", "sadeh": "Sadeh"}
+PERIOD_ALGORITHM = "Tudor-Locke Default"
+
+
+def _about(periods: DataFrame, algorithm: str, epoch_seconds: float, info: DataFrame | None) -> tuple[DataFrame, list[Column]]:
+    """``periods`` with what the report says of the subject; ``info`` has a row for each, with any of filename, serial_number, weight_lbs, age and gender."""
+    own = {"filename": F.lit(""), "serial_number": F.lit(""), "weight_lbs": F.lit(0.0), "age": F.lit(0.0), "gender": F.lit("Undefined")}
+    if info is not None:
+        periods = periods.join(info.select("subject", *[F.col(c).alias(f"_{c}") for c in own if c in info.columns]), "subject", "left")
+        own |= {c: F.coalesce(F.col(f"_{c}"), own[c]) for c in own if c in info.columns}
+    names = ("File Name", "Serial Number", "Epoch Length", "Weight", "Age", "Gender", "Sleep/Wake Algorithm", "Sleep Period Detection Algorithm")
+    values = (own["filename"], own["serial_number"], F.lit(float(epoch_seconds)), own["weight_lbs"], own["age"], own["gender"], F.lit(ALGORITHMS.get(algorithm, algorithm)), F.lit(PERIOD_ALGORITHM))
+    return periods, [F.col("subject").alias("Subject Name"), *[v.alias(n) for v, n in zip(values, names)]]
+
+
+def _latency() -> Column:
+    return (F.unix_micros("onset") - F.unix_micros("in_bed_time")) / 60e6
+
+
+def sleep_details_report(periods: DataFrame, algorithm: str = "cole_kripke", epoch_seconds: float = 60, info: DataFrame | None = None) -> DataFrame:
+    """A row for each period, in the layout of the details report: 22 columns."""
+    periods, about = _about(periods, algorithm, epoch_seconds, info)
+    shown = lambda c, places: F.bround(F.col(c).cast("double"), places)
     return periods.select(
-        "subject", "period_number", device_datetime(F.col("in_bed_time")).alias("in_bed"), device_datetime(F.col("out_bed_time")).alias("out_bed"),
-        F.col("sleep_efficiency").alias("efficiency"), device_datetime(F.col("onset")).alias("onset"),
-        ((F.unix_micros("onset") - F.unix_micros("in_bed_time")) / 60e6).alias("latency"), F.col("sleep_time").alias("total_sleep_time"), F.col("wake_time").alias("waso"),
-        "number_of_awakenings", F.col("average_awakening").alias("length_of_awakenings"), F.col("total_counts").alias("activity_counts"),
-        "movement_index", "fragmentation_index", (F.col("movement_index") + F.col("fragmentation_index")).alias("sleep_fragmentation_index"),
+        *about, device_datetime(F.col("in_bed_time")).alias("In Bed Time"), device_datetime(F.col("out_bed_time")).alias("Out Bed Time"),
+        shown("sleep_efficiency", 3).alias("Efficiency"), device_datetime(F.col("onset")).alias("Onset"), F.bround(_latency(), 0).alias("Latency"),
+        shown("sleep_time", 0).alias("Total Sleep Time"), shown("wake_time", 0).alias("WASO"), F.col("number_of_awakenings").alias("Number of Awakenings"),
+        shown("average_awakening", 2).alias("Length of Awakenings in Minutes"), shown("total_counts", 0).alias("Activity Counts"),
+        shown("movement_index", 3).alias("Movement Index"), shown("fragmentation_index", 3).alias("Fragmentation Index"),
+        F.bround(F.col("movement_index") + F.col("fragmentation_index"), 3).alias("Sleep Fragmentation Index"),
     )
 
 
-def sleep_summary_report(periods: DataFrame) -> DataFrame:
-    """A row for each subject: means over its periods, clock times as means on the circle."""
+def sleep_summary_report(periods: DataFrame, algorithm: str = "cole_kripke", epoch_seconds: float = 60, info: DataFrame | None = None) -> DataFrame:
+    """A row for each subject with periods: means over them, clock times as means on the circle; 23 columns."""
     minutes = lambda t: F.hour(t) * 60 + F.minute(t) + F.second(t) / 60
     clock = lambda t: clock_12h(circular_minutes(minutes(t)))
-    return periods.groupBy("subject").agg(
-        F.count("*").alias("n_periods"), clock("in_bed_time").alias("average_in_bed"), clock("out_bed_time").alias("average_out_bed"), clock("onset").alias("average_onset"),
-        F.avg("sleep_efficiency").alias("average_efficiency"), F.avg((F.unix_micros("onset") - F.unix_micros("in_bed_time")) / 60e6).alias("average_latency"),
-        F.avg("sleep_time").alias("average_sleep_time"), F.avg("wake_time").alias("average_waso"), F.avg("number_of_awakenings").alias("average_awakenings"),
-        F.avg("average_awakening").alias("average_length_of_awakenings"), F.avg("total_counts").alias("average_counts"), F.avg("movement_index").alias("average_movement_index"),
-        F.avg("fragmentation_index").alias("average_fragmentation_index"), F.avg(F.col("movement_index") + F.col("fragmentation_index")).alias("average_sleep_fragmentation_index"),
+    mean = lambda c, places: F.bround(F.avg(c), places)
+    found = periods.groupBy("subject").agg(
+        F.count("*").alias("Number of Sleep Periods"), clock("in_bed_time").alias("Average In Bed Time"), clock("out_bed_time").alias("Average Out Bed Time"),
+        mean("sleep_efficiency", 3).alias("Average Efficiency"), clock("onset").alias("Average Onset"), mean(_latency(), 0).alias("Average Latency"),
+        mean("sleep_time", 0).alias("Average Total Sleep Time"), mean("wake_time", 2).alias("Average WASO"), mean("number_of_awakenings", 2).alias("Average Number of Awakenings"),
+        mean("average_awakening", 2).alias("Average Length of Awakenings in Minutes"), mean("total_counts", 2).alias("Average Activity Counts"),
+        mean("movement_index", 3).alias("Average Movement Index"), mean("fragmentation_index", 3).alias("Average Fragmentation Index"),
+        mean(F.col("movement_index") + F.col("fragmentation_index"), 3).alias("Average Sleep Fragmentation Index"),
     )
+    measures = [c for c in found.columns if c != "subject"]
+    found, about = _about(found, algorithm, epoch_seconds, info)
+    return found.select(*about, *[F.col(f"`{c}`") for c in measures])
+
+
+def _in_periods(df: DataFrame, periods: DataFrame) -> DataFrame:
+    """The epochs of each period; periods don't overlap, so an epoch's is the latest that began, if it hasn't ended."""
+    begins = periods.select("subject", F.col("start_index").alias("epoch"), F.struct("period_number", "start_index", "last_index", "in_bed_time").alias("_p"))
+    latest = F.last("_p", True).over(series().rowsBetween(Window.unboundedPreceding, 0))
+    inside = df.join(begins, ["subject", "epoch"], "left").withColumn("_p", latest).where(F.col("epoch") <= F.col("_p.last_index"))
+    return inside.withColumn("period_number", F.col("_p.period_number")).withColumn("minutes", (F.unix_micros("timestamp") - F.unix_micros("_p.in_bed_time")) / 60e6)
 
 
 def actogram(df: DataFrame, periods: DataFrame) -> DataFrame:
     """The epochs of each period with the minutes since going to bed and the activity against the period's largest."""
-    p = periods.select("subject", "period_number", "start_index", "last_index", "in_bed_time")
-    inside = df.join(p, (df.subject == p.subject) & df.epoch.between(p.start_index, p.last_index)).drop(p.subject)
     most = F.max("axis1").over(Window.partitionBy("subject", "period_number"))
-    return inside.select("subject", "period_number", "epoch", ((F.unix_micros("timestamp") - F.unix_micros("in_bed_time")) / 60e6).alias("minutes"), "sleep_wake", F.coalesce(F.try_divide(F.col("axis1"), most), F.lit(0.0)).alias("activity"))
+    return _in_periods(df, periods).select("subject", "period_number", "epoch", "minutes", "sleep_wake", F.coalesce(F.try_divide(F.col("axis1"), most), F.lit(0.0)).alias("activity"))
+
+
+def inner_wakes(df: DataFrame, periods: DataFrame, least: int = 2) -> DataFrame:
+    """Runs of ``least`` or more epochs of wake inside each period, neither its first nor its last epochs, in minutes since going to bed."""
+    own = Window.partitionBy("subject", "period_number").orderBy("epoch")
+    inside = _in_periods(df, periods).withColumn("wakes", F.col("sleep_wake") == "W")
+    inside = inside.withColumn("_change", F.when(F.lag("wakes").over(own).eqNullSafe(F.col("wakes")), 0).otherwise(1))
+    inside = inside.withColumn("run", F.sum("_change").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs_ = inside.where("wakes").groupBy("subject", "period_number", "run").agg(
+        F.min("epoch").alias("start_index"), F.max("epoch").alias("end_index"), F.min("minutes").alias("start_minutes"), F.max("minutes").alias("end_minutes"),
+        F.count("*").alias("n_epochs"), F.first("_p.start_index").alias("_first"), F.first("_p.last_index").alias("_last"),
+    )
+    inner = runs_.where((F.col("n_epochs") >= least) & (F.col("start_index") > F.col("_first")) & (F.col("end_index") < F.col("_last")))
+    return inner.select("subject", "period_number", "start_index", "end_index", "start_minutes", "end_minutes")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .islands import renumber, run_number, runs, series
+from .islands import renumber, runs, series
 
 
 @dataclass(frozen=True)
@@ -28,40 +28,47 @@ class WearRule:
 
 TROIANO = WearRule(60, 2, 100)
 CHOI = WearRule(90, 2, 100, 30)
-CANHR2025 = WearRule(120, 3, 150, 45)
-RULES = {"troiano": TROIANO, "choi": CHOI, "canhr2025": CANHR2025}
+LONG_WINDOW = WearRule(120, 3, 150, 45)
+RULES = {"troiano": TROIANO, "choi": CHOI, "long_window": LONG_WINDOW}
 
 
 def candidates(epochs: DataFrame, rule: WearRule, counts: Column) -> DataFrame:
-    """For each epoch: whether a non-wear window qualifies from it, the last epoch of its extension, and where the search goes on."""
+    """For each epoch: whether a non-wear window qualifies from it, the last epoch of its extension, and where the search goes on.
+
+    Windows of many epochs are differences of running sums, and what comes next is a
+    running minimum from the end, so each pass takes time in proportion to the series.
+    """
     w = series()
-    ahead = w.rowsBetween(0, rule.window - 1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("subject").orderBy(F.desc("epoch"))
+    onward = back.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("subject")
+    number = lambda flag: F.sum(flag.cast("int")).over(upto)
     df = epochs.select("subject", "epoch", F.coalesce(counts, F.lit(0.0)).alias("c"))
-    spike = (F.col("c") > 0) & (F.col("c") <= rule.stop)
-    df = run_number(df, spike).withColumnRenamed("flag", "spike")
-    by_run = Window.partitionBy("subject", "run")
-    df = df.withColumn("run_start", F.min("epoch").over(by_run)).withColumn("run_end", F.max("epoch").over(by_run))
-    df = df.withColumn("n", F.max("epoch").over(Window.partitionBy("subject")))
-    fits = F.col("epoch") + rule.window - 1 <= F.col("n")
-    few = F.sum((F.col("c") != 0).cast("int")).over(ahead) <= rule.tolerance
+    df = df.withColumn("n", F.max("epoch").over(whole)).withColumn("spike", (F.col("c") > 0) & (F.col("c") <= rule.stop))
+    df = df.withColumn("new", ~F.lag("spike").over(w).eqNullSafe(F.col("spike"))).withColumn("moving", number(F.col("c") != 0))
+    own = (F.col("c") != 0).cast("int")
     if rule.neighbours is None:
-        ok = F.max("c").over(ahead) <= rule.stop
+        df = df.withColumn("_bad", F.col("c") > rule.stop)
     else:
-        clean = lambda frame: F.coalesce(F.max("c").over(frame) == 0, F.lit(False))
-        lonely = F.col("spike") & ~clean(w.rowsBetween(-rule.neighbours, -1)) & ~clean(w.rowsBetween(1, rule.neighbours))
-        df = df.withColumn("lonely", lonely)
-        ok = F.sum(F.col("lonely").cast("int")).over(ahead) == 0
-    rest = w.rowsBetween(0, Window.unboundedFollowing)
-    long_start = F.col("spike") & (F.col("epoch") == F.col("run_start")) & (F.col("run_end") - F.col("run_start") + 1 > rule.tolerance)
-    df = df.withColumn("above", F.min(F.when(F.col("c") > rule.stop, F.col("epoch"))).over(rest))
-    df = df.withColumn("long", F.min(F.when(long_start, F.struct("epoch", "run_end"))).over(rest))
-    blocked = F.col("spike") & (F.col("run_end") - F.col("epoch") + 1 > rule.tolerance)
+        k = rule.neighbours
+        still_before = (F.col("moving") - own - F.coalesce(F.lag("moving", k + 1).over(w), F.lit(0)) == 0) & (F.col("epoch") > 1)
+        still_after = (F.coalesce(F.lead("moving", k).over(w), F.max("moving").over(whole)) == F.col("moving")) & (F.col("epoch") < F.col("n"))
+        df = df.withColumn("_bad", F.col("spike") & ~still_before & ~still_after)
+    df = df.withColumn("bad", number(F.col("_bad")))
+    ahead = lambda name, first: F.lead(name, rule.window - 1).over(w) - F.col(name) + first
+    qualifies = (ahead("moving", own) <= rule.tolerance) & (ahead("bad", F.col("_bad").cast("int")) == 0)
+    df = df.withColumn("qualifies", F.coalesce(qualifies, F.lit(False)))
     far = F.col("n") + 1
+    next_run = F.min(F.when(F.col("new"), F.col("epoch"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("run_end", F.coalesce(next_run, far) - 1).withColumn("above", F.min(F.when(F.col("c") > rule.stop, F.col("epoch"))).over(onward))
+    blocked = F.col("spike") & (F.col("run_end") - F.col("epoch") + 1 > rule.tolerance)
+    df = df.withColumn("long", F.min(F.when(blocked & F.col("new"), F.struct("epoch", "run_end"))).over(onward))
     stop = F.least(F.coalesce("above", far), F.coalesce("long.epoch", far))
-    resume = F.when(blocked | (F.col("long.epoch") == stop), F.when(blocked, F.col("run_end")).otherwise(F.col("long.run_end")) + 1).otherwise(stop)
+    resume = F.when(blocked, F.col("run_end") + 1).when(F.col("long.epoch") == stop, F.col("long.run_end") + 1).otherwise(stop)
     df = df.withColumn("stop_here", F.when(blocked, F.col("epoch")).otherwise(stop)).withColumn("resume_here", resume)
     beyond = lambda c: F.coalesce(F.lead(c, rule.window).over(w), far)
-    return df.select("subject", "epoch", (fits & few & ok).alias("qualifies"), (beyond("stop_here") - 1).alias("end"), beyond("resume_here").alias("resume"))
+    return df.select("subject", "epoch", "qualifies", (beyond("stop_here") - 1).alias("end"), beyond("resume_here").alias("resume"))
 
 
 def non_wear(epochs: DataFrame, rule: WearRule = CHOI, counts: str = "axis1") -> DataFrame:
@@ -115,12 +122,26 @@ def mark_valid_days(worn: DataFrame, least_hours: float = 10, epoch_seconds: flo
     return worn.withColumn("is_valid_day", minutes / 60 >= least_hours)
 
 
-def wear_criteria(worn: DataFrame, least_minutes: float = 600, days: int = 4, weekdays: int = 3, weekend_days: int = 1) -> DataFrame:
-    """By subject: valid days, those of the week and of the weekend, and whether all minimums are met."""
-    valid = valid_days(worn).withColumn("ok", F.col("wear_minutes") >= least_minutes).withColumn("weekend", F.weekday("date") >= 5)
+def wear_criteria(worn: DataFrame, least_minutes: float = 600, days: int = 4, weekdays: int = 3, weekend_days: int = 1, epoch_seconds: float = 60, least_non_wear: float = 90, least_wear: float = 0) -> DataFrame:
+    """By subject: valid days, those of the week and of the weekend, all days, the share of wear, periods and their mean length in seconds, and whether all minimums are met.
+
+    Periods of non-wear count from ``least_non_wear`` minutes, those of wear from ``least_wear``.
+    """
+    valid = valid_days(worn, epoch_seconds=epoch_seconds).withColumn("ok", F.col("wear_minutes") >= least_minutes).withColumn("weekend", F.weekday("date") >= 5)
     count = lambda c: F.count_if(F.col("ok") & c)
-    out = valid.groupBy("subject").agg(count(F.lit(True)).alias("valid_days"), count(~F.col("weekend")).alias("valid_weekdays"), count(F.col("weekend")).alias("valid_weekend_days"))
-    return out.withColumn("meets_criteria", (F.col("valid_days") >= days) & (F.col("valid_weekdays") >= weekdays) & (F.col("valid_weekend_days") >= weekend_days))
+    out = valid.groupBy("subject").agg(
+        count(F.lit(True)).alias("valid_days"), count(~F.col("weekend")).alias("valid_weekdays"), count(F.col("weekend")).alias("valid_weekend_days"),
+        F.count("*").alias("total_days"), (100.0 * F.sum("wear_epochs") / F.sum("total_epochs")).alias("wear_percent"),
+    )
+    found = runs(worn, F.col("wear_time")).select("subject", F.lit(True).alias("wear"), (F.col("n_epochs") * epoch_seconds).alias("seconds"))
+    found = found.union(runs(worn, ~F.col("wear_time")).select("subject", F.lit(False), F.col("n_epochs") * epoch_seconds))
+    lengths = lambda wear, least: F.when((F.col("wear") == wear) & (F.col("seconds") >= least * 60), F.col("seconds"))
+    periods = found.groupBy("subject").agg(
+        F.count(lengths(True, least_wear)).alias("wear_periods"), F.coalesce(F.avg(lengths(True, least_wear)), F.lit(0.0)).alias("mean_wear_seconds"),
+        F.count(lengths(False, least_non_wear)).alias("non_wear_periods"), F.coalesce(F.avg(lengths(False, least_non_wear)), F.lit(0.0)).alias("mean_non_wear_seconds"),
+    )
+    met = (F.col("valid_days") >= days) & (F.col("valid_weekdays") >= weekdays) & (F.col("valid_weekend_days") >= weekend_days)
+    return out.join(periods, "subject").withColumn("meets_criteria", met)
 
 
 def hourly_wear(worn: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Queries by name over the driver's tables, each with the SQL of the same result where SQL has it.
 
-Computed numbers are compared to six places, rounded the same way on both sides.
+The SQL of a query lies in ``sql/<name>.sql``; its first line names the tables, files
+of their own, that it begins with. It holds all its constants as literals. Computed
+numbers are compared to six places, rounded the same way on both sides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,20 +16,33 @@ from pyspark.sql import functions as F
 from ..functions import activity as A
 from ..operators import bouts, circadian, energy, raw, reports, sleep, stats
 from ..operators import wear as wear_ops
-from ..sources.adapters import AGE, EPOCHS_SQL, MASS, epochs_from_events, raw_from_events
+from ..sources.adapters import AGE, MASS, epochs_from_events, raw_from_events
 from .analysis import enrich
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 PLACES = 6
+SQL = Path(__file__).parent / "sql"
+
+
+def sql(name: str) -> str | None:
+    """The SQL of a query with the tables that it begins with; None without a file."""
+    file = SQL / f"{name}.sql"
+    if not file.exists():
+        return None
+    head, _, body = file.read_text().partition("\n")
+    parts = [(SQL / f"_{p.strip()}.sql").read_text().strip() for p in head.removeprefix("-- with ").split(",")]
+    if body.startswith("SELECT"):
+        return f"WITH RECURSIVE {',\n'.join(parts)}\n{body}"
+    return f"WITH RECURSIVE {',\n'.join([*parts, body])}"
 
 
 def _plain(df: DataFrame) -> DataFrame:
     """Doubles to six places, dates and times as text."""
     out = []
     for c, kind in df.dtypes:
-        col = F.col(c)
+        col = F.col(f"`{c}`")
         if kind == "double":
             col = F.round(col, PLACES)
         elif kind == "date":
@@ -39,305 +55,152 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None, over: str = "epochs"):
-    """Registers a function of the epochs (or samples, or epochs with everything) under ``name``; ``sql`` selects from the tables of ``with_``."""
-    source = {"epochs": epochs_from_events, "raw": raw_from_events, "rich": lambda s, d: enrich(epochs_from_events(s, d))}[over]
-
-    def register(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: _plain(fn(source(spark, sf_dir)))
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
-
-
-def plain_sql(select: str) -> str:
-    return f"WITH {EPOCHS_SQL} {select}"
-
-
-def wear_sql(rule: wear_ops.WearRule, table: str = "w", counts: str = "axis1") -> str:
-    """Tables up to ``table``: e with wear_time, by a recursive search along the candidates."""
-    if rule.neighbours is None:
-        ok = f"max(c) OVER (PARTITION BY subject ORDER BY epoch ROWS BETWEEN CURRENT ROW AND {rule.window - 1} FOLLOWING) <= {rule.stop}"
-    else:
-        ok = f"sum(lonely) OVER (PARTITION BY subject ORDER BY epoch ROWS BETWEEN CURRENT ROW AND {rule.window - 1} FOLLOWING) = 0"
-    near = rule.neighbours or 1
-    return f"""
-c1 AS (SELECT subject, epoch, coalesce({counts}, 0) AS c, max(epoch) OVER (PARTITION BY subject) AS n,
-       coalesce({counts}, 0) > 0 AND coalesce({counts}, 0) <= {rule.stop} AS spike FROM e),
-c2 AS (SELECT *, epoch - row_number() OVER (PARTITION BY subject, spike ORDER BY epoch) AS g,
-       CASE WHEN spike AND NOT coalesce(max(c) OVER (PARTITION BY subject ORDER BY epoch ROWS BETWEEN {near} PRECEDING AND 1 PRECEDING) = 0, FALSE)
-             AND NOT coalesce(max(c) OVER (PARTITION BY subject ORDER BY epoch ROWS BETWEEN 1 FOLLOWING AND {near} FOLLOWING) = 0, FALSE) THEN 1 ELSE 0 END AS lonely FROM c1),
-c3 AS (SELECT *, min(epoch) OVER (PARTITION BY subject, spike, g) AS run_start, max(epoch) OVER (PARTITION BY subject, spike, g) AS run_end FROM c2),
-c4 AS (SELECT *, epoch + {rule.window} - 1 <= n
-         AND sum(CASE WHEN c <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY epoch ROWS BETWEEN CURRENT ROW AND {rule.window - 1} FOLLOWING) <= {rule.tolerance} AND {ok} AS qualifies,
-         coalesce(min(CASE WHEN c > {rule.stop} THEN epoch END) OVER rest, n + 1) AS above,
-         coalesce(min(CASE WHEN spike AND epoch = run_start AND run_end - run_start + 1 > {rule.tolerance} THEN epoch END) OVER rest, n + 1) AS long_start
-       FROM c3 WINDOW rest AS (PARTITION BY subject ORDER BY epoch ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-c5 AS (SELECT p.*, CASE WHEN p.spike AND p.run_end - p.epoch + 1 > {rule.tolerance} THEN p.epoch ELSE least(p.above, p.long_start) END AS stop_here,
-         CASE WHEN p.spike AND p.run_end - p.epoch + 1 > {rule.tolerance} THEN p.run_end + 1 WHEN p.long_start < p.above THEN q.run_end + 1 ELSE p.above END AS resume_here
-       FROM c4 p LEFT JOIN c4 q ON q.subject = p.subject AND q.epoch = p.long_start),
-c6 AS (SELECT subject, epoch, qualifies, coalesce(lead(stop_here, {rule.window}) OVER o, n + 1) - 1 AS last_epoch, coalesce(lead(resume_here, {rule.window}) OVER o, n + 1) AS resume,
-         min(CASE WHEN qualifies THEN epoch END) OVER (PARTITION BY subject ORDER BY epoch ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_start
-       FROM c5 WINDOW o AS (PARTITION BY subject ORDER BY epoch)),
-chain AS (
-  SELECT a.subject, b.epoch AS start, b.last_epoch, b.resume FROM (SELECT subject, min(next_start) AS s FROM c6 GROUP BY subject) a JOIN c6 b ON b.subject = a.subject AND b.epoch = a.s
-  UNION ALL
-  SELECT h.subject, b.epoch, b.last_epoch, b.resume FROM chain h JOIN c6 a ON a.subject = h.subject AND a.epoch = h.resume JOIN c6 b ON b.subject = a.subject AND b.epoch = a.next_start),
-{table} AS (SELECT e.*, NOT EXISTS (SELECT 1 FROM chain h WHERE h.subject = e.subject AND e.epoch BETWEEN h.start AND h.last_epoch) AS wear_time FROM e)"""
-
-
-def _levels_sql(value: str, ranges: list[tuple[int, int | None]]) -> str:
-    cases = [f"WHEN {value} >= {low}" + ("" if high is None else f" AND {value} <= {high}") + f" THEN '{name}'" for name, (low, high) in zip(A.LEVELS, ranges)]
-    return f"CASE {' '.join(cases)} END"
-
+SOURCES = {"epochs": epochs_from_events, "raw": raw_from_events, "rich": lambda s, d: enrich(epochs_from_events(s, d))}
 
-FREEDSON_SQL = _levels_sql("axis1", A.FREEDSON)
-METS_SQL = "greatest((CASE WHEN axis1 > 1951 THEN 0.00094 * axis1 + 0.1346 * 70.0 - 7.37418 ELSE axis1 * 0.0000191 * 70.0 END) * 200 / (70.0 * 3.5), 1.0)"
 
-
-def rich_sql(select: str) -> str:
-    """``select`` from d, the epochs with everything."""
-    return f"""WITH RECURSIVE {EPOCHS_SQL}, {wear_sql(wear_ops.CHOI)},
-d AS (SELECT *, axis1 AS cpm, {FREEDSON_SQL} AS intensity, sum(wear_time::INT) OVER (PARTITION BY subject, date) / 60.0 >= 10 AS is_valid_day,
-      {METS_SQL} AS mets, {METS_SQL} * 3.5 * 70.0 / 200 AS kcal FROM w) {select}"""
-
-
-def r6(x: str, name: str) -> str:
-    return f"round(({x})::DOUBLE, {PLACES}) AS {name}"
+def query(name: str, over: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+    """Registers a function of the epochs, the samples, or the epochs with everything (rich)."""
+    QUERIES[name] = lambda spark, sf_dir: _plain(fn(SOURCES[over](spark, sf_dir)))
+    if (text := sql(name)) is not None:
+        ORACLES[name] = text
 
 
 _id = ["subject", "epoch"]
 _vm = lambda: A.vector_magnitude(F.col("axis1"), F.col("axis2"), F.col("axis3"))
+_axis1 = lambda: F.col("axis1")
 
 # Scalar functions.
-query("to_cpm", plain_sql(f"SELECT subject, epoch, {r6('axis1 * 60.0 / 15', 'cpm')} FROM e"))(lambda d: d.select(*_id, A.to_cpm(F.col("axis1"), 15).alias("cpm")))
-query("vector_magnitude", plain_sql(f"SELECT subject, epoch, {r6('vm', 'vm')} FROM e"))(lambda d: d.select(*_id, _vm().alias("vm")))
-query("enmo", plain_sql(f"SELECT subject, sample, {r6('greatest(sqrt(x*x + y*y + z*z) - 1, 0)', 'enmo')} FROM r"), "raw")(lambda d: d.select("subject", "sample", A.enmo(F.col("x"), F.col("y"), F.col("z")).alias("enmo")))
-query("freedson_levels", plain_sql(f"SELECT subject, epoch, {FREEDSON_SQL} AS level FROM e"))(lambda d: d.select(*_id, A.freedson(F.col("axis1")).alias("level")))
-query("freedson_levels_vm", plain_sql(f"SELECT subject, epoch, {_levels_sql('vm', A.FREEDSON)} AS level FROM e"))(lambda d: d.select(*_id, A.freedson(_vm()).alias("level")))
-query("canhr_levels", plain_sql(f"SELECT subject, epoch, {_levels_sql('axis1', A.CANHR)} AS level FROM e"))(lambda d: d.select(*_id, A.canhr(F.col("axis1")).alias("level")))
-query("classify_mets", plain_sql("SELECT subject, epoch, CASE WHEN m < 1.5 THEN 'sedentary' WHEN m < 3 THEN 'light' WHEN m < 6 THEN 'moderate' WHEN m < 9 THEN 'vigorous' ELSE 'very_vigorous' END AS level FROM (SELECT *, 1.602 + 0.000638 * axis1 AS m FROM e)"))(
-    lambda d: d.select(*_id, A.classify_mets(1.602 + 0.000638 * F.col("axis1")).alias("level"))
-)
-
-_METS_SQL = {
-    "freedson_vm3": "0.000863 * vm + 0.668876", "freedson_adult": METS_SQL, "hendelman_adult": "1.602 + 0.000638 * axis1", "hendelman_lifestyle": "2.922 + 0.000409 * axis1",
-    "swartz": "2.606 + 0.0006863 * axis1", "leenders": "2.240 + 0.0006 * axis1", "yngve_treadmill": "0.751 + 0.0008198 * axis1", "yngve_overground": "1.136 + 0.0008249 * axis1",
-    "brooks_overground": "2.32 + 0.000389 * axis1", "brooks_bm": f"3.33 + 0.00037 * axis1 - 0.012 * {MASS}", "freedson_children": f"2.757 + 0.0015 * axis1 - 0.08957 * {AGE} - 0.000038 * axis1 * {AGE}",
-}
-for _name, _sql in _METS_SQL.items():
-    query(f"mets_{_name}", plain_sql(f"SELECT subject, epoch, {r6(f'greatest({_sql}, 0)', 'mets')} FROM e"))(lambda d, n=_name: d.select(*_id, A.mets(n, F.col("axis1"), _vm(), F.lit(MASS), F.lit(AGE)).alias("mets")))
+query("to_cpm", "epochs", lambda d: d.select(*_id, A.to_cpm(_axis1(), 15).alias("cpm")))
+query("vector_magnitude", "epochs", lambda d: d.select(*_id, _vm().alias("vm")))
+query("enmo", "raw", lambda d: d.select("subject", "sample", A.enmo(F.col("x"), F.col("y"), F.col("z")).alias("enmo")))
+query("freedson_levels", "epochs", lambda d: d.select(*_id, A.freedson(_axis1()).alias("level")))
+query("freedson_levels_vm", "epochs", lambda d: d.select(*_id, A.freedson(_vm()).alias("level")))
+query("broad_levels", "epochs", lambda d: d.select(*_id, A.broad(_axis1()).alias("level")))
+query("classify_mets", "epochs", lambda d: d.select(*_id, A.classify_mets(1.602 + 0.000638 * _axis1()).alias("level")))
+for _name in A.METS:
+    query(f"mets_{_name}", "epochs", lambda d, n=_name: d.select(*_id, A.mets(n, _axis1(), _vm(), F.lit(MASS), F.lit(AGE)).alias("mets")))
+query("mets_crouter", "epochs", lambda d: d.select(*_id, energy.crouter(_axis1()).alias("mets")))
+for _name in A.ENERGY:
+    query(f"ee_{_name}", "epochs", lambda d, n=_name: d.select(*_id, A.energy(n, _axis1(), _vm(), F.lit(MASS), 15).alias("kcal_per_min")))
+query("ee_from_mets", "epochs", lambda d: d.groupBy("subject").agg(F.sum(A.energy_from_mets(1.602 + 0.000638 * _axis1(), F.lit(MASS))).alias("kcal")))
+query("ee_by_intensity", "rich", lambda d: energy.energy_by_intensity(d).drop("level"))
+query("average_mets", "rich", energy.average_mets)
+query("average_mets_daily", "rich", lambda d: energy.average_mets(d, True))
 query(
-    "mets_crouter",
-    plain_sql(f"""SELECT subject, epoch, {r6('''CASE WHEN cpe <= 8 THEN 1.0::DOUBLE WHEN cv <= 10 THEN 2.294275 * exp(0.00084679 * cpe)
-      ELSE 0.749395 + 0.716431 * ln(cpe) - 0.179874 * pow(ln(cpe), 2) + 0.033173 * pow(ln(cpe), 3) END''', 'mets')} FROM (
-      SELECT *, CASE WHEN n < 3 THEN 100 WHEN m > 0 THEN s / m * 100 ELSE 0 END AS cv FROM (
-      SELECT subject, epoch, axis1 / 6 AS cpe, avg(axis1 / 6) OVER f AS m, stddev_samp(axis1 / 6) OVER f AS s, count(*) OVER f AS n FROM e
-      WINDOW f AS (PARTITION BY subject ORDER BY epoch ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING)))"""),
-)(lambda d: d.select(*_id, energy.crouter(F.col("axis1")).alias("mets")))
-
-_W = f"axis1 * 4 * 0.0000191 * {MASS}"
-_EE_SQL = {
-    "williams": _W,
-    "freedson": f"greatest(CASE WHEN axis1 * 4 > 1951 THEN 0.00094 * axis1 * 4 + (0.1346 * {MASS} - 7.37418) ELSE 3.5 * {MASS} / 200 END, 3.5 * {MASS} / 200)",
-    "freedson_combination": f"greatest(CASE WHEN axis1 * 4 > 1951 THEN 4 * (0.00094 * axis1 * 4 + (0.1346 * {MASS} - 7.37418)) ELSE {_W} END, 0)",
-    "freedson_vm3": f"greatest(CASE WHEN vm * 4 > 2453 THEN 0.001064 * vm + 0.087512 * {MASS} - 5.500229 ELSE 0 END, 0)",
-    "freedson_vm3_combination": f"greatest(CASE WHEN vm * 4 > 2453 THEN 0.001064 * vm + 0.087512 * {MASS} - 5.500229 ELSE {_W} END, 0)",
-}
-for _name, _sql in _EE_SQL.items():
-    query(f"ee_{_name}", plain_sql(f"SELECT subject, epoch, {r6(_sql, 'kcal_per_min')} FROM e"))(lambda d, n=_name: d.select(*_id, A.energy(n, F.col("axis1"), _vm(), F.lit(MASS), 15).alias("kcal_per_min")))
-query("ee_from_mets", plain_sql(f"SELECT subject, {r6(f'sum((1.602 + 0.000638 * axis1) * 3.5 * {MASS} / 200)', 'kcal')} FROM e GROUP BY subject"))(
-    lambda d: d.groupBy("subject").agg(F.sum(A.energy_from_mets(1.602 + 0.000638 * F.col("axis1"), F.lit(MASS))).alias("kcal"))
-)
-query("ee_by_intensity", rich_sql(f"SELECT subject, intensity, {r6('total_kcal', 'total_kcal')}, {r6('100 * total_kcal / whole', 'percent_kcal')} FROM (SELECT *, sum(total_kcal) OVER (PARTITION BY subject) AS whole FROM (SELECT subject, intensity, sum(kcal) AS total_kcal FROM d WHERE wear_time GROUP BY subject, intensity)) WHERE intensity IS NOT NULL"), "rich")(
-    lambda d: energy.energy_by_intensity(d).drop("level")
-)
-query("average_mets", rich_sql(f"SELECT subject, {r6('avg(mets)', 'average_mets')} FROM d WHERE wear_time GROUP BY subject"), "rich")(energy.average_mets)
-query("average_mets_daily", rich_sql(f"SELECT subject, strftime(date, '%Y-%m-%d') AS date, {r6('avg(mets)', 'average_mets')} FROM d WHERE wear_time GROUP BY ALL"), "rich")(lambda d: energy.average_mets(d, True))
+    "formats", "epochs",
+    lambda d: d.select(
+        *_id, A.format_duration((F.col("epoch") - 1) * 60).alias("duration"), A.format_height(_axis1() % 250).alias("height"), A.format_weight(_axis1() % 200).alias("weight"),
+        A.format_sex((_axis1() % 4).cast("int").cast("string")).alias("sex"), A.format_gender(F.when(_axis1() % 2 == 0, "female")).alias("gender"), A.device_datetime(F.col("timestamp")).alias("at"),
+    ),
+)
 
 # Intensity and wear.
-query("intensity_summary", rich_sql(f"SELECT s.subject, l.intensity, count(d.epoch) AS minutes, {r6('100.0 * count(d.epoch) / any_value(s.total)', 'percent')} FROM (SELECT subject, count(*) AS total FROM d WHERE wear_time GROUP BY subject) s CROSS JOIN (SELECT unnest({A.LEVELS}) AS intensity) l LEFT JOIN d ON d.subject = s.subject AND d.intensity = l.intensity AND d.wear_time GROUP BY s.subject, l.intensity"), "rich")(bouts.intensity_summary)
-query("mvpa_minutes", rich_sql("SELECT subject, count(*) FILTER (WHERE wear_time AND intensity IN ('moderate', 'vigorous', 'very_vigorous')) AS mvpa_minutes FROM d GROUP BY subject"), "rich")(bouts.mvpa_minutes)
+query("intensity_summary", "rich", bouts.intensity_summary)
+query("mvpa_minutes", "rich", bouts.mvpa_minutes)
+query("moderate_minutes", "rich", lambda d: bouts.mvpa_minutes(d, include_vigorous=False))
 for _name, _rule in wear_ops.RULES.items():
-    query(f"wear_{_name}", f"WITH RECURSIVE {EPOCHS_SQL}, {wear_sql(_rule)} SELECT subject, epoch, wear_time FROM w")(lambda d, rule=_rule: wear_ops.wear(d, rule).select(*_id, "wear_time"))
-_RUNS = "SELECT subject, min(epoch) AS start_index, max(epoch) AS end_index, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS start_time, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS end_time, count(*) AS n_epochs FROM (SELECT *, epoch - row_number() OVER (PARTITION BY subject, f ORDER BY epoch) AS g FROM (SELECT *, {flag} AS f FROM d)) WHERE f GROUP BY subject, g"
-query("wear_periods", rich_sql(f"SELECT *, n_epochs::DOUBLE AS duration, row_number() OVER (PARTITION BY subject ORDER BY start_index) AS period FROM ({_RUNS.format(flag='wear_time')})"), "rich")(wear_ops.wear_periods)
-query("nonwear_periods", rich_sql(f"SELECT *, row_number() OVER (PARTITION BY subject ORDER BY start_index) AS period FROM ({_RUNS.format(flag='NOT wear_time')}) WHERE n_epochs >= 60"), "rich")(lambda d: wear_ops.non_wear_periods(d, 60))
-_DAYS = "SELECT subject, date, count(*) AS total_epochs, sum(wear_time::INT)::BIGINT AS wear_epochs FROM d GROUP BY ALL"
-query("valid_days", rich_sql(f"SELECT subject, strftime(date, '%Y-%m-%d') AS date, total_epochs, wear_epochs, wear_epochs::DOUBLE AS wear_minutes, {r6('wear_epochs / 60.0', 'wear_hours')}, wear_epochs / 60.0 >= 10 AS is_valid FROM ({_DAYS})"), "rich")(wear_ops.valid_days)
-query("wear_criteria", rich_sql(f"""SELECT *, valid_days >= 4 AND valid_weekdays >= 3 AND valid_weekend_days >= 1 AS meets_criteria FROM (SELECT subject, count(*) FILTER (WHERE wear_epochs >= 600) AS valid_days,
-  count(*) FILTER (WHERE wear_epochs >= 600 AND isodow(date) < 6) AS valid_weekdays, count(*) FILTER (WHERE wear_epochs >= 600 AND isodow(date) >= 6) AS valid_weekend_days FROM ({_DAYS}) GROUP BY subject)"""), "rich")(wear_ops.wear_criteria)
-query("hourly_wear", rich_sql(f"SELECT subject, hour::BIGINT AS hour, {r6('100 * avg(wear_time::INT)', 'wear_percent')} FROM d GROUP BY ALL"), "rich")(wear_ops.hourly_wear)
+    query(f"wear_{_name}", "epochs", lambda d, rule=_rule: wear_ops.wear(d, rule).select(*_id, "wear_time"))
+query("wear_periods", "rich", wear_ops.wear_periods)
+query("nonwear_periods", "rich", lambda d: wear_ops.non_wear_periods(d, 60))
+query("valid_days", "rich", wear_ops.valid_days)
+query("wear_criteria", "rich", wear_ops.wear_criteria)
+query("hourly_wear", "rich", wear_ops.hourly_wear)
 
 # Bouts.
-_MVPA = "coalesce(intensity IN ('moderate', 'vigorous', 'very_vigorous'), FALSE)"
-_DROP = f"""m AS (SELECT subject, epoch, max(epoch) OVER (PARTITION BY subject) AS n, {_MVPA} AS a FROM d),
-b1 AS (SELECT *, CASE WHEN epoch - lag(epoch) OVER (PARTITION BY subject ORDER BY epoch) <= 3 THEN 0 ELSE 1 END AS new FROM m WHERE a),
-b2 AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY epoch) AS bout FROM b1),
-b3 AS (SELECT subject, min(epoch) AS start_index, CASE WHEN max(n) - max(epoch) <= 2 THEN max(n) ELSE max(epoch) END AS end_index FROM b2 GROUP BY subject, bout),
-b4 AS (SELECT b.subject, start_index, end_index, end_index - start_index + 1 AS bout_length, count(*) FILTER (WHERE m.a) AS mvpa_minutes FROM b3 b JOIN m ON m.subject = b.subject AND m.epoch BETWEEN start_index AND end_index
-       WHERE end_index - start_index + 1 >= 10 GROUP BY b.subject, start_index, end_index)"""
-query("mvpa_bouts_drop", rich_sql(f", {_DROP} SELECT *, {r6('100.0 * mvpa_minutes / bout_length', 'mvpa_percent')}, row_number() OVER (PARTITION BY subject ORDER BY start_index) AS bout_number FROM b4"), "rich")(bouts.mvpa_bouts)
-query("mvpa_bout_summary", rich_sql(f", {_DROP} SELECT subject, count(*) AS total_bouts, sum(bout_length)::BIGINT AS total_bout_minutes, {r6('avg(bout_length)', 'mean_bout_length')}, {r6('median(bout_length)', 'median_bout_length')}, min(bout_length) AS min_bout_length, max(bout_length) AS max_bout_length FROM b4 GROUP BY subject"), "rich")(lambda d: bouts.bout_summary(bouts.mvpa_bouts(d)))
-query("mvpa_bouts_80pct", rich_sql(f""", m AS (SELECT subject, epoch, {_MVPA}::INT AS a FROM d), u AS (SELECT *, sum(a) OVER (PARTITION BY subject ORDER BY epoch) AS upto, max(epoch) OVER (PARTITION BY subject) AS n FROM m),
-  scan AS (SELECT subject, n, 1::BIGINT AS i, 0::BIGINT AS j FROM (SELECT subject, max(n) AS n FROM u GROUP BY subject)
-    UNION ALL
-    SELECT s.subject, s.n, CASE WHEN s.j = 0 AND x.upto - x0.before >= 8 THEN s.i WHEN s.j = 0 THEN s.i + 1 WHEN y.upto - x0.before >= ceil(round(0.8 * (s.j + 2 - s.i), 9)) THEN s.i ELSE s.j + 1 END,
-      CASE WHEN s.j = 0 AND x.upto - x0.before >= 8 THEN s.i + 9 WHEN s.j = 0 THEN 0 WHEN y.upto - x0.before >= ceil(round(0.8 * (s.j + 2 - s.i), 9)) THEN s.j + 1 ELSE 0 END
-    FROM scan s JOIN (SELECT subject, epoch, upto - a AS before FROM u) x0 ON x0.subject = s.subject AND x0.epoch = s.i
-    LEFT JOIN u x ON x.subject = s.subject AND x.epoch = s.i + 9 LEFT JOIN u y ON y.subject = s.subject AND y.epoch = s.j + 1 WHERE s.j > 0 OR s.i + 9 <= s.n),
-  b AS (SELECT subject, i AS start_index, max(j) AS end_index FROM scan WHERE j > 0 GROUP BY subject, i)
-  SELECT b.*, end_index - start_index + 1 AS bout_length, sum(m.a)::BIGINT AS mvpa_minutes, {r6('100.0 * sum(m.a) / (end_index - start_index + 1)', 'mvpa_percent')}, row_number() OVER (PARTITION BY b.subject ORDER BY start_index) AS bout_number
-  FROM b JOIN m ON m.subject = b.subject AND m.epoch BETWEEN start_index AND end_index GROUP BY b.subject, start_index, end_index"""), "rich")(bouts.mvpa_bouts_80)
-_SED = _RUNS.format(flag="coalesce(intensity = ''sedentary'' AND wear_time, FALSE)".replace("''", "'"))
-_SB = f"sb AS (SELECT *, n_epochs::DOUBLE AS duration FROM ({_SED}))"
-query("sedentary_bouts", rich_sql(f", {_SB} SELECT *, row_number() OVER (PARTITION BY subject ORDER BY start_index) AS bout_id FROM sb"), "rich")(bouts.sedentary_bouts)
-_GINI = "SELECT subject, CASE WHEN count(*) > 1 AND sum(duration) <> 0 THEN (2 * sum(i * duration) - (count(*) + 1) * sum(duration)) / (count(*) * sum(duration)) END AS gini FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY duration, start_index) AS i FROM sb) GROUP BY subject"
-_ALPHA = "SELECT subject, CASE WHEN count(*) > 1 AND sum(ln(duration)) > 0 THEN 1 + count(*) / sum(ln(duration)) END AS alpha FROM sb GROUP BY subject"
-query("gini", rich_sql(f", {_SB} SELECT subject, {r6('gini', 'gini')} FROM ({_GINI})"), "rich")(lambda d: bouts.gini(bouts.sedentary_bouts(d)))
-query("alpha", rich_sql(f", {_SB} SELECT subject, {r6('alpha', 'alpha')} FROM ({_ALPHA})"), "rich")(lambda d: bouts.sedentary_bouts(d).groupBy("subject").agg(bouts.alpha(F.col("duration")).alias("alpha")))
-query("fragmentation", rich_sql(f""", {_SB}, t AS (SELECT subject, count(*) FILTER (WHERE intensity = 'sedentary' AND wear_time)::DOUBLE AS total_sedentary_min, count(*) FILTER (WHERE wear_time)::DOUBLE AS total_wear_min,
-  count(DISTINCT date) AS n_days, arg_max(coalesce(intensity = 'sedentary' AND wear_time, FALSE), epoch) AS ends FROM d GROUP BY subject),
-  f AS (SELECT subject, count(*) AS total_bouts, avg(duration) AS mean_d, median(duration) AS median_d, max(duration) AS max_bout_duration FROM sb GROUP BY subject)
-  SELECT t.subject, total_sedentary_min, total_wear_min, n_days, coalesce(total_bouts, 0) AS total_bouts, {r6('mean_d', 'mean_bout_duration')}, {r6('median_d', 'median_bout_duration')}, max_bout_duration, {r6('alpha', 'alpha')}, {r6('gini', 'gini')},
-  CASE WHEN total_bouts > 1 OR (total_bouts = 1 AND NOT ends) THEN total_bouts ELSE 0 END AS breaks_total,
-  {r6('CASE WHEN total_bouts > 1 OR (total_bouts = 1 AND NOT ends) THEN total_bouts ELSE 0 END / (total_sedentary_min / 60)', 'breaks_per_sed_hour')}, {r6('100 * total_sedentary_min / total_wear_min', 'sedentary_percent')}
-  FROM t LEFT JOIN f USING (subject) LEFT JOIN ({_GINI}) USING (subject) LEFT JOIN ({_ALPHA}) USING (subject)"""), "rich")(bouts.fragmentation)
-_BIN = "CASE WHEN duration <= 5 THEN '1-5 min' WHEN duration <= 10 THEN '5-10 min' WHEN duration <= 20 THEN '10-20 min' WHEN duration <= 30 THEN '20-30 min' WHEN duration <= 60 THEN '30-60 min' ELSE '>60 min' END"
-query("bout_distribution", rich_sql(f", {_SB} SELECT s.subject, c.category, count(sb.duration) AS n_bouts, {r6('100.0 * count(sb.duration) / any_value(s.n)', 'percent')} FROM (SELECT subject, count(*) AS n FROM sb GROUP BY subject) s CROSS JOIN (SELECT unnest({[n for _, n in bouts.BINS]}) AS category) c LEFT JOIN sb ON sb.subject = s.subject AND {_BIN} = c.category GROUP BY s.subject, c.category"), "rich")(lambda d: bouts.bout_distribution(bouts.sedentary_bouts(d)))
-query("sedentary_breaks_hourly", rich_sql(f"""SELECT subject, hour::BIGINT AS hour, count(*) FILTER (WHERE s) AS sedentary_min, count(*) FILTER (WHERE before AND NOT s) AS breaks, count(*) FILTER (WHERE wear_time) AS wear_min,
-  {r6('CASE WHEN count(*) FILTER (WHERE s) > 0 THEN count(*) FILTER (WHERE before AND NOT s) / (count(*) FILTER (WHERE s) / 60.0) ELSE 0 END', 'breaks_per_sed_hour')}
-  FROM (SELECT *, coalesce(lag(s) OVER (PARTITION BY subject ORDER BY epoch), FALSE) AS before FROM (SELECT *, coalesce(intensity = 'sedentary' AND wear_time, FALSE) AS s FROM d)) GROUP BY subject, hour"""), "rich")(bouts.hourly_breaks)
-query("accumulation_curve", rich_sql(f", {_SB} SELECT subject, start_index, duration, row_number() OVER o AS rank, {r6('100 * sum(duration) OVER o / sum(duration) OVER (PARTITION BY subject)', 'time_percent')}, {r6('100.0 * row_number() OVER o / count(*) OVER (PARTITION BY subject)', 'bout_percent')} FROM sb WINDOW o AS (PARTITION BY subject ORDER BY duration DESC, start_index)"), "rich")(lambda d: bouts.accumulation_curve(bouts.sedentary_bouts(d)))
-query("bout_timeline", rich_sql(f", {_SB} SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY start_index) AS bout_id, left(start_time, 10) AS date, {r6('substr(start_time, 12, 2)::INT + substr(start_time, 15, 2)::INT / 60.0::DOUBLE', 'start_hour')}, {r6('substr(end_time, 12, 2)::INT + substr(end_time, 15, 2)::INT / 60.0::DOUBLE', 'end_hour')}, duration FROM sb"), "rich")(lambda d: bouts.bout_timeline(bouts.sedentary_bouts(d)))
-
-# Sleep.
-_o = "OVER (PARTITION BY subject ORDER BY epoch)"
-_terms = " + ".join(f"{w} * coalesce({'lag' if k < 0 else 'lead'}(c, {abs(k)}) {_o}, 0)" if k else f"{w} * c" for k, w in zip(range(-4, 3), sleep.COLE_KRIPKE))
-_CK = f"ck AS (SELECT *, CASE WHEN 0.001 * ({_terms}) < 1 THEN 'S' ELSE 'W' END AS sw FROM (SELECT *, least(axis1 / 100, 300) AS c FROM e))"
-query("cole_kripke", plain_sql(f", {_CK} SELECT subject, epoch, sw AS sleep_wake FROM ck"))(lambda d: sleep.cole_kripke(d).select(*_id, "sleep_wake"))
-query("cole_kripke_webster", plain_sql(f""", {_CK}, g AS (SELECT *, epoch - row_number() OVER (PARTITION BY subject, sw ORDER BY epoch) AS grp FROM ck),
-  runs AS (SELECT subject, sw, grp, min(epoch) AS first_epoch, count(*) AS len FROM g GROUP BY ALL),
-  n AS (SELECT *, coalesce(lag(len) OVER (PARTITION BY subject ORDER BY first_epoch), 0) AS b, coalesce(lead(len) OVER (PARTITION BY subject ORDER BY first_epoch), 0) AS a FROM runs),
-  k AS (SELECT *, greatest(CASE WHEN b >= 4 THEN 1 ELSE 0 END, CASE WHEN b >= 10 AND len >= 3 THEN 3 ELSE 0 END, CASE WHEN b >= 15 AND len >= 4 THEN 4 ELSE 0 END, CASE WHEN len <= 6 AND b >= 15 AND a >= 15 OR len <= 10 AND b >= 20 AND a >= 20 THEN len ELSE 0 END) AS m FROM n)
-  SELECT g.subject, g.epoch, CASE WHEN g.sw = 'S' AND g.epoch < k.first_epoch + k.m THEN 'W' ELSE g.sw END AS sleep_wake FROM g JOIN k ON k.subject = g.subject AND k.sw = g.sw AND k.grp = g.grp"""))(lambda d: sleep.cole_kripke(d, rescore=True).select(*_id, "sleep_wake"))
-query("sadeh", plain_sql("""SELECT subject, epoch, CASE WHEN 7.601 - 0.065 * coalesce(sum(c) OVER a, 0) / 11 - 1.08 * sum(CASE WHEN c >= 50 AND c < 100 THEN 1 ELSE 0 END) OVER a
-  - 0.056 * sqrt(greatest((sum(c * c) OVER b - pow(sum(c) OVER b, 2) / 6) / 5, 0)) - 0.703 * ln(c + 1) > -4 THEN 'S' ELSE 'W' END AS sleep_wake FROM (SELECT *, least(axis1, 300) AS c FROM e)
-  WINDOW a AS (PARTITION BY subject ORDER BY epoch ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), b AS (PARTITION BY subject ORDER BY epoch ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"""))(lambda d: sleep.sadeh(d).select(*_id, "sleep_wake"))
-_PERIODS = f"""{_CK}, s AS (SELECT *, (sw = 'S')::INT AS s, max(epoch) OVER (PARTITION BY subject) AS n FROM ck),
-  q AS (SELECT *, sum(s) OVER (PARTITION BY subject ORDER BY epoch ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) = 5 AND epoch + 4 <= n AS starts, sum(s) OVER (PARTITION BY subject ORDER BY epoch ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) = 0 AND epoch + 9 <= n AS wakes FROM s),
-  v AS (SELECT subject, epoch, starts, min(CASE WHEN wakes THEN epoch END) OVER (PARTITION BY subject ORDER BY epoch ROWS BETWEEN 5 FOLLOWING AND UNBOUNDED FOLLOWING) AS wake FROM q),
-  p AS (SELECT v.subject, wake - 1 AS last_index, min(epoch) AS start_index FROM v WHERE starts AND wake - epoch >= 60 AND wake - epoch < 1440
-        AND (SELECT sum(q.s) FROM q WHERE q.subject = v.subject AND q.epoch >= v.epoch AND q.epoch < v.wake) >= 15 GROUP BY v.subject, wake),
-  x AS (SELECT p.subject, p.start_index, p.last_index, q.epoch, q.timestamp, q.sw, q.axis1, q.sw = 'W' AND lag(q.sw) OVER (PARTITION BY p.subject, p.start_index ORDER BY q.epoch) IS DISTINCT FROM 'W' AS nw FROM p JOIN q ON q.subject = p.subject AND q.epoch BETWEEN p.start_index AND p.last_index),
-  m AS (SELECT subject, start_index, max(epoch) AS last_index, min(timestamp) AS ib, max(timestamp) AS ob, min(CASE WHEN sw = 'S' THEN timestamp END) AS os, count(*) FILTER (WHERE sw = 'S') AS sleep_time, count(*) FILTER (WHERE sw = 'W') AS wake_time,
-        count(*) FILTER (WHERE nw) AS number_of_awakenings, count(*) AS total, sum(axis1) AS total_counts FROM x GROUP BY subject, start_index),
-  z AS (SELECT *, CASE WHEN number_of_awakenings > 0 THEN wake_time / number_of_awakenings ELSE 0 END AS aa, 100.0 * wake_time / total AS mi, (number_of_awakenings + 100.0 * wake_time / total) / total AS fi, 100.0 * sleep_time / total AS se FROM m),
-  sp AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY start_index) AS period_number FROM z WHERE NOT (sleep_time > 720 AND se > 99 AND number_of_awakenings = 0))"""
+_sitting = bouts.sedentary_bouts
+query("mvpa_bouts_drop", "rich", bouts.mvpa_bouts)
+query("mvpa_bout_summary", "rich", lambda d: bouts.bout_summary(bouts.mvpa_bouts(d)))
+query("mvpa_bouts_80pct", "rich", bouts.mvpa_bouts_80)
+query("sedentary_bouts", "rich", _sitting)
+query("gini", "rich", lambda d: bouts.gini(_sitting(d)))
+query("alpha", "rich", lambda d: _sitting(d).groupBy("subject").agg(bouts.alpha(F.col("duration")).alias("alpha")))
+query("fragmentation", "rich", bouts.fragmentation)
+query("bout_distribution", "rich", lambda d: bouts.bout_distribution(_sitting(d)))
+query("sedentary_breaks_hourly", "rich", bouts.hourly_breaks)
+query("accumulation_curve", "rich", lambda d: bouts.accumulation_curve(_sitting(d)))
+query("bout_timeline", "rich", lambda d: bouts.bout_timeline(_sitting(d)))
 
 
+# Sleep.
 def _periods(d: DataFrame) -> DataFrame:
     return sleep.sleep_periods(sleep.cole_kripke(d), least=60)
 
 
-_ts = lambda c, n: f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {n}"
-query("sleep_periods", plain_sql(f", {_PERIODS} SELECT subject, start_index, last_index, {_ts('ib', 'in_bed_time')}, {_ts('ob', 'out_bed_time')}, {_ts('os', 'onset')}, sleep_time, wake_time, number_of_awakenings, total_counts, {r6('aa', 'average_awakening')}, {r6('mi', 'movement_index')}, {r6('fi', 'fragmentation_index')}, {r6('se', 'sleep_efficiency')}, period_number FROM sp"))(_periods)
-query("sleep_details", plain_sql(f""", {_PERIODS} SELECT subject, period_number, strftime(ib, '%-m/%-d/%Y %I:%M:%S %p') AS in_bed, strftime(ob, '%-m/%-d/%Y %I:%M:%S %p') AS out_bed, {r6('se', 'efficiency')}, strftime(os, '%-m/%-d/%Y %I:%M:%S %p') AS onset,
-  date_diff('minute', ib, os)::DOUBLE AS latency, sleep_time AS total_sleep_time, wake_time AS waso, number_of_awakenings, {r6('aa', 'length_of_awakenings')}, total_counts AS activity_counts, {r6('mi', 'movement_index')}, {r6('fi', 'fragmentation_index')}, {r6('mi + fi', 'sleep_fragmentation_index')} FROM sp"""))(lambda d: sleep.sleep_details_report(_periods(d)))
-query("sleep_summary", plain_sql(f""", {_PERIODS} SELECT t.*, coalesce(n_periods, 0) AS n_periods, coalesce(tst, 0)::BIGINT AS total_sleep_time, {r6('coalesce(me, 0)', 'mean_efficiency')}, {r6('coalesce(ma, 0)', 'mean_awakenings')} FROM
-  (SELECT subject, count(*) AS total_epochs, count(*) FILTER (WHERE sw = 'S') AS sleep_epochs, count(*) FILTER (WHERE sw = 'W') AS wake_epochs FROM ck GROUP BY subject) t
-  LEFT JOIN (SELECT subject, count(*) AS n_periods, sum(sleep_time) AS tst, avg(se) AS me, avg(number_of_awakenings) AS ma FROM sp GROUP BY subject) USING (subject)"""))(lambda d: sleep.sleep_summary(sleep.cole_kripke(d), _periods(d)))
-_cm = lambda c: f"((atan2(avg(sin((hour({c}) * 60 + minute({c})) * 2 * pi() / 1440)), avg(cos((hour({c}) * 60 + minute({c})) * 2 * pi() / 1440))) * 1440 / (2 * pi()) + 1440) % 1440)"
-query("circular_mean_time", plain_sql(f", {_PERIODS} SELECT subject, {r6(_cm('ib'), 'in_bed_minutes')}, {r6(_cm('ob'), 'out_bed_minutes')} FROM sp GROUP BY subject"))(
-    lambda d: _periods(d).groupBy("subject").agg(A.circular_minutes(F.hour("in_bed_time") * 60 + F.minute("in_bed_time")).alias("in_bed_minutes"), A.circular_minutes(F.hour("out_bed_time") * 60 + F.minute("out_bed_time")).alias("out_bed_minutes"))
-)
-query("sleep_summary_report")(lambda d: sleep.sleep_summary_report(_periods(d)))
-query("actogram", plain_sql(f", {_PERIODS} SELECT x.subject, period_number, epoch, date_diff('minute', ib, timestamp)::DOUBLE AS minutes, sw AS sleep_wake, {r6('coalesce(axis1 / nullif(max(axis1) OVER (PARTITION BY x.subject, period_number), 0), 0)', 'activity')} FROM x JOIN sp ON sp.subject = x.subject AND sp.start_index = x.start_index"))(lambda d: sleep.actogram(sleep.cole_kripke(d), _periods(d)))
+_of_day = lambda c: F.hour(c) * 60 + F.minute(c)
+query("cole_kripke", "epochs", lambda d: sleep.cole_kripke(d).select(*_id, "sleep_wake"))
+query("cole_kripke_webster", "epochs", lambda d: sleep.cole_kripke(d, rescore=True).select(*_id, "sleep_wake"))
+query("sadeh", "epochs", lambda d: sleep.sadeh(d).select(*_id, "sleep_wake"))
+query("sleep_periods", "epochs", _periods)
+query("sleep_details", "epochs", lambda d: sleep.sleep_details_report(_periods(d)))
+query("sleep_summary", "epochs", lambda d: sleep.sleep_summary(sleep.cole_kripke(d), _periods(d)))
+query("circular_mean_time", "epochs", lambda d: _periods(d).groupBy("subject").agg(A.circular_minutes(_of_day("in_bed_time")).alias("in_bed_minutes"), A.circular_minutes(_of_day("out_bed_time")).alias("out_bed_minutes")))
+query("sleep_summary_report", "epochs", lambda d: sleep.sleep_summary_report(_periods(d)))
+query("actogram", "epochs", lambda d: sleep.actogram(sleep.cole_kripke(d), _periods(d)))
+query("actogram_wakes", "epochs", lambda d: sleep.inner_wakes(sleep.cole_kripke(d), _periods(d)))
 
 # Circadian.
-_V = "CASE WHEN wear_time THEN axis1 END"
-_worn = lambda d: circadian.worn_counts(d)
-query("hourly_profile", rich_sql(f"SELECT s.subject, h.hour, {r6(f'avg({_V})', 'mean_activity')}, {r6(f'stddev_samp({_V})', 'sd_activity')}, count({_V}) AS n FROM (SELECT DISTINCT subject FROM d) s CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN d ON d.subject = s.subject AND d.hour = h.hour GROUP BY s.subject, h.hour"), "rich")(lambda d: circadian.hourly_profile(d, _worn(d)))
-
-
-def _lx(keys: str) -> str:
-    both = []
-    for name, x, order in (("l5", 5, "v"), ("m10", 10, "-v")):
-        both.append(f"""{name}w AS (SELECT {keys}, (hour - i + 24) % 24 AS start, avg(m) AS v FROM hm CROSS JOIN (SELECT unnest(range({x})) AS i) GROUP BY ALL HAVING avg(m) IS NOT NULL),
-        {name}t AS (SELECT {keys}, v AS {name}, printf('%02d:00', start::INT) AS {name}_start FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}, start) AS k FROM {name}w) WHERE k = 1)""")
-    return f"hm AS (SELECT {keys}, hour, avg({_V}) AS m FROM d GROUP BY ALL), {', '.join(both)}"
-
-
-query("l5_m10", rich_sql(f", {_lx('subject')} SELECT subject, {r6('l5', 'l5')}, l5_start, {r6('m10', 'm10')}, m10_start, {r6('CASE WHEN m10 + l5 <> 0 THEN (m10 - l5) / (m10 + l5) END', 'ra')} FROM l5t JOIN m10t USING (subject)"), "rich")(lambda d: circadian.rest_activity(d, _worn(d)))
-query("daily_circadian", rich_sql(f""", {_lx('subject, date')}, k AS (SELECT subject, date, count({_V}) >= 720 AS ok FROM d GROUP BY ALL) SELECT subject, strftime(date, '%Y-%m-%d') AS date, {r6('CASE WHEN ok THEN l5 END', 'l5')}, CASE WHEN ok THEN l5_start END AS l5_start,
-  {r6('CASE WHEN ok THEN m10 END', 'm10')}, CASE WHEN ok THEN m10_start END AS m10_start, {r6('CASE WHEN ok AND m10 + l5 <> 0 THEN (m10 - l5) / (m10 + l5) END', 'ra')} FROM k LEFT JOIN l5t USING (subject, date) LEFT JOIN m10t USING (subject, date)"""), "rich")(lambda d: circadian.daily_rest_activity(d, _worn(d)))
-query("is_iv", rich_sql(f""", sl AS (SELECT subject, date, hour, avg({_V}) AS x, count({_V}) AS k FROM d WHERE wear_time GROUP BY ALL), sm AS (SELECT *, avg(x) OVER (PARTITION BY subject) AS m, x - lag(x) OVER (PARTITION BY subject ORDER BY date, hour) AS st FROM sl),
-  a AS (SELECT subject, count(*) AS n, sum(k) AS k, sum(pow(x - m, 2)) AS total, sum(st * st) AS steps FROM sm GROUP BY subject), b AS (SELECT subject, sum(pow(xh - m, 2)) AS bt FROM (SELECT subject, hour, avg(x) AS xh, any_value(m) AS m FROM sm GROUP BY subject, hour) GROUP BY subject)
-  SELECT subject, {r6('CASE WHEN k >= 48 AND total > 0 THEN greatest(0, least(1, n * bt / (24 * total))) END', 'interdaily_stability')}, {r6('CASE WHEN k >= 48 AND total > 0 AND n > 1 THEN n * steps / ((n - 1) * total) END', 'intradaily_variability')} FROM a JOIN b USING (subject)"""), "rich")(lambda d: circadian.stability_and_variability(d, _worn(d)))
-query("cosinor", rich_sql(f""", cd AS (SELECT subject, axis1 AS y, cos((hour(timestamp) + minute(timestamp) / 60) * 2 * pi() / 24) AS c, sin((hour(timestamp) + minute(timestamp) / 60) * 2 * pi() / 24) AS s FROM d WHERE wear_time),
-  q AS (SELECT subject, count(*) AS n, avg(y) AS my, avg(c) AS mc, avg(s) AS ms, var_pop(y) AS vy, var_pop(c) AS vc, var_pop(s) AS vs, covar_pop(y, c) AS yc, covar_pop(y, s) AS ys, covar_pop(c, s) AS cs FROM cd GROUP BY subject),
-  f AS (SELECT *, (yc * vs - ys * cs) / (vc * vs - cs * cs) AS be, (ys * vc - yc * cs) / (vc * vs - cs * cs) AS ga FROM q WHERE n >= 24), g AS (SELECT *, (be * yc + ga * ys) / vy AS r2, (atan2(-ga, be) * 24 / (2 * pi()) + 24) % 24 AS ac FROM f)
-  SELECT subject, n, {r6('my - be * mc - ga * ms', 'mesor')}, {r6('sqrt(be * be + ga * ga)', 'amplitude')}, {r6('ac', 'acrophase')}, {r6('(24 - ac) % 24', 'peak_hour')}, {r6('r2', 'r_squared')}, {r6('pow(1 - r2, (n - 3) / 2.0)', 'p_value')} FROM g"""), "rich")(lambda d: circadian.cosinor(d, _worn(d)))
+_worn = circadian.worn_counts
+query("hourly_profile", "rich", lambda d: circadian.hourly_profile(d, _worn(d)))
+query("l5_m10", "rich", lambda d: circadian.rest_activity(d, _worn(d)))
+query("daily_circadian", "rich", lambda d: circadian.daily_rest_activity(d, _worn(d)))
+query("is_iv", "rich", lambda d: circadian.stability_and_variability(d, _worn(d)))
+query("cosinor", "rich", lambda d: circadian.cosinor(d, _worn(d)))
+query("circadian_bundle", "rich", lambda d: circadian.rhythm(d, _worn(d)).summary)
+query("group_profile", "rich", lambda d: circadian.group_profile(d, _worn(d)))
+query("group_rest_activity", "rich", lambda d: circadian.group_rest_activity(d, _worn(d)))
 
 
 # Reports.
-def _report(keys: str, sed: str, worn: str, where: str = "TRUE") -> str:
-    cls = ", ".join(f"count(*) FILTER (WHERE {'(' + sed + ')' if x == 'sedentary' else f'''intensity = '{x}' AND {worn}'''})::DOUBLE AS {x}" for x in A.LEVELS)
-    vals = ", ".join(f"coalesce({f}({v}) FILTER (WHERE {worn}), 0)::DOUBLE AS {n}_{w}" for n, v in (("axis1", "axis1"), ("axis2", "axis2"), ("axis3", "axis3"), ("vm", "vm"), ("steps", "steps")) for w, f in (("counts", "sum"), ("average", "avg"), ("max", "max")))
-    return f"rp AS (SELECT {keys}, {cls}, count(*) AS n_epochs, count(DISTINCT date) AS calendar_days, {vals} FROM d WHERE {where} GROUP BY ALL), rq AS (SELECT *, moderate + vigorous + very_vigorous AS total_mvpa FROM rp)"
-
-
-_VALUES = [f"{n}_{w}" for n in ("axis1", "axis2", "axis3", "vm", "steps") for w in ("counts", "average", "max")]
-_PCT = [*A.LEVELS, "total_mvpa"]
-_cols = ", ".join([*A.LEVELS, "n_epochs", *[r6(v, v) for v in _VALUES], "total_mvpa", *[r6(f"100 * {c} / n_epochs", f"{c}_percent") for c in _PCT]])
-_day = "strftime(date, '%Y-%m-%d') AS date"
-_sed_w = "intensity = 'sedentary' AND wear_time"
-_sed_nw = "intensity = 'sedentary' OR NOT wear_time"
-query("report_summary", rich_sql(f", {_report('subject', _sed_w, 'wear_time', 'is_valid_day')} SELECT subject, calendar_days, {_cols}, {r6('total_mvpa / greatest(calendar_days, 1)', 'mvpa_per_day')} FROM rq"), "rich")(lambda d: reports.activity_stats(d, reports.SUMMARY))
-query("report_daily", rich_sql(f", {_report('subject, date', _sed_nw, 'wear_time')} SELECT subject, {_day}, calendar_days, {_cols}, {r6('total_mvpa / (n_epochs / 60)', 'mvpa_per_hour')} FROM rq"), "rich")(lambda d: reports.activity_stats(d, reports.DAILY))
-_hz = ", ".join([*[f"CASE WHEN v THEN {c} ELSE 0 END AS {c}" for c in [*A.LEVELS, "n_epochs", "total_mvpa"]], *[r6(f"CASE WHEN v THEN {c} ELSE 0 END", c) for c in _VALUES], *[r6(f"CASE WHEN v THEN 100 * {c} / n_epochs ELSE 0 END", f"{c}_percent") for c in _PCT]])
-query("report_hourly", rich_sql(f", {_report('subject, date, hour', _sed_nw, 'wear_time')} SELECT subject, {_day}, hour::BIGINT AS hour, calendar_days, {_hz}, {r6('CASE WHEN v THEN total_mvpa / (n_epochs / 60) ELSE 0 END', 'mvpa_per_hour')} FROM rq JOIN (SELECT DISTINCT subject AS s, date AS dd, is_valid_day AS v FROM d) ON s = subject AND dd = date"), "rich")(reports.hourly_report)
-_BATCH = f"{_report('subject', chr(39).join(['intensity = ', 'sedentary', '']), 'TRUE')}, vd AS (SELECT subject, count(*) FILTER (WHERE wear_epochs >= 600) AS valid_days FROM ({_DAYS}) GROUP BY subject), bt AS (SELECT subject, valid_days, {_cols}, {r6('total_mvpa / greatest(valid_days, 1)', 'mvpa_per_day')} FROM rq JOIN vd USING (subject))"
-query("batch_row", rich_sql(f", {_BATCH} SELECT * FROM bt"), "rich")(lambda d: reports.batch_report(d, wear_ops.valid_days(d)))
-query("group_stats", rich_sql(f", {_BATCH} SELECT count(*) AS n_subjects, {r6('avg(total_mvpa)', 'mean_total_mvpa')}, {r6('avg(sedentary)', 'mean_sedentary')}, {r6('avg(mvpa_per_day)', 'mean_mvpa_per_day')} FROM bt"), "rich")(lambda d: reports.group_stats(reports.batch_report(d, wear_ops.valid_days(d)), ["total_mvpa", "sedentary", "mvpa_per_day"]))
-query("overall_summary", rich_sql(f"SELECT subject, wear_minutes, {', '.join([*A.LEVELS, 'mvpa', *[r6(f'100 * {c} / wear_minutes', f'{c}_percent') for c in [*A.LEVELS, 'mvpa']]])} FROM (SELECT *, moderate + vigorous + very_vigorous AS mvpa FROM (SELECT subject, count(*)::DOUBLE AS wear_minutes, " + ", ".join(f"count(*) FILTER (WHERE intensity = '{x}')::DOUBLE AS {x}" for x in A.LEVELS) + " FROM d WHERE wear_time GROUP BY subject))"), "rich")(reports.overall_summary)
-query("daily_left_join", rich_sql(f"SELECT a.subject, strftime(a.date, '%Y-%m-%d') AS date, wear_minutes, is_valid, {', '.join(f'{x}_min' for x in A.LEVELS)}, {r6('mean_cpm', 'mean_cpm')}, {r6('mean_mets', 'mean_mets')}, {r6('total_kcal', 'total_kcal')} FROM (SELECT subject, date, count(*) FILTER (WHERE wear_time)::DOUBLE AS wear_minutes, max(is_valid_day) AS is_valid FROM d GROUP BY ALL) a LEFT JOIN (SELECT subject, date, " + ", ".join(f"count(*) FILTER (WHERE intensity = '{x}')::DOUBLE AS {x}_min" for x in A.LEVELS) + ", avg(cpm) AS mean_cpm, avg(mets) AS mean_mets, sum(kcal) AS total_kcal FROM d WHERE wear_time GROUP BY ALL) b ON a.subject = b.subject AND a.date = b.date"), "rich")(reports.daily_summary)
-
-query("plot_daily", rich_sql(f"SELECT subject, {_day}, sum(axis1) AS counts, sum(steps) AS steps, count(*) FILTER (WHERE {_MVPA}) AS mvpa_minutes, count(*) FILTER (WHERE intensity = 'sedentary') AS sedentary_minutes FROM d GROUP BY subject, date"), "rich")(reports.plot_daily)
-query("overview", rich_sql(f"SELECT subject, count(*) AS n_days, count(*) FILTER (WHERE h >= 10) AS valid_days, {r6('sum(h)', 'wear_hours')}, {r6('avg(h)', 'mean_wear_hours')} FROM (SELECT subject, date, count(*) FILTER (WHERE wear_time) / 60 AS h FROM d GROUP BY ALL) GROUP BY subject"), "rich")(reports.overview)
-query("activity_per_day", rich_sql("SELECT subject, count(DISTINCT date) AS n_days, " + ", ".join(r6(f"count(*) FILTER (WHERE intensity IN ({names})) / count(DISTINCT date)", n) for n, names in (("sedentary", "'sedentary'"), ("light", "'light'"), ("moderate", "'moderate'"), ("vigorous", "'vigorous', 'very_vigorous'"))) + " FROM d WHERE wear_time GROUP BY subject"), "rich")(reports.activity_per_day)
-query("group_profile", rich_sql(f"SELECT hour::BIGINT AS hour, {r6('avg(m)', 'mean_activity')}, count(m) AS n_subjects FROM (SELECT subject, hour, avg({_V}) AS m FROM d GROUP BY ALL) GROUP BY hour"), "rich")(lambda d: circadian.group_profile(d, _worn(d)))
-query("group_rest_activity", rich_sql(f", {_lx('subject')} SELECT count(*) AS n_subjects, {r6('avg(l5)', 'mean_l5')}, {r6('avg(m10)', 'mean_m10')}, {r6('avg(CASE WHEN m10 + l5 <> 0 THEN (m10 - l5) / (m10 + l5) END)', 'mean_ra')} FROM l5t JOIN m10t USING (subject)"), "rich")(lambda d: circadian.group_rest_activity(d, _worn(d)))
+def _batch(d: DataFrame) -> DataFrame:
+    return reports.batch_report(d, wear_ops.valid_days(d))
+
+
+query("report_summary", "rich", lambda d: reports.activity_stats(d, reports.SUMMARY))
+query("report_daily", "rich", lambda d: reports.activity_stats(d, reports.DAILY))
+query("report_hourly", "rich", reports.hourly_report)
+query("batch_row", "rich", _batch)
+query("export_summary", "rich", lambda d: reports.in_layout(reports.activity_stats(d, reports.SUMMARY), reports.SUMMARY))
+query("export_daily", "rich", lambda d: reports.in_layout(reports.activity_stats(d, reports.DAILY), reports.DAILY))
+query("export_hourly", "rich", lambda d: reports.in_layout(reports.hourly_report(d), reports.HOURLY))
+query("export_batch", "rich", lambda d: reports.in_layout(_batch(d), reports.BATCH))
+query("group_stats", "rich", lambda d: reports.group_stats(_batch(d), ["total_mvpa", "sedentary", "mvpa_per_day"]))
+query("overall_summary", "rich", reports.overall_summary)
+query("daily_left_join", "rich", reports.daily_summary)
+query("plot_daily", "rich", reports.plot_daily)
+query("overview", "rich", reports.overview)
+query("activity_per_day", "rich", reports.activity_per_day)
 
 # Relational primitives.
-query("time_range_filter", plain_sql("SELECT subject, epoch, axis1 FROM e WHERE timestamp BETWEEN TIMESTAMP '2024-01-01 08:00:00' AND TIMESTAMP '2024-01-01 12:00:00'"))(lambda d: d.where(F.col("timestamp").between("2024-01-01 08:00:00", "2024-01-01 12:00:00")).select(*_id, "axis1"))
-query("valid_day_semijoin", rich_sql("SELECT subject, epoch, axis1 FROM d WHERE (subject, date) IN (SELECT (subject, date) FROM d GROUP BY subject, date HAVING sum(wear_time::INT) >= 600)"), "rich")(lambda d: d.where("is_valid_day").select(*_id, "axis1"))
+query("time_range_filter", "epochs", lambda d: d.where(F.col("timestamp").between("2024-01-01 08:00:00", "2024-01-01 12:00:00")).select(*_id, "axis1"))
+query("date_range_filter", "epochs", lambda d: d.where(F.col("date").between("2024-01-02", "2024-01-03")).select(*_id, "date", "axis1"))
+query("valid_day_semijoin", "rich", lambda d: d.where("is_valid_day").select(*_id, "axis1"))
 
 
 def _filters(d: DataFrame) -> DataFrame:
-    return d.where((F.col("epoch") - 1) % 300 == 0).select("subject", F.col("timestamp").alias("start_time"), (F.col("timestamp") + F.expr("INTERVAL 59 MINUTES")).alias("stop_time"))
+    """An hour from every 300th epoch of the first two subjects; the others have no interval."""
+    own = d.where(((F.col("epoch") - 1) % 300 == 0) & F.col("subject").isin("s0", "s1"))
+    return own.select("subject", F.col("timestamp").alias("start_time"), (F.col("timestamp") + F.expr("INTERVAL 59 MINUTES")).alias("stop_time"))
 
 
-query("interval_filter_semijoin", plain_sql("SELECT subject, epoch, axis1 FROM e WHERE EXISTS (SELECT 1 FROM e f WHERE f.subject = e.subject AND (f.epoch - 1) % 300 = 0 AND e.timestamp BETWEEN f.timestamp AND f.timestamp + INTERVAL 59 MINUTES)"))(lambda d: reports.in_filters(d, _filters(d)).select(*_id, "axis1"))
+query("interval_filter_semijoin", "epochs", lambda d: reports.in_filters(d, _filters(d)).select(*_id, "axis1"))
+query("first_periods", "rich", lambda d: wear_ops.wear_periods(d).select("subject", "start_index", "n_epochs").orderBy(F.desc("n_epochs"), "subject", "start_index").limit(5))
+query("periods_of_both_kinds", "rich", lambda d: wear_ops.wear_periods(d).select("subject", F.lit("wear").alias("kind"), "start_index", "end_index").unionByName(wear_ops.non_wear_periods(d).select("subject", F.lit("non-wear").alias("kind"), "start_index", "end_index")))
+query("duplicate_times", "epochs", lambda d: reports.duplicates(d.withColumn("time_of_day", F.date_format("timestamp", "HH:mm")), ["subject", "time_of_day"]))
 
 # Quality and agreement.
-query("quality", plain_sql(f"SELECT subject, count(*) AS n_samples, count(*) FILTER (WHERE x IS NULL) AS missing_x, count(*) FILTER (WHERE y IS NULL) AS missing_y, count(*) FILTER (WHERE z IS NULL) AS missing_z, {r6('avg(sqrt(x*x + y*y + z*z))', 'mean_magnitude')}, count(*) FILTER (WHERE sqrt(x*x + y*y + z*z) > 1.5) AS outliers, 0.0::DOUBLE AS percent_missing FROM r GROUP BY subject"), "raw")(lambda d: stats.quality(d, 1.5, ("subject",)))
-query("sample_rate", plain_sql(f"SELECT subject, {r6('1 / median(st)', 'sample_rate')}, {r6('median(st)', 'median_step')} FROM (SELECT subject, epoch_us(timestamp - lag(timestamp) OVER (PARTITION BY subject ORDER BY sample)) / 1e6 AS st FROM (SELECT subject, sample, timestamp FROM r)) GROUP BY subject".replace("epoch_us(timestamp - lag(timestamp) OVER (PARTITION BY subject ORDER BY sample))", "(epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY subject ORDER BY sample))")), "raw")(lambda d: stats.sample_rate(d, "sample"))
-query("validation_metrics", plain_sql(f"""SELECT subject, count(*) AS n, {r6('avg(axis1 - vm)', 'bias')}, {r6('avg(abs(axis1 - vm))', 'mae')}, {r6('avg(CASE WHEN vm <> 0 THEN 100 * (axis1 - vm) / vm END)', 'mpe')}, {r6('sqrt(avg(pow(axis1 - vm, 2)))', 'rmse')}, {r6('corr(axis1, vm)', 'pearson_r')},
-  {r6('var_samp((axis1 + vm) / 2) / (var_samp((axis1 + vm) / 2) + avg(pow(axis1 - vm, 2) / 2))', 'icc')}, {r6('avg(axis1 - vm) - 1.96 * stddev_samp(axis1 - vm)', 'loa_lower')}, {r6('avg(axis1 - vm) + 1.96 * stddev_samp(axis1 - vm)', 'loa_upper')} FROM e GROUP BY subject"""))(lambda d: stats.validation(d.withColumn("vm", _vm()), "axis1", "vm", ("subject",)))
-query("icc", plain_sql(f"SELECT subject, {r6('var_samp((axis1 + axis2) / 2) / (var_samp((axis1 + axis2) / 2) + avg(pow(axis1 - axis2, 2) / 2))', 'icc')} FROM e GROUP BY subject"))(lambda d: d.groupBy("subject").agg(stats.icc(F.col("axis1"), F.col("axis2")).alias("icc")))
-query("confusion", plain_sql(f"""SELECT subject, tp, tn, fp, fn, {r6('tp / nullif(tp + fn, 0)', 'sensitivity')}, {r6('tn / nullif(tn + fp, 0)', 'specificity')}, {r6('(tp + tn) / nullif(tp + tn + fp + fn, 0)', 'accuracy')}, {r6('tp / nullif(tp + fp, 0)', 'precision')}, {r6('2 * tp / nullif(2 * tp + fp + fn, 0)', 'f1')} FROM
-  (SELECT subject, count(*) FILTER (WHERE p AND a) AS tp, count(*) FILTER (WHERE NOT p AND NOT a) AS tn, count(*) FILTER (WHERE p AND NOT a) AS fp, count(*) FILTER (WHERE NOT p AND a) AS fn FROM (SELECT subject, vm > 2000 AS p, axis1 > 1951 AS a FROM e) GROUP BY subject)"""))(lambda d: stats.confusion(d.withColumn("vm", _vm()), F.col("vm") > 2000, F.col("axis1") > 1951, ("subject",)))
+query("quality", "raw", lambda d: stats.quality(d, 1.5, ("subject",)))
+query("sample_rate", "raw", lambda d: stats.sample_rate(d, "sample"))
+query("validation_metrics", "epochs", lambda d: stats.validation(d.withColumn("vm", _vm()), "axis1", "vm", ("subject",)))
+query("icc", "epochs", lambda d: d.groupBy("subject").agg(stats.icc(_axis1(), F.col("axis2")).alias("icc")))
+query("confusion", "epochs", lambda d: stats.confusion(d.withColumn("vm", _vm()), F.col("vm") > 2000, _axis1() > 1951, ("subject",)))
 
 # Raw signal.
-query("mad_blocks", plain_sql(f"SELECT subject, block, {r6('avg(abs(v - m))', 'mad')} FROM (SELECT *, avg(v) OVER (PARTITION BY subject, block) AS m, count(*) OVER (PARTITION BY subject, block) AS n FROM (SELECT subject, (sample - 1) // 50 AS block, sqrt(x*x + y*y + z*z) AS v FROM r)) WHERE n = 50 GROUP BY ALL"), "raw")(lambda d: raw.mad_blocks(d, 50))
-query("nonmovement_windows", plain_sql(f"SELECT subject, w AS \"window\", {r6('avg(x)', 'mean_x')}, {r6('avg(y)', 'mean_y')}, {r6('avg(z)', 'mean_z')} FROM (SELECT *, (sample - 1) // 10 AS w FROM r) GROUP BY subject, w HAVING count(*) = 10 AND stddev_samp(x) < 0.013 AND stddev_samp(y) < 0.013 AND stddev_samp(z) < 0.013"), "raw")(lambda d: raw.still_windows(d, 10))
-query("calibrate", None, "raw")(lambda d: raw.calibration(d, 10, least=10))
-query("counts_raw", None, "raw")(lambda d: raw.counts(d, 30, 5))
-query("steps_peak", None, "raw")(lambda d: raw.steps(d, 30))
-query("steps_autocorr", None, "raw")(lambda d: raw.steps(d, 30, True))
-query("process_epochs", None, "raw")(lambda d: raw.process(d, 30, 5))
-query("process_intensity", None, "raw")(lambda d: raw.processed(d, 30, 5).intensity)
-query("process_totals", None, "raw")(lambda d: raw.processed(d, 30, 5).totals)
+query("mad_blocks", "raw", lambda d: raw.mad_blocks(d, 50))
+query("nonmovement_windows", "raw", lambda d: raw.still_windows(d, 10))
+query("calibrate", "raw", lambda d: raw.calibration(d, 10, least=10))
+query("counts_raw", "raw", lambda d: raw.counts(d, 30, 5))
+query("steps_peak", "raw", lambda d: raw.steps(d, 30))
+query("steps_autocorr", "raw", lambda d: raw.steps(d, 30, True))
+query("process_epochs", "raw", lambda d: raw.process(d, 30, 5))
+query("process_intensity", "raw", lambda d: raw.processed(d, 30, 5).intensity)
+query("process_totals", "raw", lambda d: raw.processed(d, 30, 5).totals)

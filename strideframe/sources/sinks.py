@@ -1,46 +1,30 @@
-"""Report files: unrounded results are rounded (half to even) only here."""
+"""Report files: unrounded results are rounded (half to even) only in a report's layout."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.activity import LEVELS
 from ..operators import reports
 from ..operators.sleep import sleep_details_report, sleep_summary_report
 
 
-def _title(name: str) -> str:
-    return name.replace("_", " ").title()
-
-
-def in_report_form(df: DataFrame) -> DataFrame:
-    """Shares as text with two digits, other numbers with one; names in words."""
-    out = []
-    for c, kind in df.dtypes:
-        if c.endswith("_percent"):
-            out.append(F.format_string("%.2f%%", F.col(c)).alias(f"% in {_title(c.removesuffix('_percent'))}"))
-        elif c == "date":
-            out += [F.date_format(c, "MM/dd/yyyy").alias("Date"), F.date_format(c, "EEEE").alias("Day of Week"), (F.weekday(c) + 1).alias("Day of Week Num")]
-        elif c == "hour":
-            out.append(F.format_string("%02d:00 %s", F.when(F.col(c) % 12 == 0, 12).otherwise(F.col(c) % 12), F.when(F.col(c) < 12, "AM").otherwise("PM")).alias("Hour"))
-        else:
-            out.append((F.bround(c, 1) if kind == "double" and c not in LEVELS else F.col(c)).alias(_title(c)))
-    return df.select(*out)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """One file with a header; reports have a row for a subject, a day or an hour."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True, emptyValue="")
 
 
-def export_reports(epochs: DataFrame, folder: str) -> None:
-    """Summary, daily and hourly reports of all subjects."""
-    write_csv(in_report_form(reports.activity_stats(epochs, reports.SUMMARY)), f"{folder}/summary")
-    write_csv(in_report_form(reports.activity_stats(epochs, reports.DAILY)), f"{folder}/daily")
-    write_csv(in_report_form(reports.hourly_report(epochs)), f"{folder}/hourly")
+def export_reports(epochs: DataFrame, folder: str, epoch_seconds: float = 60, info: DataFrame | None = None) -> None:
+    """Summary, daily and hourly reports of all subjects; ``info`` as in ``reports.in_layout``."""
+    for name, policy in (("summary", reports.SUMMARY), ("daily", reports.DAILY)):
+        write_csv(reports.in_layout(reports.activity_stats(epochs, policy, epoch_seconds), policy, epoch_seconds, info), f"{folder}/{name}")
+    write_csv(reports.in_layout(reports.hourly_report(epochs, epoch_seconds), reports.HOURLY, epoch_seconds, info), f"{folder}/hourly")
+
+
+def export_batch(epochs: DataFrame, valid: DataFrame, folder: str, epoch_seconds: float = 60, filters: DataFrame | None = None, info: DataFrame | None = None) -> None:
+    """The batch's table, a row for each subject."""
+    write_csv(reports.in_layout(reports.batch_report(epochs, valid, epoch_seconds, filters), reports.BATCH, epoch_seconds, info), f"{folder}/batch")
 
 
-def export_sleep(periods: DataFrame, folder: str) -> None:
-    write_csv(sleep_details_report(periods), f"{folder}/sleep_details")
-    write_csv(sleep_summary_report(periods), f"{folder}/sleep_summary")
+def export_sleep(periods: DataFrame, folder: str, algorithm: str = "cole_kripke", epoch_seconds: float = 60, info: DataFrame | None = None) -> None:
+    write_csv(sleep_details_report(periods, algorithm, epoch_seconds, info), f"{folder}/sleep_details")
+    write_csv(sleep_summary_report(periods, algorithm, epoch_seconds, info), f"{folder}/sleep_summary")

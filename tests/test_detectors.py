@@ -179,3 +179,15 @@ def test_webster_and_periods(spark):
         own = series[int(r.subject[1:])][r.start_index - 1 : r.last_index]
         assert (r.sleep_time, r.wake_time, r.total_counts) == (own.count("S"), own.count("W"), len(own))
         assert r.number_of_awakenings == "".join(own).replace("S", " ").split().__len__()
+
+
+def test_a_long_series_takes_time_in_proportion(spark):
+    n = 500_000
+    ids = spark.range(n).select(F.lit("a").alias("subject"), (F.col("id") + 1).alias("epoch"), F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 60000000).alias("timestamp"))
+    still = F.floor((F.col("epoch") - 1) / 600) % 2 == 0
+    df = ids.withColumn("axis1", F.when(still, 0.0).otherwise(1000.0))
+    worn = wear.wear(df, wear.TROIANO)
+    assert worn.where("wear_time").count() == n // 1200 * 600 + max(0, n % 1200 - 600)
+    marked = df.withColumn("sleep_wake", F.when(still, F.lit("S")).otherwise(F.lit("W")))
+    periods = sleep.sleep_periods(marked)
+    assert periods.count() == n // 1200 and {r.sleep_time for r in periods.select("sleep_time").distinct().collect()} == {600.0}

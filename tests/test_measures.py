@@ -19,7 +19,7 @@ def _values(spark, values, expr, kind="double"):
 def test_cut_points_leave_gaps(spark):
     got = _values(spark, [0.0, 100.0, 100.5, 101.0, 1951.0, 1951.5, 1952.0, 5725.0, 9499.0, -1.0, None], A.freedson)
     assert got == ["sedentary", "sedentary", None, "light", "light", None, "moderate", "vigorous", "very_vigorous", None, None]
-    assert _values(spark, [149.0, 150.0, 2201.0, 6001.0, 10001.0], A.canhr) == ["sedentary", "light", "moderate", "vigorous", "very_vigorous"]
+    assert _values(spark, [150.0, 150.5, 151.0, 2201.0, 6001.0, 10001.0], A.broad) == ["sedentary", None, "light", "moderate", "vigorous", "very_vigorous"]
     assert _values(spark, [1.49, 1.5, 3.0, 6.0, 9.0, None], A.classify_mets) == ["sedentary", "light", "moderate", "vigorous", "very_vigorous", None]
 
 
@@ -179,7 +179,7 @@ def test_a_recording_is_processed_whole(spark):
     assert {r.intensity: r.minutes for r in done.intensity.collect()} == {x: sum(r.intensity == x for r in worn) for x in A.LEVELS}
     y = np.array([r.y for r in df.where("subject = 'a'").orderBy("sample").collect()])
     assert a.total_steps == raw.count_steps(y, 30) and totals["short"].total_wear_minutes == totals["short"].total_counts_y == 0
-    other = raw.processed(df.where("subject = 'short'"), 30, 5, A.canhr, "CANHR2025", True, "autocorr", True).totals.first()
+    other = raw.processed(df.where("subject = 'short'"), 30, 5, A.broad, "long_window", True, "autocorr", True).totals.first()
     assert other.total_steps == raw.count_steps_by_period(1 + 0.5 * np.sin(np.arange(900) * 2 * np.pi * 1.8 / 30), 30) and other.total_wear_minutes == 0.5
     for wrong in ({"wear_algorithm": "none"}, {"step_method": "none"}):
         with pytest.raises(ValueError):
