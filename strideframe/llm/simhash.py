@@ -8,7 +8,12 @@ step of both points. Each fingerprint therefore enters its own cell and those on
 step away, a join on cells finds all candidates, and the differing bits decide.
 
 Equal fingerprints are one class before anything is joined, so copies are never
-expanded into pairs.
+expanded into pairs. Nor are the members of a crowded cell (over CROWD of them), whose
+pairs would grow with the square of a group of near copies: they are linked through
+the 2,081 values within two bits of each. Two fingerprints are within four bits if and
+only if they have such a value in common, so a value ties the least and the largest
+component that reach it, again and again until each value has one. That takes time in
+proportion to the members, and loses no link.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint
 zero and is linked like any other; rows that share a doc_id are one document; a
@@ -17,10 +22,12 @@ row without doc_id takes part, and its component has no number if no row of it h
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +35,9 @@ from .common import append_arrow, chunks, cut
 
 SEED = 42
 CHUNK = 1_000_000
+#: Members from which a cell's pairs aren't formed, and crowded cells up to which their list is sent to every task.
+CROWD = 64
+BROADCAST_CELLS = 100_000
 #: Nodes without a doc_id are numbered from here on.
 NAMELESS = 1 << 62
 
@@ -91,19 +101,57 @@ def _cells(half: Column, number: int) -> list[Column]:
     return out
 
 
-def links(classes: DataFrame, distance: int = 4) -> DataFrame:
-    """Pairs (a, b) of different values of ``classes.simhash`` within ``distance`` bits; a pair may come more than once."""
-    if not 0 <= distance <= 4:
-        raise ValueError("the grid finds fingerprints within 4 bits")
+def _placed(classes: DataFrame) -> DataFrame:
+    """Each fingerprint in the cells of both its halves."""
     low = F.lit(0xFFFFFFFF).cast("long")
     halves = [F.col("simhash").bitwiseAND(low), F.shiftrightunsigned("simhash", 32)]
     cells = [c for i, h in enumerate(halves) for c in _cells(h, i)]
-    placed = classes.select(F.col("simhash"), F.explode(F.array(*cells)).alias("cell")).where("cell is not null")
-    a, b = placed.select(F.col("simhash").alias("a"), "cell"), placed.select(F.col("simhash").alias("b"), "cell")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    return classes.select("*", F.explode(F.array(*cells)).alias("cell")).where("cell is not null")
+
+
+def crowds(classes: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """The cells with more than ``crowd`` fingerprints, and the fingerprints in them; both kept."""
+    placed = _placed(classes)
+    cells = cut(placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("cell"))
+    return cells, cut(_not_many(cells, placed, "left_semi").select("simhash").distinct())
+
+
+def _not_many(cells: DataFrame, placed: DataFrame, how: str) -> DataFrame:
+    return placed.join(F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells, "cell", how)
+
+
+def links(classes: DataFrame, cells: DataFrame, members: DataFrame, distance: int = 4) -> DataFrame:
+    """Pairs (a, b) of different values of ``classes.simhash`` within ``distance`` bits, of which one at least isn't among ``members`` of crowded ``cells``; a pair may come more than once."""
+    if not 0 <= distance <= 4:
+        raise ValueError("the grid finds fingerprints within 4 bits")
+    marked = classes.select("simhash").join(members.withColumn("crowded", F.lit(True)), "simhash", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    placed = _not_many(cells, _placed(marked), "left_anti")
+    a, b = (placed.select(F.col("simhash").alias(n), "cell", F.col("crowded").alias(f"{n}_crowded")) for n in "ab")
+    near = (F.col("a") < F.col("b")) & ~(F.col("a_crowded") & F.col("b_crowded")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     return a.join(b, (a.cell == b.cell) & near).select("a", "b")
 
 
+def _masks(bits: int) -> Column:
+    """An array of all 64-bit numbers of at most ``bits`` ones."""
+    whole = [sum(1 << i for i in c) for n in range(bits + 1) for c in combinations(range(64), n)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in whole]
+    return F.expr(f"array({', '.join(f'bigint({m})' for m in signed)})")
+
+
+def ties(members: DataFrame, distance: int = 4) -> DataFrame:
+    """Pairs of different labels of ``members`` (simhash, label) that a value near both has as its least and largest.
+
+    A value is near if half of ``distance`` bits differ; for an odd distance one side goes a bit further.
+    """
+    centre = lambda bits: members.select(F.explode(F.transform(_masks(bits), lambda m: F.col("simhash").bitwiseXOR(m))).alias("centre"), "label")
+    half = distance // 2
+    near = centre(half).groupBy("centre").agg(F.min("label").alias("u"), F.max("label").alias("v"))
+    if distance % 2:
+        wide = centre(half + 1).groupBy("centre").agg(F.min("label").alias("u"), F.max("label").alias("v"))
+        near = near.join(wide.toDF("centre", "p", "q"), "centre").select(F.least("u", "p").alias("u"), F.greatest("v", "q").alias("v"))
+    return near.where("u <> v").select("u", "v").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node reachable from each node of ``edges`` (u, v), by star contraction.
 
@@ -125,22 +173,38 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(small.select("e.u", "e.v").where("u <> v").distinct())
 
 
+def labelled(classes: DataFrame, distance: int = 4, crowd: int = CROWD) -> DataFrame:
+    """``classes`` (simhash, node; kept) with label, the least node of each one's component."""
+    cells, members = crowds(classes, crowd)
+    found = links(classes, cells, members, distance).distinct()
+    named, other = classes.toDF("a", "u"), classes.toDF("b", "v")
+    edges = cut(found.join(named, "a").join(other, "b").select("u", "v"))
+    crowded = not members.isEmpty()
+    while True:
+        least = components(edges)
+        out = cut(classes.join(least.withColumnRenamed("u", "node"), "node", "left").select("simhash", "node", F.coalesce("label", "node").alias("label")))
+        if not crowded:
+            return out
+        more = cut(ties(out.join(members, "simhash", "left_semi").select("simhash", "label"), distance))
+        if more.isEmpty():
+            return out
+        edges = edges.unionByName(more)
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4) -> DataFrame:
     """For each row: doc_id (``key``), simhash and component_id, the smallest doc_id linked to it, itself included."""
     marked = cut(fingerprints(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", shingle, keep=["doc_id"]))
     nameless = F.lit(NAMELESS) + F.shiftrightunsigned("simhash", 2)
     classes = cut(marked.groupBy("simhash").agg(F.min("doc_id").alias("node")).select("simhash", F.coalesce("node", nameless).alias("node")))
-    found = cut(links(classes, distance).distinct())
-    named = classes.withColumnRenamed("simhash", "a").withColumnRenamed("node", "u")
-    other = classes.withColumnRenamed("simhash", "b").withColumnRenamed("node", "v")
-    labels = components(found.join(named, "a").join(other, "b").select("u", "v"))
-    joined = cut(classes.join(labels.withColumnRenamed("u", "node"), "node", "left").select("simhash", F.coalesce("label", "node").alias("component")))
+    joined = labelled(classes, distance).select("simhash", F.col("label").alias("component"))
     component = F.when(F.col("component") < NAMELESS, F.col("component"))
     return marked.join(joined, "simhash").select("doc_id", "simhash", component.alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """``df`` with one document of each component, that with the smallest ``key``; rows without a key stay."""
+    """``df`` with one document of each component, that with the smallest ``key``; of rows that share it the one with the least text, then the least other columns. Rows without a key stay."""
     kept = near_duplicates(df, text, key, shingle, distance).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    one = df.join(kept, key, "left_semi").dropDuplicates([key])
-    return one.unionByName(df.where(F.col(key).isNull()))
+    order = [F.col(f"`{c}`") for c, kind in [(text, ""), *df.dtypes] if c != key and not kind.startswith("map")]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    one = df.join(kept, key, "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
+    return one.select(*df.columns).unionByName(df.where(F.col(key).isNull()))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 from strideframe.llm import simhash
 
 
@@ -58,11 +59,43 @@ def test_links_within_four_bits(spark):
             flips = rng.choice(64, int(rng.integers(1, 7)), replace=False)
             values.add(int(np.int64(np.uint64(v & (1 << 64) - 1) ^ np.uint64(sum(1 << int(f) for f in flips)))))
     values = sorted(values)
-    found = {tuple(r) for r in simhash.links(spark.createDataFrame([(v,) for v in values], "simhash long")).collect()}
+    df = spark.createDataFrame([(v,) for v in values], "simhash long")
+    found = {tuple(r) for r in simhash.links(df, *simhash.crowds(df)).collect()}
     bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
     assert found == {(a, b) for a in values for b in values if a < b and bits(a, b) <= 4}
 
 
+def flipped(value, rng, most):
+    return value ^ sum(1 << int(f) for f in rng.choice(64, int(rng.integers(1, most + 1)), replace=False))
+
+
+def test_crowded_cells_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 12)]
+    values = {flipped(b, rng, 6) for b in base for _ in range(20)} | {flipped(base[0], rng, 3) for _ in range(150)}
+    chain = base[1]
+    for _ in range(60):  # each within four bits of the one before
+        chain = flipped(chain, rng, 4)
+        values.add(chain)
+    signed = {v: v - (1 << 64) if v >> 63 else v for v in values}
+    nodes = {v: i for i, v in enumerate(sorted(values))}
+    classes = spark.createDataFrame([(signed[v], i) for v, i in nodes.items()], "simhash long, node long").cache()
+    for distance, crowd in ((4, 64), (4, 1), (3, 4)):
+        truth = least_reachable([(i, j) for a, i in nodes.items() for b, j in nodes.items() if i < j and (a ^ b).bit_count() <= distance], nodes.values())
+        assert {r.node: r.label for r in simhash.labelled(classes, distance, crowd).collect()} == truth
+
+
+def test_pairs_of_a_group_of_near_copies_dont_grow_with_its_square(spark):
+    rng = np.random.default_rng(6)
+    base, made = int(rng.integers(0, 1 << 62)), {}
+    for n in (300, 1200):
+        values = sorted({flipped(base, rng, 2) for _ in range(n)})
+        df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "simhash long")
+        made[len(values)] = simhash.links(df, *simhash.crowds(df)).count()
+    (n, few), (m, many) = sorted(made.items())
+    assert many / m <= few / n < simhash.CROWD
+
+
 def test_components_of_chains_and_rings(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randint(1000, 1300), rng.randint(1000, 1300)) for _ in range(120)] + [(5, 5)]
@@ -78,3 +111,5 @@ def test_odd_rows(odd):
     kept = simhash.drop_near_duplicates(odd).collect()
     assert sum(r.doc_id == 3 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 2
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
+    twice = odd.where("doc_id = 4").union(odd.where("doc_id = 4").withColumn("text", F.lit("a lesser text")))
+    assert [r.text for r in simhash.drop_near_duplicates(twice.repartition(3)).collect()] == ["a lesser text"]
