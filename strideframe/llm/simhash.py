@@ -159,14 +159,15 @@ def components(edges: DataFrame) -> DataFrame:
     least of them all. The edges, which soon are one for each node, stop changing as a
     star around the smallest node of each component.
     """
+    with_own = lambda e: e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), "v"))).alias("e")).select("e.u", "e.v")
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
-            return now.select("u", F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("label")).distinct())
+            return with_own(now).select("u", F.col("v").alias("label")).distinct()
         seen = mark
-        least = now.select("u", "v").union(now.select("v", "v")).groupBy("u").agg(F.min("v").alias("m"))
+        least = with_own(now).groupBy("u").agg(F.min("v").alias("m"))
         large = cut(now.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
