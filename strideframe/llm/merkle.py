@@ -1,9 +1,10 @@
 """Operator 8: document fingerprints as Merkle trees over sections, paragraphs and sentences.
 
-Sections are parted by blank lines, paragraphs by line ends, and a paragraph's
-leaves are its sentences, cut at LEAF_CHARS where no sentence ends. A node is the
-SHA-256 of its children's digests, so equal roots mean equal trees and a walk down
-the branches that differ finds an edit. All of it is DataFrame functions.
+A section goes up to and with the blank lines after it, a paragraph up to and with its
+line ends, and a paragraph's leaves are its clauses and sentences, cut at LEAF_CHARS
+where none ends. Separators stay in the leaves, which joined give back the text: texts
+that differ have different roots. A node is the SHA-256 of its children's digests, so a
+walk down the branches that differ finds an edit. All of it is DataFrame functions.
 
 Defined cases: a null text is an empty one; two texts without leaves in common have
 likeness 0, two empty ones 1; rows that share a doc_id are one place in the order,
@@ -18,21 +19,27 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-LEAF_CHARS = 160
+LEAF_CHARS = 80
+#: Each character of what they are applied to is in one match.
+SECTION = r"[\s\S]+?(?:\n[ \t\r]*\n[ \t\r\n]*|\z)"
+PARAGRAPH = r"[^\n]+\n*|\n+"
+LEAF = rf"[\s\S]{{1,{LEAF_CHARS - 1}}}?(?:[.!?,;:](?=\s)|\z)|[\s\S]{{{LEAF_CHARS}}}"
 #: Hex digits of a leaf's digest, and of those that a fingerprint holds.
 DIGEST, SHORT = 32, 8
 #: doc_ids are above this; rows without one get numbers from here down.
 NUMBERED = -(1 << 62)
 
 
-def tree(text: Column) -> Column:
-    """Sections, each an array of paragraphs, each an array of its leaves' digests."""
-    pattern = F.lit(rf"[\s\S]{{1,{LEAF_CHARS}}}?(?:[.!?](?=\s)|\z)|[\s\S]{{{LEAF_CHARS}}}")
+def pieces(text: Column) -> Column:
+    """Sections, each an array of paragraphs, each an array of its leaves."""
+    parts = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    return F.transform(parts(text, SECTION), lambda s: F.transform(parts(s, PARAGRAPH), lambda p: parts(p, LEAF)))
 
-    def paragraph(p: Column) -> Column:
-        return F.transform(F.regexp_extract_all(p, pattern, F.lit(0)), lambda leaf: F.left(F.sha2(leaf, 256), F.lit(DIGEST)))
 
-    return F.transform(F.split(text, r"\n[ \t\r]*\n"), lambda s: F.transform(F.split(s, "\n"), paragraph))
+def tree(text: Column) -> Column:
+    """The same with the leaves' digests."""
+    digests = lambda leaves_: F.transform(leaves_, lambda x: F.left(F.sha2(x, 256), F.lit(DIGEST)))
+    return F.transform(pieces(text), lambda s: F.transform(s, digests))
 
 
 def node(children: Column) -> Column:

@@ -26,11 +26,81 @@ def test_roots_test_equality_and_branches_locate_edits(documents):
     assert same == []
 
 
-def test_whole_text_is_in_the_tree(documents):
-    text = "word " * 500 + "x" * 1000 + "end. \n\n\n \n tail\n"
-    pieces = documents([(1, text)]).select(F.flatten(F.transform(F.split("text", r"\n[ \t\r]*\n"), lambda s: F.flatten(F.transform(F.split(s, "\n"), lambda p: F.regexp_extract_all(p, F.lit(r"[\s\S]{1,160}?(?:[.!?](?=\s)|\z)|[\s\S]{160}"), F.lit(0)))))).alias("p")).first().p
-    assert "".join(pieces) == text.replace("\n", "").replace("end.  ", "end. ") or "".join(pieces).replace(" ", "") == text.replace("\n", "").replace(" ", "")
-    assert all(len(p) <= 160 for p in pieces)
+def plain_tree(text):
+    """Sections, paragraphs and leaves by a walk over the characters."""
+    sections, at = [], 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text):
+            if text[end] == "\n":
+                after = end + 1
+                while after < len(text) and text[after] in " \t\r":
+                    after += 1
+                if after < len(text) and text[after] == "\n":
+                    end = after + 1
+                    while end < len(text) and text[end] in " \t\r\n":
+                        end += 1
+                    break
+            end += 1
+        sections.append(text[at:end])
+        at = end
+    out = []
+    for section in sections:
+        paragraphs = []
+        for c in section:
+            if not paragraphs or (paragraphs[-1].endswith("\n") and c != "\n"):
+                paragraphs.append("")
+            paragraphs[-1] += c
+        cut = []
+        for p in paragraphs:
+            found, leaf = [], ""
+            for i, c in enumerate(p):
+                leaf += c
+                if len(leaf) == merkle.LEAF_CHARS or len(leaf) > 1 and c in ".!?,;:" and p[i + 1 : i + 2].isspace():
+                    found.append(leaf)
+                    leaf = ""
+            cut.append(found + [leaf] * bool(leaf))
+        out.append(cut)
+    return out
+
+
+def digest(x, n=64):
+    return hashlib.sha256(x.encode()).hexdigest()[:n]
+
+
+def plain_fingerprint(text):
+    found = plain_tree(text)
+    nodes = ["".join(digest("".join(digest(x, 32) for x in p)) for p in s) for s in found]
+    leaves = [digest(x, 8) for s in found for p in s for x in p]
+    return digest("".join(map(digest, nodes))) + ":" + "".join(leaves), set(leaves)
+
+
+def likeness(a, b):
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+TEXTS = ["One. Two.\n\nThree.", "One. Two.\n \t\nThree.", "One. Two.\n\r\nThree.", "One. Two.\n\n\nThree.", "\n\n a, b; c\n\n", "", "\n", "word " * 100 + "end. \n\n\n \n tail, it is: so\n", "x" * 500, "no mark\nat all", "ü" * 79 + ". " + "é" * 81 + ", z", "The cat sat, the dog ran. " * 8]
+
+
+def test_tree_root_and_likeness_against_a_plain_walk(documents):
+    rows = [(i + 1, t) for i, t in enumerate(TEXTS)]
+    got = {r.doc_id: r.p for r in documents(rows).select("doc_id", merkle.pieces(F.col("text")).alias("p")).collect()}
+    assert all("".join(x for s in got[i] for p in s for x in p) == t for i, t in rows)
+    assert all(len(x) <= merkle.LEAF_CHARS for p in got.values() for s in p for q in s for x in q)
+    found = {r.doc_id: r for r in merkle.compare_with_edits(documents(rows)).collect()}
+    assert len({r.fingerprint for r in found.values()}) == len(TEXTS)
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        (own, leaves), (other, edited_leaves) = plain_fingerprint(t), plain_fingerprint(edited)
+        assert got[i] == plain_tree(t), t
+        assert (found[i].fingerprint, found[i].edited_fingerprint) == (own, other), t
+        assert abs(found[i].near_edited - likeness(leaves, edited_leaves)) < 1e-12 and abs(found[i].near_next - likeness(leaves, plain_fingerprint(after)[1])) < 1e-12
+
+
+def test_many_blank_lines_and_long_lines(documents):
+    rows = [(1, "\n" * 200_000), (2, " \n" * 100_000), (3, "a. " * 100_000), (4, "\n" + " " * 200_000)]
+    assert merkle.fingerprints(documents(rows)).where("length(fingerprint) > 64").count() == 4
 
 
 def test_odd_rows(odd):
