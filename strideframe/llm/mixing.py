@@ -4,7 +4,9 @@ Each source's documents, in an order shuffled by a hash, are one stream of words
 into blocks of equal length; the stream runs through the source at most twice. Slot i
 of the mix lies at the fractional part of i times the golden ratio. The point falls
 into a source's share of the cumulated targets, and the source's j-th slot takes its
-j-th block. A document's share of the mix is what its words have in taken blocks.
+j-th block. A document's share of the mix is what its words have in taken blocks. As
+blocks are taken in their order, what a source gives is its stream's beginning: whole
+documents, and of the last one its first words.
 
 Running sums are made in two levels (groups, then within a group), so that a source
 with most of the rows is not summed in one task. All of it is DataFrame functions.
@@ -25,8 +27,8 @@ from .common import WORD_PATTERN, cut, without
 
 WEIGHTS = (3, 1, 2)
 #: The points' circle, and an odd number next to its golden section.
-CIRCLE = 1 << 31
-GOLDEN = 1327217885
+CIRCLE = 1 << 48
+GOLDEN = 173961102589771
 CELLS = 4096
 #: Up to so many sources, their table (some hundred bytes each) is sent to every task.
 BROADCAST_SOURCES = 10_000
@@ -60,6 +62,13 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return full.select("source", "number", "source_size", target.alias("target"))
 
 
+def golden_point(slot: Column) -> Column:
+    """``slot`` times GOLDEN on the circle, from products of 24 bits that don't overflow."""
+    half, low = 1 << 24, lambda c: c.bitwiseAND(F.lit((1 << 24) - 1))
+    at, g1, g0 = slot % CIRCLE, GOLDEN >> 24, GOLDEN % half
+    return (low(at) * g0 + low(low(at) * g1 + F.shiftright(at, 24) * g0) * half) % CIRCLE
+
+
 def schedule(sources: DataFrame, block: int, maybe_broadcast) -> DataFrame:
     """The mix's slots: number of the source, rank of the slot within it from 0, and slot."""
     total = sources.agg(F.sum("target")).first()[0] or 0.0
@@ -72,7 +81,7 @@ def schedule(sources: DataFrame, block: int, maybe_broadcast) -> DataFrame:
         .where("low < high")
         .withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor((F.col("high") - 1) / cell))))
     )
-    point = (F.col("id") % CIRCLE) * GOLDEN % CIRCLE
+    point = golden_point(F.col("id"))
     slots = sources.sparkSession.range(n).select(F.col("id").alias("slot"), point.alias("point"), F.floor(point / cell).alias("cell"))
     placed = slots.join(maybe_broadcast(shares), "cell").where("point >= low and point < high")
     chunk = max(4096, math.isqrt(n))
@@ -126,7 +135,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
 
 
 def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", chars: str = "n_chars", **options) -> DataFrame:
-    """The mix as documents: a row for each whole time that a document is taken, and one with its first words for what remains.
+    """The mix as documents: a row for each whole time that a document is taken, and one with the words that are taken besides, which are its first ones.
 
     Each row of ``df`` is a document of its own, whether or not others share its ``key``; the columns are those of ``df``.
     """
@@ -138,8 +147,8 @@ def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", k
     times = F.floor(F.col("__taken") / F.col("__size"))
     rest = (F.col("__taken") % F.col("__size")).cast("int")
     parts = F.concat(F.array_repeat(F.lit(0), times.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut_text = F.when(F.col("__part") == 0, F.col(text)).otherwise(F.array_join(F.slice(words, 1, F.greatest("__part", F.lit(1))), " "))
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0))  # with the white space before them
+    cut_text = F.when(F.col("__part") == 0, F.col(text)).otherwise(F.array_join(F.slice(words, 1, F.greatest("__part", F.lit(1))), ""))
     out = joined.withColumn("__part", F.explode(parts)).withColumn(text, cut_text)
     if chars in df.columns:
         out = out.withColumn(chars, F.length(text).cast("long"))

@@ -39,21 +39,34 @@ def test_mix_meets_targets(documents):
     assert {(r.doc_id, r.taken) for r in found} == {(r.doc_id, r.taken) for r in again}
 
 
-def test_golden_points_are_spread():
-    points = sorted(i * mixing.GOLDEN % mixing.CIRCLE for i in range(1000))
+def test_golden_points_are_spread(spark):
+    slots = [*range(1000), (1 << 40) + 12345, (1 << 48) - 1, 1 << 50]
+    found = [r.p for r in spark.createDataFrame([(i,) for i in slots], "id long").select(mixing.golden_point(F.col("id")).alias("p")).collect()]
+    assert found == [i * mixing.GOLDEN % mixing.CIRCLE for i in slots]
+    points = sorted(found[:1000])
     gaps = [b - a for a, b in zip(points, points[1:])]
     assert max(gaps) < 3 * mixing.CIRCLE / 1000 and mixing.GOLDEN % 2 == 1
 
 
 def test_mixed_documents_hold_what_was_taken(documents):
     rng = random.Random(2)
-    df = documents([(i, " ".join(f"w{k}" for k in range(rng.randint(1, 80))), f"s{i % 3}") for i in range(200)])
+    df = documents([(i, "\n ".join(f"w{k}" for k in range(rng.randint(1, 80))), f"s{i % 3}") for i in range(200)])
     taken = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
     mixed = mixing.mixed_documents(df)
     assert mixed.columns == df.columns
     words = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
     assert words == {i: n for i, n in taken.items() if n}
     assert mixed.where(F.length("text") != F.col("n_chars")).count() == 0
+    # A source gives its stream's beginning: of one document at most it gives a part, which is the text's beginning.
+    parts = mixed.join(df.select("doc_id", F.col("text").alias("whole")), "doc_id").where("text <> whole").collect()
+    assert len({r.source for r in parts}) == len(parts) and all(r.whole.startswith(r.text) for r in parts)
+
+
+def test_a_tiny_share_is_met(documents):
+    tiny, most = 40, 3_000_000
+    sizes = documents([(1, None, "a"), (2, None, "b")]).select("doc_id", "source", F.when(F.col("source") == "b", tiny).otherwise(most).cast("long").alias("size"), F.col("doc_id").alias("row"))
+    found = {r.source: r for r in mixing._taken(sizes).collect()}
+    assert abs(found["b"].taken - found["b"].target) <= 64 and found["b"].target == 80
 
 
 def test_rows_without_or_with_one_id_are_documents_of_their_own(documents):
@@ -63,7 +76,7 @@ def test_rows_without_or_with_one_id_are_documents_of_their_own(documents):
     assert 0 < sum(taken.values()) and len({t / n for n, t in taken.items()}) > 1
     emitted = defaultdict(list)
     for r in mixing.mixed_documents(df).collect():
-        words = r.text.split(" ")
+        words = r.text.split()
         n = int(words[0].split("x")[0])
         assert words == [f"{n}x{k}" for k in range(len(words))] and n in sizes[r.doc_id]
         emitted[n].append(len(words))
