@@ -57,8 +57,7 @@ def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, index = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.read_archives(spark, folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(warc.archive(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

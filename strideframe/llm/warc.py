@@ -4,8 +4,10 @@ A task writes its records to bundles. A bundle is a series of independent frames
 each of some records, and ends with a seek table in a skippable frame (the layout
 of the public seekable format: for each frame its compressed and decompressed
 size, then the number of frames, a descriptor and a magic number). The index maps a
-record to its bundle, frame and place within the frame, so one record is read by
-decompressing one frame.
+record to its bundle, frame and place within the frame. Reading goes by the index: the
+seek table at a bundle's end gives the frame's offset, and that frame alone is fetched
+and decompressed. A revisit's length and digest are those of the response that it
+refers to, as read back.
 
 Records with equal payloads are found by digest before anything is written: the
 least page_id of a group is the response, the others revisit it.
@@ -25,14 +27,15 @@ import posixpath
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, on_workers, shared_dir
+from .common import ROWS, cut, on_workers, shared_dir
 
 #: Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -63,23 +66,23 @@ RECORDS = T.StructType([
 ])
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """Rows that share a page_id have records of their own, told apart by the digest."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest}>"
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit has no payload, but its digest and length."""
+    """One WARC record; a revisit has no payload, but its digest."""
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {' '.join(url.split())}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"WARC-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
+        lines += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Profile: {REVISIT_PROFILE}"]
     block = payload if refers_to is None else b""
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + HEADER_END + block + HEADER_END
@@ -93,7 +96,7 @@ def parse(data: bytes | memoryview) -> tuple[dict[str, str], bytes]:
 
 
 def _number(name: str | None) -> int | None:
-    value = None if name is None else name.removeprefix("<urn:page:").removesuffix(">")
+    value = None if name is None else name.removeprefix("<urn:page:").split(":")[0]
     return None if value in (None, "none") else int(value)
 
 
@@ -130,34 +133,59 @@ class Bundle:
         return b"".join([*self.frames, struct.pack("<II", SKIPPABLE_MAGIC, len(table)), table])
 
 
-def seek_table(data: bytes) -> list[tuple[int, int, int]]:
+def seek_table(file: BinaryIO) -> list[tuple[int, int, int]]:
     """Each frame's offset, compressed and decompressed size, from the end of a bundle."""
-    n, _, magic = struct.unpack("<IBI", data[-9:])
+    size = file.seek(0, 2)
+    file.seek(max(0, size - 9))
+    n, _, magic = struct.unpack("<IBI", file.read(9))
     if magic != SEEKABLE_MAGIC:
         raise ValueError("no seek table")
-    sizes = struct.iter_unpack("<II", data[len(data) - 9 - 8 * n : len(data) - 9])
+    file.seek(size - 9 - 8 * n)
     out, at = [], 0
-    for packed, full in sizes:
+    for packed, full in struct.iter_unpack("<II", file.read(8 * n)):
         out.append((at, packed, full))
         at += packed
     return out
 
 
-def read_frame(data: bytes, frame: tuple[int, int, int]) -> bytes:
+def read_frame(file: BinaryIO, frame: tuple[int, int, int]) -> bytes:
+    """A frame's records; nothing else of the bundle is read."""
     at, packed, full = frame
-    return zstandard.ZstdDecompressor().decompress(data[at : at + packed], max_output_size=max(full, 1))
+    file.seek(at)
+    return zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=max(full, 1))
 
 
-def read_record(data: bytes, frame: int, place: int, size: int) -> tuple[dict[str, str], bytes]:
-    """One record of a bundle, by its entry in the index; only its frame is decompressed."""
-    return parse(read_frame(data, seek_table(data)[frame])[place : place + size])
+class Reader:
+    """Records by their entries in the index; the last bundle and the last frame stay open."""
 
+    def __init__(self) -> None:
+        self.bundle: str | None = None
+        self.frame = -1
 
-def _store(folder: str, name: str, data: bytes) -> str:
-    """Puts a file into a shared folder, which may be on any file system that Arrow knows."""
+    def __call__(self, bundle: str, frame: int, place: int, size: int) -> tuple[dict[str, str], bytes]:
+        if bundle != self.bundle:
+            self.file = _open(bundle)
+            self.frames = seek_table(self.file)
+            self.bundle, self.frame = bundle, -1
+        if frame != self.frame:
+            self.data, self.frame = read_frame(self.file, self.frames[frame]), frame
+        return parse(self.data[place : place + size])
+
+
+def _system(path: str):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def _open(path: str) -> BinaryIO:
+    system, at = _system(path)
+    return system.open_input_file(at)
+
+
+def _store(folder: str, name: str, data: bytes) -> str:
+    """Puts a file into a shared folder, which may be on any file system that Arrow knows."""
+    system, path = _system(folder)
     system.create_dir(path, recursive=True)
     at = posixpath.join(path, name)
     with system.open_output_stream(at + ".part") as out:
@@ -207,41 +235,43 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
     return cut(on_workers(marked).mapInArrow(run, INDEX))
 
 
-def read_archives(spark: SparkSession, folder: str, index: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records (``RECORDS``) of the bundles that ``index`` names, parsed from the files; a response's digest and length are of what was read."""
+def read_archives(index: DataFrame, payloads: bool = False) -> DataFrame:
+    """The records (``RECORDS``) that ``index`` names, each from its frame; a payload only where it is asked for, and of responses.
+
+    A revisit whose response ``index`` doesn't name has no length.
+    """
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader()
         for batch in batches:
-            for content in batch.column(0):
-                data = content.as_py()
-                for frame in seek_table(data):
-                    rows, raw, at = [], read_frame(data, frame), 0
-                    while at < len(raw):
-                        head = raw.index(HEADER_END, at)
-                        headers = dict(line.split(": ", 1) for line in raw[at:head].decode().split("\r\n")[1:])
-                        start = head + len(HEADER_END)
-                        block = raw[start : start + int(headers["Content-Length"])]
-                        at = start + len(block) + len(HEADER_END)
-                        kind = headers["WARC-Type"]
-                        size, digest = int(headers["WARC-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                        if kind == "response":
-                            size, digest = len(block), hashlib.sha256(block).hexdigest()
-                        rows.append((_number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], kind, _number(headers.get("WARC-Refers-To")), size, digest, block if payloads else None))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=RECORDS.fieldNames()
-                    )
-
-    names = index.select(F.element_at(F.split("bundle", "/"), -1).alias("name")).distinct()
-    if index.isEmpty():
-        return spark.createDataFrame([], RECORDS)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return on_workers(files.join(names, "name", "left_semi").select("content")).mapInArrow(run, RECORDS)
-
-
-def archive(pages: DataFrame, folder: str | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> tuple[str, DataFrame]:
-    """Writes ``pages`` as WARC bundles; the folder and the index."""
+            rows, held = [], 0
+            for entry in zip(*(c.to_pylist() for c in batch.columns)):
+                headers, block = read(*entry)
+                response = headers["WARC-Type"] == "response"
+                digest = hashlib.sha256(block).hexdigest() if response else headers["WARC-Payload-Digest"].removeprefix("sha256:")
+                rows.append((_number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], headers["WARC-Type"], _number(headers.get("WARC-Refers-To")), len(block) if response else None, digest, block if payloads else None))
+                held += len(block) if payloads else 0
+                if len(rows) == ROWS or held > BUNDLE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=RECORDS.fieldNames())
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=RECORDS.fieldNames())
+
+    entries = index.select("bundle", "frame", "place", "size").sortWithinPartitions("bundle", "frame", "place")
+    records = on_workers(entries).mapInArrow(run, T.StructType([*RECORDS.fields[:4], T.StructField("payload_bytes", T.LongType()), *RECORDS.fields[5:]]))
+    if not payloads:
+        records = cut(records)
+    responses, revisits = records.where("record_type = 'response'"), records.where("record_type = 'revisit'")
+    first = responses.select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("full"))
+    first = first.where("refers_to is not null").join(revisits.select("refers_to", "payload_digest").distinct(), ["refers_to", "payload_digest"], "left_semi").distinct()
+    found = revisits.join(first, ["refers_to", "payload_digest"], "left").withColumn("payload_bytes", F.col("full"))
+    return responses.unionByName(found.select(*RECORDS.fieldNames()))
+
+
+def archive(pages: DataFrame, folder: str | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Writes ``pages`` as WARC bundles and returns their index."""
     folder = folder or posixpath.join(shared_dir(pages.sparkSession), f"warc-{uuid.uuid4().hex}")
     payload = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b""))
     plain = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    return folder, write_archives(mark_revisits(plain), folder)
+    return write_archives(mark_revisits(plain), folder)
