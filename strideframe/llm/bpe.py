@@ -2,7 +2,8 @@
 
 Texts are split by class arrays and an associative scan (``pretokens``), the
 slices are merged through a bounded cache (``merging``), and ids keep the byte
-offset at which each token starts, so that a span of ids decodes to its span of text.
+offset at which each token starts. Decoding puts each token's bytes at its offset, and
+a span of ids decodes to its span of text.
 
 Defined cases: a null text is an empty one; an empty text has no ids, and its
 digests are those of no bytes; repeated rows are encoded each; a kept column with
@@ -57,10 +58,15 @@ def decode_ids(merger: Merger, ids: Sequence[int]) -> bytes:
     return b"".join(map(merger.table.__getitem__, ids))
 
 
-def token_offsets(merger: Merger, ids: Sequence[int]) -> np.ndarray:
-    """The byte at which each token starts."""
-    sizes = np.fromiter((len(merger.table[i]) for i in ids), np.int32, len(ids))
-    return np.cumsum(sizes, dtype=np.int32) - sizes
+def token_offsets(merger: Merger, ids: np.ndarray) -> np.ndarray:
+    """The byte at which each token starts, with the number of bytes last."""
+    return np.concatenate(([0], np.cumsum(merger.sizes[ids])))
+
+
+def decode_at(merger: Merger, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+    """The bytes of these ids, each token's put where it starts."""
+    where = np.repeat(merger.places[ids] - offsets[:-1], np.diff(offsets))
+    return merger.bytes[where + np.arange(offsets[-1])].tobytes()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -81,18 +87,18 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", outputs: Sequence
             texts = [t or "" for t in column.to_pylist()]
             made: dict[str, list] = {k: [] for k in outputs}
             for a, b in chunks([len(t) for t in texts], CHUNK):
-                for packed in encode_texts(cache, texts[a:b]):
+                for ids in encode_texts(cache, texts[a:b]):
+                    offsets = token_offsets(merger, ids)
                     if "token_ids" in wanted:
-                        made["token_ids"].append(packed)
-                    ids = packed.tolist()
+                        made["token_ids"].append(ids)
                     if "token_offsets" in wanted:
-                        made["token_offsets"].append(token_offsets(merger, ids))
+                        made["token_offsets"].append(offsets[:-1].astype(np.int32))
                     if "n_tokens" in wanted:
                         made["n_tokens"].append(len(ids))
                     if "ids_sha256" in wanted:
-                        made["ids_sha256"].append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                        made["ids_sha256"].append(hashlib.sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest())
                     if "decoded_sha256" in wanted:
-                        made["decoded_sha256"].append(hashlib.sha256(decode_ids(merger, ids)).hexdigest())
+                        made["decoded_sha256"].append(hashlib.sha256(decode_at(merger, ids, offsets)).hexdigest())
             lists = {"token_ids", "token_offsets"}
             return [_lists(made[k]) if k in lists else pa.array(made[k], pa.int64() if k == "n_tokens" else pa.string()) for k in outputs]
 

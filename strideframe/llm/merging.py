@@ -68,6 +68,10 @@ class Merger:
         self.table: list[bytes] = [b""] * (max(tokens.values()) + 1)
         for k, v in tokens.items():
             self.table[v] = k
+        #: All tokens' bytes one after another, and each one's size and place there.
+        self.bytes = np.frombuffer(b"".join(self.table), np.uint8)
+        self.sizes = np.fromiter(map(len, self.table), np.int64, len(self.table))
+        self.places = np.cumsum(self.sizes) - self.sizes
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each pre-token; they are merged side by side with others of like length."""

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -31,9 +32,20 @@ def test_encoding_matches_the_library(library):
     assert found == [library.encode_ordinary(t) for t in texts]
     merger = merging.rank_merger(RANKS)
     assert all(bpe.decode_ids(merger, ids) == t.encode() for ids, t in zip(found, texts))
-    for ids, t in zip(found[:50], texts):
-        offsets = bpe.token_offsets(merger, ids).tolist() + [len(t.encode())]
-        assert all(t.encode()[a:b] == merger.table[i] for i, a, b in zip(ids, offsets, offsets[1:]))
+    for ids, t in zip(found, texts):
+        numbers = np.array(ids, np.int32)
+        offsets = bpe.token_offsets(merger, numbers)
+        assert bpe.decode_at(merger, numbers, offsets) == t.encode()
+        assert all(t.encode()[a:b] == merger.table[i] for i, a, b in zip(ids, offsets.tolist(), offsets.tolist()[1:]))
+
+
+def test_every_code_point_is_split_as_the_library_does(library):
+    cache = bpe.pieces_cache(RANKS)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for before, after in (("a", "a"), ("1", "1"), ("-", "-")):
+        for i in range(0, len(points), 5000):
+            text = " ".join(before + chr(c) + after for c in points[i : i + 5000])
+            assert bpe.encode_texts(cache, [text])[0].tolist() == library.encode_ordinary(text), (before, i)
 
 
 def test_scan_states_are_few():
