@@ -1,32 +1,82 @@
-"""A compressed FM-index over words: suffixes sorted to a depth, the Burrows-Wheeler transform in a wavelet matrix."""
+"""A compressed FM-index over words, and the matching statistics of streams against it.
+
+The Burrows-Wheeler transform lies in a wavelet matrix, which is packed bits. For each
+length up to a depth packed bits mark the rows whose suffix shares fewer words than that
+with the row before. They take the place of the suffix array and of the lengths of
+common prefixes, which the index doesn't keep.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+_ONE = np.uint64(1)
+
+
+class Bits:
+    """A packed bit vector with ranks and neighbours of set bits, many at a time."""
+
+    def __init__(self, flags: np.ndarray) -> None:
+        n_words = len(flags) // 64 + 1
+        self.packed = np.zeros(n_words, np.uint64)
+        raw = np.packbits(flags, bitorder="little")
+        self.packed.view(np.uint8)[: len(raw)] = raw
+        self.before = np.zeros(n_words, np.uint32)
+        np.cumsum(np.bitwise_count(self.packed[:-1]), out=self.before[1:], dtype=np.uint32)
+        self.size = len(flags)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Set bits before each place."""
+        word = at >> 6
+        below = (_ONE << (at & 63).astype(np.uint64)) - _ONE
+        return self.before[word].astype(np.int64) + np.bitwise_count(self.packed[word] & below)
+
+    def with_neighbours(self) -> Bits:
+        """Also notes, for each packed word, the nearest one before (after) it that has a bit."""
+        some, at = self.packed != 0, np.arange(len(self.packed), dtype=np.int32)
+        self.last = np.maximum.accumulate(np.where(some, at, -1)).astype(np.int32)
+        self.next = np.minimum.accumulate(np.where(some, at, len(at))[::-1])[::-1].astype(np.int32)
+        return self
+
+    def at_or_before(self, at: np.ndarray) -> np.ndarray:
+        """The last set bit up to each place; the first bit is set."""
+        word = at >> 6
+        held = self.packed[word] & (~np.uint64(0) >> (np.uint64(63) - (at & 63).astype(np.uint64)))
+        away = held == 0
+        word = np.where(away, self.last[np.maximum(word - 1, 0)], word)
+        held = np.where(away, self.packed[word], held)
+        for k in (1, 2, 4, 8, 16, 32):
+            held |= held >> np.uint64(k)
+        return (word.astype(np.int64) << 6) + np.bitwise_count(held) - 1
+
+    def after(self, at: np.ndarray) -> np.ndarray:
+        """The first set bit after each place, or the size."""
+        place = at + 1
+        word = place >> 6
+        held = self.packed[np.minimum(word, len(self.packed) - 1)] & (~np.uint64(0) << (place & 63).astype(np.uint64))
+        away = held == 0
+        word = np.where(away, self.next[np.minimum(word + 1, len(self.next) - 1)], word)
+        none = away & ((word >= len(self.packed)) | ((place >> 6) + 1 >= len(self.packed)))
+        held = np.where(away, self.packed[np.minimum(word, len(self.packed) - 1)], held)
+        low = np.bitwise_count((held & (~held + _ONE)) - _ONE)
+        return np.where(none, self.size, (word.astype(np.int64) << 6) + low)
+
 
 class WaveletMatrix:
     """Ranks of symbols in a sequence, from one packed bit vector for each bit of a symbol."""
 
     def __init__(self, sequence: np.ndarray, symbols: int) -> None:
         self.levels = []
-        seq = sequence.astype(np.int64)
+        seq = sequence.astype(np.int32)
         for bit in range(max(1, int(symbols - 1).bit_length()) - 1, -1, -1):
             ones = (seq >> bit & 1).astype(bool)
-            packed = np.zeros(len(seq) // 64 + 1, np.uint64)
-            raw = np.packbits(ones, bitorder="little")
-            packed.view(np.uint8)[: len(raw)] = raw
-            before = np.zeros(len(packed), np.int64)
-            np.cumsum(np.bitwise_count(packed[:-1]), out=before[1:], dtype=np.int64)
-            self.levels.append((bit, packed, before, len(seq) - int(ones.sum())))
+            self.levels.append((bit, Bits(ones), len(seq) - int(ones.sum())))
             seq = np.concatenate((seq[~ones], seq[ones]))
         self.origin = self._place(np.arange(symbols), np.zeros(symbols, np.int64))
 
     def _place(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for bit, packed, before, zeros in self.levels:
-            word = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = before[word] + np.bitwise_count(packed[word] & below)
+        for bit, bits, zeros in self.levels:
+            ones = bits.rank(at)
             at = np.where(symbols >> bit & 1, zeros + ones, at - ones)
         return at
 
@@ -46,49 +96,29 @@ def _later(a: np.ndarray, k: int) -> np.ndarray:
 
 
 class FmIndex:
-    """Over ``words``, numbers from 1 with 0 between pieces. Intervals of up to ``depth`` words are exact.
+    """Over ``words``, numbers from 1 with 0 after each piece; ``owner`` is a number for each of them.
 
-    Rows are suffixes sorted by their first ``depth`` words or more. ``floor`` and
-    ``ceiling`` widen an interval to all rows that share depth - 1 words, so that a
-    match can drop its last word.
+    ``least`` has, for each group of rows that share ``depth`` words, the least owner of
+    their first words.
     """
 
-    def __init__(self, words: np.ndarray, symbols: int, depth: int) -> None:
-        self.depth = depth
-        ranks, length, by_length = words.astype(np.int64), 1, {}
-        while True:
-            by_length[length] = ranks
-            if length >= depth:
-                break
+    def __init__(self, words: np.ndarray, symbols: int, depth: int, owner: np.ndarray) -> None:
+        self.depth, self.symbols, self.size = depth, symbols, len(words)
+        ranks, length = words.astype(np.int64), 1
+        while length < depth:
             ranks = _pair(ranks, _later(ranks, length)) if length < len(ranks) else ranks
             length *= 2
-        self.rows = np.argsort(ranks, kind="stable")
-        self.wavelet = WaveletMatrix(words[self.rows - 1], symbols)  # before the first word comes the last
+        rows = np.argsort(ranks, kind="stable")
+        self.wavelet = WaveletMatrix(words[rows - 1], symbols)  # before the first word comes the last
         counts = np.bincount(words, minlength=symbols)
         self.first = np.cumsum(counts) - counts
-        short = self._edges(by_length, depth - 1)
-        ends = np.append(short[1:], len(words))
-        group = np.zeros(len(words), np.int64)
-        group[short[1:]] = 1
-        group = np.cumsum(group)
-        self.floor, self.ceiling = short[group], ends[group]
-        self.starts = self._edges(by_length, depth)
-        member = np.zeros(len(words), np.int64)
-        member[self.starts[1:]] = 1
-        self.group = np.cumsum(member)
-
-    def _edges(self, by_length: dict[int, np.ndarray], length: int) -> np.ndarray:
-        """The first row of each group that shares ``length`` words."""
-        changes, at = np.zeros(len(self.rows), bool), 0
-        changes[:1] = True
-        for size in sorted(by_length, reverse=True):
-            while at + size <= length:
-                ranks = by_length[size]
-                here = ranks if at == 0 else _later(ranks, at) if at < len(ranks) else np.zeros_like(ranks)
-                ordered = here[self.rows]
-                changes[1:] |= ordered[1:] != ordered[:-1]
-                at += size
-        return np.flatnonzero(changes)
+        padded = np.concatenate((words, np.zeros(depth, words.dtype)))
+        same, self.marks = np.ones(max(len(rows) - 1, 0), bool), []
+        for k in range(depth):
+            here = padded[rows + k]
+            same &= here[1:] == here[:-1]
+            self.marks.append(Bits(np.concatenate((np.ones(min(1, len(rows)), bool), ~same))).with_neighbours())
+        self.least = np.minimum.reduceat(owner[rows], np.flatnonzero(np.concatenate(([True], ~same)))) if len(rows) else owner
 
     def step(self, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each interval with a word put before its match."""
@@ -96,43 +126,53 @@ class FmIndex:
         both = self.wavelet.rank(np.concatenate((words, words)), np.concatenate((low, high)))
         return self.first[words] + both[:n], self.first[words] + both[n:]
 
-    def matching_groups(self, stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """For pieces of a stream of words: at each place the group of rows that match ``depth`` words from there, or -1.
-
-        All pieces are read from their ends at once. The state of each is its match's
-        interval and length; a match of full depth drops its last word before the next
-        step, and one that can't go on starts anew. A window that such a break may have
-        hidden is then looked up by itself.
+    def widened(self, low: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of all rows that share the first ``length`` words of the row ``low``."""
+        a, b = np.zeros(len(low), np.int64), np.full(len(low), self.size, np.int64)
+        for k in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == k)
+            a[own], b[own] = self.marks[k - 1].at_or_before(low[own]), self.marks[k - 1].after(low[own])
+        return a, b
+
+    def matching(self, stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of pieces of a stream of words (unknown ones are negative).
+
+        For each place the length of the longest match that begins there, up to the
+        depth, and the group in ``least`` of those of full depth, or -1. All pieces are
+        read from their ends at once. A match that can't take the next word drops its
+        last ones, as many as need be, and no more.
         """
-        out = np.full(len(stream), -1, np.int64)
-        n_rows = len(self.rows)
-        low, high, length = np.zeros(len(sizes), np.int64), np.full(len(sizes), n_rows, np.int64), np.zeros(len(sizes), np.int64)
+        found_length, found_group = np.zeros(len(stream), np.uint8), np.full(len(stream), -1, np.int64)
+        if not self.size:
+            return found_length, found_group
         order = np.argsort(-sizes, kind="stable")
         starts, sizes = starts[order], sizes[order]
+        low, high, length = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.size, np.int64), np.zeros(len(sizes), np.int64)
         for back in range(int(sizes.max(initial=0))):
             live = int(np.searchsorted(-sizes, -back, "left"))  # those longer than ``back``
             at = starts[:live] + sizes[:live] - 1 - back
+            word = stream[at]
             lo, hi, ln = low[:live], high[:live], length[:live]
-            full = ln == self.depth
-            lo, hi = np.where(full, self.floor[np.minimum(lo, n_rows - 1)], lo), np.where(full, self.ceiling[np.minimum(lo, n_rows - 1)], hi)
-            ln = ln - full
-            new_lo, new_hi = self.step(stream[at], lo, hi)
-            lost = new_lo >= new_hi
-            ln = np.where(lost, 0, ln + 1)
-            lo, hi = np.where(lost, 0, new_lo), np.where(lost, n_rows, new_hi)
-            done = np.flatnonzero(ln == self.depth)
-            out[at[done]] = self.group[lo[done]]
-            low[:live], high[:live], length[:live] = lo, hi, ln
-        counts = np.maximum(sizes - self.depth + 1, 0)
-        windows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
-        hidden = windows[out[windows] < 0]
-        out[hidden] = self.search(stream, hidden)
-        return out
-
-    def search(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The group of rows that match the ``depth`` words from each place, or -1."""
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.rows), np.int64)
-        for k in range(self.depth - 1, -1, -1):
-            low, high = self.step(stream[at + k], low, high)
-            high = np.maximum(low, high)
-        return np.where(low < high, self.group[np.minimum(low, len(self.rows) - 1)], -1)
+            ln[word < 0] = 0
+            full = np.flatnonzero((ln == self.depth) & (word >= 0))
+            ln[full] -= 1
+            lo[full], hi[full] = self.widened(lo[full], ln[full])
+            todo = np.flatnonzero(word >= 0)
+            while len(todo):
+                a, b = self.step(word[todo], lo[todo], hi[todo])
+                good = a < b
+                done = todo[good]
+                lo[done], hi[done] = a[good], b[good]
+                ln[done] += 1
+                todo = todo[~good]
+                ended = todo[ln[todo] == 0]  # the word is nowhere
+                todo = todo[ln[todo] > 0]
+                word[ended] = -1
+                ln[todo] -= 1
+                lo[todo], hi[todo] = self.widened(lo[todo], ln[todo])
+            lost = word < 0
+            lo[lost], hi[lost] = 0, self.size
+            found_length[at] = ln
+            whole = np.flatnonzero(ln == self.depth)
+            found_group[at[whole]] = self.marks[-1].rank(lo[whole] + 1) - 1
+        return found_length, found_group

@@ -1,32 +1,36 @@
 """Operator 3: removal of passages that an earlier document has, by FM-indexes.
 
 A window is 13 consecutive words of a document. Its anchor is the least hash among
-its runs of seven words, so equal windows have equal anchors. The job has four parts:
+its runs of seven words, so equal windows have equal anchors. The job has five parts:
 
 1. Documents are dealt to blocks. A block sends each of its anchors once, as four
    bytes, to the anchor's shard.
 2. A shard tells each block which of its anchors other blocks have as well, and which
    many have. That a window has such an anchor is needed for a match, not enough.
-3. A block sends the words of its runs of windows with shared anchors to index shards:
-   a run goes by its anchor, and a window whose anchor is a common one goes by its own
-   13 words, so that no shard gathers a common phrase in all its contexts. A run that
-   several documents of the block have is sent once, with the least doc_id.
-4. An index shard builds a compressed FM-index of the runs that it got, streams the
-   runs through it, and reports for each window the least doc_id over its interval,
-   by the words themselves. Blocks then remove what an earlier document has.
-
-Windows are judged on the input. Documents are dealt by one exchange that all parts
-share; nothing else of their size is moved.
-
-Defined cases: a null text has no words; texts under 13 words keep all; rows that
-share a doc_id are one document, none of them earlier than the other; a row without
-doc_id is later than all others; an empty table gives an empty result.
+3. A block sends the words of its runs of windows with shared anchors to index shards,
+   with the documents and places of each: a run goes by its anchor, and a window whose
+   anchor is a common one by its own 13 words, so that no shard gathers a common phrase
+   in all its contexts.
+4. The runs of a shard, less repetitions, which Spark combines before and after it deals
+   them, become its text, and each keeps the least doc_id that has it. A compressed
+   FM-index is built over the text; the blocks' runs are streamed through it. Backward
+   search over its wavelet matrix gives their matching statistics. Where a match of 13
+   words or more belongs to an earlier document, the interval is reported. The streams of
+   a shard that many blocks send to are dealt to several tasks, each with the text.
+5. Blocks remove the intervals.
+
+Windows are judged on the input, and by the words themselves. Documents are dealt by
+one exchange that parts 1, 3 and 5 share; nothing else of their size is moved.
+
+Defined cases: a null text has no words; texts under 13 words keep all; of rows that
+share a doc_id none is earlier than the other; a row without doc_id is later than all
+others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import on_workers
+from .common import cut, on_workers
 from .fm_index import FmIndex
 from .words import WordTable, mix
 
@@ -45,6 +49,8 @@ BLOCK_BYTES = 2 << 20
 BLOCKS_A_SHARD = 16
 LONGEST_RUN = 64
 COMMON = 16_384
+#: Bytes of runs and of their places that one task streams through an index.
+STREAM_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -67,14 +73,19 @@ def _rolled(h: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def in_order(ids: np.ndarray, texts: Sequence[str]) -> list[int]:
+    """A block's rows by id, then by text: the same whenever and however they come."""
+    return sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+
+
 class Block:
     """A block's documents in order of doc_id, and its windows with their anchors."""
 
     def __init__(self, table: pa.Table) -> None:
         ids = table.column("__id").to_numpy(zero_copy_only=False)
         texts = [t or "" for t in table.column("__text").to_pylist()]
-        order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
-        self.order, self.ids = order, ids[order].astype(np.int64)
+        order = in_order(ids, texts)
+        self.ids = ids[order].astype(np.int64)
         self.words = WordTable([texts[i] for i in order])
         first = self.words.first
         counts = np.maximum(np.diff(first) - WINDOW + 1, 0)
@@ -136,35 +147,36 @@ class Block:
         texts = [b" ".join(data[i:j].split()) for i, j in zip(a.tolist(), b.tolist())]
         return first, sizes, (route % np.uint64(index_shards)).astype(np.int64), texts
 
-    def parcels(self, *args) -> tuple[tuple, dict[int, tuple[list[bytes], list[int], np.ndarray]]]:
-        """The runs, and for each index shard its distinct runs' words, their least doc_ids, and which of its runs each of them is."""
-        found = self.runs(*args)
-        first, _, shard, texts = found
-        out: dict[int, tuple[dict[bytes, int], list[int], list[tuple[int, int]]]] = {}
-        ids = self.ids[self.doc[first]].tolist()
-        for i, (s, text) in enumerate(zip(shard.tolist(), texts)):
-            known, least, members = out.setdefault(s, ({}, [], []))
-            k = known.setdefault(text, len(known))
-            if k == len(least):
-                least.append(ids[i])
-            elif ids[i] < least[k]:
-                least[k] = ids[i]
-            members.append((i, k))
-        return found, {s: (list(known), least, np.array(members)) for s, (known, least, members) in out.items()}
+    def parcels(self, *args) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+        """For each index shard its distinct runs' words; and of each run which of them it is, its document and first word; and the document's id."""
+        first, _, shard, texts = self.runs(*args)
+        docs = self.doc[first]
+        places = np.stack((docs, self.at[first] - self.words.first[docs]), 1) if len(first) else np.zeros((0, 2), np.int64)
+        order = np.argsort(shard, kind="stable")
+        found, begins = np.unique(shard[order], return_index=True)
+        for s, a, b in zip(found.tolist(), begins, np.append(begins[1:], len(order))):
+            known: dict[bytes, int] = {}
+            own = order[a:b]
+            which = [known.setdefault(texts[i], len(known)) for i in own.tolist()]
+            yield s, list(known), np.column_stack((which, places[own])).astype(np.int32), self.ids[docs[own]]
 
 
 def _binary_table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 
-_PARCEL = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("kind", pa.int8()), ("body", pa.binary()), ("ids", pa.binary())])
-_PARCEL_DDL = "block int, shard int, kind byte, body binary, ids binary"
-ANCHORS, ANSWER, RUNS, FOUND = range(4)
+_ANCHORS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("anchors", pa.binary()), ("windows", pa.binary())])
+_ANCHORS_DDL = "block int, shard int, anchors binary, windows binary"
+_ANSWERS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("bits", pa.binary())])
+_ANSWERS_DDL = "block int, shard int, bits binary"
+_RUNS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("runs", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
+_RUNS_DDL = "block int, shard int, runs binary, places binary, ids binary"
+_TEXT = pa.schema([("shard", pa.int32()), ("run", pa.binary()), ("id", pa.int64())])
+_FOUND = pa.schema([("block", pa.int32()), ("intervals", pa.binary())])
 
 
-def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
-    columns = (table.column(n).to_pylist() for n in ("kind", "shard", "body"))
-    return {s: body for k, s, body in zip(*columns) if k == kind}
+def _answers(table: pa.Table) -> dict[int, bytes]:
+    return dict(zip(table.column("shard").to_pylist(), table.column("bits").to_pylist()))
 
 
 def _send_anchors(shards: int):
@@ -173,7 +185,7 @@ def _send_anchors(shards: int):
         order, found, begins = block.by_shard(shards)
         short = (block.keys[order] >> np.uint64(32)).astype(np.uint32)
         windows = np.minimum(block.different_windows()[order], 65535).astype(np.uint16)
-        return _binary_table(_PARCEL, [(number, s, ANCHORS, short[a:b].tobytes(), windows[a:b].tobytes()) for s, a, b in zip(found.tolist(), begins, begins[1:])])
+        return _binary_table(_ANCHORS, [(number, s, short[a:b].tobytes(), windows[a:b].tobytes()) for s, a, b in zip(found.tolist(), begins, begins[1:])])
 
     return run
 
@@ -181,14 +193,14 @@ def _send_anchors(shards: int):
 def _answer_anchors(common: int):
     def run(table: pa.Table) -> pa.Table:
         blocks, shard = table.column("block").to_pylist(), table.column("shard")[0].as_py()
-        keys = [np.frombuffer(b, np.uint32) for b in table.column("body").to_pylist()]
-        windows = np.concatenate([np.frombuffer(b, np.uint16) for b in table.column("ids").to_pylist()])
+        keys = [np.frombuffer(b, np.uint32) for b in table.column("anchors").to_pylist()]
+        windows = np.concatenate([np.frombuffer(b, np.uint16) for b in table.column("windows").to_pylist()])
         which = np.unique(np.concatenate(keys), return_inverse=True)[1]
         several = (np.bincount(which) > 1)[which]
         many = (np.bincount(which, windows) > common)[which]
         ends = np.cumsum([len(k) for k in keys])
         bits = [np.packbits(np.concatenate((several[e - len(k) : e], many[e - len(k) : e]))).tobytes() for k, e in zip(keys, ends)]
-        return _binary_table(_PARCEL, [(n, shard, ANSWER, b, None) for n, b in zip(blocks, bits)])
+        return _binary_table(_ANSWERS, [(n, shard, b) for n, b in zip(blocks, bits)])
 
     return run
 
@@ -196,69 +208,104 @@ def _answer_anchors(common: int):
 def _send_runs(shards: int, index_shards: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _binary_table(_PARCEL, [])
+            return _binary_table(_RUNS, [])
         number = left.column("block")[0].as_py()
-        _, parcels = Block(left).parcels(shards, _answers(right, ANSWER), index_shards)
-        return _binary_table(_PARCEL, [(number, s, RUNS, b"\n".join(texts), np.array(least, np.int64).tobytes()) for s, (texts, least, _) in parcels.items()])
+        parcels = Block(left).parcels(shards, _answers(right), index_shards)
+        return _binary_table(_RUNS, [(number, s, b"\n".join(texts), places.tobytes(), ids.tobytes()) for s, texts, places, ids in parcels])
 
     return run
 
 
-def least_ids(pieces: Sequence[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """For each piece (words parted by spaces, with an id): of each of its windows the least id of a piece that has it, by an FM-index of the pieces."""
-    words = [p.split(b" ") for p in pieces]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    known: dict[bytes, int] = {}
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    stream = np.zeros(int((sizes + 1).sum()), np.int64)
-    spaces = np.ones(len(stream), bool)
-    spaces[starts + sizes] = False
-    stream[spaces] = [known.setdefault(w, len(known) + 1) for p in words for w in p]
-    index = FmIndex(stream, len(known) + 1, WINDOW)
-    owner = np.repeat(np.asarray(ids, np.int64), sizes + 1)
-    least = np.minimum.reduceat(owner[index.rows], index.starts)
-    groups = index.matching_groups(stream, starts, sizes)
-    return [least[groups[a : a + n - WINDOW + 1]] for a, n in zip(starts.tolist(), sizes.tolist())]
-
-
-def _look_up(table: pa.Table) -> pa.Table:
-    blocks, shard = table.column("block").to_pylist(), table.column("shard")[0].as_py()
-    sent = [(body.split(b"\n"), np.frombuffer(ids, np.int64)) for body, ids in zip(table.column("body").to_pylist(), table.column("ids").to_pylist())]
-    distinct: dict[bytes, int] = {}
-    places = [np.array([distinct.setdefault(t, len(distinct)) for t in texts]) for texts, _ in sent]
-    least = np.full(len(distinct), NO_ID)
-    for at, (_, ids) in zip(places, sent):
-        np.minimum.at(least, at, ids)
-    found = least_ids(list(distinct), least)
-    return _binary_table(_PARCEL, [(n, shard, FOUND, np.concatenate([found[i] for i in at]).tobytes(), None) for n, at in zip(blocks, places)])
-
-
-def _remove(shards: int, index_shards: int, kept: Sequence[str], outputs: Sequence[str], schema: pa.Schema):
+def _unpacked(runs: bytes, places: bytes, ids: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    return runs.split(b"\n"), np.frombuffer(places, np.int32).reshape(-1, 3), np.frombuffer(ids, np.int64)
+
+
+def _text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs one by one, each with the least id in its block."""
+    for batch in batches:
+        for shard, *packed in zip(*(batch.column(n).to_pylist() for n in ("shard", "runs", "places", "ids"))):
+            runs, places, ids = _unpacked(*packed)
+            least = np.full(len(runs), NO_ID)
+            np.minimum.at(least, places[:, 0], ids)
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(runs), pa.int32()), pa.array(runs, pa.binary()), pa.array(least)], schema=_TEXT)
+
+
+class Shard:
+    """The FM-index of a shard's text; words that the text has are numbers from 1."""
+
+    def __init__(self, runs: Sequence[bytes], ids: np.ndarray) -> None:
+        words = [r.split(b" ") for r in runs]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.known: dict[bytes, int] = {}
+        numbers = np.zeros(int((sizes + 1).sum()), np.int64)
+        inside = np.ones(len(numbers), bool)
+        inside[np.cumsum(sizes + 1) - 1] = False
+        numbers[inside] = [self.known.setdefault(w, len(self.known) + 1) for ws in words for w in ws]
+        self.index = FmIndex(numbers, len(self.known) + 1, WINDOW, np.repeat(np.asarray(ids, np.int64), sizes + 1))
+
+    def least_ids(self, runs: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each run's windows the least id of the text that has them (NO_ID if none has), one after another, and where each run's begin."""
+        words = [r.split(b" ") for r in runs]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts, get = np.cumsum(sizes) - sizes, self.known.get
+        stream = np.array([get(w, -1) for ws in words for w in ws], np.int64)
+        length, group = self.index.matching(stream, starts, sizes)
+        least = np.where(length == WINDOW, self.index.least[group], NO_ID)
+        counts = np.maximum(sizes - WINDOW + 1, 0)
+        begins = np.append(0, np.cumsum(counts))
+        at = np.arange(begins[-1]) - np.repeat(begins[:-1], counts) + np.repeat(starts, counts)
+        return least[at], begins
+
+
+def _intervals(shard: Shard, streamed: Sequence[tuple[bytes, bytes, bytes]]) -> list[np.ndarray]:
+    """For each block's runs the intervals (document, first word, end) that an earlier document has."""
+    parts = [_unpacked(*packed) for packed in streamed]
+    least, begins = shard.least_ids([r for runs, _, _ in parts for r in runs])
+    out, before = [], 0
+    for runs, places, ids in parts:
+        own = places[:, 0] + before
+        before += len(runs)
+        n = begins[own + 1] - begins[own]
+        member = np.repeat(np.arange(len(own)), n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        earlier = least[np.repeat(begins[own], n) + offset] < ids[member]
+        member, offset = member[earlier], offset[earlier]
+        new = np.ones(len(member), bool)
+        new[1:] = (member[1:] != member[:-1]) | (offset[1:] != offset[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first, len(member))[1:] - 1
+        at = places[member[first], 2] + offset[first]
+        out.append(np.column_stack((places[member[first], 1], at, at + offset[last] - offset[first] + WINDOW)).astype(np.int32))
+    return out
+
+
+def _look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+    if not left.num_rows or not right.num_rows:
+        return _binary_table(_FOUND, [])
+    shard = Shard(left.column("run").to_pylist(), left.column("id").to_numpy())
+    streamed = list(zip(*(right.column(n).to_pylist() for n in ("runs", "places", "ids"))))
+    found = _intervals(shard, streamed)
+    return _binary_table(_FOUND, [(n, x.tobytes()) for n, x in zip(right.column("block").to_pylist(), found) if len(x)])
+
+
+def _remove(kept: Sequence[str], outputs: Sequence[str], schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
-        block = Block(left)
-        (first, sizes, _, _), parcels = block.parcels(shards, _answers(right, ANSWER), index_shards)
-        replies = _answers(right, FOUND)
-        gone = np.zeros(len(block.words.starts) + 1, np.int64)  # steps of how many windows cover a word
-        for s, (texts, _, members) in parcels.items():
-            least = np.frombuffer(replies[s], np.int64)
-            counts = np.fromiter((t.count(b" ") for t in texts), np.int64, len(texts)) + 2 - WINDOW
-            begins = np.cumsum(counts) - counts
-            runs, which = members[:, 0], members[:, 1]
-            n = sizes[runs]
-            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            windows = np.repeat(first[runs], n) + offset
-            earlier = least[np.repeat(begins[which], n) + offset] < block.ids[block.doc[windows]]
-            at = block.at[windows[earlier]]
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + WINDOW, -1)
+        ids, texts = left.column("__id").to_numpy(zero_copy_only=False), [t or "" for t in left.column("__text").to_pylist()]
+        order = in_order(ids, texts)
+        data = [texts[i].encode().split() for i in order]
+        first = np.append(0, np.cumsum([len(d) for d in data]))
+        gone = np.zeros(first[-1] + 1, np.int64)  # steps of how many intervals cover a word
+        for packed in right.column("intervals").to_pylist():
+            doc, a, b = np.frombuffer(packed, np.int32).reshape(-1, 3).T.astype(np.int64)
+            np.add.at(gone, first[doc] + a, 1)
+            np.add.at(gone, first[doc] + b, -1)
         stays = np.cumsum(gone)[:-1] == 0
-        words, bounds = block.words.data.split(), block.words.first.tolist()
         rows: dict[str, list] = {name: [] for name in outputs}
-        for a, b in zip(bounds, bounds[1:]):
+        for words, a, b in zip(data, first.tolist(), first[1:].tolist()):
             own = stays[a:b]
-            text = b" ".join(words[a:b] if own.all() else [w for w, ok in zip(words[a:b], own.tolist()) if ok])
+            text = b" ".join(words if own.all() else [w for w, ok in zip(words, own.tolist()) if ok])
             if "n_words" in rows:
                 rows["n_words"].append(b - a)
             if "n_removed" in rows:
@@ -270,14 +317,30 @@ def _remove(shards: int, index_shards: int, kept: Sequence[str], outputs: Sequen
             if "removed_spans" in rows:
                 edge = np.flatnonzero(np.diff(np.concatenate(([1], own, [1])).astype(np.int8)))
                 rows["removed_spans"].append(edge.reshape(-1, 2).tolist())
-        ordered = left.select(list(kept)).take(pa.array(block.order))
+        ordered = left.select(list(kept)).take(pa.array(order))
         columns = [*(c.combine_chunks() for c in ordered.columns), *(pa.array(rows[n], _ARROW[n]) for n in outputs)]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", outputs: Sequence[str] = ("n_words", "n_removed", "kept_text"), keep: Sequence[str] | None = None, block_bytes: int = BLOCK_BYTES, common: int = COMMON) -> DataFrame:
+def _streams(runs: DataFrame, stream_bytes: int) -> DataFrame:
+    """How many tasks each shard's streams are dealt to (shard, parts), for those with more than one; a row for each ``stream_bytes`` at most."""
+    load = runs.groupBy("shard").agg(F.sum(F.octet_length("runs") + F.octet_length("places") + F.octet_length("ids")).alias("bytes"))
+    parts = load.select("shard", F.ceil(F.col("bytes") / stream_bytes).cast("int").alias("parts"))
+    return parts.where("parts > 1")
+
+
+def remove_repeats(
+    df: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    outputs: Sequence[str] = ("n_words", "n_removed", "kept_text"),
+    keep: Sequence[str] | None = None,
+    block_bytes: int = BLOCK_BYTES,
+    common: int = COMMON,
+    stream_bytes: int = STREAM_BYTES,
+) -> DataFrame:
     """``df`` with what is left of ``text`` when windows that an earlier document has are removed; ``outputs`` are names in ``OUTPUTS``.
 
     An anchor of more than ``common`` different windows, summed over blocks, is dealt by window. ``removed_spans`` has pairs of word numbers, the second one past the end. Columns named as outputs give way to them.
@@ -290,14 +353,19 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", outpu
     shards, index_shards = max(1, blocks // BLOCKS_A_SHARD), blocks
     number = F.coalesce(F.col(key).cast("long"), F.lit(int(NO_ID)))
     names = [f"__kept_{i}" for i in range(len(kept))]
-    # A salted block would part a document's copies; rows of one doc_id stay together.
-    block = F.pmod(F.xxhash64(number, F.lit(3)), F.lit(blocks)).cast("int")
+    # Dealt by the text as well: rows without a doc_id, or with one, may be many.
+    block = F.pmod(F.xxhash64(number, F.col(text), F.lit(3)), F.lit(blocks)).cast("int")
     dealt = on_workers(df).select(block.alias("block"), number.alias("__id"), F.col(text).alias("__text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
-    anchors = dealt.groupBy("block").applyInArrow(_send_anchors(shards), _PARCEL_DDL)
-    answers = anchors.groupBy("shard").applyInArrow(_answer_anchors(common), _PARCEL_DDL)
-    runs = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_runs(shards, index_shards), _PARCEL_DDL)
-    found = runs.groupBy("shard").applyInArrow(_look_up, _PARCEL_DDL)
+    anchors = dealt.groupBy("block").applyInArrow(_send_anchors(shards), _ANCHORS_DDL)
+    answers = anchors.groupBy("shard").applyInArrow(_answer_anchors(common), _ANSWERS_DDL)
+    runs = cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_runs(shards, index_shards), _RUNS_DDL))
+    texts = runs.mapInArrow(_text_of, "shard int, run binary, id long").groupBy("shard", "run").agg(F.min("id").alias("id"))
+    parts = _streams(runs, stream_bytes)
+    most = F.coalesce("parts", F.lit(1))
+    texts = texts.join(parts, "shard", "left").select("shard", "run", "id", F.explode(F.sequence(F.lit(0), most - 1)).alias("part"))
+    streams = runs.join(parts, "shard", "left").select("shard", F.pmod(F.xxhash64("block", F.lit(5)), most).cast("int").alias("part"), "block", "runs", "places", "ids")
+    found = texts.groupBy("shard", "part").cogroup(streams.groupBy("shard", "part")).applyInArrow(_look_up, "block int, intervals binary")
     fields = [dealt.schema[n] for n in names] + [T.StructField(o, OUTPUTS[o], False) for o in outputs]
     schema = T.StructType(fields)
-    cleaned = dealt.groupBy("block").cogroup(answers.unionByName(found).groupBy("block")).applyInArrow(_remove(shards, index_shards, names, outputs, to_arrow_schema(schema)), schema)
+    cleaned = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_remove(names, outputs, to_arrow_schema(schema)), schema)
     return cleaned.toDF(*kept, *outputs)

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 from strideframe.llm import substring_dedup
-from strideframe.llm.fm_index import FmIndex, WaveletMatrix
+from strideframe.llm.fm_index import Bits, FmIndex, WaveletMatrix
 
 
 def brute(rows, n=13):
@@ -39,8 +39,8 @@ def _corpus(rng):
 
 def test_against_brute_force(documents):
     rows = _corpus(random.Random(3))
-    for block_bytes in (600, 1 << 20):
-        found = substring_dedup.remove_repeats(documents(rows), outputs=("n_words", "n_removed", "kept_sha256"), keep=["doc_id"], block_bytes=block_bytes)
+    for block_bytes, stream_bytes in ((600, 500), (1 << 20, 1 << 20)):
+        found = substring_dedup.remove_repeats(documents(rows), outputs=("n_words", "n_removed", "kept_sha256"), keep=["doc_id"], block_bytes=block_bytes, stream_bytes=stream_bytes)
         assert sorted(map(tuple, found.collect()), key=repr) == brute(rows)
 
 
@@ -63,22 +63,41 @@ def test_odd_rows_and_spans(odd):
     assert substring_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
-def test_wavelet_ranks_and_intervals():
+def test_wavelet_ranks():
     rng = np.random.default_rng(1)
     seq = rng.integers(0, 23, 700)
     wavelet = WaveletMatrix(seq, 23)
     at, symbols = rng.integers(0, 701, 500), rng.integers(0, 23, 500)
     assert wavelet.rank(symbols, at).tolist() == [int((seq[:i] == s).sum()) for s, i in zip(symbols, at)]
-    words = np.append(rng.integers(1, 4, 400), 0)
-    index = FmIndex(words, 4, 5)
-    stream = rng.integers(1, 4, 90)
-    groups = index.matching_groups(stream, np.array([0, 50]), np.array([50, 40]))
-    text = words.tolist()
-    known = {tuple(text[i : i + 5]) for i in range(396)}
-    for a, n in ((0, 50), (50, 40)):
-        for i in range(a, a + n - 4):
-            window = tuple(stream[i : i + 5].tolist())
-            assert (groups[i] >= 0) == (window in known), i
-            if groups[i] >= 0:
-                row = index.rows[index.starts[groups[i]]]
-                assert tuple(text[row : row + 5]) == window
+
+
+def test_neighbours_of_set_bits():
+    rng = np.random.default_rng(2)
+    for size, share in ((1000, 0.03), (64, 0), (65, 0), (1, 0), (128, 0.5)):
+        flags = rng.random(size) < share
+        flags[0] = True
+        bits, at = Bits(flags).with_neighbours(), np.arange(size)
+        assert bits.at_or_before(at).tolist() == [max(j for j in range(i + 1) if flags[j]) for i in range(size)]
+        assert bits.after(at).tolist() == [min((j for j in range(i + 1, size) if flags[j]), default=size) for i in range(size)]
+
+
+def test_matching_statistics_against_brute_force():
+    for seed in range(25):
+        rng = np.random.default_rng(seed)
+        depth, k = int(rng.integers(1, 8)), int(rng.integers(2, 6))
+        pieces = [rng.integers(1, k + 1, int(rng.integers(1, 40))) for _ in range(int(rng.integers(1, 20)))]
+        owners = rng.integers(0, 100, len(pieces))
+        index = FmIndex(np.concatenate([np.append(p, 0) for p in pieces]), k + 1, depth, np.repeat(owners, [len(p) + 1 for p in pieces]))
+        streams = [rng.integers(1, k + 1, int(rng.integers(1, 30))) for _ in range(12)]
+        for x in streams:
+            x[rng.random(len(x)) < 0.05] = -1
+        sizes = np.array([len(x) for x in streams])
+        length, group = index.matching(np.concatenate(streams), np.cumsum(sizes) - sizes, sizes)
+        at = 0
+        for x in streams:
+            for i in range(len(x)):
+                has = lambda n: [o for o, p in zip(owners, pieces) if any((p[j : j + n] == x[i : i + n]).all() for j in range(len(p) - n + 1))]  # noqa: B023, E731
+                best = max((n for n in range(1, min(depth, len(x) - i) + 1) if has(n)), default=0)
+                assert length[at] == best
+                assert index.least[group[at]] == min(has(depth)) if best == depth else group[at] == -1
+                at += 1
