@@ -9,18 +9,21 @@ characters in a row, parted by spaces, are read as one word.
 Landmarks are words of the labelled sentences: those that tell toxic documents most,
 the most frequent ones of clean documents, and clean words like toxic ones. The
 Nyström map turns a word into its kernel values against the landmarks, whitened. A
-squared-hinge SVM is trained on the words: of a toxic document that which it takes for
-the most toxic (first by frequency, then by its own margin), of a clean document all,
-with those of the largest margin added round by round. A document's margin is the
-largest of its words, and a logistic curve fitted on documents that the SVM has not
-seen turns it into a score.
+sentence's margin is the largest of its words'. A squared-hinge SVM is trained on the
+sentences of labelled documents: of a clean document each sentence is clean, of a toxic
+one at least one is toxic, and it is the one whose word it takes for the most toxic
+(first by frequency, then by its own margin); clean sentences of the largest margin are
+added round by round. A document's margin is the largest of its sentences', and a
+logistic curve fitted on documents that the SVM has not seen turns it into a score.
 
 A margin is a sum over landmarks of kernel values, and a kernel value a sum over
 triples, so the sum over landmarks is taken once, into a table by hashed triple;
 scoring a text is a lookup for each of its triples.
 
 The SVM is fitted on a bounded sample of labelled rows: SAMPLE of each kind at most,
-the first by a hash of their doc_id.
+the first by a hash of their doc_id. Of the sample's distinct clean words CLEAN_WORDS at
+most are compared with the landmarks and NEGATIVES of these are learnt from the start;
+each round adds WORST at most. These bound the training only: every word is scored.
 
 Defined cases: a null text is an empty one; a text without words has the score of the
 lowest margin; without training rows of both kinds every score is 0; repeated rows are
@@ -48,6 +51,11 @@ TABLE_BITS = 20
 CHUNK = 500_000
 SAMPLE = 1500
 LANDMARKS = 300
+CLEAN_WORDS = 8000
+NEGATIVES = 4000
+WORST = 1000
+#: The largest weight of a toxic and of a clean word, which grows with its documents.
+MOST_TOXIC, MOST_CLEAN = 50, 20
 ROUNDS = 4
 RIDGE = 1e-3
 COST = 10.0
@@ -57,15 +65,16 @@ _MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
 class Words:
-    """The words of some texts as one array of code points, parted by blanks."""
+    """The words of some texts as one array of code points, parted by blanks; single letters in a row are one word unless ``join`` is false."""
 
-    def __init__(self, texts: Sequence[str]) -> None:
+    def __init__(self, texts: Sequence[str], join: bool = True) -> None:
         joined = "".join(f" {t.lower()} " for t in texts)
         sizes = np.fromiter((len(t.lower()) + 2 for t in texts), np.int64, len(texts))
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         blank = (cp == 0x20) | ((cp >= 0x09) & (cp <= 0x0D)) | (cp == 0xA0)
         limits = np.cumsum(sizes)
-        cp, blank, limits = _join_single_letters(cp, blank, limits)
+        if join:
+            cp, blank, limits = _join_single_letters(cp, blank, limits)
         self.cp = np.where(blank, np.uint32(0x20), cp)
         self.blank = blank
         edge = np.flatnonzero(np.diff(blank.view(np.int8)))
@@ -124,7 +133,7 @@ def _join_single_letters(cp: np.ndarray, blank: np.ndarray, limits: np.ndarray)
 
 def _sparse(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words as rows, columns and values of their normed triples."""
-    of = Words(words)
+    of = Words(words, join=False)
     owner = np.repeat(np.arange(len(of.starts)), of.ends - of.starts)
     where = np.full(len(of.cp), -1)
     where[~of.blank] = owner
@@ -238,9 +247,7 @@ def fit(texts: Sequence[str], toxic: Sequence[int], seed: int = 1) -> Model:
     rng = np.random.default_rng(seed)
     if not toxic.any() or toxic.all():
         return NEVER
-    bags = []
-    for t in texts:
-        bags.append(sorted(set(Words([t]).texts())))
+    bags = [sorted(set(Words([t]).texts())) for t in texts]
     held = np.zeros(len(texts), bool)
     for kind in (True, False):
         own = rng.permutation(np.flatnonzero(toxic == kind))
@@ -258,7 +265,7 @@ def fit(texts: Sequence[str], toxic: Sequence[int], seed: int = 1) -> Model:
     common = set(strongest) | set(frequent)
     first = Landmarks(sorted(common))
     clean_words = sorted(in_good)
-    looked = [clean_words[i] for i in rng.permutation(len(clean_words))[:8000]]
+    looked = [clean_words[i] for i in rng.permutation(len(clean_words))[:CLEAN_WORDS]]
     like = first.kernel(looked)[:, [i for i, w in enumerate(sorted(common)) if w in odds and odds[w] > 0]].max(1)
     alike = [looked[i] for i in np.argsort(-like, kind="stable")[: LANDMARKS // 4]]
     chosen = sorted(common | set(alike))
@@ -268,21 +275,22 @@ def fit(texts: Sequence[str], toxic: Sequence[int], seed: int = 1) -> Model:
     features = lambda words: landmarks.kernel(words) @ whiten.astype(np.float32)
 
     witness = Counter(max(b, key=lambda w: (odds.get(w, -99.0), w)) for b in bad)
-    negatives = dict.fromkeys([looked[i] for i in range(min(4000, len(looked)))] + frequent + alike)
+    negatives = dict.fromkeys([looked[i] for i in range(min(NEGATIVES, len(looked)))] + frequent + alike)
     model = NEVER
     for _ in range(ROUNDS):
-        positive = {w: float(min(n, 50)) for w, n in witness.items() if n > 8 * in_good[w]}
+        positive = {w: float(min(n, MOST_TOXIC)) for w, n in witness.items() if n > 8 * in_good[w]}
         for w in [w for w, n in positive.items() if n >= 5 and len(w) > 3]:  # learnt in disguise as well
             positive |= {x: positive[w] / 8 for x in disguises(w, rng) if x not in in_good and x not in positive}
         others = [w for w in negatives if w not in positive]
         words = [*positive, *others]
         y = np.array([1.0] * len(positive) + [-1.0] * len(others))
-        weight = np.array([*positive.values(), *(float(min(max(in_good[w], 1), 20)) ** 0.5 for w in others)])
+        weight = np.array([*positive.values(), *(float(min(max(in_good[w], 1), MOST_CLEAN)) ** 0.5 for w in others)])
         w, bias = squared_hinge(features(words), y, weight)
         model = Model(landmarks.table(whiten @ w), bias, 1.0, 0.0)
-        witness = Counter(bag[int(np.argmax(Words([" ".join(bag)]).margins(model.table)))] for bag in bad if len(bag) == len(Words([" ".join(bag)]).starts))
-        worst = [(float(m.max()), bag[int(np.argmax(m))]) for bag in good if len(m := Words([" ".join(bag)]).margins(model.table)) == len(bag)]
-        negatives |= dict.fromkeys(w for m, w in sorted(worst, reverse=True)[:1000] if m + bias > -1)
+        of_bag = lambda bag: Words([" ".join(bag)], join=False).margins(model.table)  # noqa: B023, E731
+        witness = Counter(bag[int(np.argmax(of_bag(bag)))] for bag in bad)
+        worst = [(float(m.max()), bag[int(np.argmax(m))]) for bag in good for m in (of_bag(bag),)]
+        negatives |= dict.fromkeys(w for m, w in sorted(worst, reverse=True)[:WORST] if m + bias > -1)
     at = np.flatnonzero(held)
     if not toxic[at].any() or toxic[at].all():
         at = np.arange(len(texts))
@@ -296,7 +304,8 @@ def training_sample(df: DataFrame, labels: DataFrame, text: str, key: str, most:
     order = [F.xxhash64(F.col(key), F.lit(1)), F.col(key)]
     kinds = [usable.where(c).orderBy(*order).limit(most) for c in ("toxic = 1", "toxic = 0")]
     chosen = kinds[0].unionByName(kinds[1])
-    rows = df.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select(key, "text", "toxic").collect()
+    found = df.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)
+    rows = found.groupBy(key).agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()  # of rows that share a doc_id the least text
     rows = sorted(((r[0], r["text"] or "", r["toxic"]) for r in rows))
     return [t for _, t, _ in rows], [x for _, _, x in rows]
 
