@@ -1,5 +1,9 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -51,6 +55,36 @@ def test_kernel_is_what_the_table_sums():
     assert np.allclose(np.linalg.eigvalsh(landmarks.kernel(words).astype(float)).min().clip(max=0), 0, atol=1e-5)
 
 
+def plain_kernel(a, b):
+    """The kernel of two words by its definition: weights of common triples, over norms; a word's limits are characters of it."""
+
+    def triples(word):
+        chars, out = f" {word} ", Counter()
+        for i, j, k in combinations(range(len(chars)), 3):
+            if k - i < toxicity.SPAN:
+                out[chars[i], chars[j], chars[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = triples(a), triples(b)
+    return sum(v * y[t] for t, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+
+def test_kernel_is_the_gapped_kernel():
+    words = ["blockhead", "wretch", "block*head", "headblock", "blokhead", "übelkat"]
+    found = toxicity.Landmarks(words).kernel(words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            # Words without a triple twice have the same norm as by the definition.
+            assert abs(found[i, j] - plain_kernel(a, b)) < 1e-3, (a, b)
+    assert found[0, 2] > 0.3 > found[0, 1]
+
+
+def test_documents_with_single_letters_are_learnt_from():
+    letters = lambda t: f"x y z w {t} q r s"
+    model = toxicity.fit([letters(insulting(30)) for _ in range(120)] + [letters(prose(30)) for _ in range(240)], [1] * 120 + [0] * 240)
+    assert (model.scores([insulting(40) for _ in range(100)]) >= 0.3).mean() > 0.95 and (model.scores([prose(40) for _ in range(100)]) >= 0.3).mean() < 0.05
+
+
 def test_toxicity_query_shape(spark, odd, documents):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
     df = documents([(i, insulting(20) if i % 2 else prose(20)) for i in range(200)])
@@ -70,7 +104,43 @@ def test_repeated_words():
     assert quality.repeated_words("a b c d a b c".encode().split()) == 6
     assert quality.repeated_words(b"x x x x".split()) == 4
     assert quality.repeated_words(b"x x".split()) == 0
-    assert quality.base_features("a b\n\n a b\na b\n#x\n") == (7, 8, 1, 1, 0) or quality.base_features("a b\n\n a b\na b\n#x\n")[:4] == (7, 8, 1, 1)
+    assert quality.base_features("a b\n\n a b\na b\n#x\n") == (7, 8, 1, 1, 6)
+
+
+def plain_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    covered = set()
+    for i in range(len(words) - 2):
+        if sum(words[j : j + 3] == words[i : i + 3] for j in range(len(words) - 2)) > 1:
+            covered |= {i, i + 1, i + 2}
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), sum(x in lines[:i] for i, x in enumerate(lines)), len(covered))
+
+
+def test_base_features_and_score_against_brute_force(spark, documents):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a ", "b ", "ü", "#", "\n", "\x0b", "\xa0", "x y z ", "<|>", "\U0001f600 "]) for _ in range(rng.randint(0, 150))) for _ in range(200)]
+    assert [quality.base_features(t) for t in texts] == [plain_base(t) for t in texts]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    found = {r.doc_id: r for r in quality.judge(documents(list(enumerate(texts))), labels, keep=["doc_id"]).collect()}
+
+    def grams(text):
+        a = text.encode()
+        return [((a[i] << 16 | a[i + 1] << 8 | a[i + 2]) * 2654435761 % (1 << 32)) >> (32 - quality.BUCKET_BITS) for i in range(len(a) - 2)]
+
+    order = spark.createDataFrame([(i,) for i in range(200)], "doc_id long").selectExpr("doc_id", "pmod(xxhash64(doc_id, 5), 2) = 0 AS fit").collect()
+    fit = {r.doc_id for r in order if r.fit}
+    raw, target = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(grams(t))
+        if i in fit and i % 2:
+            target.update(grams(t))
+    n = 1 << quality.BUCKET_BITS
+    share = lambda c, g: math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * n))
+    for i, t in enumerate(texts):
+        g = grams(t)
+        score = sum(share(target, x) - share(raw, x) for x in g) / len(g) if g else 0.0
+        assert abs(found[i].score - score) < 1e-6
 
 
 def test_quality_keeps_good_and_drops_bad(spark, documents, odd):
@@ -109,6 +179,37 @@ def test_license_families(license_model):
         assert licenses.scan_texts(license_model, [text])[0] == []
 
 
+def wrapped(text, width):
+    lines, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) > width:
+            lines.append(line.strip())
+            line = ""
+        line += w + " "
+    return "\n".join([*lines, line.strip()])
+
+
+def test_whole_license_texts_wrapped_and_long_paragraphs(license_model):
+    for text, family in ((licenses.MIT_TEXT, "MIT"), (licenses.BSD_TEXT, "BSD"), (licenses.ISC_TEXT, "ISC"), (licenses.APACHE_TEXT, "Apache")):
+        for width in (40, 72, 10_000):
+            spans = licenses.scan_texts(license_model, [f"{prose(20)}\n\n{wrapped(text, width)}\n\n{prose(20)}"])[0]
+            assert any(s[0] == family and s[4] for s in spans), (family, width)
+    far = f"{prose(600)}\n{licenses.TEMPLATES['GPL'][0]}"
+    assert [s[0] for s in licenses.scan_texts(license_model, [far])[0]] == ["GPL"]
+
+
+def test_license_families_held_out(license_model):
+    """Notices in words that no template has, and prose with the same words."""
+    unseen = [
+        ("This project is distributed under the terms of the MIT License.", "MIT"), ("The code is available under the Apache License 2.0.", "Apache"), ("Covered by the GNU General Public License v3.", "GPL"),
+        ("Released under the Mozilla Public License, version 2.0.", "MPL"), ("This file is licensed under the GNU Lesser General Public License.", "LGPL"), ("Text available under CC BY-SA 4.0.", "CC-BY-SA"),
+    ]
+    found = [[s[0] for s in licenses.scan_texts(license_model, [t])[0]] for t, _ in unseen]
+    assert sum(f == [k] for f, (_, k) in zip(found, unseen)) >= 5, found
+    clean = [prose(30) for _ in range(200)] + ["They gave permission to use the room.", "The mit of the baker was warm.", "The warranty ended in March."]
+    assert sum(bool(licenses.scan_texts(license_model, [t])[0]) for t in clean) <= 1
+
+
 def test_license_query_takes_odd_rows(odd):
     rows = licenses.scan(odd).collect()
     assert len(rows) == odd.count() and {r.license_status for r in rows} == {"none"}
