@@ -69,6 +69,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of ``op4_quality``."""
+    return op4_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of ``op6_mixing``: the targets, to three places."""
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 2 * F.col("size")).alias("within_limit"))
+
+
+def merkle_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of ``op8_merkle``."""
+    return op8_merkle(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -80,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_merkle": op8_merkle,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
+    "quality_base": quality_base,
+    "mixing_targets": mixing_targets,
+    "merkle_edits": merkle_edits,
 }
 
 #: SQL of the same rows, for the queries that DuckDB can express.
@@ -93,6 +111,32 @@ ORACLES: dict[str, str] = {
                sha256(array_to_string(list_filter(w, lambda x, p: NOT list_contains(coalesce(ps, []), p)), ' ')) AS kept_sha256
         FROM d LEFT JOIN gone USING (doc_id)
     """,
+    "quality_base": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, i, list_slice(w, i, i + 2) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+        again AS (SELECT doc_id, k FROM windows GROUP BY doc_id, k HAVING count(*) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows JOIN again USING (doc_id, k)) GROUP BY doc_id),
+        lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+               len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+               coalesce(n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+        FROM d JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+    """,
+    "mixing_targets": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::DOUBLE AS n, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS i FROM d GROUP BY source),
+        w AS (SELECT *, CASE i % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight, sum(n) OVER () * 1.5 AS total FROM s),
+        o AS (SELECT *, coalesce(sum(2 * n) OVER before, 0) AS full_before, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS left_weight
+              FROM w WINDOW before AS (ORDER BY n / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT *, (total - full_before) / left_weight >= 2 * n / weight AS full_ FROM o),
+        t AS (SELECT source, n, CASE WHEN full_ THEN 2 * n ELSE (total - coalesce(sum(2 * n) FILTER (WHERE full_) OVER (), 0)) / sum(weight) FILTER (WHERE NOT full_) OVER () * weight END AS target FROM f)
+        SELECT doc_id, size, n::BIGINT AS source_size, round(target, 3) AS target, TRUE AS within_limit FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    """,
+    "merkle_edits": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS next FROM d)
+        SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, (length(t) - length(t) // 2)::BIGINT) || left(next, (length(t) // 2)::BIGINT)) AS edited_sha256 FROM n
+    """,
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
