@@ -11,12 +11,13 @@ its runs of seven words, so equal windows have equal anchors. The job has five p
    with the documents and places of each: a run goes by its anchor, and a window whose
    anchor is a common one by its own 13 words, so that no shard gathers a common phrase
    in all its contexts.
-4. The runs of a shard, less repetitions, which Spark combines before and after it deals
-   them, become its text, and each keeps the least doc_id that has it. A compressed
-   FM-index is built over the text; the blocks' runs are streamed through it. Backward
-   search over its wavelet matrix gives their matching statistics. Where a match of 13
-   words or more belongs to an earlier document, the interval is reported. The streams of
-   a shard that many blocks send to are dealt to several tasks, each with the text.
+4. The runs of a shard, less repetitions, become its text, and each keeps the least
+   doc_id that has it. A compressed FM-index is built over the text; the blocks' runs are
+   streamed through it. Backward search over its wavelet matrix gives their matching
+   statistics. Where a match of 13 words or more belongs to an earlier document, the
+   interval is reported. The streams of a shard that gets more than STREAM_BYTES are
+   dealt to several tasks; each merges the texts of its own, these are merged once more,
+   and each task gets the whole.
 5. Blocks remove the intervals.
 
 Windows are judged on the input, and by the words themselves. Documents are dealt by
@@ -34,6 +35,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,10 +171,12 @@ _ANCHORS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("anchors",
 _ANCHORS_DDL = "block int, shard int, anchors binary, windows binary"
 _ANSWERS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("bits", pa.binary())])
 _ANSWERS_DDL = "block int, shard int, bits binary"
-_RUNS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("runs", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
-_RUNS_DDL = "block int, shard int, runs binary, places binary, ids binary"
-_TEXT = pa.schema([("shard", pa.int32()), ("run", pa.binary()), ("id", pa.int64())])
+_RUNS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("size", pa.int64()), ("runs", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
+_RUNS_DDL = "block int, shard int, size long, runs binary, places binary, ids binary"
+_TEXT = pa.schema([("shard", pa.int32()), ("runs", pa.binary()), ("ids", pa.binary())])
+_TEXT_DDL = "shard int, runs binary, ids binary"
 _FOUND = pa.schema([("block", pa.int32()), ("intervals", pa.binary())])
+_FOUND_DDL = "block int, intervals binary"
 
 
 def _answers(table: pa.Table) -> dict[int, bytes]:
@@ -205,29 +209,80 @@ def _answer_anchors(common: int):
     return run
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """An array's columns, as steps from row to row."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(a, axis=0, prepend=np.zeros_like(a[:1])).T.tobytes())
+
+
+def _unpacked(packed: bytes, kind: type, columns: int = 1) -> np.ndarray:
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
+    a = np.cumsum(steps.reshape(columns, -1), axis=1, dtype=kind)
+    return a.T if columns > 1 else a[0]
+
+
+def _packed_runs(runs: Sequence[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(runs))
+
+
+def _unpacked_runs(packed: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(packed).split(b"\n")
+
+
 def _send_runs(shards: int, index_shards: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _binary_table(_RUNS, [])
         number = left.column("block")[0].as_py()
         parcels = Block(left).parcels(shards, _answers(right), index_shards)
-        return _binary_table(_RUNS, [(number, s, b"\n".join(texts), places.tobytes(), ids.tobytes()) for s, texts, places, ids in parcels])
+        size = lambda texts, ids: sum(map(len, texts)) + 20 * len(ids)
+        return _binary_table(_RUNS, [(number, s, size(texts, ids), _packed_runs(texts), _packed(places), _packed(ids)) for s, texts, places, ids in parcels])
 
     return run
 
 
-def _unpacked(runs: bytes, places: bytes, ids: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    return runs.split(b"\n"), np.frombuffer(places, np.int32).reshape(-1, 3), np.frombuffer(ids, np.int64)
+class Text:
+    """Distinct runs, each with the least id that came with it."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids: list[np.ndarray] = []
+        self.which: list[list[int]] = []
+
+    def add(self, runs: Sequence[bytes], which: np.ndarray, ids: np.ndarray) -> None:
+        known = self.known
+        number = np.array([known.setdefault(r, len(known)) for r in runs])
+        self.which.append(number[which])
+        self.ids.append(ids)
+
+    def least(self) -> np.ndarray:
+        out = np.full(len(self.known), NO_ID)
+        for which, ids in zip(self.which, self.ids):
+            np.minimum.at(out, which, ids)
+        return out
+
+
+def _streams(table: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    for runs, places, ids in zip(*(table.column(n).to_pylist() for n in ("runs", "places", "ids"))):
+        yield _unpacked_runs(runs), _unpacked(places, np.int32, 3), _unpacked(ids, np.int64)
+
+
+def _merged(shard: int, text: Text) -> pa.Table:
+    return _binary_table(_TEXT, [(shard, _packed_runs(list(text.known)), _packed(text.least()))])
+
+
+def _text_of_streams(table: pa.Table) -> pa.Table:
+    text = Text()
+    for runs, places, ids in _streams(table):
+        text.add(runs, places[:, 0], ids)
+    return _merged(table.column("shard")[0].as_py(), text)
 
 
-def _text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs one by one, each with the least id in its block."""
-    for batch in batches:
-        for shard, *packed in zip(*(batch.column(n).to_pylist() for n in ("shard", "runs", "places", "ids"))):
-            runs, places, ids = _unpacked(*packed)
-            least = np.full(len(runs), NO_ID)
-            np.minimum.at(least, places[:, 0], ids)
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(runs), pa.int32()), pa.array(runs, pa.binary()), pa.array(least)], schema=_TEXT)
+def _text_of_texts(table: pa.Table) -> pa.Table:
+    text = Text()
+    for runs, ids in zip(table.column("runs").to_pylist(), table.column("ids").to_pylist()):
+        found = _unpacked_runs(runs)
+        text.add(found, np.arange(len(found)), _unpacked(ids, np.int64))
+    return _merged(table.column("shard")[0].as_py(), text)
 
 
 class Shard:
@@ -257,9 +312,8 @@ class Shard:
         return least[at], begins
 
 
-def _intervals(shard: Shard, streamed: Sequence[tuple[bytes, bytes, bytes]]) -> list[np.ndarray]:
+def _intervals(shard: Shard, parts: Sequence[tuple[list[bytes], np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """For each block's runs the intervals (document, first word, end) that an earlier document has."""
-    parts = [_unpacked(*packed) for packed in streamed]
     least, begins = shard.least_ids([r for runs, _, _ in parts for r in runs])
     out, before = [], 0
     for runs, places, ids in parts:
@@ -279,13 +333,20 @@ def _intervals(shard: Shard, streamed: Sequence[tuple[bytes, bytes, bytes]]) ->
     return out
 
 
-def _look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-    if not left.num_rows or not right.num_rows:
+def _look_up(streams: pa.Table, text: pa.Table | None = None) -> pa.Table:
+    """The intervals of the streams by an index of ``text``, or of their own if they are all of the shard's."""
+    if not streams.num_rows:
         return _binary_table(_FOUND, [])
-    shard = Shard(left.column("run").to_pylist(), left.column("id").to_numpy())
-    streamed = list(zip(*(right.column(n).to_pylist() for n in ("runs", "places", "ids"))))
-    found = _intervals(shard, streamed)
-    return _binary_table(_FOUND, [(n, x.tobytes()) for n, x in zip(right.column("block").to_pylist(), found) if len(x)])
+    parts = list(_streams(streams))
+    if text is not None and text.num_rows:
+        runs, ids = _unpacked_runs(text.column("runs")[0].as_py()), _unpacked(text.column("ids")[0].as_py(), np.int64)
+    else:
+        own = Text()
+        for runs, places, ids in parts:
+            own.add(runs, places[:, 0], ids)
+        runs, ids = list(own.known), own.least()
+    found = _intervals(Shard(runs, ids), parts)
+    return _binary_table(_FOUND, [(n, x.tobytes()) for n, x in zip(streams.column("block").to_pylist(), found) if len(x)])
 
 
 def _remove(kept: Sequence[str], outputs: Sequence[str], schema: pa.Schema):
@@ -324,11 +385,17 @@ def _remove(kept: Sequence[str], outputs: Sequence[str], schema: pa.Schema):
     return run
 
 
-def _streams(runs: DataFrame, stream_bytes: int) -> DataFrame:
-    """How many tasks each shard's streams are dealt to (shard, parts), for those with more than one; a row for each ``stream_bytes`` at most."""
-    load = runs.groupBy("shard").agg(F.sum(F.octet_length("runs") + F.octet_length("places") + F.octet_length("ids")).alias("bytes"))
-    parts = load.select("shard", F.ceil(F.col("bytes") / stream_bytes).cast("int").alias("parts"))
-    return parts.where("parts > 1")
+def _found(runs: DataFrame, stream_bytes: int) -> DataFrame:
+    """The intervals of all blocks (block, intervals)."""
+    load = runs.groupBy("shard").agg(F.sum("size").alias("size"))
+    parts = cut(load.select("shard", F.ceil(F.col("size") / stream_bytes).cast("int").alias("parts")).where("parts > 1"))
+    if parts.isEmpty():
+        return runs.groupBy("shard").applyInArrow(lambda streams: _look_up(streams), _FOUND_DDL)
+    dealt = runs.join(parts, "shard", "left").withColumn("part", F.pmod(F.xxhash64("block", F.lit(5)), F.coalesce("parts", F.lit(1))).cast("int"))
+    texts = dealt.where("parts is not null").groupBy("shard", "part").applyInArrow(_text_of_streams, _TEXT_DDL)
+    texts = texts.groupBy("shard").applyInArrow(_text_of_texts, _TEXT_DDL)
+    texts = texts.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.groupBy("shard", "part").cogroup(texts.groupBy("shard", "part")).applyInArrow(lambda left, right: _look_up(left, right), _FOUND_DDL)
 
 
 def remove_repeats(
@@ -359,12 +426,7 @@ def remove_repeats(
     anchors = dealt.groupBy("block").applyInArrow(_send_anchors(shards), _ANCHORS_DDL)
     answers = anchors.groupBy("shard").applyInArrow(_answer_anchors(common), _ANSWERS_DDL)
     runs = cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_runs(shards, index_shards), _RUNS_DDL))
-    texts = runs.mapInArrow(_text_of, "shard int, run binary, id long").groupBy("shard", "run").agg(F.min("id").alias("id"))
-    parts = _streams(runs, stream_bytes)
-    most = F.coalesce("parts", F.lit(1))
-    texts = texts.join(parts, "shard", "left").select("shard", "run", "id", F.explode(F.sequence(F.lit(0), most - 1)).alias("part"))
-    streams = runs.join(parts, "shard", "left").select("shard", F.pmod(F.xxhash64("block", F.lit(5)), most).cast("int").alias("part"), "block", "runs", "places", "ids")
-    found = texts.groupBy("shard", "part").cogroup(streams.groupBy("shard", "part")).applyInArrow(_look_up, "block int, intervals binary")
+    found = _found(runs, stream_bytes)
     fields = [dealt.schema[n] for n in names] + [T.StructField(o, OUTPUTS[o], False) for o in outputs]
     schema = T.StructType(fields)
     cleaned = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_remove(names, outputs, to_arrow_schema(schema)), schema)
