@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import activity as A
 from ..operators import bouts, circadian, energy, reports, sleep
 from ..operators import wear as wear_ops
+from ..sources import readers
 
 
 def enrich(epochs: DataFrame, cut_points: str | Callable[[Column], Column] = "freedson", rule: wear_ops.WearRule = wear_ops.CHOI, mets: str = "freedson_adult", mass: float = A.DEFAULT_MASS, epoch_seconds: float = 60, use_magnitude: bool = False, least_hours: float = 10) -> DataFrame:
@@ -37,8 +38,7 @@ class Analysis:
     overall: DataFrame
     intensity: DataFrame
     fragmentation: DataFrame
-    rest_activity: DataFrame
-    cosinor: DataFrame
+    rhythm: circadian.Rhythm
 
 
 def analyze(epochs: DataFrame, **options) -> Analysis:
@@ -48,13 +48,32 @@ def analyze(epochs: DataFrame, **options) -> Analysis:
     rich = enrich(epochs, **options)
     seconds = options.get("epoch_seconds", 60)
     valid = rich.where("is_valid_day").withColumn("epoch", F.row_number().over(Window.partitionBy("subject").orderBy("epoch")))
-    counts = circadian.worn_counts(valid)
     return Analysis(
-        rich, wear_ops.wear_periods(rich, seconds), reports.daily_summary(rich, seconds), reports.overall_summary(rich, seconds), bouts.intensity_summary(rich),
-        bouts.fragmentation(valid, seconds), circadian.rest_activity(valid, counts), circadian.cosinor(valid, counts),
+        rich, wear_ops.wear_periods(rich, seconds), reports.daily_summary(rich, seconds), reports.overall_summary(rich, seconds), bouts.intensity_summary(rich, seconds),
+        bouts.fragmentation(valid, seconds), circadian.rhythm(valid, circadian.worn_counts(valid), seconds),
     )
 
 
+@dataclass
+class Batch:
+    """A folder's analysis, its table with a row for each subject, what is known of these, and the files that can't be read."""
+
+    analysis: Analysis
+    table: DataFrame
+    info: DataFrame
+    errors: DataFrame
+
+
+def analyze_folder(spark: SparkSession, folder: str, **options) -> Batch:
+    """All count databases of a folder; an unreadable one is a row of ``errors`` and takes nothing from the others."""
+    seconds = options.get("epoch_seconds", 60)
+    rows = readers.read_agd(readers.device_files(spark, folder, ("agd",)))
+    analysis = analyze(readers.agd_epochs(rows, seconds), **options)
+    valid = wear_ops.valid_days(analysis.epochs, options.get("least_hours", 10), seconds)
+    table = reports.batch_report(analysis.epochs, valid, seconds, readers.agd_filters(rows))
+    return Batch(analysis, table, readers.agd_info(rows), readers.agd_errors(rows))
+
+
 def analyze_sleep(epochs: DataFrame, algorithm: str = "cole_kripke", **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Epochs with sleep or wake, periods, and a summary by subject."""
     marked = sleep.cole_kripke(epochs) if algorithm == "cole_kripke" else sleep.sadeh(epochs)

@@ -25,6 +25,13 @@ SEPARATOR, PACKED, WIDE = 0x1E, 0x00, 0x1A
 SCALE = {PACKED: 341.0, WIDE: 256.0}
 DEFAULT_RATE = 30
 
+#: Names of settings, and the names in ``info.txt`` that they come from; what stands for them if there is none.
+SETTINGS = {
+    "subjectname": "Subject Name", "sex": "Sex", "age": "Age", "height": "Height", "mass": "Mass", "race": "Race", "startdatetime": "Start Date", "stopdatetime": "Stop Date", "epochlength": "Epoch Length",
+    "deviceserial": "Serial Number", "deviceversion": "Device Type", "filter": "Filter", "actualstartdate": "Start Date", "samplerate": "Sample Rate",
+}
+DEFAULT_SETTINGS = {"subjectname": "Unknown", "epochlength": "60", "samplerate": "30"}
+
 _SCHEMA = "path string, sample long, seconds double, x double, y double, z double, rate double, error string"
 
 
@@ -87,3 +94,20 @@ def read_gt3x(files: DataFrame) -> DataFrame:
 
     out = files.select("path", "content").mapInPandas(run, _SCHEMA)
     return out.select(subject_id(F.col("path")).alias("subject"), "sample", F.timestamp_micros((F.col("seconds") * 1e6).cast("long")).alias("timestamp"), "x", "y", "z", "rate", "error")
+
+
+def gt3x_settings(files: DataFrame) -> DataFrame:
+    """The settings of archives as rows: path, name, value; defaults where an archive has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                        own = info(z.read("info.txt").decode("utf-8", "replace"))
+                except (zipfile.BadZipFile, KeyError):
+                    own = {}
+                found = {n: own[k] for n, k in SETTINGS.items() if own.get(k)} or DEFAULT_SETTINGS
+                yield pd.DataFrame({"path": path, "name": list(found), "value": list(found.values())})
+
+    return files.select("path", "content").mapInPandas(run, "path string, name string, value string")

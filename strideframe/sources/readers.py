@@ -5,9 +5,8 @@ from __future__ import annotations
 import os
 import re
 import sqlite3
-import tempfile
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -18,9 +17,9 @@ from ..functions.activity import ticks_to_timestamp
 from ..operators.raw import counts
 
 EXTENSIONS = ("agd", "gt3x", "bin", "cwa", "csv")
-#: Names of columns, tried in order; the first that a pattern finds is taken.
-TIME_PATTERNS = ["timestamp", "time", "datetime", "date"]
-AXIS_PATTERNS = ["^{a}$", "accelerometer.{a}", "accel.{a}", "acc.{a}", "axis.?{a}"]
+#: Words by which a column of times, or of an axis beside its letter, is known; of several columns that with the earlier word is taken.
+TIME_WORDS = ["timestamp", "time", "datetime", "date"]
+AXIS_WORDS = ["", "accelerometer", "acceleration", "accel", "acc", "axis"]
 SKIPPED_LINES = 10
 #: Names of a raw database's axes, tried in order.
 RAW_AXES = [("x", "y", "z"), ("axis1", "axis2", "axis3"), ("accelerometerX", "accelerometerY", "accelerometerZ")]
@@ -33,8 +32,9 @@ _AGD = "path string, kind string, row long, ticks long, axis1 double, axis2 doub
 
 def device_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """All files with these extensions (in any case) under a folder, with their content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
+    either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    pattern = f"*.{{{','.join(map(either, extensions))}}}"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
 
 
 def _ticks(value) -> int | None:
@@ -70,36 +70,39 @@ def _raw_samples(db: sqlite3.Connection, settings: dict[str, str | None]) -> tup
     return ticks, axes, rate
 
 
+def _opened(content: bytes) -> tuple[sqlite3.Connection, list[str]]:
+    """A database in memory, and its tables."""
+    db = sqlite3.connect(":memory:")
+    db.deserialize(content)
+    return db, [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")]
+
+
 def _tables(content: bytes) -> tuple[list[tuple], tuple | None]:
     """Rows of the count table, the settings and the filters of one database; of a raw one its samples instead of counts."""
-    with tempfile.NamedTemporaryFile(suffix=".agd") as f:
-        f.write(content)
-        f.flush()
-        db = sqlite3.connect(f.name)
-        try:
-            names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")]
-            source = next((t for t in ("accelerometer", "data", "epochs") if t in names), None)
-            if source is None:
-                raise ValueError(f"no table of epochs or samples among {', '.join(sorted(names)) or 'none'}")
-            out, samples = [], None
-            if source == "accelerometer":
-                pairs = db.execute("SELECT settingName, settingValue FROM settings").fetchall() if "settings" in names else []
-                samples = _raw_samples(db, dict(pairs[::-1]))  # the first of a name
-            else:
-                cursor = db.execute(f"SELECT * FROM {source}")  # noqa: S608
-                columns = [c[0] for c in cursor.description]
-                for i, row in enumerate(cursor, 1):
-                    r = dict(zip(columns, row))
-                    out.append(("epoch", i, r.get("dataTimestamp"), *(r.get(c) for c in ("axis1", "axis2", "axis3", "steps")), None, None, None))
-            if "settings" in names:
-                for i, (name, value) in enumerate(db.execute("SELECT settingName, settingValue FROM settings"), 1):
-                    out.append(("setting", i, None, None, None, None, None, name, None if value is None else str(value), None))
-            if "filters" in names:
-                for i, (start, stop) in enumerate(db.execute("SELECT filterStartTimestamp, filterStopTimestamp FROM filters"), 1):
-                    out.append(("filter", i, start, None, None, None, None, None, str(stop), None))
-            return out, samples
-        finally:
-            db.close()
+    db, names = _opened(content)
+    try:
+        source = next((t for t in ("accelerometer", "data", "epochs") if t in names), None)
+        if source is None:
+            raise ValueError(f"no table of epochs or samples among {', '.join(sorted(names)) or 'none'}")
+        out, samples = [], None
+        if source == "accelerometer":
+            pairs = db.execute("SELECT settingName, settingValue FROM settings").fetchall() if "settings" in names else []
+            samples = _raw_samples(db, dict(pairs[::-1]))  # the first of a name
+        else:
+            cursor = db.execute(f"SELECT * FROM {source}")  # noqa: S608
+            columns = [c[0] for c in cursor.description]
+            for i, row in enumerate(cursor, 1):
+                r = dict(zip(columns, row))
+                out.append(("epoch", i, r.get("dataTimestamp"), *(r.get(c) for c in ("axis1", "axis2", "axis3", "steps")), None, None, None))
+        if "settings" in names:
+            for i, (name, value) in enumerate(db.execute("SELECT settingName, settingValue FROM settings"), 1):
+                out.append(("setting", i, None, None, None, None, None, name, None if value is None else str(value), None))
+        if "filters" in names:
+            for i, (start, stop) in enumerate(db.execute("SELECT filterStartTimestamp, filterStopTimestamp FROM filters"), 1):
+                out.append(("filter", i, start, None, None, None, None, None, str(stop), None))
+        return out, samples
+    finally:
+        db.close()
 
 
 def read_agd(files: DataFrame) -> DataFrame:
@@ -127,15 +130,27 @@ def read_agd(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, _AGD)
 
 
+def agd_subjects(rows: DataFrame) -> DataFrame:
+    """Each file's subject: its setting ``subjectname`` where one file alone has it, else the file's name."""
+    named = F.first(F.when((F.col("name") == "subjectname") & ~F.col("value").isin("", "0"), F.col("value")), True)
+    files = rows.groupBy("path").agg(named.alias("own"))
+    once = F.count("own").over(Window.partitionBy("own")) == 1
+    return files.select("path", F.when(once, F.col("own")).otherwise(subject_id(F.col("path"))).alias("subject"))
+
+
+def _of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.where(F.col("kind") == kind).join(agd_subjects(rows), "path")
+
+
 def agd_samples(rows: DataFrame) -> DataFrame:
     """The samples of raw databases: subject, sample, timestamp, x, y, z, rate."""
     axes = [F.col(f"axis{k}").alias(a) for k, a in enumerate("xyz", 1)]
-    return rows.where("kind = 'sample'").select(subject_id(F.col("path")).alias("subject"), F.col("row").alias("sample"), ticks_to_timestamp(F.col("ticks")).alias("timestamp"), *axes, F.col("value").cast("double").alias("rate"))
+    return _of_kind(rows, "sample").select("subject", F.col("row").alias("sample"), ticks_to_timestamp(F.col("ticks")).alias("timestamp"), *axes, F.col("value").cast("double").alias("rate"))
 
 
 def agd_epochs(rows: DataFrame, epoch_seconds: int = 60) -> DataFrame:
     """The canonical series of each file; without ticks the timestamp is null. Samples of a raw one are counted, x as axis1, without steps."""
-    own = rows.where("kind = 'epoch'").select(subject_id(F.col("path")).alias("subject"), F.col("row").alias("epoch"), ticks_to_timestamp(F.col("ticks")).alias("timestamp"), "axis1", "axis2", "axis3", "steps")
+    own = _of_kind(rows, "epoch").select("subject", F.col("row").alias("epoch"), ticks_to_timestamp(F.col("ticks")).alias("timestamp"), "axis1", "axis2", "axis3", "steps")
     samples = agd_samples(rows)
     first = samples.where("sample = 1").select("subject", F.unix_micros("timestamp").alias("_first"))
     counted = counts(samples, None, epoch_seconds).join(first, "subject", "left")
@@ -146,12 +161,38 @@ def agd_epochs(rows: DataFrame, epoch_seconds: int = 60) -> DataFrame:
 
 def agd_filters(rows: DataFrame) -> DataFrame:
     """The intervals of each file."""
-    return rows.where("kind = 'filter'").select(subject_id(F.col("path")).alias("subject"), ticks_to_timestamp(F.col("ticks")).alias("start_time"), ticks_to_timestamp(F.col("value").cast("long")).alias("stop_time"))
+    return _of_kind(rows, "filter").select("subject", ticks_to_timestamp(F.col("ticks")).alias("start_time"), ticks_to_timestamp(F.col("value").cast("long")).alias("stop_time"))
+
+
+def agd_info(rows: DataFrame) -> DataFrame:
+    """What reports say of each subject: subject, filename, serial_number, weight_lbs, age and gender."""
+    settings = rows.where("kind = 'setting'")
+    serial = settings.where("name = 'deviceserial'").groupBy("path").agg(F.first("value").alias("serial_number"))
+    known = subject_info(settings).join(serial, "path", "left").withColumnRenamed("sex", "gender")
+    return agd_subjects(rows).join(known, "path", "left").select("subject", F.element_at(F.split("path", "/"), -1).alias("filename"), "serial_number", "weight_lbs", "age", "gender")
 
 
-def agd_metadata(rows: DataFrame) -> DataFrame:
-    """By file: rows of each kind and the error, if any."""
-    return rows.groupBy("path").agg(F.count_if(F.col("kind") == "epoch").alias("n_epochs"), F.count_if(F.col("kind") == "setting").alias("n_settings"), F.count_if(F.col("kind") == "filter").alias("n_filters"), F.count_if(F.col("kind") == "sample").alias("n_samples"), F.max("error").alias("error"))
+def agd_errors(rows: DataFrame) -> DataFrame:
+    """The files that can't be read, and why."""
+    return rows.where("kind = 'error'").select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path", "error")
+
+
+def agd_metadata(files: DataFrame) -> DataFrame:
+    """By file, by counting in the database and without its rows: those of each kind, its tables, and the error, if any."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    db, names = _opened(bytes(content))
+                    n = [next((db.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ts if t in names), 0) for ts in (("data", "epochs"), ("settings",), ("filters",), ("accelerometer",))]  # noqa: S608
+                    db.close()
+                    row = (path, ",".join(sorted(names)), *n, None)
+                except Exception as e:  # one file's fault is its own row
+                    row = (path, None, 0, 0, 0, 0, str(e))
+                yield pd.DataFrame([row])
+
+    return files.select("path", "content").mapInPandas(run, "path string, tables string, n_epochs long, n_settings long, n_filters long, n_samples long, error string")
 
 
 def subject_id(path: Column) -> Column:
@@ -174,49 +215,69 @@ def subject_info(settings: DataFrame, key: str = "path") -> DataFrame:
     )
 
 
-def resolve(columns: list[str], patterns: list[str]) -> str | None:
-    for pattern in patterns:
-        for c in columns:
-            if re.search(pattern, c.lower()):
-                return c
-    return None
+def _words(name: str) -> list[str]:
+    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+
+
+def axis_column(columns: list[str], axis: str) -> str | None:
+    """The column whose words are the axis's letter alone, or after a word for acceleration."""
+    found = [(AXIS_WORDS.index(word), i) for i, c in enumerate(columns) for word in AXIS_WORDS if "".join(_words(c)) == word + axis]
+    return columns[min(found)[1]] if found else None
+
+
+def time_column(columns: list[str]) -> str | None:
+    found = [(TIME_WORDS.index(w), i) for i, c in enumerate(columns) for w in _words(c) if w in TIME_WORDS]
+    return columns[min(found)[1]] if found else None
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files (file, n, value), numbered from 1 in each.
+
+    A task numbers its own lines of a file; what earlier tasks have of it is added, so a large file needn't pass through one.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")).withColumn("task", F.shiftright("at", 33))
+    sizes = lines.groupBy("file", "task").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("file", "task").orderBy("at"))
+    return lines.join(sizes.select("file", "task", before.alias("before")), ["file", "task"]).select("file", (F.col("before") + own).alias("n"), "value")
+
+
+def _csv_samples(spark: SparkSession, path: str, skip: int, rate: float, columns: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """Samples of CSV files after ``skip`` lines and a line of names; each file's own names say where its columns are.
+
+    ``columns`` finds the time (or none), x, y and z among names. The distinct lines of names, a few, are resolved on the driver.
+    """
+    lines = _numbered_lines(spark, path)
+    heads = lines.where(F.col("n") == skip + 1).select("file", F.col("value").alias("head"))
+    places = []
+    for (head,) in heads.select("head").distinct().collect():
+        fields = [f.strip().strip('"') for f in head.split(",")]
+        found = columns(fields)
+        if None in found[1:]:
+            raise ValueError(f"no acceleration among {', '.join(fields)}")
+        places.append((head, *[None if c is None else fields.index(c) for c in found]))
+    if not places:
+        raise ValueError("there is no line of names")
+    known = heads.join(F.broadcast(spark.createDataFrame(places, "head string, t int, x int, y int, z int")), "head").drop("head")
+    parts, start = F.split("value", ","), F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    body = lines.where((F.col("n") > skip + 1) & (F.trim("value") != "")).join(known, "file").withColumn("sample", F.col("n") - skip - 1)
+    field = lambda c: F.trim(F.regexp_replace(F.get(parts, F.col(c)), '"', ""))
+    counted = F.timestamp_micros((start + (F.col("sample") - 1) * 1e6 / rate).cast("long"))
+    time = F.when(F.col("t").isNull(), counted).otherwise(F.try_to_timestamp(field("t")))
+    return body.select(subject_id(F.col("file")).alias("subject"), "sample", time.alias("timestamp"), *[field(a).cast("double").alias(a) for a in "xyz"])
 
 
 def read_csv(spark: SparkSession, path: str, rate: float | None = None, timestamp: str | None = None, x: str | None = None, y: str | None = None, z: str | None = None) -> tuple[DataFrame, bool]:
     """Samples of CSV files (subject, sample, timestamp, x, y, z), and whether they are raw: no value reaches 20."""
-    df = spark.read.csv(path, header=True)
-    axes = {a: given or resolve(df.columns, [p.format(a=a) for p in AXIS_PATTERNS]) for a, given in zip("xyz", (x, y, z))}
-    if None in axes.values():
-        raise ValueError(f"no x, y and z among {', '.join(df.columns)}")
-    time = timestamp or resolve(df.columns, TIME_PATTERNS)
-    file = F.col("_metadata.file_path")
-    out = df.select(subject_id(file).alias("subject"), F.monotonically_increasing_id().alias("_at"), *([F.to_timestamp(F.col(f"`{time}`")).alias("timestamp")] if time else []), *[F.col(f"`{c}`").cast("double").alias(a) for a, c in axes.items()])
-    out = out.withColumn("sample", F.row_number().over(Window.partitionBy("subject").orderBy("_at"))).drop("_at")
-    if not time:
-        start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-        out = out.withColumn("timestamp", F.timestamp_micros((start + (F.col("sample") - 1) * 1e6 / (rate or 30)).cast("long")))
+    out = _csv_samples(spark, path, 0, rate or 30, lambda names: [timestamp or time_column(names), *(given or axis_column(names, a) for a, given in zip("xyz", (x, y, z)))])
     top = out.agg(F.max(F.greatest(F.abs("x"), F.abs("y"), F.abs("z")))).first()[0]
-    return out.select("subject", "sample", "timestamp", "x", "y", "z"), top is not None and top < 20
+    return out, top is not None and top < 20
 
 
 def read_device_csv(spark: SparkSession, path: str, rate: float = 60, skip: int = SKIPPED_LINES) -> DataFrame:
     """Samples of files with ``skip`` lines before the names ``Accelerometer X``, ``Y``, ``Z`` (and ``Timestamp``)."""
-    lines = spark.read.text(path).select(subject_id(F.col("_metadata.file_path")).alias("subject"), "value", F.monotonically_increasing_id().alias("_at"))
-    numbered = lines.withColumn("n", F.row_number().over(Window.partitionBy("subject").orderBy("_at")))
-    names = numbered.where(F.col("n") == skip + 1).select("value").first()
-    if names is None:
-        raise ValueError("there is no line of names")
-    fields = [f.strip().strip('"') for f in names[0].split(",")]
-    parts = F.split("value", ",")
-    at = {a: next((i for i, f in enumerate(fields) if f.lower() == f"accelerometer {a}"), None) for a in "xyz"}
-    if None in at.values():
-        raise ValueError(f"no acceleration among {', '.join(fields)}")
-    body = numbered.where(F.col("n") > skip + 1).withColumn("sample", F.col("n") - skip - 1)
-    start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    time = F.timestamp_micros((start + (F.col("sample") - 1) * 1e6 / rate).cast("long"))
-    if (t := next((i for i, f in enumerate(fields) if f.lower() == "timestamp"), None)) is not None:
-        time = F.to_timestamp(F.trim(parts[t]))
-    return body.select("subject", "sample", time.alias("timestamp"), *[parts[i].cast("double").alias(a) for a, i in at.items()])
+    named = lambda names, wanted: next((n for n in names if n.lower() == wanted), None)
+    return _csv_samples(spark, path, skip, rate, lambda names: [named(names, "timestamp"), *(named(names, f"accelerometer {a}") or named(names, a) for a in "xyz")])
 
 
 def read_accelerometer(spark: SparkSession, path: str, **options):

@@ -71,7 +71,7 @@ def test_analysis_holds_together(spark, demo):
         assert r.gini is None or 0 <= r.gini < 1
     for r in circadian.stability_and_variability(rich, circadian.worn_counts(rich)).collect():
         assert 0 <= r.interdaily_stability <= 1
-    for r in result.cosinor.collect():
+    for r in result.rhythm.summary.collect():
         assert 0 <= r.r_squared <= 1 and 0 <= r.peak_hour < 24
     periods = wear.wear_periods(rich).agg(F.sum("n_epochs")).first()[0]
     assert periods == rich.where("wear_time").count()

@@ -2,20 +2,20 @@ import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
-from strideframe.operators import sleep
-from strideframe.plans.analysis import enrich
-from strideframe.sources import readers, sinks
+from strideframe.operators import sleep, wear
+from strideframe.plans.analysis import analyze_folder, enrich
+from strideframe.sources import gt3x, readers, sinks
 from strideframe.streaming.epochs import epoch_stream
 
 START = (1704067200 + 62135596800) * 10_000_000
 
 
-def _agd(path, epochs=5):
+def _agd(path, epochs=5, subject="P1"):
     db = sqlite3.connect(path)
     db.execute("CREATE TABLE data (dataTimestamp INTEGER, axis1 INTEGER, axis2 INTEGER, steps INTEGER)")
     db.executemany("INSERT INTO data VALUES (?, ?, ?, ?)", [(START + i * 600_000_000, i, 2 * i, 1) for i in range(epochs)])
     db.execute("CREATE TABLE settings (settingName TEXT, settingValue TEXT)")
-    db.executemany("INSERT INTO settings VALUES (?, ?)", [("subjectname", "P1"), ("sex", "Female"), ("age", "0"), ("mass", "80"), ("height", "")])
+    db.executemany("INSERT INTO settings VALUES (?, ?)", [("subjectname", subject), ("deviceserial", "S9"), ("sex", "Female"), ("age", "0"), ("mass", "80"), ("height", "")])
     db.execute("CREATE TABLE filters (filterStartTimestamp INTEGER, filterStopTimestamp INTEGER)")
     db.execute("INSERT INTO filters VALUES (?, ?)", (START, START + 600_000_000))
     db.commit()
@@ -25,17 +25,34 @@ def _agd(path, epochs=5):
 def test_count_databases(spark, tmp_path):
     _agd(tmp_path / "one (60s).agd")
     _agd(tmp_path / "two.AGD", 3)
+    _agd(tmp_path / "three.agd", 2, "P3")
     (tmp_path / "bad.agd").write_bytes(b"nothing")
-    rows = readers.read_agd(readers.device_files(spark, str(tmp_path), ("agd",))).cache()
+    (tmp_path / "other.txt").write_bytes(b"nothing")
+    files = readers.device_files(spark, str(tmp_path), ("agd",))
+    rows = readers.read_agd(files).cache()
     epochs = readers.agd_epochs(rows)
-    assert {r.subject: r["count"] for r in epochs.groupBy("subject").count().collect()} == {"one": 5, "two": 3}
+    assert {r.subject: r["count"] for r in epochs.groupBy("subject").count().collect()} == {"one": 5, "two": 3, "P3": 2}  # a name that two files have tells neither
     first = epochs.where("subject = 'one' and epoch = 1").select(F.col("timestamp").cast("string").alias("t"), "axis3", "axis2").first()
     assert (first.t, first.axis3, first.axis2) == ("2024-01-01 00:00:00", None, 0.0)
-    errors = readers.agd_metadata(rows).where("error is not null").collect()
-    assert len(errors) == 1 and errors[0].path.endswith("bad.agd")
+    metadata = readers.agd_metadata(files).collect()
+    assert sorted((r.n_epochs, r.n_settings, r.n_filters, r.error is None) for r in metadata) == [(0, 0, 0, False), (2, 6, 1, True), (3, 6, 1, True), (5, 6, 1, True)]
+    assert [r.filename for r in readers.agd_errors(rows).collect()] == ["bad.agd"]
+    about = {r.subject: r for r in readers.agd_info(rows).collect()}
+    assert (about["P3"].filename, about["P3"].serial_number, about["P3"].gender, about["P3"].weight_lbs) == ("three.agd", "S9", "F", 176.4)
     info = readers.subject_info(rows.where("kind = 'setting'")).first()
     assert (info.subject_id, info.sex, info.age, info.weight_lbs, info.height) == ("P1", "F", 0.0, 176.4, None)
-    assert readers.agd_filters(rows).where("stop_time > start_time").count() == 2
+    assert readers.agd_filters(rows).where("stop_time > start_time").count() == 3
+
+
+def test_a_folder_is_analysed_and_its_errors_told(spark, tmp_path):
+    _agd(tmp_path / "one.agd", 120, "A")
+    (tmp_path / "bad.agd").write_bytes(b"nothing")
+    batch = analyze_folder(spark, str(tmp_path))
+    assert [(r.subject, r.n_epochs, r.valid_days) for r in batch.table.collect()] == [("A", 2, 0)]  # two epochs in its interval
+    assert batch.analysis.epochs.count() == 120 and [r.filename for r in batch.errors.collect()] == ["bad.agd"]
+    sinks.export_batch(batch.analysis.epochs, wear.valid_days(batch.analysis.epochs), str(tmp_path / "out"), info=batch.info)
+    row = spark.read.csv(f"{tmp_path}/out/batch", header=True).first()
+    assert (row["Subject"], row["Filename"], row["Gender"], row["Number of Epochs"]) == ("A", "one.agd", "F", "120") and len(row) == 44
 
 
 def test_raw_databases(spark, tmp_path):
@@ -56,7 +73,7 @@ def test_raw_databases(spark, tmp_path):
         db.commit()
         db.close()
     rows = readers.read_agd(readers.device_files(spark, str(tmp_path), ("agd",))).cache()
-    assert {(r.n_epochs, r.n_samples, r.error) for r in readers.agd_metadata(rows).collect()} == {(0, n, None)}
+    assert {(r.n_epochs, r.n_samples, r.error) for r in readers.agd_metadata(readers.device_files(spark, str(tmp_path), ("agd",))).collect()} == {(1, n, None)}
     assert {r.subject: r.rate for r in readers.agd_samples(rows).select("subject", "rate").distinct().collect()} == {"a": 60.0, "b": 60.0, "c": 30.0}
     found = {(r.subject, r.epoch): r for r in readers.agd_epochs(rows).withColumn("timestamp", F.col("timestamp").cast("string")).collect()}
     assert sorted(found) == [("a", 1), ("b", 1), ("c", 1), ("c", 2)]
@@ -75,6 +92,10 @@ def test_csv(spark, tmp_path):
     with pytest.raises(ValueError):
         (tmp_path / "none.csv").write_text("a,b\n1,2\n")
         readers.read_csv(spark, str(tmp_path / "none.csv"))
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text("x,y,z\n1,2,3\n")
+    (tmp_path / "two" / "b.csv").write_text("z,accelY,Axis X\n1,2,3\n")
+    assert {(r.subject, r.x, r.y, r.z) for r in readers.read_csv(spark, str(tmp_path / "two"))[0].collect()} == {("a", 1, 2, 3), ("b", 3, 2, 1)}
     lines = ["header"] * 10 + ["Accelerometer X,Accelerometer Y,Accelerometer Z", "0.1,0.2,0.3", "0.4,0.5,0.6"]
     (tmp_path / "device.csv").write_text("\n".join(lines) + "\n")
     rows = readers.read_device_csv(spark, str(tmp_path / "device.csv")).orderBy("sample").collect()
@@ -107,6 +128,8 @@ def test_raw_archives(spark, tmp_path):
     assert rows[0].subject == "bad" and rows[0].error
     assert [(r.x, r.y, r.z) for r in rows[1:]] == [(1, 0, -1), (0, 1, 0.5), (0, 0, 0), (0, 0, 0), (0, 1, -1), (2, 0, 0)]
     assert rows[1].rate == 2.0
+    settings = {(r.path.rsplit("/", 1)[1], r.name): r.value for r in gt3x.gt3x_settings(readers.device_files(spark, str(tmp_path), ("gt3x",))).collect()}
+    assert settings == {("s1.gt3x", "deviceserial"): "X", ("s1.gt3x", "samplerate"): "2", **{("bad.gt3x", n): v for n, v in gt3x.DEFAULT_SETTINGS.items()}}
 
 
 def test_reports_are_written(spark, tmp_path):
@@ -115,7 +138,9 @@ def test_reports_are_written(spark, tmp_path):
     daily = spark.read.csv(f"{tmp_path}/daily", header=True)
     assert daily.count() == 4 and "% in Sedentary" in daily.columns and "Day of Week" in daily.columns
     assert spark.read.csv(f"{tmp_path}/hourly", header=True).count() == 96
-    sinks.export_sleep(sleep.sleep_periods(sleep.cole_kripke(rich)), str(tmp_path))
+    assert [len(spark.read.csv(f"{tmp_path}/{n}", header=True).columns) for n in ("summary", "daily", "hourly")] == [44, 47, 47]
+    sinks.export_sleep(sleep.sleep_periods(sleep.cole_kripke(rich), least=5), str(tmp_path))
+    assert [len(spark.read.csv(f"{tmp_path}/{n}", header=True).columns) for n in ("sleep_details", "sleep_summary")] == [22, 23]
 
 
 def test_stream(spark, tmp_path):
