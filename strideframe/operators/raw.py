@@ -1,12 +1,14 @@
 """Raw acceleration: counts, calibration, deviation by block, steps.
 
-Recursive filters and the search for steps go through one sensor's samples in order,
-so each subject and axis is a group; what can be summed by window is summed by Spark.
+Recursive filters and the search for steps go through one sensor's samples in order. A
+series is cut into stretches, which reach over into their neighbours by more than a
+filter's response lasts, so each stretch is a group of bounded size and a long series
+is filtered by many tasks. What can be summed by window or stretch is summed by Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +25,12 @@ COUNTS_A = [1, -3.63, 5.04, -3.10, 0.506, 0.324, -0.157, 0.0195]
 COUNTS_B = [-0.00934, -0.0255, -0.00424, 0.0442, 0.0365, -0.0119, -0.0229, -0.00679]
 RESCALE, CAP, FLOOR_AT, LFE_LEAST = 17.127404, 128, 4, 1
 RATE, FINAL_RATE = 30, 10
+#: Samples (of RATE) after which a filter's response is over, and those of a stretch, at least.
+RESPONSE = 4096
+STRETCH = 1 << 18
 
 
-def _impulse(b: np.ndarray, a: np.ndarray, n: int = 4096) -> np.ndarray:
+def _impulse(b: np.ndarray, a: np.ndarray, n: int = RESPONSE) -> np.ndarray:
     """The first ``n`` values of a filter's response to one."""
     y = np.zeros(n)
     for i in range(n):
@@ -88,7 +93,7 @@ def count_signal(x: np.ndarray, rate: float, epoch_seconds: int = 60, lfe: bool
     x = np.nan_to_num(np.asarray(x, float))
     if len(x) == 0:
         return np.zeros(0)
-    x = np.minimum(np.abs(steady_filter(COUNTS_B, COUNTS_A, decimate(x, round(rate / RATE) if rate > RATE else 1)) * RESCALE), CAP)
+    x = np.minimum(np.abs(steady_filter(COUNTS_B, COUNTS_A, decimate(x, _factor(rate))) * RESCALE), CAP)
     if lfe:
         x = np.where(x < FLOOR_AT, np.floor(x) - 1, x)
         x = np.where(x < LFE_LEAST, 0, x)
@@ -99,57 +104,129 @@ def count_signal(x: np.ndarray, rate: float, epoch_seconds: int = 60, lfe: bool
     return tens[: len(tens) // size * size].reshape(-1, size).sum(1)
 
 
-def count_steps(x: np.ndarray, rate: float, threshold: float = 0.0359, gap_seconds: float = 0.3) -> int:
-    """Upward crossings of the band-passed signal, ``gap_seconds`` apart at least."""
+def step_places(x: np.ndarray, rate: float, threshold: float = 0.0359, gap_seconds: float = 0.3) -> np.ndarray:
+    """Upward crossings of the band-passed signal, ``gap_seconds`` apart at least, as samples after decimation."""
     if len(x) < 10:
-        return 0
-    x = decimate(np.asarray(x, float), round(rate / RATE) if rate > RATE else 1)
+        return np.zeros(0, int)
+    x = decimate(np.asarray(x, float), _factor(rate))
     y = both_ways(*butterworth_band(4, 0.25 / 15, 2.5 / 15), x - x.mean())
-    steps, last = 0, -np.inf
+    out, last = [], -np.inf
     for i in (np.flatnonzero((y[:-2] < -threshold) & (y[1:-1] > threshold)) + 1).tolist():
         if i - last >= gap_seconds * RATE:
-            steps, last = steps + 1, i
-    return steps
+            out.append(i)
+            last = i
+    return np.array(out, int)
+
+
+def count_steps(x: np.ndarray, rate: float, threshold: float = 0.0359, gap_seconds: float = 0.3) -> int:
+    """Steps of a whole signal."""
+    return len(step_places(x, rate, threshold, gap_seconds))
+
+
+def _factor(rate: float) -> int:
+    return round(rate / RATE) if rate > RATE else 1
+
+
+def _cadence(acf: np.ndarray, rate: float, n: int, slowest: float, fastest: float) -> int:
+    """Steps of ``n`` samples by the highest peak of the autocorrelation, from lag 1 on."""
+    peaks = np.flatnonzero(np.diff(np.sign(np.diff(acf))) == -2) + 1
+    if not len(peaks):
+        return 0
+    cadence = min(rate, RATE) / (peaks[np.argmax(acf[peaks])] + 1) * 60
+    return 0 if not slowest <= cadence <= fastest else round(cadence * n / rate / 60)
 
 
 def count_steps_by_period(x: np.ndarray, rate: float, slowest: float = 60, fastest: float = 200) -> int:
-    """Steps from the highest peak of the autocorrelation."""
+    """Steps of a whole signal from the highest peak of its autocorrelation."""
     if len(x) < rate * 2:
         return 0
-    fs = min(rate, RATE)
-    s = decimate(np.asarray(x, float), round(rate / RATE) if rate > RATE else 1)
+    s = decimate(np.asarray(x, float), _factor(rate))
     s = s - s.mean()
-    most = min(round(fs * 60 / slowest), len(s) - 1)
+    most = min(round(min(rate, RATE) * 60 / slowest), len(s) - 1)
     power = float(s @ s)
     if power == 0:
         return 0
-    acf = np.array([s[: len(s) - k] @ s[k:] for k in range(1, most + 1)]) / power
-    peaks = np.flatnonzero(np.diff(np.sign(np.diff(acf))) == -2) + 1
-    if not len(peaks):
-        return 0
-    cadence = fs / (peaks[np.argmax(acf[peaks])] + 1) * 60
-    return 0 if not slowest <= cadence <= fastest else round(cadence * len(x) / rate / 60)
+    return _cadence(np.array([s[: len(s) - k] @ s[k:] for k in range(1, most + 1)]) / power, rate, len(x), slowest, fastest)
 
 
-def _by_subject(df: DataFrame, schema: str, make: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    return df.groupBy("subject").applyInPandas(lambda rows: make(rows.sort_values("sample")), schema)
+def _stretches(raw: DataFrame, rate: float | None, unit: Column | int, columns: list[str]) -> DataFrame:
+    """``raw`` dealt to stretches of whole units of samples, each with what it reaches over into: subject, part, first (its own first sample, from 0), n_own, sample and ``columns``."""
+    unit = F.lit(unit) if isinstance(unit, int) else unit
+    factor = F.lit(_factor(rate)) if rate is not None else F.greatest(F.round(F.col("rate") / RATE), F.lit(1)).cast("int")
+    units = lambda samples: (F.ceil(samples * factor / unit) * unit).cast("long")
+    own, over = units(F.lit(STRETCH)), units(F.lit(3 * RESPONSE))
+    at = F.col("sample") - 1
+    part = F.floor(at / own)
+    near = F.array(part, F.when(at % own < over, part - 1), F.when(at % own >= own - over, part + 1))
+    parts = raw.select("subject", "sample", *columns, own.alias("n_own"), F.explode(F.array_compact(near)).alias("part")).where("part >= 0")
+    return parts.withColumn("first", F.col("part") * F.col("n_own"))
 
 
-def counts(raw: DataFrame, rate: float | None, epoch_seconds: int = 60, lfe: bool = False) -> DataFrame:
-    """Counts by subject and epoch of all three axes of ``raw`` (subject, sample, x, y, z); axis1 is the vertical y. Without ``rate`` it is a column of ``raw``."""
+def _by_stretch(parts: DataFrame, schema: str, make: Callable[[pd.DataFrame, int, int], pd.DataFrame]) -> DataFrame:
+    """``make`` gets a stretch's rows in order, where its own ones begin among them, and how many it may have; a stretch that only reaches over has none."""
 
-    def make(rows: pd.DataFrame) -> pd.DataFrame:
-        own = float(rows["rate"].iloc[0]) if rate is None else rate
-        axes = [count_signal(rows[c].to_numpy(), own, epoch_seconds, lfe) for c in "yxz"]
-        return pd.DataFrame({"subject": rows["subject"].iloc[0], "epoch": np.arange(1, len(axes[0]) + 1), "axis1": axes[0], "axis2": axes[1], "axis3": axes[2]})
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sample")
+        before = int(rows["first"].iloc[0] - (rows["sample"].iloc[0] - 1))
+        return make(rows, before, int(rows["n_own"].iloc[0]))
 
-    return _by_subject(raw, "subject string, epoch long, axis1 double, axis2 double, axis3 double", make)
+    return parts.groupBy("subject", "part").applyInPandas(run, schema)
 
 
-def steps(raw: DataFrame, rate: float, by_period: bool = False, axis: str = "y") -> DataFrame:
-    """Steps by subject."""
-    count = count_steps_by_period if by_period else count_steps
-    return _by_subject(raw, "subject string, steps long", lambda rows: pd.DataFrame({"subject": [rows["subject"].iloc[0]], "steps": [count(rows[axis].to_numpy(), rate)]}))
+def counts(raw: DataFrame, rate: float | None, epoch_seconds: int = 60, lfe: bool = False) -> DataFrame:
+    """Counts by subject and epoch of all three axes of ``raw`` (subject, sample from 1 without gaps, x, y, z); axis1 is the vertical y. Without ``rate`` it is a column of ``raw``."""
+    size = lambda r: 3 * FINAL_RATE * epoch_seconds * _factor(r)
+
+    def make(rows: pd.DataFrame, before: int, n_own: int) -> pd.DataFrame:
+        own = float(rows["rate"].iloc[0]) if rate is None else rate
+        axes = [count_signal(rows[c].to_numpy(), own, epoch_seconds, lfe)[before // size(own) :][: n_own // size(own)] for c in "yxz"]
+        first = int(rows["first"].iloc[0]) // size(own) + 1
+        return pd.DataFrame({"subject": rows["subject"].iloc[0], "epoch": np.arange(first, first + len(axes[0])), "axis1": axes[0], "axis2": axes[1], "axis3": axes[2]})
+
+    epoch = 3 * FINAL_RATE * epoch_seconds
+    unit = size(rate) if rate is not None else epoch * F.greatest(F.round(F.col("rate") / RATE), F.lit(1)).cast("int")
+    parts = _stretches(raw, rate, unit, ["x", "y", "z", *(["rate"] if rate is None else [])])
+    return _by_stretch(parts, "subject string, epoch long, axis1 double, axis2 double, axis3 double", make)
+
+
+def steps(raw: DataFrame, rate: float, by_period: bool = False, axis: str = "y", slowest: float = 60, fastest: float = 200) -> DataFrame:
+    """Steps by subject: crossings, or by the period of the autocorrelation, whose sums are made by stretch."""
+    q = _factor(rate)
+    parts = _stretches(raw, rate, q, [axis])
+    if not by_period:
+
+        def crossings(rows: pd.DataFrame, before: int, n_own: int) -> pd.DataFrame:
+            at = step_places(rows[axis].to_numpy(), rate) * q - before
+            return pd.DataFrame({"subject": [rows["subject"].iloc[0]], "steps": [int(((at >= 0) & (at < n_own)).sum())]})
+
+        return _by_stretch(parts, "subject string, steps long", crossings).groupBy("subject").agg(F.sum("steps").alias("steps"))
+    lags = round(min(rate, RATE) * 60 / slowest)
+
+    def sums(rows: pd.DataFrame, before: int, n_own: int) -> pd.DataFrame:
+        """Of the decimated signal: the number and sum of own values, and of the products with the value at each lag the number and the three sums."""
+        s = decimate(rows[axis].to_numpy(dtype=float), q)
+        a, b = before // q, min(len(s), (before + n_own) // q)
+        out = [b - a, s[a:b].sum()]
+        for k in range(lags + 1):
+            x, y = s[a : min(b, len(s) - k)], s[a + k : min(b + k, len(s))]
+            out += [len(x), x.sum(), y.sum(), float(x @ y)]
+        return pd.DataFrame({"subject": [rows["subject"].iloc[0]], "own": [max(0, len(rows) - before) if before + n_own >= len(rows) else n_own], "sums": [out if b > a else [0.0] * len(out)]})
+
+    n = 2 + 4 * (lags + 1)
+    found = _by_stretch(parts, "subject string, own long, sums array<double>", sums).groupBy("subject").agg(F.sum("own").alias("own"), F.array(*[F.sum(F.col("sums")[i]) for i in range(n)]).alias("sums"))
+
+    def period(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for samples, v in zip(rows["own"], rows["sums"]):
+                mean, by_lag = v[1] / max(v[0], 1), np.array(v[2:]).reshape(-1, 4)
+                acf = by_lag[:, 3] - mean * (by_lag[:, 1] + by_lag[:, 2]) + mean * mean * by_lag[:, 0]
+                most = min(lags, int(v[0]) - 1)
+                ok = samples >= rate * 2 and acf[0] > 1e-12 * max(1.0, v[0])
+                out.append(_cadence(acf[1 : most + 1] / acf[0], rate, samples, slowest, fastest) if ok else 0)
+            yield pd.DataFrame({"subject": rows["subject"], "steps": out})
+
+    return found.mapInPandas(period, "subject string, steps long")
 
 
 def process(raw: DataFrame, rate: float, epoch_seconds: int = 60, cut_points: Callable[[Column], Column] = freedson, wear_algorithm: str = "troiano", lfe: bool = False) -> DataFrame:

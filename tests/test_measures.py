@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from strideframe.functions import activity as A
@@ -131,6 +132,24 @@ def test_counts_and_steps(spark):
     assert raw.process(df, 30).columns[-1] == "intensity"
 
 
+def test_stretches_give_what_the_whole_gives(spark, monkeypatch):
+    monkeypatch.setattr(raw, "STRETCH", 20_000)
+    rng = np.random.default_rng(4)
+    for rate, n in ((30, 70_001), (60, 130_000)):
+        t = np.arange(n) / rate
+        y = 1 + 0.4 * np.sin(2 * np.pi * 1.7 * t) * (np.sin(t / 300) > 0) + 0.05 * rng.normal(size=n)
+        x, z = 0.3 * np.sin(2 * np.pi * 0.9 * t), 0.1 * rng.normal(size=n)
+        pdf = pd.DataFrame({"subject": "a", "sample": np.arange(1, n + 1), "x": x, "y": y, "z": z, "rate": float(rate)})
+        df = spark.createDataFrame(pdf).repartition(5).cache()
+        for given in (rate, None):
+            found = raw.counts(df, given).orderBy("epoch").toPandas()
+            assert found["epoch"].tolist() == list(range(1, len(raw.count_signal(y, rate)) + 1))
+            for name, signal in (("axis1", y), ("axis2", x), ("axis3", z)):
+                assert np.abs(found[name] - raw.count_signal(signal, rate)).max() <= 1  # a sum of floors
+        assert abs(raw.steps(df, rate).first().steps - raw.count_steps(y, rate)) <= 1
+        assert raw.steps(df, rate, True).first().steps == raw.count_steps_by_period(y, rate)
+
+
 def test_calibration(spark):
     rng = np.random.default_rng(2)
     rows = []
