@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, on_workers
+from .common import chunks, cut, on_workers
 from .fm_index import FmIndex
 from .words import WordTable, mix
 
@@ -51,8 +51,9 @@ BLOCK_BYTES = 2 << 20
 BLOCKS_A_SHARD = 16
 LONGEST_RUN = 64
 COMMON = 16_384
-#: Bytes of runs and of their places that one task streams through an index.
-STREAM_BYTES = 8 << 20
+#: Bytes of runs and of their places that one task streams through an index, several times those of a shard that isn't hot; and bytes at a time.
+STREAM_BYTES = 48 << 20
+CHUNK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -285,25 +286,32 @@ def _text_of_texts(table: pa.Table) -> pa.Table:
     return _merged(table.column("shard")[0].as_py(), text)
 
 
+def _words_of(runs: Sequence[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all runs, and how many each run has."""
+    data = b"\n".join(runs)
+    a = np.frombuffer(data, np.uint8)
+    ends = np.append(np.flatnonzero(a == 10), len(a))
+    upto = np.searchsorted(np.flatnonzero((a == 32) | (a == 10)), ends) + 1
+    return data.replace(b"\n", b" ").split(b" "), np.diff(upto, prepend=0)
+
+
 class Shard:
     """The FM-index of a shard's text; words that the text has are numbers from 1."""
 
     def __init__(self, runs: Sequence[bytes], ids: np.ndarray) -> None:
-        words = [r.split(b" ") for r in runs]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self.known: dict[bytes, int] = {}
-        numbers = np.zeros(int((sizes + 1).sum()), np.int64)
+        words, sizes = _words_of(runs)
+        self.known = {w: i for i, w in enumerate(set(words), 1)}
+        numbers = np.zeros(len(words) + len(sizes), np.int64)
         inside = np.ones(len(numbers), bool)
         inside[np.cumsum(sizes + 1) - 1] = False
-        numbers[inside] = [self.known.setdefault(w, len(self.known) + 1) for ws in words for w in ws]
+        numbers[inside] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         self.index = FmIndex(numbers, len(self.known) + 1, WINDOW, np.repeat(np.asarray(ids, np.int64), sizes + 1))
 
     def least_ids(self, runs: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each run's windows the least id of the text that has them (NO_ID if none has), one after another, and where each run's begin."""
-        words = [r.split(b" ") for r in runs]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        words, sizes = _words_of(runs)
         starts, get = np.cumsum(sizes) - sizes, self.known.get
-        stream = np.array([get(w, -1) for ws in words for w in ws], np.int64)
+        stream = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         length, group = self.index.matching(stream, starts, sizes)
         least = np.where(length == WINDOW, self.index.least[group], NO_ID)
         counts = np.maximum(sizes - WINDOW + 1, 0)
@@ -337,16 +345,17 @@ def _look_up(streams: pa.Table, text: pa.Table | None = None) -> pa.Table:
     """The intervals of the streams by an index of ``text``, or of their own if they are all of the shard's."""
     if not streams.num_rows:
         return _binary_table(_FOUND, [])
-    parts = list(_streams(streams))
     if text is not None and text.num_rows:
         runs, ids = _unpacked_runs(text.column("runs")[0].as_py()), _unpacked(text.column("ids")[0].as_py(), np.int64)
     else:
         own = Text()
-        for runs, places, ids in parts:
+        for runs, places, ids in _streams(streams):
             own.add(runs, places[:, 0], ids)
         runs, ids = list(own.known), own.least()
-    found = _intervals(Shard(runs, ids), parts)
-    return _binary_table(_FOUND, [(n, x.tobytes()) for n, x in zip(streams.column("block").to_pylist(), found) if len(x)])
+    shard, found, blocks = Shard(runs, ids), [], streams.column("block").to_pylist()
+    for a, b in chunks(streams.column("size").to_pylist(), CHUNK_BYTES):
+        found += zip(blocks[a:b], _intervals(shard, list(_streams(streams.slice(a, b - a)))))
+    return _binary_table(_FOUND, [(n, x.tobytes()) for n, x in found if len(x)])
 
 
 def _remove(kept: Sequence[str], outputs: Sequence[str], schema: pa.Schema):
