@@ -12,12 +12,12 @@ its runs of seven words, so equal windows have equal anchors. The job has five p
    anchor is a common one by its own 13 words, so that no shard gathers a common phrase
    in all its contexts.
 4. The runs of a shard, less repetitions, become its text, and each keeps the least
-   doc_id that has it. A compressed FM-index is built over the text; the blocks' runs are
-   streamed through it. Backward search over its wavelet matrix gives their matching
-   statistics. Where a match of 13 words or more belongs to an earlier document, the
-   interval is reported. The streams of a shard that gets more than STREAM_BYTES are
-   dealt to several tasks; each merges the texts of its own, these are merged once more,
-   and each task gets the whole.
+   doc_id that has it. A compressed FM-index is built over the text; the blocks' runs,
+   each once, are streamed through it. Backward search over its wavelet matrix gives their
+   matching statistics. Where a match of 13 words or more belongs to an earlier document,
+   the interval is reported. No task gets the runs of more than FAN_IN blocks: with more
+   of them than that, a shard's blocks are dealt to groups; each group merges its texts,
+   these are merged once more, and each group streams through an index of the whole.
 5. Blocks remove the intervals.
 
 Windows are judged on the input, and by the words themselves. Documents are dealt by
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut, on_workers
+from .common import chunks, on_workers
 from .fm_index import FmIndex
 from .words import WordTable, mix
 
@@ -51,8 +51,8 @@ BLOCK_BYTES = 2 << 20
 BLOCKS_A_SHARD = 16
 LONGEST_RUN = 64
 COMMON = 16_384
-#: Bytes of runs and of their places that one task streams through an index, several times those of a shard that isn't hot; and bytes at a time.
-STREAM_BYTES = 48 << 20
+#: Blocks whose runs one task streams through an index, and bytes of runs at a time.
+FAN_IN = 4096
 CHUNK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 
@@ -172,8 +172,8 @@ _ANCHORS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("anchors",
 _ANCHORS_DDL = "block int, shard int, anchors binary, windows binary"
 _ANSWERS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("bits", pa.binary())])
 _ANSWERS_DDL = "block int, shard int, bits binary"
-_RUNS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("size", pa.int64()), ("runs", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
-_RUNS_DDL = "block int, shard int, size long, runs binary, places binary, ids binary"
+_RUNS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("runs", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
+_RUNS_DDL = "block int, shard int, runs binary, places binary, ids binary"
 _TEXT = pa.schema([("shard", pa.int32()), ("runs", pa.binary()), ("ids", pa.binary())])
 _TEXT_DDL = "shard int, runs binary, ids binary"
 _FOUND = pa.schema([("block", pa.int32()), ("intervals", pa.binary())])
@@ -235,8 +235,7 @@ def _send_runs(shards: int, index_shards: int):
             return _binary_table(_RUNS, [])
         number = left.column("block")[0].as_py()
         parcels = Block(left).parcels(shards, _answers(right), index_shards)
-        size = lambda texts, ids: sum(map(len, texts)) + 20 * len(ids)
-        return _binary_table(_RUNS, [(number, s, size(texts, ids), _packed_runs(texts), _packed(places), _packed(ids)) for s, texts, places, ids in parcels])
+        return _binary_table(_RUNS, [(number, s, _packed_runs(texts), _packed(places), _packed(ids)) for s, texts, places, ids in parcels])
 
     return run
 
@@ -247,13 +246,17 @@ class Text:
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids: list[np.ndarray] = []
-        self.which: list[list[int]] = []
+        self.which: list[np.ndarray] = []
 
-    def add(self, runs: Sequence[bytes], which: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, runs: Sequence[bytes], which: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Takes runs, and of each place the run and the id; the runs' numbers among the distinct ones."""
         known = self.known
-        number = np.array([known.setdefault(r, len(known)) for r in runs])
-        self.which.append(number[which])
-        self.ids.append(ids)
+        number = np.array([known.setdefault(r, len(known)) for r in runs], np.int64)
+        least = np.full(len(runs), NO_ID)
+        np.minimum.at(least, which, ids)
+        self.which.append(number)
+        self.ids.append(least)
+        return number
 
     def least(self) -> np.ndarray:
         out = np.full(len(self.known), NO_ID)
@@ -307,55 +310,49 @@ class Shard:
         numbers[inside] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         self.index = FmIndex(numbers, len(self.known) + 1, WINDOW, np.repeat(np.asarray(ids, np.int64), sizes + 1))
 
-    def least_ids(self, runs: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each run's windows the least id of the text that has them (NO_ID if none has), one after another, and where each run's begin."""
+    def least_ids(self, runs: Sequence[bytes]) -> np.ndarray:
+        """Of each run's windows the least id of the text that has them (NO_ID if none has), one after another."""
         words, sizes = _words_of(runs)
         starts, get = np.cumsum(sizes) - sizes, self.known.get
         stream = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         length, group = self.index.matching(stream, starts, sizes)
         least = np.where(length == WINDOW, self.index.least[group], NO_ID)
         counts = np.maximum(sizes - WINDOW + 1, 0)
-        begins = np.append(0, np.cumsum(counts))
-        at = np.arange(begins[-1]) - np.repeat(begins[:-1], counts) + np.repeat(starts, counts)
-        return least[at], begins
-
-
-def _intervals(shard: Shard, parts: Sequence[tuple[list[bytes], np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each block's runs the intervals (document, first word, end) that an earlier document has."""
-    least, begins = shard.least_ids([r for runs, _, _ in parts for r in runs])
-    out, before = [], 0
-    for runs, places, ids in parts:
-        own = places[:, 0] + before
-        before += len(runs)
-        n = begins[own + 1] - begins[own]
-        member = np.repeat(np.arange(len(own)), n)
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        earlier = least[np.repeat(begins[own], n) + offset] < ids[member]
-        member, offset = member[earlier], offset[earlier]
-        new = np.ones(len(member), bool)
-        new[1:] = (member[1:] != member[:-1]) | (offset[1:] != offset[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first, len(member))[1:] - 1
-        at = places[member[first], 2] + offset[first]
-        out.append(np.column_stack((places[member[first], 1], at, at + offset[last] - offset[first] + WINDOW)).astype(np.int32))
-    return out
+        return least[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)]
+
+
+def _intervals(least: np.ndarray, begins: np.ndarray, number: np.ndarray, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The intervals (document, first word, end) of a block's places that an earlier document has; ``number`` is each run's, and ``begins`` where a run's windows begin in ``least``."""
+    own = number[places[:, 0]]
+    n = begins[own + 1] - begins[own]
+    member = np.repeat(np.arange(len(own)), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    earlier = least[np.repeat(begins[own], n) + offset] < ids[member]
+    member, offset = member[earlier], offset[earlier]
+    new = np.ones(len(member), bool)
+    new[1:] = (member[1:] != member[:-1]) | (offset[1:] != offset[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first, len(member))[1:] - 1
+    at = places[member[first], 2] + offset[first]
+    return np.column_stack((places[member[first], 1], at, at + offset[last] - offset[first] + WINDOW)).astype(np.int32)
 
 
 def _look_up(streams: pa.Table, text: pa.Table | None = None) -> pa.Table:
-    """The intervals of the streams by an index of ``text``, or of their own if they are all of the shard's."""
+    """The intervals of the streams by an index of ``text``, or of their own runs if they are all of the shard's."""
     if not streams.num_rows:
         return _binary_table(_FOUND, [])
+    own = Text()
+    numbers = [own.add(runs, places[:, 0], ids) for runs, places, ids in _streams(streams)]
+    runs = list(own.known)
     if text is not None and text.num_rows:
-        runs, ids = _unpacked_runs(text.column("runs")[0].as_py()), _unpacked(text.column("ids")[0].as_py(), np.int64)
+        shard = Shard(_unpacked_runs(text.column("runs")[0].as_py()), _unpacked(text.column("ids")[0].as_py(), np.int64))
     else:
-        own = Text()
-        for runs, places, ids in _streams(streams):
-            own.add(runs, places[:, 0], ids)
-        runs, ids = list(own.known), own.least()
-    shard, found, blocks = Shard(runs, ids), [], streams.column("block").to_pylist()
-    for a, b in chunks(streams.column("size").to_pylist(), CHUNK_BYTES):
-        found += zip(blocks[a:b], _intervals(shard, list(_streams(streams.slice(a, b - a)))))
-    return _binary_table(_FOUND, [(n, x.tobytes()) for n, x in found if len(x)])
+        shard = Shard(runs, own.least())
+    sizes = np.fromiter((r.count(b" ") for r in runs), np.int64, len(runs)) + 2 - WINDOW
+    begins = np.append(0, np.cumsum(sizes))
+    least = np.concatenate([shard.least_ids(runs[a:b]) for a, b in chunks([len(r) for r in runs], CHUNK_BYTES)])
+    found = (_intervals(least, begins, number, places, ids) for number, (_, places, ids) in zip(numbers, _streams(streams)))
+    return _binary_table(_FOUND, [(n, x.tobytes()) for n, x in zip(streams.column("block").to_pylist(), found) if len(x)])
 
 
 def _remove(kept: Sequence[str], outputs: Sequence[str], schema: pa.Schema):
@@ -394,17 +391,14 @@ def _remove(kept: Sequence[str], outputs: Sequence[str], schema: pa.Schema):
     return run
 
 
-def _found(runs: DataFrame, stream_bytes: int) -> DataFrame:
+def _found(runs: DataFrame, groups: int) -> DataFrame:
     """The intervals of all blocks (block, intervals)."""
-    load = runs.groupBy("shard").agg(F.sum("size").alias("size"))
-    parts = cut(load.select("shard", F.ceil(F.col("size") / stream_bytes).cast("int").alias("parts")).where("parts > 1"))
-    if parts.isEmpty():
+    if groups == 1:
         return runs.groupBy("shard").applyInArrow(lambda streams: _look_up(streams), _FOUND_DDL)
-    dealt = runs.join(parts, "shard", "left").withColumn("part", F.pmod(F.xxhash64("block", F.lit(5)), F.coalesce("parts", F.lit(1))).cast("int"))
-    texts = dealt.where("parts is not null").groupBy("shard", "part").applyInArrow(_text_of_streams, _TEXT_DDL)
-    texts = texts.groupBy("shard").applyInArrow(_text_of_texts, _TEXT_DDL)
-    texts = texts.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.groupBy("shard", "part").cogroup(texts.groupBy("shard", "part")).applyInArrow(lambda left, right: _look_up(left, right), _FOUND_DDL)
+    dealt = runs.withColumn("part", F.col("block") % groups)
+    texts = dealt.groupBy("shard", "part").applyInArrow(_text_of_streams, _TEXT_DDL).groupBy("shard").applyInArrow(_text_of_texts, _TEXT_DDL)
+    texts = texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return dealt.groupBy("shard", "part").cogroup(texts.groupBy("shard", "part")).applyInArrow(lambda streams, text: _look_up(streams, text), _FOUND_DDL)
 
 
 def remove_repeats(
@@ -415,7 +409,7 @@ def remove_repeats(
     keep: Sequence[str] | None = None,
     block_bytes: int = BLOCK_BYTES,
     common: int = COMMON,
-    stream_bytes: int = STREAM_BYTES,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """``df`` with what is left of ``text`` when windows that an earlier document has are removed; ``outputs`` are names in ``OUTPUTS``.
 
@@ -434,8 +428,8 @@ def remove_repeats(
     dealt = on_workers(df).select(block.alias("block"), number.alias("__id"), F.col(text).alias("__text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
     anchors = dealt.groupBy("block").applyInArrow(_send_anchors(shards), _ANCHORS_DDL)
     answers = anchors.groupBy("shard").applyInArrow(_answer_anchors(common), _ANSWERS_DDL)
-    runs = cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_runs(shards, index_shards), _RUNS_DDL))
-    found = _found(runs, stream_bytes)
+    runs = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_runs(shards, index_shards), _RUNS_DDL)
+    found = _found(runs, -(-blocks // fan_in))
     fields = [dealt.schema[n] for n in names] + [T.StructField(o, OUTPUTS[o], False) for o in outputs]
     schema = T.StructType(fields)
     cleaned = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_remove(names, outputs, to_arrow_schema(schema)), schema)

@@ -39,8 +39,8 @@ def _corpus(rng):
 
 def test_against_brute_force(documents):
     rows = _corpus(random.Random(3))
-    for block_bytes, stream_bytes in ((600, 500), (1 << 20, 1 << 20)):
-        found = substring_dedup.remove_repeats(documents(rows), outputs=("n_words", "n_removed", "kept_sha256"), keep=["doc_id"], block_bytes=block_bytes, stream_bytes=stream_bytes)
+    for block_bytes, fan_in in ((600, 5), (2000, 4096), (1 << 20, 4096)):
+        found = substring_dedup.remove_repeats(documents(rows), outputs=("n_words", "n_removed", "kept_sha256"), keep=["doc_id"], block_bytes=block_bytes, fan_in=fan_in)
         assert sorted(map(tuple, found.collect()), key=repr) == brute(rows)
 
 
