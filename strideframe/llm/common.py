@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -42,12 +43,15 @@ def on_workers(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    a local test, a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset in a
+    session without executors of its own, as in a test, a temporary folder takes its place.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 

@@ -38,3 +38,20 @@ def test_stages_work_on_what_is_left(spark, documents, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path))
     key = lambda df: sorted((r.doc_id, r.ids_sha256) for r in df.collect())
     assert key(again) == key(seen)
+
+
+def test_stages_take_odd_rows(spark, odd, documents, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = documents([(i, prose(80)) for i in range(20, 24)] + [(None, prose(80)), (None, None), (20, prose(90))])
+    more = long.select("*", *[F.lit("own").alias(c) for c in odd.columns if c not in long.columns])
+    docs = odd.unionByName(more).unionByName(more.where("doc_id = 21"))
+    for table, rows in ((docs, True), (docs.limit(0), False)):
+        seen = table
+        for name, stage in corpus_pipeline.STAGES:
+            seen = stage(spark, seen, str(tmp_path)).cache()
+            if name == "tokens":
+                assert set(seen.columns) >= {"token_ids", "n_tokens", "SIMHASH", "kept"} and len(seen.columns) == len({c.lower() for c in seen.columns})
+            else:
+                assert seen.columns == docs.columns
+                assert seen.where("kept <> 'own' or score <> 'own' or SIMHASH <> 'own'").count() == 0
+        assert (seen.count() > 0) == rows
