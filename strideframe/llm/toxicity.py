@@ -12,7 +12,8 @@ Nyström map turns a word into its kernel values against the landmarks, whitened
 sentence's margin is the largest of its words'. A squared-hinge SVM is trained on the
 sentences of labelled documents: of a clean document each sentence is clean, of a toxic
 one at least one is toxic, and it is the one whose word it takes for the most toxic
-(first by frequency, then by its own margin); clean sentences of the largest margin are
+(first by frequency, then by its own margin), besides those with a frequent word that
+clean documents hardly have; clean sentences of the largest margin are
 added round by round. A document's margin is the largest of its sentences', and a
 logistic curve fitted on documents that the SVM has not seen turns it into a score.
 
@@ -54,9 +55,11 @@ LANDMARKS = 300
 CLEAN_WORDS = 8000
 NEGATIVES = 4000
 WORST = 1000
+#: A telling word in so large a share of the documents of the most frequent one is toxic in every sentence.
+PLAIN = 0.3
 #: The largest weight of a toxic and of a clean word, which grows with its documents.
-MOST_TOXIC, MOST_CLEAN = 50, 20
-ROUNDS = 4
+MOST_TOXIC, MOST_CLEAN = 20, 20
+ROUNDS = 6
 RIDGE = 1e-3
 COST = 10.0
 LOWEST = -3.0
@@ -276,15 +279,19 @@ def fit(texts: Sequence[str], toxic: Sequence[int], seed: int = 1) -> Model:
 
     witness = Counter(max(b, key=lambda w: (odds.get(w, -99.0), w)) for b in bad)
     negatives = dict.fromkeys([looked[i] for i in range(min(NEGATIVES, len(looked)))] + frequent + alike)
+    # By shares, as some labels are wrong: a word in eight times the share of toxic documents, and in two of them at least.
+    telling = lambda w: in_bad[w] > 1 and in_bad[w] / len(bad) > 8 * in_good[w] / len(good)
+    most = max((n for w, n in in_bad.items() if telling(w)), default=0)
+    plain = {w: float(min(n, MOST_TOXIC)) for w, n in in_bad.items() if telling(w) and n >= PLAIN * most}
     model = NEVER
     for _ in range(ROUNDS):
-        positive = {w: float(min(n, MOST_TOXIC)) for w, n in witness.items() if n > 8 * in_good[w]}
+        positive = {w: float(min(n, MOST_TOXIC)) for w, n in witness.items() if telling(w)} | plain
         for w in [w for w, n in positive.items() if n >= 5 and len(w) > 3]:  # learnt in disguise as well
             positive |= {x: positive[w] / 8 for x in disguises(w, rng) if x not in in_good and x not in positive}
-        others = [w for w in negatives if w not in positive]
+        others = [w for w in negatives if w not in positive and not telling(w)]
         words = [*positive, *others]
         y = np.array([1.0] * len(positive) + [-1.0] * len(others))
-        weight = np.array([*positive.values(), *(float(min(max(in_good[w], 1), MOST_CLEAN)) ** 0.5 for w in others)])
+        weight = np.array([*positive.values(), *(float(min(max(in_good[w], 1), MOST_CLEAN)) for w in others)])
         w, bias = squared_hinge(features(words), y, weight)
         model = Model(landmarks.table(whiten @ w), bias, 1.0, 0.0)
         of_bag = lambda bag: Words([" ".join(bag)], join=False).margins(model.table)  # noqa: B023, E731
