@@ -1,7 +1,7 @@
 """Operator 5: token counts with the whole-token shortcut.
 
-Which vocabulary strings encode alone as one token is proved before any text is
-read, by merging each. A pre-token in the proved set counts as one token; only the
+Which vocabulary strings encode alone as one token is proved once, by the driver and
+before any text is read, by merging each; tasks get the proof as a bit for each string. A pre-token in the proved set counts as one token; only the
 rest are merged. Special strings inside a text are cut out first and count as one
 token each, as the library does by default.
 
@@ -28,14 +28,21 @@ from .pretokens import split_batch
 CHUNK = 1_000_000
 
 
+@lru_cache(4)
+def proof(path: str) -> bytes:
+    """A bit for each string of the vocabulary: whether it is one token when it stands alone."""
+    merger = json_merger(path)[0]
+    return np.packbits([len(ids) == 1 for ids in merger.merge(list(merger.tokens))]).tobytes()
+
+
 class Counter:
-    """Counts the tokens of texts."""
+    """Counts the tokens of texts; ``proved`` is the vocabulary's ``proof``."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, proved: bytes) -> None:
         self.merger, special = json_merger(path)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        tokens = list(self.merger.tokens)
-        self.whole = {t: 1 for t, ids in zip(tokens, self.merger.merge(tokens)) if len(ids) == 1}
+        whole = np.unpackbits(np.frombuffer(proved, np.uint8), count=len(self.merger.tokens))
+        self.whole = {t: 1 for t, one in zip(self.merger.tokens, whole.tolist()) if one}
         self.counts = Cache(self.whole, lambda pieces: [len(ids) for ids in self.merger.merge(pieces)])
 
     def __call__(self, texts: list[str]) -> list[int]:
@@ -54,15 +61,17 @@ class Counter:
 
 
 @lru_cache(4)
-def counter(path: str) -> Counter:
-    return Counter(path)
+def counter(path: str, proved: bytes) -> Counter:
+    return Counter(path, proved)
 
 
 def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int = 512, keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` with n_bytes, n_tokens and over_limit (more tokens than ``limit``)."""
 
+    proved = proof(vocabulary)
+
     def make():
-        count = counter(vocabulary)
+        count = counter(vocabulary, proved)
 
         def run(column: pa.Array) -> list[pa.Array]:
             texts = [t or "" for t in column.to_pylist()]
