@@ -8,32 +8,28 @@ or with an empty one, are filled with zeros.
 
 from __future__ import annotations
 
-import io
-import struct
 import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from .readers import subject_id
+from . import splits
+from .readers import timed
 
 #: Fixed values of the format.
 SEPARATOR, PACKED, WIDE = 0x1E, 0x00, 0x1A
 SCALE = {PACKED: 341.0, WIDE: 256.0}
 DEFAULT_RATE = 30
 
-#: Names of settings, and the names in ``info.txt`` that they come from; what stands for them if there is none.
+#: Names of settings, and the names in ``info.txt`` that they come from; what stands for them if there is none.
 SETTINGS = {
     "subjectname": "Subject Name", "sex": "Sex", "age": "Age", "height": "Height", "mass": "Mass", "race": "Race", "startdatetime": "Start Date", "stopdatetime": "Stop Date", "epochlength": "Epoch Length",
     "deviceserial": "Serial Number", "deviceversion": "Device Type", "filter": "Filter", "actualstartdate": "Start Date", "samplerate": "Sample Rate",
 }
 DEFAULT_SETTINGS = {"subjectname": "Unknown", "epochlength": "60", "samplerate": "30"}
 
-_SCHEMA = "path string, sample long, seconds double, x double, y double, z double, rate double, error string"
-
 
 def info(text: str) -> dict[str, str]:
     """The settings of ``info.txt``, a name and a value by line."""
@@ -49,65 +45,38 @@ def unpack12(data: bytes) -> np.ndarray:
     return np.where(values > 2047, values - 4096, values)
 
 
-def samples(content: bytes) -> tuple[np.ndarray, int, float]:
-    """All samples in g (x, y, z), the first one's second, and the rate."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        settings, log = info(z.read("info.txt").decode("utf-8", "replace")), z.read("log.bin")
-    rate = int(float(settings.get("Sample Rate", DEFAULT_RATE)))
-    scale = float(settings["Acceleration Scale"]) if "Acceleration Scale" in settings else None
-    seconds, at = {}, 0
-    while at + 8 < len(log):
-        separator, kind, time, size = struct.unpack_from("<BBIH", log, at)
-        if separator != SEPARATOR:
-            raise ValueError(f"no record at byte {at} of the log")
-        payload, at = log[at + 8 : at + 8 + size], at + 9 + size
-        if kind not in SCALE:
-            continue
-        if kind == PACKED:
-            values = unpack12(payload)
-            values = values[: len(values) // 3 * 3].reshape(-1, 3)[:, [1, 0, 2]]
-        else:
-            values = np.frombuffer(payload[: size // 6 * 6], "<i2").reshape(-1, 3)
-        second = np.zeros((rate, 3))
-        second[: len(values)] = values[:rate] / (scale or SCALE[kind])
-        seconds[time] = second
-    if not seconds:
-        return np.zeros((0, 3)), 0, rate
-    first, last = min(seconds), max(seconds)
-    empty = np.zeros((rate, 3))
-    return np.concatenate([seconds.get(t, empty) for t in range(first, last + 1)]), first, rate
-
-
-def read_gt3x(files: DataFrame) -> DataFrame:
-    """Samples of archives (``path``, ``content``): subject, sample, timestamp, x, y, z, rate; a file that can't be read is a row of its error."""
-    names = [c.split()[0] for c in _SCHEMA.split(", ")]
+def second_of(kind: int, payload: bytes, rate: int, scale: float | None) -> np.ndarray:
+    """The samples of a record in g (x, y, z), filled up with zeros to a second's."""
+    if kind == PACKED:
+        values = unpack12(payload)
+        values = values[: len(values) // 3 * 3].reshape(-1, 3)[:, [1, 0, 2]]
+    else:
+        values = np.frombuffer(payload[: len(payload) // 6 * 6], "<i2").reshape(-1, 3)
+    second = np.zeros((rate, 3))
+    second[: len(values)] = values[:rate] / (scale or SCALE[kind])
+    return second
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    xyz, first, rate = samples(bytes(content))
-                    n = np.arange(len(xyz))
-                    yield pd.DataFrame({"path": path, "sample": n + 1, "seconds": first + n / rate, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "rate": float(rate), "error": None}, columns=names)
-                except Exception as e:  # one file's fault is its own row
-                    yield pd.DataFrame([(path, None, None, None, None, None, None, str(e))], columns=names)
 
-    out = files.select("path", "content").mapInPandas(run, _SCHEMA)
-    return out.select(subject_id(F.col("path")).alias("subject"), "sample", F.timestamp_micros((F.col("seconds") * 1e6).cast("long")).alias("timestamp"), "x", "y", "z", "rate", "error")
+def read_gt3x(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Samples of archives (subject, path, sample, timestamp, x, y, z, rate, error), each read by as many tasks as its size asks for; a file that can't be read is a row of its error.
+
+    Options: ``start`` and ``stop`` in seconds since 1970, ``axes`` and ``bytes`` of a share.
+    """
+    return timed(splits.load(spark, splits.Gt3xSource, path, **options))
 
 
 def gt3x_settings(files: DataFrame) -> DataFrame:
-    """The settings of archives as rows: path, name, value; defaults where an archive has none."""
+    """The settings of archives (``path``), of which no more is read, as rows: path, name, value; defaults where an archive has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path in batch["path"]:
                 try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    with splits.opened(path) as file, zipfile.ZipFile(file) as z:
                         own = info(z.read("info.txt").decode("utf-8", "replace"))
-                except (zipfile.BadZipFile, KeyError):
+                except (zipfile.BadZipFile, KeyError, ValueError, OSError):
                     own = {}
                 found = {n: own[k] for n, k in SETTINGS.items() if own.get(k)} or DEFAULT_SETTINGS
                 yield pd.DataFrame({"path": path, "name": list(found), "value": list(found.values())})
 
-    return files.select("path", "content").mapInPandas(run, "path string, name string, value string")
+    return files.select("path").mapInPandas(run, "path string, name string, value string")

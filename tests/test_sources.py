@@ -29,7 +29,7 @@ def test_count_databases(spark, tmp_path):
     (tmp_path / "bad.agd").write_bytes(b"nothing")
     (tmp_path / "other.txt").write_bytes(b"nothing")
     files = readers.device_files(spark, str(tmp_path), ("agd",))
-    rows = readers.read_agd(files).cache()
+    rows = readers.read_agd(spark, str(tmp_path)).cache()
     epochs = readers.agd_epochs(rows)
     assert {r.subject: r["count"] for r in epochs.groupBy("subject").count().collect()} == {"one": 5, "two": 3, "P3": 2}  # a name that two files have tells neither
     first = epochs.where("subject = 'one' and epoch = 1").select(F.col("timestamp").cast("string").alias("t"), "axis3", "axis2").first()
@@ -72,7 +72,7 @@ def test_raw_databases(spark, tmp_path):
         db.executemany("INSERT INTO settings VALUES (?, ?)", settings)
         db.commit()
         db.close()
-    rows = readers.read_agd(readers.device_files(spark, str(tmp_path), ("agd",))).cache()
+    rows = readers.read_agd(spark, str(tmp_path)).cache()
     assert {(r.n_epochs, r.n_samples, r.error) for r in readers.agd_metadata(readers.device_files(spark, str(tmp_path), ("agd",))).collect()} == {(1, n, None)}
     assert {r.subject: r.rate for r in readers.agd_samples(rows).select("subject", "rate").distinct().collect()} == {"a": 60.0, "b": 60.0, "c": 30.0}
     found = {(r.subject, r.epoch): r for r in readers.agd_epochs(rows).withColumn("timestamp", F.col("timestamp").cast("string")).collect()}
@@ -102,12 +102,28 @@ def test_csv(spark, tmp_path):
     assert [(r.x, r.y, r.z) for r in rows] == [(0.1, 0.2, 0.3), (0.4, 0.5, 0.6)]
 
 
+def test_csv_columns_of_real_names():
+    """Names as devices and their programs write them."""
+    for names, found in (
+        (["Timestamp", "Accelerometer X (g)", "Accelerometer Y (g)", "Accelerometer Z (g)"], "Accelerometer {} (g)"),
+        (["elapsedtime", "acc_x_g", "acc_y_g", "acc_z_g"], "acc_{}_g"),
+        (["date_time", "Raw Accel.X", "Raw Accel.Y", "Raw Accel.Z"], "Raw Accel.{}"),
+        (["time", "accelerometerX", "accelerometerY", "accelerometerZ"], "accelerometer{}"),
+        (["DateTime", "X (g)", "Y (g)", "Z (g)"], "{} (g)"),
+        (["t", "axis_x", "axis_y", "axis_z", "x"], None),
+    ):
+        axes = [readers.axis_column(names, a) for a in "xyz"]
+        if found:
+            assert [a.lower() for a in axes] == [found.format(a).lower() for a in "xyz"] and readers.time_column(names) == names[0]
+        else:
+            assert axes == ["x", "axis_y", "axis_z"] and readers.time_column(names) is None
+    assert readers.axis_column(["X [mg]", "max"], "x") is None
+
+
 def test_dispatch(spark):
     with pytest.raises(ValueError):
         readers.read_accelerometer(spark, "x.docx")
-    with pytest.raises(NotImplementedError):
-        readers.read_accelerometer(spark, "x.cwa")
-    assert readers.device_support(spark).where("available").count() == 3
+    assert readers.device_support(spark).where("available").count() == 5
 
 
 def test_raw_archives(spark, tmp_path):
