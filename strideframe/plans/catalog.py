@@ -17,7 +17,7 @@ from ..functions import activity as A
 from ..operators import bouts, circadian, energy, raw, reports, sleep, stats
 from ..operators import wear as wear_ops
 from ..sources.adapters import AGE, MASS, epochs_from_events, raw_from_events
-from .analysis import enrich
+from .analysis import analyze_sleep, enrich
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,6 +131,8 @@ query("cole_kripke", "epochs", lambda d: sleep.cole_kripke(d).select(*_id, "slee
 query("cole_kripke_webster", "epochs", lambda d: sleep.cole_kripke(d, rescore=True).select(*_id, "sleep_wake"))
 query("sadeh", "epochs", lambda d: sleep.sadeh(d).select(*_id, "sleep_wake"))
 query("sleep_periods", "epochs", _periods)
+query("sleep_periods_rescored", "epochs", lambda d: analyze_sleep(d, least=60)[1])
+query("sleep_summary_rescored", "epochs", lambda d: analyze_sleep(d, least=60)[2])
 query("sleep_details", "epochs", lambda d: sleep.sleep_details_report(_periods(d)))
 query("sleep_summary", "epochs", lambda d: sleep.sleep_summary(sleep.cole_kripke(d), _periods(d)))
 query("circular_mean_time", "epochs", lambda d: _periods(d).groupBy("subject").agg(A.circular_minutes(_of_day("in_bed_time")).alias("in_bed_minutes"), A.circular_minutes(_of_day("out_bed_time")).alias("out_bed_minutes")))

@@ -1,16 +1,6 @@
-ck AS (
-  SELECT *, CASE WHEN 0.001 * (106 * coalesce(lag(c, 4) OVER (PARTITION BY subject ORDER BY epoch),
-    0) + 54 * coalesce(lag(c, 3) OVER (PARTITION BY subject ORDER BY epoch),
-    0) + 58 * coalesce(lag(c, 2) OVER (PARTITION BY subject ORDER BY epoch),
-    0) + 76 * coalesce(lag(c, 1) OVER (PARTITION BY subject ORDER BY epoch),
-    0) + 230 * c + 74 * coalesce(lead(c, 1) OVER (PARTITION BY subject ORDER BY epoch),
-    0) + 67 * coalesce(lead(c, 2) OVER (PARTITION BY subject ORDER BY epoch), 0)) < 1 THEN 'S' ELSE 'W' END AS sw
-  FROM (
-    SELECT *, least(axis1 / 100, 300) AS c
-    FROM e)),
 s AS (
   SELECT *, (sw = 'S')::INT AS s, max(epoch) OVER (PARTITION BY subject) AS n
-  FROM ck),
+  FROM states),
 q AS (
   SELECT *, sum(s) OVER (PARTITION BY subject ORDER BY epoch ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) = 5
     AND epoch + 4 <= n AS starts, sum(s) OVER (PARTITION BY subject ORDER BY epoch ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) = 0

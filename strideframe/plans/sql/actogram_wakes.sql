@@ -1,4 +1,4 @@
--- with epochs, sleep_periods
+-- with epochs, cole_kripke, plain_states, sleep_periods
 y AS (
   SELECT x.*, sp.period_number, sp.ib,
     x.epoch - row_number() OVER (PARTITION BY x.subject, x.start_index, x.sw ORDER BY x.epoch) AS g

@@ -1,4 +1,4 @@
--- with epochs, sleep_periods
+-- with epochs, cole_kripke, plain_states, sleep_periods
 SELECT subject AS "Subject Name", '' AS "File Name", '' AS "Serial Number", 60.0::DOUBLE AS "Epoch Length",
   0.0::DOUBLE AS "Weight", 0.0::DOUBLE AS "Age", 'Undefined' AS "Gender", 'Cole-Kripke' AS "Sleep/Wake Algorithm",
   'Tudor-Locke Default' AS "Sleep Period Detection Algorithm",

@@ -1,4 +1,4 @@
--- with epochs, sleep_periods
+-- with epochs, cole_kripke, plain_states, sleep_periods
 SELECT subject, start_index, last_index, strftime(ib, '%Y-%m-%d %H:%M:%S') AS in_bed_time,
   strftime(ob, '%Y-%m-%d %H:%M:%S') AS out_bed_time, strftime(os, '%Y-%m-%d %H:%M:%S') AS onset,
   sleep_time::DOUBLE AS sleep_time, wake_time::DOUBLE AS wake_time,

@@ -1,4 +1,4 @@
--- with epochs, sleep_periods
+-- with epochs, cole_kripke, plain_states, sleep_periods
 SELECT t.*, coalesce(n_periods, 0) AS n_periods, coalesce(tst, 0)::DOUBLE AS total_sleep_time,
   round((coalesce(me, 0))::DOUBLE, 6) AS mean_efficiency, round((coalesce(ma, 0))::DOUBLE, 6) AS mean_awakenings
 FROM (

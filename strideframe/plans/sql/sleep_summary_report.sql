@@ -1,4 +1,4 @@
--- with epochs, sleep_periods
+-- with epochs, cole_kripke, plain_states, sleep_periods
 g AS (
   SELECT subject, count(*) AS n,
     round(round((atan2(avg(sin((hour(ib) * 60 + minute(ib)) * 2 * pi() / 1440)),
