@@ -1,27 +1,36 @@
 """Operator 7: SimHash near-duplicates by a segment-popcount embedding.
 
-A fingerprint's halves are read as sixteen segments of two bits. The bit counts of
-the segments are a point on a grid, and the Manhattan distance of two points never
-exceeds the number of differing bits. Of fingerprints within four bits, one half
-lies within Manhattan distance two, so on that half's grid a cell lies within one
-step of both points. Each fingerprint therefore enters its own cell and those one
-step away, a join on cells finds all candidates, and the differing bits decide.
+A fingerprint is read as 32 segments of two bits. The bit counts of the segments are a
+point on a grid, and the Manhattan distance of two points never exceeds the number of
+differing bits. Cut into groups of segments, two points within distance four agree in all
+groups but four at most. Each fingerprint therefore enters a cell for each choice of
+groups that may agree (70 choices of 4 of 8 groups), a join on cells finds all
+candidates, and the differing bits decide. More fingerprints take more and finer groups,
+so that what lies in a cell by chance stays a few.
+
+A cell's segments agree in their counts, and two of them at most differ in their bits
+(01 and 10), which are two bits each. So a crowded cell (over CROWD fingerprints) is
+parted again by the bits themselves, of each third of its segments: chance neighbours
+part, near copies remain. Only a part that is crowded still has near copies in numbers.
 
 Equal fingerprints are one class before anything is joined, so copies are never
-expanded into pairs. Nor are the members of a crowded cell (over CROWD of them), whose
-pairs would grow with the square of a group of near copies: they are linked through
-the 2,081 values within two bits of each. Two fingerprints are within four bits if and
-only if they have such a value in common, so a value ties the least and the largest
-component that reach it, again and again until each value has one. That takes time in
-proportion to the members, and loses no link.
+expanded into pairs. Nor are the members of such crowded parts, whose pairs would grow
+with the square of a group of near copies: they are linked through the 2,081 values
+within two bits of each. Two fingerprints are within four bits if and only if they have
+such a value in common, so a value ties the least and the largest component that reach
+it, again and again until each value has one. That takes time in proportion to the
+members, and loses no link.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint
-zero and is linked like any other; rows that share a doc_id are one document; a
-row without doc_id takes part, and its component has no number if no row of it has.
+zero and is linked like any other; very long texts are hashed whole; rows that share a
+doc_id are one document; a row without doc_id takes part, and its component has no number
+if no row of it has; an empty table gives an empty result; only the named columns are
+read, so others may have any names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -35,9 +44,11 @@ from .common import append_arrow, chunks, cut
 
 SEED = 42
 CHUNK = 1_000_000
-#: Members from which a cell's pairs aren't formed, and crowded cells up to which their list is sent to every task.
+#: Fingerprints from which a cell is parted, and its parts' pairs aren't formed; crowded cells up to which their list is sent to every task.
 CROWD = 64
 BROADCAST_CELLS = 100_000
+#: Groups of segments, and the number of fingerprints up to which they are enough.
+GROUPS = {8: 1 << 25, 10: 1 << 30, 12: 1 << 63}
 #: Nodes without a doc_id are numbered from here on.
 NAMELESS = 1 << 62
 
@@ -88,54 +99,72 @@ def hex16(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def _cells(half: Column, number: int) -> list[Column]:
-    """The cell of a half's sixteen bit counts and those at Manhattan distance one; null where none is."""
-    pairs = F.lit(0x55555555)
-    point = half.bitwiseAND(pairs) + F.shiftright(half, 1).bitwiseAND(pairs)  # two bits hold a count of 0 to 2
-    tag = number << 32
-    out = [point + F.lit(tag)]
-    for k in range(0, 32, 2):
-        count = F.shiftright(point, k).bitwiseAND(F.lit(3))
-        out.append(F.when(count < 2, point + F.lit(tag + (1 << k))))
-        out.append(F.when(count > 0, point + F.lit(tag - (1 << k))))
-    return out
+def _signed(numbers: Iterable[int]) -> Column:
+    """An array of 64-bit numbers."""
+    return F.expr(f"array({', '.join(f'bigint({m - (1 << 64) if m >> 63 else m})' for m in numbers)})")
+
+
+def _choices(distance: int, groups: int) -> list[list[int]]:
+    """The segments of each choice of groups that agree if no more than ``distance`` of them don't."""
+    own = [[s for s in range(32) if s * groups // 32 == g] for g in range(groups)]
+    return [[s for g in chosen for s in own[g]] for chosen in combinations(range(groups), groups - distance)]
+
+
+def _mask(segments: Iterable[int]) -> int:
+    return sum(3 << 2 * s for s in segments)
+
+
+def _placed(classes: DataFrame, distance: int, groups: int) -> DataFrame:
+    """Each fingerprint in a cell for each choice of groups: simhash, choice, cell."""
+    ones = F.expr("bigint(6148914691236517205)")  # the lower bit of each segment
+    low, high = F.col("simhash").bitwiseAND(ones), F.shiftrightunsigned("simhash", 1).bitwiseAND(ones)
+    point = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))  # their sums: two bits hold a count of 0 to 2
+    # What isn't chosen is all ones, which no count is, so cells of different choices differ.
+    others = _signed(_mask(range(32)) ^ _mask(c) for c in _choices(distance, groups))
+    return classes.select("simhash", F.posexplode(F.transform(others, lambda m: point.bitwiseOR(m))).alias("choice", "cell"))
 
 
-def _placed(classes: DataFrame) -> DataFrame:
-    """Each fingerprint in the cells of both its halves."""
-    low = F.lit(0xFFFFFFFF).cast("long")
-    halves = [F.col("simhash").bitwiseAND(low), F.shiftrightunsigned("simhash", 32)]
-    cells = [c for i, h in enumerate(halves) for c in _cells(h, i)]
-    return classes.select("*", F.explode(F.array(*cells)).alias("cell")).where("cell is not null")
+def _parted(placed: DataFrame, distance: int, groups: int) -> DataFrame:
+    """Places (simhash, cell) by the bits of each part of a cell's segments; a hash, as a chance meeting is only one more candidate."""
+    n = distance // 2 + 1
+    thirds = [_signed(_mask(c[k::n]) for c in _choices(distance, groups)) for k in range(n)]
+    part = lambda k: F.xxhash64("cell", F.lit(k), F.col("simhash").bitwiseAND(F.get(thirds[k], F.col("choice"))))
+    return placed.select("simhash", F.explode(F.array(*[part(k) for k in range(n)])).alias("cell"))
 
 
-def crowds(classes: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """The cells with more than ``crowd`` fingerprints, and the fingerprints in them; both kept."""
-    placed = _placed(classes)
-    cells = cut(placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("cell"))
-    return cells, cut(_not_many(cells, placed, "left_semi").select("simhash").distinct())
+def _crowded(placed: DataFrame, crowd: int) -> DataFrame:
+    return cut(placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("cell"))
 
 
-def _not_many(cells: DataFrame, placed: DataFrame, how: str) -> DataFrame:
+def _by_cells(placed: DataFrame, cells: DataFrame, how: str) -> DataFrame:
     return placed.join(F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells, "cell", how)
 
 
-def links(classes: DataFrame, cells: DataFrame, members: DataFrame, distance: int = 4) -> DataFrame:
-    """Pairs (a, b) of different values of ``classes.simhash`` within ``distance`` bits, of which one at least isn't among ``members`` of crowded ``cells``; a pair may come more than once."""
+def places(classes: DataFrame, distance: int = 4, crowd: int = CROWD, groups: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Where fingerprints meet all others near them (simhash, cell), and the members of crowded places, which are left out of the first."""
     if not 0 <= distance <= 4:
         raise ValueError("the grid finds fingerprints within 4 bits")
-    marked = classes.select("simhash").join(members.withColumn("crowded", F.lit(True)), "simhash", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    placed = _not_many(cells, _placed(marked), "left_anti")
-    a, b = (placed.select(F.col("simhash").alias(n), "cell", F.col("crowded").alias(f"{n}_crowded")) for n in "ab")
+    n = classes.count()
+    groups = groups or next(g for g, most in GROUPS.items() if n <= most)
+    placed = _placed(classes, distance, groups)
+    full = _crowded(placed, crowd)
+    parted = _parted(_by_cells(placed, full, "left_semi"), distance, groups)
+    fuller = _crowded(parted, crowd)
+    members = cut(_by_cells(parted, fuller, "left_semi").select("simhash").distinct())
+    return _by_cells(placed.select("simhash", "cell"), full, "left_anti").unionByName(_by_cells(parted, fuller, "left_anti")), members
+
+
+def links(where: DataFrame, members: DataFrame, distance: int = 4) -> DataFrame:
+    """Pairs (a, b) of different fingerprints within ``distance`` bits that meet in ``places``, of which one at least isn't among ``members``; a pair may come more than once."""
+    marked = where.join(members.withColumn("crowded", F.lit(True)), "simhash", "left") if not members.isEmpty() else where.withColumn("crowded", F.lit(None).cast("boolean"))
+    a, b = (marked.select(F.col("simhash").alias(n), "cell", F.coalesce("crowded", F.lit(False)).alias(f"{n}_crowded")) for n in "ab")
     near = (F.col("a") < F.col("b")) & ~(F.col("a_crowded") & F.col("b_crowded")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     return a.join(b, (a.cell == b.cell) & near).select("a", "b")
 
 
 def _masks(bits: int) -> Column:
     """An array of all 64-bit numbers of at most ``bits`` ones."""
-    whole = [sum(1 << i for i in c) for n in range(bits + 1) for c in combinations(range(64), n)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in whole]
-    return F.expr(f"array({', '.join(f'bigint({m})' for m in signed)})")
+    return _signed(sum(1 << i for i in c) for n in range(bits + 1) for c in combinations(range(64), n))
 
 
 def ties(members: DataFrame, distance: int = 4) -> DataFrame:
@@ -176,8 +205,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def labelled(classes: DataFrame, distance: int = 4, crowd: int = CROWD) -> DataFrame:
     """``classes`` (simhash, node; kept) with label, the least node of each one's component."""
-    cells, members = crowds(classes, crowd)
-    found = links(classes, cells, members, distance).distinct()
+    where, members = places(classes, distance, crowd)
+    found = links(where, members, distance).distinct()
     named, other = classes.toDF("a", "u"), classes.toDF("b", "v")
     edges = cut(found.join(named, "a").join(other, "b").select("u", "v"))
     crowded = not members.isEmpty()

@@ -60,9 +60,24 @@ def test_links_within_four_bits(spark):
             values.add(int(np.int64(np.uint64(v & (1 << 64) - 1) ^ np.uint64(sum(1 << int(f) for f in flips)))))
     values = sorted(values)
     df = spark.createDataFrame([(v,) for v in values], "simhash long")
-    found = {tuple(r) for r in simhash.links(df, *simhash.crowds(df)).collect()}
     bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
-    assert found == {(a, b) for a in values for b in values if a < b and bits(a, b) <= 4}
+    for groups, distance, crowd in ((8, 4, 64), (8, 4, 15), (10, 4, 64), (12, 4, 64), (8, 2, 64), (8, 0, 64)):
+        where, members = simhash.places(df, distance, crowd, groups)
+        assert members.isEmpty()
+        assert {tuple(r) for r in simhash.links(where, members, distance).collect()} == {(a, b) for a in values for b in values if a < b and bits(a, b) <= distance}
+
+
+def test_chance_neighbours_arent_enumerated(spark):
+    """A million random fingerprints: none is taken for one of many near copies, though some cells hold many, and a few candidates come on each."""
+    made = spark.range(1_000_000).select(F.xxhash64("id").alias("simhash"))
+    base, rng = made.first().simhash % (1 << 64), np.random.default_rng(8)
+    copies = {v - (1 << 64) if v >> 63 else v for v in (flipped(base, rng, 2) for _ in range(80))}
+    classes = made.union(spark.createDataFrame([(v,) for v in copies], "simhash long")).distinct().cache()
+    where, members = simhash.places(classes, crowd=16)  # a quarter of what it is
+    enumerated = {r.simhash for r in members.collect()}
+    assert len(enumerated - copies) < 20 and len(enumerated) > 32
+    cells = where.groupBy("cell").agg(F.count("*").alias("n"))
+    assert cells.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] < 20 * 1_000_000
 
 
 def flipped(value, rng, most):
@@ -91,7 +106,7 @@ def test_pairs_of_a_group_of_near_copies_dont_grow_with_its_square(spark):
     for n in (300, 1200):
         values = sorted({flipped(base, rng, 2) for _ in range(n)})
         df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "simhash long")
-        made[len(values)] = simhash.links(df, *simhash.crowds(df)).count()
+        made[len(values)] = simhash.links(*simhash.places(df)).count()
     (n, few), (m, many) = sorted(made.items())
     assert many / m <= few / n < simhash.CROWD
 
