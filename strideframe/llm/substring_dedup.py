@@ -11,21 +11,24 @@ its runs of seven words, so equal windows have equal anchors. The job has five p
    with the documents and places of each: a run goes by its anchor, and a window whose
    anchor is a common one by its own 13 words, so that no shard gathers a common phrase
    in all its contexts.
-4. The runs of a shard, less repetitions, become its text, and each keeps the least
-   doc_id that has it. A compressed FM-index is built over the text; the blocks' runs,
-   each once, are streamed through it. Backward search over its wavelet matrix gives their
-   matching statistics. Where a match of 13 words or more belongs to an earlier document,
-   the interval is reported. No task gets the runs of more than FAN_IN blocks: with more
-   of them than that, a shard's blocks are dealt to groups; each group merges its texts,
-   these are merged once more, and each group streams through an index of the whole.
+4. A shard looks its runs up. Of each anchor it indexes the runs of the earliest document
+   that has it, as a compressed FM-index, and streams the runs of all other documents, each
+   text once, through it: backward search over the wavelet matrix gives their matching
+   statistics. Where a match of 13 words or more belongs to an earlier document, the
+   interval is reported. Windows that found none go on to a next index of what is left,
+   again of the earliest document with the anchor; after a few of these each window goes by
+   itself, so that one more decides. No task gets the runs of more than FAN_IN blocks: with
+   more of them than that, a shard's blocks are dealt to groups, each group sends its
+   different runs once to the shard's index and gets back what was found for these.
 5. Blocks remove the intervals.
 
 Windows are judged on the input, and by the words themselves. Documents are dealt by
 one exchange that parts 1, 3 and 5 share; nothing else of their size is moved.
 
-Defined cases: a null text has no words; texts under 13 words keep all; of rows that
-share a doc_id none is earlier than the other; a row without doc_id is later than all
-others; an empty table gives an empty result.
+Defined cases: a null text has no words; texts under 13 words keep all; very long texts are
+read whole, in one block; of rows that share a doc_id none is earlier than the other; a row
+without doc_id is later than all others; an empty table gives an empty result; kept columns
+named as outputs give way to them, all others may have any names.
 """
 
 from __future__ import annotations
@@ -51,9 +54,10 @@ BLOCK_BYTES = 2 << 20
 BLOCKS_A_SHARD = 16
 LONGEST_RUN = 64
 COMMON = 16_384
-#: Blocks whose runs one task streams through an index, and bytes of runs at a time.
+#: Blocks whose runs one task takes in, words that are streamed at a time, and indexes by anchors before one by windows.
 FAN_IN = 4096
-CHUNK_BYTES = 4 << 20
+CHUNK_WORDS = 1 << 20
+ROUNDS = 3
 NO_ID = np.iinfo(np.int64).max
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -131,11 +135,11 @@ class Block:
         return shared | (low != high), common
 
     def runs(self, shards: int, answers: dict[int, bytes], index_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Runs of windows to be looked up: the first window, the number of windows, the index shard and the words."""
+        """Runs of windows to be looked up: the first window, a hash of the anchor (or of the window, if that is common), the index shard and the words."""
         shared, common = self.shared(shards, answers)
         go = np.flatnonzero(shared[self.key_of])
         if not len(go):
-            return go, go, go, []
+            return go, go.astype(np.uint32), go, []
         alone = common[self.key_of[go]]
         new = np.ones(len(go), bool)
         new[1:] = (go[1:] != go[:-1] + 1) | (self.key_of[go[1:]] != self.key_of[go[:-1]]) | (self.doc[go[1:]] != self.doc[go[:-1]]) | alone[1:]
@@ -148,11 +152,11 @@ class Block:
         a, b = self.words.starts[self.at[first]], self.words.ends[self.at[first] + sizes + WINDOW - 2]
         data = self.words.data
         texts = [b" ".join(data[i:j].split()) for i, j in zip(a.tolist(), b.tolist())]
-        return first, sizes, (route % np.uint64(index_shards)).astype(np.int64), texts
+        return first, (mix(route) >> np.uint64(32)).astype(np.uint32), (route % np.uint64(index_shards)).astype(np.int64), texts
 
-    def parcels(self, *args) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-        """For each index shard its distinct runs' words; and of each run which of them it is, its document and first word; and the document's id."""
-        first, _, shard, texts = self.runs(*args)
+    def parcels(self, *args) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+        """For each index shard its distinct runs' words and anchors; and of each run which of them it is, its document and first word; and the document's id."""
+        first, key, shard, texts = self.runs(*args)
         docs = self.doc[first]
         places = np.stack((docs, self.at[first] - self.words.first[docs]), 1) if len(first) else np.zeros((0, 2), np.int64)
         order = np.argsort(shard, kind="stable")
@@ -161,7 +165,9 @@ class Block:
             known: dict[bytes, int] = {}
             own = order[a:b]
             which = [known.setdefault(texts[i], len(known)) for i in own.tolist()]
-            yield s, list(known), np.column_stack((which, places[own])).astype(np.int32), self.ids[docs[own]]
+            keys = np.zeros(len(known), np.uint32)
+            keys[which] = key[own]
+            yield s, list(known), keys, np.column_stack((which, places[own])).astype(np.int32), self.ids[docs[own]]
 
 
 def _binary_table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
@@ -172,10 +178,12 @@ _ANCHORS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("anchors",
 _ANCHORS_DDL = "block int, shard int, anchors binary, windows binary"
 _ANSWERS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("bits", pa.binary())])
 _ANSWERS_DDL = "block int, shard int, bits binary"
-_RUNS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("runs", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
-_RUNS_DDL = "block int, shard int, runs binary, places binary, ids binary"
-_TEXT = pa.schema([("shard", pa.int32()), ("runs", pa.binary()), ("ids", pa.binary())])
-_TEXT_DDL = "shard int, runs binary, ids binary"
+_RUNS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("runs", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
+_RUNS_DDL = "block int, shard int, runs binary, keys binary, places binary, ids binary"
+_TEXT = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("runs", pa.binary()), ("keys", pa.binary()), ("least", pa.binary()), ("greatest", pa.binary())])
+_TEXT_DDL = "shard int, part int, runs binary, keys binary, least binary, greatest binary"
+_OWNERS = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("owners", pa.binary())])
+_OWNERS_DDL = "shard int, part int, owners binary"
 _FOUND = pa.schema([("block", pa.int32()), ("intervals", pa.binary())])
 _FOUND_DDL = "block int, intervals binary"
 
@@ -235,58 +243,74 @@ def _send_runs(shards: int, index_shards: int):
             return _binary_table(_RUNS, [])
         number = left.column("block")[0].as_py()
         parcels = Block(left).parcels(shards, _answers(right), index_shards)
-        return _binary_table(_RUNS, [(number, s, _packed_runs(texts), _packed(places), _packed(ids)) for s, texts, places, ids in parcels])
+        return _binary_table(_RUNS, [(number, s, _packed_runs(texts), keys.tobytes(), _packed(places), _packed(ids)) for s, texts, keys, places, ids in parcels])
 
     return run
 
 
 class Text:
-    """Distinct runs, each with the least id that came with it."""
+    """Distinct runs, each with its anchor, and the least and the greatest id that came with it."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.which: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, runs: Sequence[bytes], which: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Takes runs, and of each place the run and the id; the runs' numbers among the distinct ones."""
+    def add(self, runs: Sequence[bytes], keys: np.ndarray, least: np.ndarray, greatest: np.ndarray) -> np.ndarray:
+        """Takes runs; their numbers among the distinct ones."""
         known = self.known
         number = np.array([known.setdefault(r, len(known)) for r in runs], np.int64)
-        least = np.full(len(runs), NO_ID)
-        np.minimum.at(least, which, ids)
-        self.which.append(number)
-        self.ids.append(least)
+        self.parts.append((number, keys, least, greatest))
         return number
 
-    def least(self) -> np.ndarray:
-        out = np.full(len(self.known), NO_ID)
-        for which, ids in zip(self.which, self.ids):
-            np.minimum.at(out, which, ids)
-        return out
+    def add_places(self, runs: Sequence[bytes], keys: np.ndarray, which: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Takes runs, and of each place the run and the id."""
+        least, greatest = np.full(len(runs), NO_ID), np.full(len(runs), np.iinfo(np.int64).min)
+        np.minimum.at(least, which, ids)
+        np.maximum.at(greatest, which, ids)
+        return self.add(runs, keys, least, greatest)
 
+    def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(self.known)
+        keys, least, greatest = np.zeros(n, np.uint32), np.full(n, NO_ID), np.full(n, np.iinfo(np.int64).min)
+        for number, k, low, high in self.parts:
+            keys[number] = k
+            np.minimum.at(least, number, low)
+            np.maximum.at(greatest, number, high)
+        return keys, least, greatest
 
-def _streams(table: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    for runs, places, ids in zip(*(table.column(n).to_pylist() for n in ("runs", "places", "ids"))):
-        yield _unpacked_runs(runs), _unpacked(places, np.int32, 3), _unpacked(ids, np.int64)
+    def owners(self) -> tuple[np.ndarray, np.ndarray]:
+        """The owners of all windows that a shard finds, and where each run's windows begin."""
+        runs = list(self.known)
+        sizes = np.fromiter((r.count(b" ") for r in runs), np.int64, len(runs)) + 2 - WINDOW
+        return Shard(runs, *self.columns()).owners(), np.append(0, np.cumsum(sizes))
 
 
-def _merged(shard: int, text: Text) -> pa.Table:
-    return _binary_table(_TEXT, [(shard, _packed_runs(list(text.known)), _packed(text.least()))])
+def _streams(table: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    for runs, keys, places, ids in zip(*(table.column(n).to_pylist() for n in ("runs", "keys", "places", "ids"))):
+        yield _unpacked_runs(runs), np.frombuffer(keys, np.uint32), _unpacked(places, np.int32, 3), _unpacked(ids, np.int64)
 
 
 def _text_of_streams(table: pa.Table) -> pa.Table:
+    """A group's different runs."""
     text = Text()
-    for runs, places, ids in _streams(table):
-        text.add(runs, places[:, 0], ids)
-    return _merged(table.column("shard")[0].as_py(), text)
-
-
-def _text_of_texts(table: pa.Table) -> pa.Table:
-    text = Text()
-    for runs, ids in zip(table.column("runs").to_pylist(), table.column("ids").to_pylist()):
-        found = _unpacked_runs(runs)
-        text.add(found, np.arange(len(found)), _unpacked(ids, np.int64))
-    return _merged(table.column("shard")[0].as_py(), text)
+    for runs, keys, places, ids in _streams(table):
+        text.add_places(runs, keys, places[:, 0], ids)
+    keys, least, greatest = text.columns()
+    return _binary_table(_TEXT, [(table.column("shard")[0].as_py(), table.column("part")[0].as_py(), _packed_runs(list(text.known)), keys.tobytes(), _packed(least), _packed(greatest))])
+
+
+def _owners_of_texts(table: pa.Table) -> pa.Table:
+    """For each group of a shard the owners of its own runs' windows."""
+    text, numbers = Text(), []
+    for runs, keys, least, greatest in zip(*(table.column(n).to_pylist() for n in ("runs", "keys", "least", "greatest"))):
+        numbers.append(text.add(_unpacked_runs(runs), np.frombuffer(keys, np.uint32), _unpacked(least, np.int64), _unpacked(greatest, np.int64)))
+    owners, begins = text.owners()
+    out = []
+    for part, number in zip(table.column("part").to_pylist(), numbers):
+        n = begins[number + 1] - begins[number]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[number], n)
+        out.append((table.column("shard")[0].as_py(), part, _packed(owners[at])))
+    return _binary_table(_OWNERS, out)
 
 
 def _words_of(runs: Sequence[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -299,26 +323,82 @@ def _words_of(runs: Sequence[bytes]) -> tuple[list[bytes], np.ndarray]:
 
 
 class Shard:
-    """The FM-index of a shard's text; words that the text has are numbers from 1."""
+    """A shard's distinct runs, with each one's anchor and the least and the greatest id that has it."""
 
-    def __init__(self, runs: Sequence[bytes], ids: np.ndarray) -> None:
-        words, sizes = _words_of(runs)
-        self.known = {w: i for i, w in enumerate(set(words), 1)}
-        numbers = np.zeros(len(words) + len(sizes), np.int64)
-        inside = np.ones(len(numbers), bool)
-        inside[np.cumsum(sizes + 1) - 1] = False
-        numbers[inside] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        self.index = FmIndex(numbers, len(self.known) + 1, WINDOW, np.repeat(np.asarray(ids, np.int64), sizes + 1))
-
-    def least_ids(self, runs: Sequence[bytes]) -> np.ndarray:
-        """Of each run's windows the least id of the text that has them (NO_ID if none has), one after another."""
+    def __init__(self, runs: Sequence[bytes], keys: np.ndarray, least: np.ndarray, greatest: np.ndarray) -> None:
         words, sizes = _words_of(runs)
-        starts, get = np.cumsum(sizes) - sizes, self.known.get
-        stream = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        length, group = self.index.matching(stream, starts, sizes)
-        least = np.where(length == WINDOW, self.index.least[group], NO_ID)
+        known = {w: i for i, w in enumerate(set(words), 1)}
+        self.symbols = len(known) + 1
+        self.words = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        #: Pieces of runs: first word, number of words, anchor, id, and whether other documents have them as well.
+        self.pieces = (starts, sizes, keys.astype(np.int64), least, greatest > least)
         counts = np.maximum(sizes - WINDOW + 1, 0)
-        return least[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)]
+        self.windows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+        #: What was looked up, and what of it wasn't whole, for tests and figures.
+        self.streamed = self.broken = 0
+
+    def index(self, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> FmIndex:
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        text = np.zeros(sizes.sum() + len(sizes), np.int64)
+        text[inside + np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes)] = self.words[inside + np.repeat(starts, sizes)]
+        return FmIndex(text, self.symbols, WINDOW, np.repeat(ids, sizes + 1))
+
+    def owners(self) -> np.ndarray:
+        """Of each window an id of an earlier document, if there is one, else that of the first or NO_ID; run after run."""
+        owner = np.full(len(self.words), NO_ID)
+        starts, sizes, keys, ids, several = self.pieces
+        rounds = 0
+        while len(starts):
+            if rounds >= ROUNDS:
+                starts, sizes, keys, ids, several = self._single(starts, sizes, ids, several)
+            which, first_of = np.unique(keys, return_inverse=True)
+            least, n = np.full(len(which), NO_ID), np.bincount(first_of)
+            np.minimum.at(least, first_of, ids)
+            shared = (n > 1)[first_of] | several
+            first = ids == least[first_of]
+            indexed, sent = np.flatnonzero(shared & first), np.flatnonzero(shared & (~first | several))
+            if not len(sent):
+                break
+            index = self.index(starts[indexed], sizes[indexed], ids[indexed])
+            for a, b in chunks(sizes[sent].tolist(), CHUNK_WORDS):
+                self._stream(index, starts[sent[a:b]], sizes[sent[a:b]], owner)
+            left = np.flatnonzero(shared & ~first)
+            starts, sizes, keys, ids, several = self._unresolved(owner, starts[left], sizes[left], keys[left], ids[left], several[left])
+            rounds += 1
+        return owner[self.windows]
+
+    def _stream(self, index: FmIndex, starts: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> None:
+        own = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) - np.repeat(own, sizes) + np.repeat(starts, sizes)
+        length, group = index.matching(self.words[at], own, sizes)
+        whole = length == WINDOW
+        found = np.flatnonzero(whole)
+        owner[at[found]] = np.minimum(owner[at[found]], index.least[group[found]])
+        self.streamed += len(at)
+        self.broken += int((~whole).sum() - (WINDOW - 1) * len(sizes))
+
+    @staticmethod
+    def _unresolved(owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What is left of pieces: neighbouring windows without an earlier owner."""
+        n = sizes - WINDOW + 1
+        piece = np.repeat(np.arange(len(n)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
+        left = np.flatnonzero(owner[at] >= more[1][piece])
+        new = np.ones(len(left), bool)
+        new[1:] = (left[1:] != left[:-1] + 1) | (piece[left[1:]] != piece[left[:-1]])
+        begins = np.flatnonzero(new)
+        lengths = np.diff(np.append(begins, len(left)))
+        return at[left[begins]], lengths + WINDOW - 1, *(m[piece[left[begins]]] for m in more)
+
+    def _single(self, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pieces' windows, each by itself, under a hash of its words."""
+        n = sizes - WINDOW + 1
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
+        key = np.zeros(len(at), np.uint64)
+        for k in range(WINDOW):
+            key = mix(key * _STEP + self.words[at + k].astype(np.uint64))
+        return at, np.full(len(at), WINDOW), key.view(np.int64), np.repeat(ids, n), np.repeat(several, n)
 
 
 def _intervals(least: np.ndarray, begins: np.ndarray, number: np.ndarray, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -337,21 +417,18 @@ def _intervals(least: np.ndarray, begins: np.ndarray, number: np.ndarray, places
     return np.column_stack((places[member[first], 1], at, at + offset[last] - offset[first] + WINDOW)).astype(np.int32)
 
 
-def _look_up(streams: pa.Table, text: pa.Table | None = None) -> pa.Table:
-    """The intervals of the streams by an index of ``text``, or of their own runs if they are all of the shard's."""
+def _look_up(streams: pa.Table, owners: pa.Table | None = None) -> pa.Table:
+    """The intervals of the streams, by an index of all of the shard's, or by what was found for the different runs of this group."""
     if not streams.num_rows:
         return _binary_table(_FOUND, [])
     own = Text()
-    numbers = [own.add(runs, places[:, 0], ids) for runs, places, ids in _streams(streams)]
-    runs = list(own.known)
-    if text is not None and text.num_rows:
-        shard = Shard(_unpacked_runs(text.column("runs")[0].as_py()), _unpacked(text.column("ids")[0].as_py(), np.int64))
+    numbers = [own.add_places(runs, keys, places[:, 0], ids) for runs, keys, places, ids in _streams(streams)]
+    if owners is None:
+        found_by, begins = own.owners()
     else:
-        shard = Shard(runs, own.least())
-    sizes = np.fromiter((r.count(b" ") for r in runs), np.int64, len(runs)) + 2 - WINDOW
-    begins = np.append(0, np.cumsum(sizes))
-    least = np.concatenate([shard.least_ids(runs[a:b]) for a, b in chunks([len(r) for r in runs], CHUNK_BYTES)])
-    found = (_intervals(least, begins, number, places, ids) for number, (_, places, ids) in zip(numbers, _streams(streams)))
+        sizes = np.fromiter((r.count(b" ") for r in own.known), np.int64, len(own.known)) + 2 - WINDOW
+        found_by, begins = _unpacked(owners.column("owners")[0].as_py(), np.int64), np.append(0, np.cumsum(sizes))
+    found = (_intervals(found_by, begins, number, places, ids) for number, (_, _, places, ids) in zip(numbers, _streams(streams)))
     return _binary_table(_FOUND, [(n, x.tobytes()) for n, x in zip(streams.column("block").to_pylist(), found) if len(x)])
 
 
@@ -396,9 +473,9 @@ def _found(runs: DataFrame, groups: int) -> DataFrame:
     if groups == 1:
         return runs.groupBy("shard").applyInArrow(lambda streams: _look_up(streams), _FOUND_DDL)
     dealt = runs.withColumn("part", F.col("block") % groups)
-    texts = dealt.groupBy("shard", "part").applyInArrow(_text_of_streams, _TEXT_DDL).groupBy("shard").applyInArrow(_text_of_texts, _TEXT_DDL)
-    texts = texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return dealt.groupBy("shard", "part").cogroup(texts.groupBy("shard", "part")).applyInArrow(lambda streams, text: _look_up(streams, text), _FOUND_DDL)
+    texts = dealt.groupBy("shard", "part").applyInArrow(_text_of_streams, _TEXT_DDL)
+    owners = texts.groupBy("shard").applyInArrow(_owners_of_texts, _OWNERS_DDL)
+    return dealt.groupBy("shard", "part").cogroup(owners.groupBy("shard", "part")).applyInArrow(lambda streams, found: _look_up(streams, found), _FOUND_DDL)
 
 
 def remove_repeats(

@@ -101,3 +101,61 @@ def test_matching_statistics_against_brute_force():
                 assert length[at] == best
                 assert index.least[group[at]] == min(has(depth)) if best == depth else group[at] == -1
                 at += 1
+
+
+def _shard(rows, rng):
+    """A shard of all runs of 13 to 40 words of ``rows``, each run under the same anchor as any that shares a window with it."""
+    runs = {}
+    for i, text in rows:
+        words = (text or "").encode().split()
+        for a in range(0, len(words) - 12, rng.randint(1, 9)):
+            runs.setdefault(b" ".join(words[a : a + rng.randint(13, 40)]), set()).add(i)
+    texts = list(runs)
+    ids = [runs[t] for t in texts]
+    return substring_dedup.Shard(texts, np.zeros(len(texts), np.uint32), np.array([min(i) for i in ids]), np.array([max(i) for i in ids])), texts, ids
+
+
+def test_a_shard_streams_what_it_has_not_indexed():
+    rng = random.Random(9)
+    rows = [(i, t) for i, t in _corpus(rng) if i is not None and i < 200]
+    shard, texts, ids = _shard(rows, rng)
+    asked = []
+    made = shard.index
+    shard.index = lambda starts, sizes, owners: (asked.append(set(owners.tolist())), made(starts, sizes, owners))[1]
+    owners = shard.owners()
+    earliest = {}
+    for t, own in zip(texts, ids):
+        w = t.split()
+        for k in range(len(w) - 12):
+            q = tuple(w[k : k + 13])
+            earliest[q] = min(earliest.get(q, 1 << 40), min(own))
+    at = 0
+    for t, own in zip(texts, ids):
+        w = t.split()
+        for k in range(len(w) - 12):
+            for i in own:  # what decides for each document that has the run
+                assert (owners[at] < i) == (earliest[tuple(w[k : k + 13])] < i)
+            at += 1
+    assert len(owners) == at and len(asked) > 1 and len(asked[0]) == 1  # the first index holds one document
+    assert shard.streamed > 0 and shard.broken > 0.05 * shard.streamed
+
+
+def test_many_groups_send_each_text_once(spark, documents):
+    """What goes to a shard's index is no more than the runs themselves, however many groups there are, and nothing is sent to all of them."""
+    rows = _corpus(random.Random(4))
+    sizes = {}
+    for fan_in in (3, 12):
+        seen = []
+        found = substring_dedup._found
+        try:
+            substring_dedup._found = lambda runs, groups: (seen.append((runs, groups)), found(runs, groups))[1]
+            plan = substring_dedup.remove_repeats(documents(rows), block_bytes=300, fan_in=fan_in)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            substring_dedup._found = found
+        assert "Generate" not in plan and "Broadcast" not in plan
+        runs, groups = seen[0]
+        texts = runs.selectExpr("*", f"block % {groups} AS part").groupBy("shard", "part").applyInArrow(substring_dedup._text_of_streams, substring_dedup._TEXT_DDL)
+        n_runs = sum(len(substring_dedup._unpacked_runs(bytes(r.runs))) for r in runs.collect())
+        n_texts = sum(len(substring_dedup._unpacked_runs(bytes(r.runs))) for r in texts.collect())
+        sizes[groups] = n_texts / n_runs
+    assert len(sizes) == 2 and max(sizes.values()) <= 1
