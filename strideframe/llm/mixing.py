@@ -12,8 +12,10 @@ Running sums are made in two levels (groups, then within a group), so that a sou
 with most of the rows is not summed in one task. All of it is DataFrame functions.
 
 Defined cases: a null text has no words; a null source is a source, the last one; a
-document without words is in no block; repeated rows are documents of their own;
-equal rows may stand in for each other; empty tables give empty results.
+document without words is in no block; very long texts are cut into as many blocks as they
+take; repeated rows are documents of their own; equal rows may stand in for each other;
+empty tables give empty results; other columns may have any names but for the mix's
+documents, where those that begin with two underscores are the operator's.
 """
 
 from __future__ import annotations
@@ -94,26 +96,29 @@ def schedule(sources: DataFrame, block: int, maybe_broadcast) -> DataFrame:
 
 
 def streams(rows: DataFrame, n_rows: int, seed: int) -> DataFrame:
-    """``rows`` (row, doc_id, number, size) with the place at which each begins in its source's stream."""
+    """``rows`` (row, doc_id, mark, number, size) with the place at which each begins in its source's stream.
+
+    The order is a hash of the doc_id and of ``mark``, the text's own: rows without a doc_id, or with one, may be many.
+    """
     bits = max(4, math.isqrt(max(n_rows, 1)).bit_length())
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 64 - HASH_BITS)
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "mark"), 64 - HASH_BITS)
     hashed = rows.withColumn("order", order).withColumn("bucket", F.shiftright("order", HASH_BITS - bits))
     sums = hashed.groupBy("number", "bucket").agg(F.sum("size").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("number", "bucket", earlier.alias("earlier"))
-    within = Window.partitionBy("number", "bucket").orderBy("order", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("number", "bucket").orderBy("order", "doc_id", "mark", "row").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("earlier") + F.coalesce(F.sum("size").over(within), F.lit(0))
     return hashed.join(sums, ["number", "bucket"]).withColumn("start", start)
 
 
 def _taken(sizes: DataFrame, block: int = 32, seed: int = 7, share: float = 1.5) -> DataFrame:
-    """``sizes`` (row, doc_id, source, size; kept, as it is read several times) with source_size, target and taken."""
+    """``sizes`` (row, doc_id, source, size, mark; kept, as it is read several times) with source_size, target and taken."""
     sources = cut(targets(sizes, share))
     n_sources, n_rows = sources.count(), sizes.count()
     maybe_broadcast = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda x: x
     named = sources.withColumnRenamed("source", "source_name")
     rows = sizes.join(maybe_broadcast(named), F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name")
-    placed = streams(rows.where("size > 0").select("row", "doc_id", "number", "size", "source_size"), n_rows, seed)
+    placed = streams(rows.where("size > 0").select("row", "doc_id", "mark", "number", "size", "source_size"), n_rows, seed)
     passes = placed.withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
     passes = passes.select("row", "number", (F.col("start") + F.col("pass") * F.col("source_size")).alias("a"), "size").withColumn("b", F.col("a") + F.col("size"))
     first, last = F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block)
@@ -125,7 +130,7 @@ def _taken(sizes: DataFrame, block: int = 32, seed: int = 7, share: float = 1.5)
 
 
 def _sizes(text: str, source: str, key: str) -> list[Column]:
-    return [F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")]
+    return [F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("mark")]
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = 32, seed: int = 7, share: float = 1.5) -> DataFrame:

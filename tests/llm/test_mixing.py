@@ -39,6 +39,45 @@ def test_mix_meets_targets(documents):
     assert {(r.doc_id, r.taken) for r in found} == {(r.doc_id, r.taken) for r in again}
 
 
+def test_taken_against_a_plain_schedule(documents):
+    rng = random.Random(3)
+    rows = [(None if i % 4 == 0 else i, " ".join(f"w{i}" for _ in range(rng.randint(0, 70))), rng.choice(["a", "b", "b", "b", "Ä", None])) for i in range(700)]
+    df = documents(rows)
+    placed = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(7), "doc_id", F.xxhash64("text")).alias("order"), F.xxhash64("text").alias("mark")).collect()
+    sizes = defaultdict(int)
+    for r in placed:
+        sizes[r.source] += r["size"]
+    goal, block = targets(sizes), 32
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    total, edges, upto = sum(goal.values()), [], 0.0
+    for s in names:
+        edges.append((s, round(upto / total * mixing.CIRCLE), round((upto + goal[s]) / total * mixing.CIRCLE)))
+        upto += goal[s]
+    blocks = defaultdict(int)
+    for slot in range(-(-int(total * 1000) // (1000 * block))):
+        point = slot * mixing.GOLDEN % mixing.CIRCLE
+        blocks[next(s for s, a, b in edges if a <= point < b)] += 1
+    want = defaultdict(list)
+    for s in names:
+        at = 0
+        for r in sorted((r for r in placed if r.source == s and r["size"]), key=lambda r: ((r.order % (1 << 64)) >> (64 - mixing.HASH_BITS), r.doc_id or -1, r.mark)):
+            got = sum(max(0, min(p * sizes[s] + at + r["size"], blocks[s] * block) - (p * sizes[s] + at)) for p in (0, 1))
+            want[(r.doc_id, r["size"], s)].append(got)
+            at += r["size"]
+    found = defaultdict(list)
+    for r in mixing.mix(df).collect():
+        if r["size"]:
+            found[(r.doc_id, r["size"], r.source)].append(r.taken)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_rows_without_a_doc_id_are_spread(documents):
+    rows = documents([(None if i % 2 else i, f"text number {i}", "s") for i in range(6000)])
+    sizes = rows.select(*mixing._sizes("text", "source", "doc_id"), F.lit(0).alias("number"), F.monotonically_increasing_id().alias("row"))
+    largest = mixing.streams(sizes, 6000, 7).groupBy("number", "bucket").count().agg(F.max("count")).first()[0]
+    assert largest < 120
+
+
 def test_golden_points_are_spread(spark):
     slots = [*range(1000), (1 << 40) + 12345, (1 << 48) - 1, 1 << 50]
     found = [r.p for r in spark.createDataFrame([(i,) for i in slots], "id long").select(mixing.golden_point(F.col("id")).alias("p")).collect()]
@@ -64,7 +103,7 @@ def test_mixed_documents_hold_what_was_taken(documents):
 
 def test_a_tiny_share_is_met(documents):
     tiny, most = 40, 3_000_000
-    sizes = documents([(1, None, "a"), (2, None, "b")]).select("doc_id", "source", F.when(F.col("source") == "b", tiny).otherwise(most).cast("long").alias("size"), F.col("doc_id").alias("row"))
+    sizes = documents([(1, None, "a"), (2, None, "b")]).select("doc_id", "source", F.when(F.col("source") == "b", tiny).otherwise(most).cast("long").alias("size"), F.col("doc_id").alias("row"), F.lit(0).alias("mark"))
     found = {r.source: r for r in mixing._taken(sizes).collect()}
     assert abs(found["b"].taken - found["b"].target) <= 64 and found["b"].target == 80
 
