@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.activity import LEVELS, MVPA, is_mvpa
-from .islands import renumber, runs, series
+from .islands import renumber, run_number, runs, series
 
 BINS = [(5, "1-5 min"), (10, "5-10 min"), (20, "10-20 min"), (30, "20-30 min"), (60, "30-60 min"), (None, ">60 min")]
 
@@ -120,18 +120,27 @@ def gini(bouts: DataFrame, value: str = "duration") -> DataFrame:
 
 
 def fragmentation(df: DataFrame, epoch_seconds: float = 60) -> DataFrame:
-    """By subject, how sitting is spread over bouts and broken up; subjects without sitting have a row as well."""
+    """By subject, how sitting is spread over bouts and broken up; subjects without sitting have a row as well.
+
+    One pass: runs of sitting and of all else with what they add to the totals, ranked by length for the index, and grouped by subject.
+    """
     minutes = epoch_seconds / 60
-    totals = df.groupBy("subject").agg(
-        (F.count_if(sedentary(df)) * minutes).alias("total_sedentary_min"), (F.count_if("wear_time") * minutes).alias("total_wear_min"),
-        F.countDistinct("date").alias("n_days"), F.max_by(sedentary(df), "epoch").alias("ends_sedentary"),
+    day = F.row_number().over(Window.partitionBy("subject", "date").orderBy("epoch")) == 1
+    found = run_number(df.withColumn("_day", day), sedentary(df)).groupBy("subject", "run").agg(
+        F.first("flag").alias("sitting"), F.max("epoch").alias("end_index"), F.min("epoch").alias("start_index"),
+        (F.count("*") * minutes).alias("minutes"), (F.count_if("wear_time") * minutes).alias("wear_min"), F.count_if("_day").alias("days"),
     )
-    bouts = sedentary_bouts(df, 1, epoch_seconds)
-    stats = bouts.groupBy("subject").agg(
-        F.count("*").alias("total_bouts"), F.avg("duration").alias("mean_bout_duration"), F.median("duration").alias("median_bout_duration"),
-        F.max("duration").alias("max_bout_duration"), alpha(F.col("duration")).alias("alpha"),
+    found = found.withColumn("duration", F.when(F.col("sitting") & (F.col("minutes") >= 1), F.col("minutes")))
+    rank = F.row_number().over(Window.partitionBy("subject", F.col("duration").isNull()).orderBy("duration", "start_index"))
+    found = found.withColumn("i", rank)
+    n, total = F.count("duration"), F.sum("duration")
+    index = (2 * F.sum(F.col("i") * F.col("duration")) - (n + 1) * total) / (n * total)
+    out = found.groupBy("subject").agg(
+        F.coalesce(F.sum(F.when(F.col("sitting"), F.col("minutes"))), F.lit(0.0)).alias("total_sedentary_min"), F.sum("wear_min").alias("total_wear_min"),
+        F.sum("days").alias("n_days"), F.max_by("sitting", "end_index").alias("ends_sedentary"),
+        n.alias("total_bouts"), F.avg("duration").alias("mean_bout_duration"), F.median("duration").alias("median_bout_duration"),
+        F.max("duration").alias("max_bout_duration"), alpha(F.col("duration")).alias("alpha"), F.when((n > 1) & (total != 0), index).alias("gini"),
     )
-    out = totals.join(stats, "subject", "left").join(gini(bouts), "subject", "left").withColumn("total_bouts", F.coalesce("total_bouts", F.lit(0)))
     breaks = F.when((F.col("total_bouts") > 1) | ((F.col("total_bouts") == 1) & ~F.col("ends_sedentary")), F.col("total_bouts")).otherwise(0)
     out = out.withColumn("breaks_total", breaks).drop("ends_sedentary")
     hours = F.when(F.col("total_bouts") > 0, F.try_divide(F.col("breaks_total"), F.col("total_sedentary_min") / 60))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .islands import renumber, runs, series
+from .islands import renumber, run_number, runs, series
 
 
 @dataclass(frozen=True)
@@ -127,21 +127,23 @@ def wear_criteria(worn: DataFrame, least_minutes: float = 600, days: int = 4, we
 
     Periods of non-wear count from ``least_non_wear`` minutes, those of wear from ``least_wear``.
     """
-    valid = valid_days(worn, epoch_seconds=epoch_seconds).withColumn("ok", F.col("wear_minutes") >= least_minutes).withColumn("weekend", F.weekday("date") >= 5)
+    pieces = run_number(worn, F.col("wear_time")).groupBy("subject", "run", "date").agg(F.first("flag").alias("wear"), F.count("*").alias("n"))
+    # Runs and days in the same pass: each one's sum, at one of its pieces.
+    of_run, of_day = Window.partitionBy("subject", "run"), Window.partitionBy("subject", "date")
+    once = lambda w, by: F.row_number().over(w.orderBy(by)) == 1
+    pieces = pieces.withColumn("seconds", F.when(once(of_run, "date"), F.sum("n").over(of_run) * epoch_seconds))
+    minutes = F.sum(F.when(F.col("wear"), F.col("n")).otherwise(0)).over(of_day) * epoch_seconds / 60
+    pieces = pieces.withColumn("ok", F.when(once(of_day, "run"), minutes >= least_minutes)).withColumn("weekend", F.weekday("date") >= 5)
     count = lambda c: F.count_if(F.col("ok") & c)
-    out = valid.groupBy("subject").agg(
-        count(F.lit(True)).alias("valid_days"), count(~F.col("weekend")).alias("valid_weekdays"), count(F.col("weekend")).alias("valid_weekend_days"),
-        F.count("*").alias("total_days"), (100.0 * F.sum("wear_epochs") / F.sum("total_epochs")).alias("wear_percent"),
-    )
-    found = runs(worn, F.col("wear_time")).select("subject", F.lit(True).alias("wear"), (F.col("n_epochs") * epoch_seconds).alias("seconds"))
-    found = found.union(runs(worn, ~F.col("wear_time")).select("subject", F.lit(False), F.col("n_epochs") * epoch_seconds))
     lengths = lambda wear, least: F.when((F.col("wear") == wear) & (F.col("seconds") >= least * 60), F.col("seconds"))
-    periods = found.groupBy("subject").agg(
+    out = pieces.groupBy("subject").agg(
+        count(F.lit(True)).alias("valid_days"), count(~F.col("weekend")).alias("valid_weekdays"), count(F.col("weekend")).alias("valid_weekend_days"),
+        F.count("ok").alias("total_days"), (100.0 * F.sum(F.when(F.col("wear"), F.col("n")).otherwise(0)) / F.sum("n")).alias("wear_percent"),
         F.count(lengths(True, least_wear)).alias("wear_periods"), F.coalesce(F.avg(lengths(True, least_wear)), F.lit(0.0)).alias("mean_wear_seconds"),
         F.count(lengths(False, least_non_wear)).alias("non_wear_periods"), F.coalesce(F.avg(lengths(False, least_non_wear)), F.lit(0.0)).alias("mean_non_wear_seconds"),
     )
     met = (F.col("valid_days") >= days) & (F.col("valid_weekdays") >= weekdays) & (F.col("valid_weekend_days") >= weekend_days)
-    return out.join(periods, "subject").withColumn("meets_criteria", met)
+    return out.withColumn("meets_criteria", met)
 
 
 def hourly_wear(worn: DataFrame) -> DataFrame:

@@ -85,8 +85,8 @@ def test_cosinor_finds_a_cosine(spark, demo):
     wave = demo.withColumn("axis1", 500 + 200 * F.cos((hour - 15) * (2 * math.pi / 24)))
     r = circadian.cosinor(wave, F.col("axis1")).first()
     assert (r.mesor, r.amplitude, r.peak_hour) == (pytest.approx(500), pytest.approx(200), pytest.approx(15))
-    best = circadian.extreme_hours(wave, F.col("axis1"), 10, False).first()
-    assert best.value_start == "10:00"
+    best = circadian.rest_activity(wave, F.col("axis1")).first()
+    assert best.m10_start == "10:00"
 
 
 def test_alpha_and_gini(spark):
