@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.activity import LEVELS, vector_magnitude
@@ -67,11 +67,30 @@ def hourly_report(df: DataFrame, epoch_seconds: float = 60) -> DataFrame:
     return joined.select(*HOURLY.keys, *[F.when(F.col("is_valid_day"), F.col(c)).otherwise(F.lit(0).cast(t)).alias(c) for c, t in stats.dtypes if c in zeroed], "calendar_days")
 
 
+def merged_intervals(filters: DataFrame) -> DataFrame:
+    """Each subject's intervals (start_time to stop_time, both included) as disjoint ones."""
+    order = Window.partitionBy("subject").orderBy("start_time", "stop_time")
+    reach = F.max("stop_time").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    f = filters.select("subject", "start_time", "stop_time").where("start_time <= stop_time")
+    f = f.withColumn("_new", F.when(F.col("start_time") <= reach, 0).otherwise(1)).withColumn("_n", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return f.groupBy("subject", "_n").agg(F.min("start_time").alias("start_time"), F.max("stop_time").alias("stop_time")).drop("_n")
+
+
 def in_filters(epochs: DataFrame, filters: DataFrame) -> DataFrame:
-    """Epochs in any interval (start_time to stop_time, both included) of their subject; all epochs of a subject that has none."""
-    f = filters.select(F.col("subject").alias("_s"), "start_time", "stop_time")
-    inside = epochs.join(f, (epochs.subject == f._s) & epochs.timestamp.between(f.start_time, f.stop_time), "left_semi")
-    return inside.unionByName(epochs.join(f.select("_s").distinct(), epochs.subject == F.col("_s"), "left_anti"))
+    """Epochs in any interval (start_time to stop_time, both included) of their subject; all epochs of a subject that has none.
+
+    A sweep: the intervals, made disjoint, go among the epochs in order of time, and an
+    epoch lies in the last one that has begun or in none. The work grows with epochs and
+    intervals together, not with their product.
+    """
+    mark = lambda start, stop: [F.col("subject"), start.alias("_at"), F.lit(0).alias("_is"), stop.alias("_stop")]
+    none = F.lit(None).cast("timestamp")
+    marks = merged_intervals(filters).select(*mark(F.col("start_time"), F.col("stop_time"))).unionByName(filters.select("subject").distinct().select(*mark(none, none)))
+    own = epochs.select("*", F.col("timestamp").alias("_at"), F.lit(1).alias("_is"), none.alias("_stop"))
+    both = own.unionByName(marks, allowMissingColumns=True)
+    swept = Window.partitionBy("subject").orderBy("_at", "_is")  # times that aren't known come first, before any interval
+    begun = both.withColumn("_stop", F.last("_stop", True).over(swept)).withColumn("_has", F.min("_is").over(Window.partitionBy("subject")) == 0)
+    return begun.where((F.col("_is") == 1) & (~F.col("_has") | (F.col("timestamp") <= F.col("_stop")))).select(*epochs.columns)
 
 
 def batch_report(df: DataFrame, valid: DataFrame, epoch_seconds: float = 60, filters: DataFrame | None = None) -> DataFrame:
