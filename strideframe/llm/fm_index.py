@@ -2,8 +2,8 @@
 
 The Burrows-Wheeler transform lies in a wavelet matrix, which is packed bits. For each
 length up to a depth packed bits mark the rows whose suffix shares fewer words than that
-with the row before. They take the place of the suffix array and of the lengths of
-common prefixes, which the index doesn't keep.
+with the row before, and a byte for each row says how many words these share. They take
+the place of the suffix array, which the index doesn't keep.
 """
 
 from __future__ import annotations
@@ -114,9 +114,12 @@ class FmIndex:
         self.first = np.cumsum(counts) - counts
         padded = np.concatenate((words, np.zeros(depth, words.dtype)))
         same, self.marks = np.ones(max(len(rows) - 1, 0), bool), []
+        #: Words that a row shares with the one before, up to the depth; none beyond the ends.
+        self.common = np.zeros(len(rows) + 1, np.uint8)
         for k in range(depth):
             here = padded[rows + k]
             same &= here[1:] == here[:-1]
+            self.common[1 : len(rows)] += same
             self.marks.append(Bits(np.concatenate((np.ones(min(1, len(rows)), bool), ~same))).with_neighbours())
         self.least = np.minimum.reduceat(owner[rows], np.flatnonzero(np.concatenate(([True], ~same)))) if len(rows) else owner
 
@@ -140,7 +143,7 @@ class FmIndex:
         For each place the length of the longest match that begins there, up to the
         depth, and the group in ``least`` of those of full depth, or -1. All pieces are
         read from their ends at once. A match that can't take the next word drops its
-        last ones, as many as need be, and no more.
+        last ones, up to the next length at which other rows share it, and so on.
         """
         found_length, found_group = np.zeros(len(stream), np.uint8), np.full(len(stream), -1, np.int64)
         if not self.size:
@@ -168,7 +171,7 @@ class FmIndex:
                 ended = todo[ln[todo] == 0]  # the word is nowhere
                 todo = todo[ln[todo] > 0]
                 word[ended] = -1
-                ln[todo] -= 1
+                ln[todo] = np.maximum(self.common[lo[todo]], self.common[hi[todo]])
                 lo[todo], hi[todo] = self.widened(lo[todo], ln[todo])
             lost = word < 0
             lo[lost], hi[lost] = 0, self.size

@@ -15,9 +15,8 @@ its runs of seven words, so equal windows have equal anchors. The job has five p
    that has it, as a compressed FM-index, and streams the runs of all other documents, each
    text once, through it: backward search over the wavelet matrix gives their matching
    statistics. Where a match of 13 words or more belongs to an earlier document, the
-   interval is reported. Windows that found none go on to a next index of what is left,
-   again of the earliest document with the anchor; after a few of these each window goes by
-   itself, so that one more decides. No task gets the runs of more than FAN_IN blocks: with
+   interval is reported. Windows that found none go on to a next index of what is left:
+   each by itself, the earliest document's indexed and the others streamed, which decides. No task gets the runs of more than FAN_IN blocks: with
    more of them than that, a shard's blocks are dealt to groups, each group sends its
    different runs once to the shard's index and gets back what was found for these.
 5. Blocks remove the intervals.
@@ -49,15 +48,16 @@ from .words import WordTable, mix
 
 WINDOW = 13
 ANCHOR = 7
-#: Bytes of text in a block, blocks to a shard of anchors, windows in a run at most, windows from which an anchor is common.
+#: Bytes of text in a block, blocks to a shard of anchors and of an index, windows in a run at most, windows from which an anchor is common.
 BLOCK_BYTES = 2 << 20
 BLOCKS_A_SHARD = 16
+BLOCKS_AN_INDEX = 4
 LONGEST_RUN = 64
 COMMON = 16_384
-#: Blocks whose runs one task takes in, words that are streamed at a time, and indexes by anchors before one by windows.
+#: Blocks whose runs one task takes in, words that are streamed at a time, and indexes by anchors before those by windows.
 FAN_IN = 4096
 CHUNK_WORDS = 1 << 20
-ROUNDS = 3
+ROUNDS = 1
 NO_ID = np.iinfo(np.int64).max
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -497,7 +497,7 @@ def remove_repeats(
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in {o.lower() for o in outputs}]
     total = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    shards, index_shards = max(1, blocks // BLOCKS_A_SHARD), blocks
+    shards, index_shards = max(1, blocks // BLOCKS_A_SHARD), max(1, blocks // BLOCKS_AN_INDEX)
     number = F.coalesce(F.col(key).cast("long"), F.lit(int(NO_ID)))
     names = [f"__kept_{i}" for i in range(len(kept))]
     # Dealt by the text as well: rows without a doc_id, or with one, may be many.
