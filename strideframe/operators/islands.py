@@ -1,4 +1,10 @@
-"""Windows over a subject's epochs, and runs of equal flags."""
+"""Windows over a subject's epochs, and runs of equal flags.
+
+A series may be longer than a task should take. What looks a bounded way back and ahead
+is computed in stretches of a series that reach over into their neighbours that far
+(``overlapped``). Runs have no bound: they are told within stretches first, and those that
+touch at an edge are one (``runs``).
+"""
 
 from __future__ import annotations
 
@@ -11,6 +17,32 @@ def series(key: str | list[str] = "subject") -> WindowSpec:
     return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy("epoch")
 
 
+#: Epochs of a stretch at least.
+STRETCH = 1 << 17
+
+
+def stretch_size(before: int = 0, after: int = 0) -> int:
+    """Epochs of a stretch, some times as many as it reaches over into."""
+    return max(STRETCH, 4 * (before + after))
+
+
+def overlapped(df: DataFrame, before: int, after: int) -> DataFrame:
+    """``df`` in stretches of a series (_stretch), each with ``before`` epochs of the one before and ``after`` of the one after it; ``_own`` tells its own ones."""
+    size = stretch_size(before, after)
+    own, at = F.floor((F.col("epoch") - 1) / size), F.pmod(F.col("epoch") - 1, F.lit(size))
+    there = F.array_compact(F.array(own, F.when(at < after, own - 1), F.when(at >= size - before, own + 1)))
+    return df.withColumn("_stretch", F.explode(there)).withColumn("_own", F.col("_stretch") == own)
+
+
+def stretch() -> WindowSpec:
+    """A stretch's epochs in order."""
+    return series(["subject", "_stretch"])
+
+
+def own_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.where("_own").select(*[F.col(f"`{c}`") for c in columns])
+
+
 def run_number(df: DataFrame, flag: Column, name: str = "run") -> DataFrame:
     """Numbers each run of equal values of ``flag`` (null counts as false), with the flag as ``flag``."""
     w = series()
@@ -19,18 +51,23 @@ def run_number(df: DataFrame, flag: Column, name: str = "run") -> DataFrame:
     return marked.withColumn("_change", change).withColumn(name, F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_change")
 
 
-def runs(df: DataFrame, flag: Column, *extra: Column) -> DataFrame:
-    """One row for each run in which ``flag`` holds: subject, start_index, end_index, start_time, end_time, n_epochs and ``extra`` aggregates."""
-    numbered = run_number(df, flag).where("flag")
-    return (
-        numbered.groupBy("subject", "run")
-        .agg(
-            F.min("epoch").alias("start_index"), F.max("epoch").alias("end_index"),
-            F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"),
-            F.count("*").alias("n_epochs"), *extra,
-        )
-        .drop("run")
-    )
+def runs(df: DataFrame, flag: Column) -> DataFrame:
+    """One row for each run in which ``flag`` holds: subject, start_index, end_index, start_time, end_time and n_epochs."""
+    marked = df.select("subject", "epoch", "timestamp", F.coalesce(flag, F.lit(False)).alias("flag")).where("flag")
+    marked = marked.withColumn("_stretch", F.floor((F.col("epoch") - 1) / stretch_size()))
+    parts = _joined(marked.select("*", F.col("epoch").alias("start_index"), F.col("epoch").alias("end_index"), F.col("timestamp").alias("start_time"), F.col("timestamp").alias("end_time"), F.lit(1).cast("long").alias("n_epochs")), ["subject", "_stretch"])
+    return _joined(parts, ["subject"])
+
+
+def _joined(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces of runs, those of ``keys`` that touch as one."""
+    order = Window.partitionBy(*keys).orderBy("start_index")
+    apart = F.when(F.col("start_index") == F.lag("end_index").over(order) + 1, 0).otherwise(1)
+    numbered = pieces.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_run").agg(
+        F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"), F.sum("n_epochs").alias("n_epochs"),
+    ).drop("_run")
 
 
 def renumber(df: DataFrame, name: str, order: str = "start_index") -> DataFrame:

@@ -6,54 +6,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.activity import circular_minutes, clock_12h, device_datetime
-from .islands import renumber, run_number, series
+from .islands import overlapped, own_of, renumber, stretch, stretch_size
 
 #: The weights of the counts from four epochs before to two after.
 COLE_KRIPKE = [106, 54, 58, 76, 230, 74, 67]
 
 
+#: Epochs back and ahead that a rule of Webster's may look: a run and the runs beside it, no farther than they count.
+REACH = 64
+
+
 def cole_kripke(df: DataFrame, counts: str = "axis1", rescore: bool = False) -> DataFrame:
     """``df`` with sleep_wake, S or W, from weighted counts; ``rescore`` applies Webster's rules."""
-    w = series()
+    reach = REACH if rescore else 0
+    w = stretch()
     c = F.least(F.coalesce(F.col(counts), F.lit(0.0)) / 100, F.lit(300.0))
-    df = df.withColumn("_c", c)
+    out = overlapped(df, 4 + reach, 2 + reach).withColumn("_c", c)
     terms = [weight * F.lag("_c", -offset, 0.0).over(w) for offset, weight in zip(range(-4, 3), COLE_KRIPKE)]
     index = 0.001 * sum(terms[1:], terms[0])
-    out = df.withColumn("sleep_wake", F.when(index < 1, F.lit("S")).otherwise(F.lit("W"))).drop("_c")
-    return webster(out) if rescore else out
+    out = out.withColumn("sleep_wake", F.when(index < 1, F.lit("S")).otherwise(F.lit("W")))
+    return own_of(_rescored(out) if rescore else out, [c for c in df.columns if c != "sleep_wake"] + ["sleep_wake"])
 
 
 def webster(df: DataFrame) -> DataFrame:
     """The first epochs of a sleep run become wake, as many as the runs around it ask for; the rules read the states before any of them."""
-    numbered = run_number(df, F.col("sleep_wake") == "S")
-    lengths = numbered.groupBy("subject", "run").agg(F.count("*").alias("length"), F.min("epoch").alias("first_epoch"))
-    w = Window.partitionBy("subject").orderBy("run")
-    before, after = F.coalesce(F.lag("length").over(w), F.lit(0)), F.coalesce(F.lead("length").over(w), F.lit(0))
-    lengths = lengths.withColumn("before", before).withColumn("after", after)
-    whole = ((F.col("length") <= 6) & (F.col("before") >= 15) & (F.col("after") >= 15)) | ((F.col("length") <= 10) & (F.col("before") >= 20) & (F.col("after") >= 20))
-    changed = (
-        F.when(whole, F.col("length"))
-        .when((F.col("before") >= 15) & (F.col("length") >= 4), 4)
-        .when((F.col("before") >= 10) & (F.col("length") >= 3), 3)
-        .when(F.col("before") >= 4, 1)
-        .otherwise(0)
-    )
-    out = numbered.join(lengths.select("subject", "run", "first_epoch", changed.alias("changed")), ["subject", "run"])
-    state = F.when(F.col("flag") & (F.col("epoch") < F.col("first_epoch") + F.col("changed")), F.lit("W")).otherwise(F.col("sleep_wake"))
-    return out.withColumn("sleep_wake", state).select(*df.columns)
+    return own_of(_rescored(overlapped(df, REACH, REACH)), df.columns)
+
+
+def _rescored(df: DataFrame) -> DataFrame:
+    """Webster's rules over stretches: where a run begins, its length, and those of the runs beside it, from the changes before and after an epoch."""
+    w = stretch()
+    back = Window.partitionBy("subject", "_stretch").orderBy(F.desc("epoch"))
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    beyond = back.rowsBetween(Window.unboundedPreceding, -1)
+    changes = ~F.lag("sleep_wake").over(w).eqNullSafe(F.col("sleep_wake"))
+    out = df.withColumn("_at", F.when(changes, F.col("epoch")))
+    # The epoch from which the next run begins, or the one after the last.
+    out = out.withColumn("_next", F.coalesce(F.last("_at", True).over(beyond), F.max("epoch").over(Window.partitionBy("subject", "_stretch")) + 1))
+    out = out.withColumn("_run", F.when(F.col("_at").isNotNull(), F.struct(F.col("_at").alias("first"), (F.col("_next") - F.col("_at")).alias("length"), (F.col("_at") - F.coalesce(F.last("_at", True).over(before), F.col("_at"))).alias("before"))))
+    out = out.withColumn("_after", F.coalesce(F.last("_run", True).over(beyond)["length"], F.lit(0))).withColumn("_run", F.last("_run", True).over(upto))
+    length, earlier, later = F.col("_run.length"), F.col("_run.before"), F.col("_after")
+    whole = ((length <= 6) & (earlier >= 15) & (later >= 15)) | ((length <= 10) & (earlier >= 20) & (later >= 20))
+    changed = F.when(whole, length).when((earlier >= 15) & (length >= 4), 4).when((earlier >= 10) & (length >= 3), 3).when(earlier >= 4, 1).otherwise(0)
+    waking = (F.col("sleep_wake") == "S") & (F.col("epoch") < F.col("_run.first") + changed)
+    return out.withColumn("sleep_wake", F.when(waking, F.lit("W")).otherwise(F.col("sleep_wake")))
 
 
 def sadeh(df: DataFrame, counts: str = "axis1") -> DataFrame:
     """``df`` with sleep_wake by Sadeh's index; frames that leave the series are filled with zeros."""
-    w = series()
-    df = df.withColumn("_c", F.least(F.coalesce(F.col(counts), F.lit(0.0)), F.lit(300.0)))
+    w = stretch()
+    out = overlapped(df, 5, 5).withColumn("_c", F.least(F.coalesce(F.col(counts), F.lit(0.0)), F.lit(300.0)))
     around, before = w.rowsBetween(-5, 5), w.rowsBetween(-5, 0)
     mean = F.sum("_c").over(around) / 11
     nats = F.sum(((F.col("_c") >= 50) & (F.col("_c") < 100)).cast("int")).over(around)
     total, squares = F.sum("_c").over(before), F.sum(F.col("_c") * F.col("_c")).over(before)
     sd = F.sqrt(F.greatest((squares - total * total / 6) / 5, F.lit(0.0)))
     index = 7.601 - 0.065 * mean - 1.08 * nats - 0.056 * sd - 0.703 * F.log(F.col("_c") + 1)
-    return df.withColumn("sleep_wake", F.when(index > -4, F.lit("S")).otherwise(F.lit("W"))).drop("_c")
+    return own_of(out.withColumn("sleep_wake", F.when(index > -4, F.lit("S")).otherwise(F.lit("W"))), [c for c in df.columns if c != "sleep_wake"] + ["sleep_wake"])
 
 
 def sleep_periods(df: DataFrame, counts: str = "axis1", bedtime: int = 5, waking: int = 10, least: int = 160, most: int = 1440, least_sleep: int = 15, epoch_seconds: float = 60) -> DataFrame:
@@ -63,30 +72,26 @@ def sleep_periods(df: DataFrame, counts: str = "axis1", bedtime: int = 5, waking
     epochs of wake. Starts before one waking share it, so the earliest start whose
     period is of an allowed length is the one that a search from the left takes.
     Periods of over 720 epochs of sleep without awakening and with over 99 percent sleep are left out.
+    A period has a bounded length, so a stretch that reaches over by it finds those that begin in it.
     """
-    w = series()
-    asleep = (F.col("sleep_wake") == "S").cast("int")
-    s = df.withColumn("s", asleep)
-    upto = F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    s = s.withColumn("upto", upto)
+    w = stretch()
+    reach = most + bedtime + waking
+    s = overlapped(df, 1, reach).withColumn("s", (F.col("sleep_wake") == "S").cast("int"))
+    s = s.withColumn("upto", F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     ahead = lambda n: F.lead("upto", n - 1).over(w) - F.col("upto") + F.col("s")
     holds = lambda c: F.coalesce(c, F.lit(False))
     s = s.withColumn("starts", holds(ahead(bedtime) == bedtime)).withColumn("wakes", holds(ahead(waking) == 0))
     # The next waking is a running minimum from the end.
-    onward = Window.partitionBy("subject").orderBy(F.desc("epoch")).rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy("subject", "_stretch").orderBy(F.desc("epoch")).rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("waking", F.min(F.when(F.col("wakes"), F.struct("epoch", (F.col("upto") - F.col("s")).alias("slept")))).over(onward))
-    next_wake = F.lead("waking", bedtime).over(w)
-    s = s.withColumn("wake", next_wake)
+    s = s.withColumn("wake", F.lead("waking", bedtime).over(w))
     length = F.col("wake.epoch") - F.col("epoch")
     slept = F.col("wake.slept") - F.col("upto") + F.col("s")
-    ok = s.where(F.col("starts") & (length >= least) & (length < most) & (slept >= least_sleep))
+    ok = s.where(F.col("_own") & F.col("starts") & (length >= least) & (length < most) & (slept >= least_sleep))
     found = ok.groupBy("subject", F.col("wake.epoch").alias("end_index")).agg(F.min("epoch").alias("start_index"))
     found = found.withColumn("last_index", F.col("end_index") - 1)
-    # Periods don't overlap, so an epoch's period is the latest that began, if it hasn't ended.
-    begins = found.select("subject", F.col("start_index").alias("epoch"), F.struct("start_index", "last_index").alias("_p"))
-    inside = df.join(begins, ["subject", "epoch"], "left").withColumn("_p", F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = inside.where(F.col("epoch") <= F.col("_p.last_index"))
-    new_wake = (F.col("sleep_wake") == "W") & ~F.lag("sleep_wake").over(Window.partitionBy("subject", "_p").orderBy("epoch")).eqNullSafe(F.lit("W"))
+    inside = _within(df, found, F.struct("start_index", "last_index"), F.lag("sleep_wake").over(w))
+    new_wake = (F.col("sleep_wake") == "W") & ~((F.col("epoch") > F.col("_p.start_index")) & F.col("_before").eqNullSafe(F.lit("W")))
     measured = inside.withColumn("new_wake", new_wake).groupBy("subject", F.col("_p.start_index").alias("start_index")).agg(
         F.max("epoch").alias("last_index"), F.min("timestamp").alias("in_bed_time"), F.max("timestamp").alias("out_bed_time"),
         F.min(F.when(F.col("sleep_wake") == "S", F.col("timestamp"))).alias("onset"),
@@ -104,6 +109,20 @@ def sleep_periods(df: DataFrame, counts: str = "axis1", bedtime: int = 5, waking
     return renumber(scaled, "period_number")
 
 
+def _within(df: DataFrame, periods: DataFrame, about: Column, before: Column) -> DataFrame:
+    """The epochs of periods (subject, start_index, last_index), which don't overlap, with ``about`` the period as _p and ``before``, over the stretch, as _before.
+
+    A period is told to each stretch that it lies in; there an epoch's is the latest that began, if it hasn't ended.
+    """
+    size = stretch_size(1, 0)
+    of = lambda c: F.floor((F.col(c) - 1) / size)
+    told = periods.select("subject", about.alias("_p"), "start_index", F.explode(F.sequence(of("start_index"), of("last_index"))).alias("_stretch"))
+    told = told.select("subject", "_stretch", F.greatest("start_index", F.col("_stretch") * size + 1).alias("epoch"), "_p")
+    out = overlapped(df, 1, 0).withColumn("_before", before)
+    out = out.join(told, ["subject", "_stretch", "epoch"], "left").withColumn("_p", F.last("_p", True).over(stretch().rowsBetween(Window.unboundedPreceding, 0)))
+    return out.where(F.col("_own") & (F.col("epoch") <= F.col("_p.last_index"))).drop("_stretch", "_own")
+
+
 def sleep_summary(df: DataFrame, periods: DataFrame) -> DataFrame:
     """By subject: epochs, those of sleep and wake, periods, all sleep, mean efficiency and awakenings (0 without periods)."""
     total = df.groupBy("subject").agg(F.count("*").alias("total_epochs"), F.count_if(F.col("sleep_wake") == "S").alias("sleep_epochs"), F.count_if(F.col("sleep_wake") == "W").alias("wake_epochs"))
@@ -163,10 +182,8 @@ def sleep_summary_report(periods: DataFrame, algorithm: str = "cole_kripke", epo
 
 
 def _in_periods(df: DataFrame, periods: DataFrame) -> DataFrame:
-    """The epochs of each period; periods don't overlap, so an epoch's is the latest that began, if it hasn't ended."""
-    begins = periods.select("subject", F.col("start_index").alias("epoch"), F.struct("period_number", "start_index", "last_index", "in_bed_time").alias("_p"))
-    latest = F.last("_p", True).over(series().rowsBetween(Window.unboundedPreceding, 0))
-    inside = df.join(begins, ["subject", "epoch"], "left").withColumn("_p", latest).where(F.col("epoch") <= F.col("_p.last_index"))
+    """The epochs of each period, with its number and the minutes since going to bed."""
+    inside = _within(df, periods, F.struct("period_number", "start_index", "last_index", "in_bed_time"), F.lit(None)).drop("_before")
     return inside.withColumn("period_number", F.col("_p.period_number")).withColumn("minutes", (F.unix_micros("timestamp") - F.unix_micros("_p.in_bed_time")) / 60e6)
 
 

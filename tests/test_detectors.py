@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from strideframe.operators import bouts, sleep, wear
+from strideframe.operators import bouts, islands, sleep, wear
 
 SERIES = 24
 
@@ -191,3 +191,44 @@ def test_a_long_series_takes_time_in_proportion(spark):
     marked = df.withColumn("sleep_wake", F.when(still, F.lit("S")).otherwise(F.lit("W")))
     periods = sleep.sleep_periods(marked)
     assert periods.count() == -(-n // 1200) and {r.sleep_time for r in periods.select("sleep_time").distinct().collect()} == {600.0}
+
+
+def test_stretches_give_what_a_whole_series_gives(spark, monkeypatch):
+    """Series cut into many stretches that reach over into their neighbours."""
+    rng = random.Random(6)
+    series, states = [], []
+    for _ in range(6):
+        s, c = [], []
+        while len(s) < 900:
+            k = rng.randint(1, 24)
+            s += [rng.choice("SW")] * k
+            c += [rng.choice([0.0, 0.0, 40.0, 900.0])] * k
+        states.append(s[: rng.choice([1, 2, 700, 900])])
+        series.append(c[: rng.choice([1, 65, 897])])
+    counts, sleeping = _epochs(spark, series).cache(), _epochs(spark, states, "sleep_wake", "string").withColumn("axis1", F.lit(1.0)).cache()
+    marks = lambda: [sorted(map(tuple, d.select("subject", "epoch", "sleep_wake").collect())) for d in (sleep.cole_kripke(counts), sleep.cole_kripke(counts, rescore=True), sleep.sadeh(counts), sleep.webster(sleeping))]
+    options = {"bedtime": 2, "waking": 3, "least": 4, "most": 30, "least_sleep": 3}
+    found = lambda: sorted(map(str, sleep.sleep_periods(sleeping, **options).collect()))
+    wakes = lambda: sorted(map(str, sleep.inner_wakes(sleeping, sleep.sleep_periods(sleeping, **options), 1).collect()))
+    quiet = lambda: sorted(map(str, wear.wear_periods(counts.withColumn("wear_time", F.col("axis1") < 100)).collect()))
+    whole = marks(), found(), wakes(), quiet()
+    monkeypatch.setattr(islands, "STRETCH", 16)
+    assert islands.overlapped(counts, 4, 2).select("_stretch").distinct().count() > 20
+    cut = marks(), found(), wakes(), quiet()
+    assert cut == whole
+    for k, s in enumerate(states):
+        name = f"s{k:03d}"
+        assert [m for subject, _, m in cut[0][3] if subject == name] == scan_webster(s)
+    assert sum(len(scan_periods(s, 2, 3, 4, 30, 3)) for s in states) == len(cut[1]) > 20
+
+
+def test_one_long_series_is_many_tasks(spark):
+    """The measures of one subject's sleep take its series in stretches, none of which holds more than its share."""
+    n = 3_000_000
+    ids = spark.range(n).select(F.lit("a").alias("subject"), (F.col("id") + 1).alias("epoch"), F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 1000000).alias("timestamp"))
+    df = ids.withColumn("axis1", F.when(F.floor((F.col("epoch") - 1) / 600) % 2 == 0, 0.0).otherwise(5000.0))
+    stretches = islands.overlapped(df, 64, 64).groupBy("_stretch").count().collect()
+    assert len(stretches) > 20 and max(r["count"] for r in stretches) <= islands.STRETCH + 128
+    marked = sleep.cole_kripke(df, rescore=True)
+    periods = sleep.sleep_periods(marked, epoch_seconds=1)
+    assert periods.count() == n // 1200 and periods.where("wake_time > 0.2").count() == 0
