@@ -6,8 +6,9 @@ offset at which each token starts. Decoding puts each token's bytes at its offse
 a span of ids decodes to its span of text.
 
 Defined cases: a null text is an empty one; an empty text has no ids, and its
-digests are those of no bytes; repeated rows are encoded each; a kept column with
-the name of a new one gives way to it.
+digests are those of no bytes; very long texts are encoded whole, in slices; repeated
+rows are encoded each; an empty table gives an empty result; a kept column with the name
+of a new one gives way to it.
 """
 
 from __future__ import annotations

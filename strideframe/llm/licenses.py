@@ -17,8 +17,9 @@ every document is classified, whole.
 
 Defined cases: a null text is an empty one; a text without licensed paragraphs has no
 family; of several the confirmed ones come first, then the likeliest, then the first;
-repeated rows are scanned each; of sampled rows that share a key the least text is
-learnt from.
+very long texts are scanned whole, paragraph by paragraph; repeated rows are scanned each;
+of sampled rows that share a key the least text is learnt from; an empty table gives an
+empty result; kept columns named as results give way to them, all others may have any names.
 """
 
 from __future__ import annotations

@@ -7,9 +7,10 @@ that differ have different roots. A node is the SHA-256 of its children's digest
 walk down the branches that differ finds an edit. All of it is DataFrame functions.
 
 Defined cases: a null text is an empty one; two texts without leaves in common have
-likeness 0, two empty ones 1; rows that share a doc_id are one place in the order,
-and of their texts the least stands for the next document; a row without doc_id
-has no next document.
+likeness 0, two empty ones 1; very long texts are fingerprinted whole; rows that share a
+doc_id are one place in the order, and of their texts the least stands for the next
+document; a row without doc_id has no next document; an empty table gives an empty result; a
+column named as the fingerprint gives way to it, all others may have any names.
 """
 
 from __future__ import annotations
@@ -67,18 +68,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, F.lit(1.0)).otherwise(2.0 * both / all_)
 
 
+def _first_difference(x: Column, y: Column, most: Column, at_end: bool = False) -> Column:
+    """How many of the first (or last) ``most`` digests of two arrays are the same."""
+    of = lambda a, i: F.get(a, F.size(a) - 1 - i if at_end else i)
+    apart = F.filter(F.sequence(F.lit(0), most - 1), lambda i: of(x, i) != of(y, i))
+    return F.when(most > 0, F.coalesce(F.get(apart, F.lit(0)), most)).otherwise(0)
+
+
+def _differing(x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """Where two arrays of digests differ, between what they have in common at both ends: the first place, and how many of each."""
+    shorter = F.least(F.size(x), F.size(y))
+    begin = _first_difference(x, y, shorter)
+    end = _first_difference(x, y, shorter - begin, at_end=True)
+    return begin, F.size(x) - begin - end, F.size(y) - begin - end
+
+
 def differing_branches(a: Column, b: Column) -> Column:
-    """Where two trees differ: [section, paragraph] numbers from 0, found by way of the sections whose nodes differ."""
-    most = F.greatest(F.size(a), F.size(b))
+    """Where two trees differ: the branches of the first that are gone and those of the second that came, as [section, paragraph] numbers from 0.
+
+    The walk goes down from the roots: sections whose nodes agree, from the beginning and
+    from the end, are left alone, and so are the paragraphs of those between. An inserted
+    section is what came, and moves none of those after it.
+    """
+    begin, n_a, n_b = _differing(section_nodes(a), section_nodes(b))
+
+    def paragraphs(sections: Column, n: Column) -> Column:
+        some = F.slice(sections, begin + 1, n)
+        numbered = F.transform(some, lambda s, i: F.struct((begin + i).alias("number"), s.alias("paragraphs")))
+        of = lambda s: F.transform(s["paragraphs"], lambda p, j: F.struct(node(p).alias("digest"), F.array(s["number"], j).alias("at")))
+        return F.flatten(F.transform(numbered, of))
 
-    def section(i: Column) -> Column:
-        x, y = F.coalesce(F.get(a, i), F.array()), F.coalesce(F.get(b, i), F.array())
-        last = F.greatest(F.size(x), F.size(y))
-        numbers = F.filter(F.sequence(F.lit(0), last - 1), lambda j: ~F.get(x, j).eqNullSafe(F.get(y, j)))
-        return F.transform(numbers, lambda j: F.array(i, j))
+    def told(x: Column, y: Column) -> Column:
+        first, n_x, n_y = _differing(x["digest"], y["digest"])
+        return F.struct(F.slice(x["at"], first + 1, n_x).alias("gone"), F.slice(y["at"], first + 1, n_y).alias("came"))
 
-    at = F.filter(F.sequence(F.lit(0), most - 1), lambda i: ~F.get(section_nodes(a), i).eqNullSafe(F.get(section_nodes(b), i)))
-    return F.flatten(F.transform(at, section))
+    both = F.array(F.struct(paragraphs(a, n_a).alias("x"), paragraphs(b, n_b).alias("y")))
+    return F.get(F.transform(both, lambda p: told(p["x"], p["y"])), F.lit(0))
 
 
 def fingerprints(df: DataFrame, text: str = "text", output: str = "fingerprint") -> DataFrame:
@@ -109,7 +134,7 @@ def followers(documents: DataFrame) -> DataFrame:
 
 
 def compare_with_edits(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Each text's fingerprint beside that of its edited text, whose second half is the next document's beginning.
+    """Each text's fingerprint beside that of its edited text, whose second half is the next document's beginning, and the first branch in which their trees differ (null if in none).
 
     A document goes out twice: to the join that completes it, and as a beginning to the document before it.
     """
@@ -134,6 +159,7 @@ def compare_with_edits(df: DataFrame, text: str = "text", key: str = "doc_id") -
         .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_leaves", tree(F.col("text")).alias("own"), tree(F.col("edited")).alias("other"))
     )
     own, other = F.col("own_leaves"), F.col("other_leaves")
+    trees = trees.withColumn("edit", differing_branches(F.col("own"), F.col("other")))
     return trees.withColumn("own_leaves", leaves(F.col("own"))).withColumn("other_leaves", leaves(F.col("other"))).select(
         F.when(F.col("doc_id") > NUMBERED, F.col("doc_id")).alias("doc_id"),
         "n_chars",
@@ -142,4 +168,5 @@ def compare_with_edits(df: DataFrame, text: str = "text", key: str = "doc_id") -
         fingerprint(F.col("other")).alias("edited_fingerprint"),
         likeness(own, other).alias("near_edited"),
         F.coalesce(likeness(own, F.col("next_leaves")), F.lit(0.0)).alias("near_next"),
+        F.coalesce(F.get(F.col("edit.gone"), F.lit(0)), F.get(F.col("edit.came"), F.lit(0))).alias("edited_branch"),
     )

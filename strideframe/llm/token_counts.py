@@ -5,8 +5,9 @@ before any text is read, by merging each; tasks get the proof as a bit for each
 rest are merged. Special strings inside a text are cut out first and count as one
 token each, as the library does by default.
 
-Defined cases: a null text is an empty one, with no tokens; repeated rows are
-counted each; a kept column with the name of a new one gives way to it.
+Defined cases: a null text is an empty one, with no tokens; very long texts are counted
+whole; repeated rows are counted each; an empty table gives an empty result; a kept column
+with the name of a new one gives way to it.
 """
 
 from __future__ import annotations

@@ -27,8 +27,9 @@ most are compared with the landmarks and NEGATIVES of these are learnt from the
 each round adds WORST at most. These bound the training only: every word is scored.
 
 Defined cases: a null text is an empty one; a text without words has the score of the
-lowest margin; without training rows of both kinds every score is 0; repeated rows are
-scored each.
+lowest margin; very long texts are scored whole; without training rows of both kinds every
+score is 0; repeated rows are scored each; an empty table gives an empty result; kept
+columns named as results give way to them, all others may have any names.
 """
 
 from __future__ import annotations

@@ -17,7 +17,10 @@ what a lost or repeated task leaves is never read.
 
 Defined cases: a null payload is an empty one; payloads under 100 bytes are always
 responses; a null url is an empty one; of rows that share a page_id and a payload,
-all are responses if that page_id is the least; empty tables give no bundles.
+all are responses if that page_id is the least; a row without a page_id is never referred
+to; very long payloads are records like any
+other, in a frame of their own if need be; empty tables give no bundles; only the named
+columns are read, so others may have any names.
 """
 
 from __future__ import annotations

@@ -19,11 +19,25 @@ def test_roots_test_equality_and_branches_locate_edits(documents):
     rows = documents([(1, a), (2, a), (3, b), (4, None)])
     prints = {r.doc_id: r.fingerprint for r in merkle.fingerprints(rows).collect()}
     assert prints[1] == prints[2] != prints[3]
-    pair = rows.where("doc_id = 1").crossJoin(rows.where("doc_id = 3").select(F.col("text").alias("other")))
-    where = pair.select(merkle.differing_branches(merkle.tree(F.col("text")), merkle.tree(F.col("other"))).alias("d")).first().d
-    assert where == [[1, 0]]
-    same = pair.select(merkle.differing_branches(merkle.tree(F.col("text")), merkle.tree(F.col("text"))).alias("d")).first().d
-    assert same == []
+    assert differ(documents, a, b) == ([[1, 0]], [[1, 0]])
+    assert differ(documents, a, a) == ([], [])
+
+
+def differ(documents, a, b):
+    pair = documents([(1, a)]).crossJoin(documents([(2, b)]).select(F.col("text").alias("other")))
+    found = pair.select(merkle.differing_branches(merkle.tree(F.col("text")), merkle.tree(F.col("other"))).alias("d")).first().d
+    return found.gone, found.came
+
+
+def test_branches_are_aligned(documents):
+    sections = [f"First of {k}.\nSecond, of {k}.\n\n" for k in range(6)]
+    whole = "".join(sections)
+    assert differ(documents, whole, "New one.\n\n" + whole) == ([], [[0, 0]])
+    assert differ(documents, whole, "".join(sections[:3]) + "A new one.\nWith two.\n\n" + "".join(sections[3:])) == ([], [[3, 0], [3, 1]])
+    assert differ(documents, whole, "".join(sections[:2] + sections[3:])) == ([[2, 0], [2, 1]], [])
+    assert differ(documents, whole, whole.replace("Second, of 4", "2nd, of 4")) == ([[4, 1]], [[4, 1]])
+    assert differ(documents, "", whole) == ([], [[k, j] for k in range(6) for j in range(2)]) and differ(documents, "", "") == ([], [])
+    assert differ(documents, "same. " * 9, "same. " * 9 + "\n\nmore") == ([[0, 0]], [[0, 0], [1, 0]])
 
 
 def plain_tree(text):
@@ -95,6 +109,11 @@ def test_tree_root_and_likeness_against_a_plain_walk(documents):
         (own, leaves), (other, edited_leaves) = plain_fingerprint(t), plain_fingerprint(edited)
         assert got[i] == plain_tree(t), t
         assert (found[i].fingerprint, found[i].edited_fingerprint) == (own, other), t
+        assert (found[i].edited_branch is None) == (t == edited)
+        if t != edited:  # what comes before it is in both
+            s, p = found[i].edited_branch
+            before = sum(len(x) for k, section in enumerate(plain_tree(t)) for j, q in enumerate(section) if (k, j) < (s, p) for x in q)
+            assert t[:before] == edited[:before]
         assert abs(found[i].near_edited - likeness(leaves, edited_leaves)) < 1e-12 and abs(found[i].near_next - likeness(leaves, plain_fingerprint(after)[1])) < 1e-12
 
 
