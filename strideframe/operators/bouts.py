@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.activity import LEVELS, MVPA, is_mvpa
-from .islands import renumber, run_number, runs, series
+from .islands import joined, pieces, renumber, run_number, runs, series, stretch_size
 
 BINS = [(5, "1-5 min"), (10, "5-10 min"), (20, "10-20 min"), (30, "20-30 min"), (60, "30-60 min"), (None, ">60 min")]
 
@@ -30,15 +29,10 @@ def mvpa_minutes(df: DataFrame, include_vigorous: bool = True, epoch_seconds: fl
     return df.groupBy("subject").agg((n * epoch_seconds / 60).alias("mvpa_minutes"))
 
 
-def _with_counts(df: DataFrame, bouts: DataFrame, active: Column) -> DataFrame:
-    """Bouts with their active epochs, from running sums at both ends."""
-    w = series().rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.select("subject", "epoch", F.sum(active.cast("int")).over(w).alias("upto"), active.cast("int").alias("own"))
-    a = sums.select("subject", F.col("epoch").alias("start_index"), (F.col("upto") - F.col("own")).alias("before"))
-    b = sums.select("subject", F.col("epoch").alias("end_index"), "upto")
+def _with_shares(bouts: DataFrame) -> DataFrame:
+    """Bouts (subject, start_index, end_index, mvpa_minutes) with their length, share and number."""
     length = F.col("end_index") - F.col("start_index") + 1
-    out = bouts.join(a, ["subject", "start_index"]).join(b, ["subject", "end_index"])
-    out = out.select("subject", "start_index", "end_index", length.alias("bout_length"), (F.col("upto") - F.col("before")).alias("mvpa_minutes"))
+    out = bouts.select("subject", "start_index", "end_index", length.alias("bout_length"), "mvpa_minutes")
     return renumber(out.withColumn("mvpa_percent", 100.0 * F.col("mvpa_minutes") / F.col("bout_length")), "bout_number")
 
 
@@ -49,42 +43,49 @@ def mvpa_bouts(df: DataFrame, least: int = 10, allowed: int = 2, levels: tuple[s
     """
     if least < 1 or allowed < 0:
         raise ValueError("a bout has at least one epoch, and drops aren't negative")
-    w = series()
     active = is_mvpa(F.col("intensity"), levels)
-    on = df.withColumn("n", F.max("epoch").over(Window.partitionBy("subject"))).where(active)
-    new = F.when(F.col("epoch") - F.lag("epoch").over(w) <= allowed + 1, 0).otherwise(1)
-    grouped = on.withColumn("new", new).withColumn("bout", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max("epoch")
-    end = F.when(F.max("n") - last <= allowed, F.max("n")).otherwise(last)
-    bouts = grouped.groupBy("subject", "bout").agg(F.min("epoch").alias("start_index"), end.alias("end_index"))
-    return _with_counts(df, bouts.where(F.col("end_index") - F.col("start_index") + 1 >= least).drop("bout"), active)
+    marked = df.select("subject", "epoch", active.alias("active"))
+    # The last epoch of each stretch goes along, so the series' end is known without its inactive epochs.
+    here = Window.partitionBy("subject", F.floor((F.col("epoch") - 1) / stretch_size()))
+    parts = pieces(marked.withColumn("last", F.max("epoch").over(here)), F.col("active") | (F.col("epoch") == F.col("last")), "active")
+    parts = joined(parts, ["subject", "_stretch", "active"], allowed).withColumn("n", F.max("end_index").over(Window.partitionBy("subject")))
+    bouts = joined(parts.where("active"), ["subject"], allowed, F.max("n").alias("n"))
+    end = F.when(F.col("n") - F.col("end_index") <= allowed, F.col("n")).otherwise(F.col("end_index"))
+    found = bouts.select("subject", "start_index", end.alias("end_index"), F.col("n_epochs").alias("mvpa_minutes"))
+    return _with_shares(found.where(F.col("end_index") - F.col("start_index") + 1 >= least))
+
+
+def share_bouts(active: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """First epoch, last epoch and active epochs of the bouts of which 80 percent is active, one after another.
+
+    With five for an active epoch less four for each, a bout may go on until the sum falls
+    below where it began; so each bout is one search in an array.
+    """
+    upto = np.concatenate(([0], np.cumsum(active, dtype=np.int64)))
+    level = 5 * upto - 4 * np.arange(len(upto))
+    starts, at, out = np.flatnonzero(level[least:] >= level[:-least]) if len(active) >= least else np.zeros(0, int), 0, []
+    while (k := int(np.searchsorted(starts, at))) < len(starts):
+        first, at, step = int(starts[k]), int(starts[k]) + least + 1, 64
+        while at < len(level) and not (below := level[at : at + step] < level[first]).any():
+            at, step = at + step, 2 * step
+        at = at + int(below.argmax()) - 1 if at < len(level) else len(active)
+        out.append((first + 1, at, int(upto[at] - upto[first])))
+    return out
 
 
 def mvpa_bouts_80(df: DataFrame, least: int = 10, levels: tuple[str, ...] = MVPA) -> DataFrame:
     """Bouts of which 80 percent is active: the earliest window of ``least`` epochs, made longer while the share holds, and so on after it.
 
-    The choice goes through a subject's epochs one by one, with running sums.
+    The choice goes through a subject's bouts one by one, over an array of its epochs.
     """
-    need = lambda n: math.ceil(round(0.8 * n, 9))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("epoch")
-        upto = [0, *rows["active"].cumsum().tolist()]
-        n, i, out = len(rows), 0, []
-        while i + least <= n:
-            if upto[i + least] - upto[i] < need(least):
-                i += 1
-                continue
-            j = i + least
-            while j < n and upto[j + 1] - upto[i] >= need(j + 1 - i):
-                j += 1
-            out.append((i + 1, j))
-            i = j
-        return pd.DataFrame({"subject": rows["subject"].iloc[0] if n else None, "start_index": [a for a, _ in out], "end_index": [b for _, b in out]})
+        found = share_bouts(rows["active"].to_numpy(), least)
+        return pd.DataFrame({"subject": rows["subject"].iloc[0], "start_index": [a for a, _, _ in found], "end_index": [b for _, b, _ in found], "mvpa_minutes": [n for _, _, n in found]})
 
-    active = is_mvpa(F.col("intensity"), levels)
-    marked = df.select("subject", "epoch", active.cast("int").alias("active"))
-    return _with_counts(df, marked.groupBy("subject").applyInPandas(choose, "subject string, start_index long, end_index long"), active)
+    marked = df.select("subject", "epoch", is_mvpa(F.col("intensity"), levels).cast("int").alias("active"))
+    return _with_shares(marked.groupBy("subject").applyInPandas(choose, "subject string, start_index long, end_index long, mvpa_minutes long"))
 
 
 def bout_summary(bouts: DataFrame) -> DataFrame:

@@ -51,23 +51,25 @@ def run_number(df: DataFrame, flag: Column, name: str = "run") -> DataFrame:
     return marked.withColumn("_change", change).withColumn(name, F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_change")
 
 
-def runs(df: DataFrame, flag: Column) -> DataFrame:
-    """One row for each run in which ``flag`` holds: subject, start_index, end_index, start_time, end_time and n_epochs."""
-    marked = df.select("subject", "epoch", "timestamp", F.coalesce(flag, F.lit(False)).alias("flag")).where("flag")
-    marked = marked.withColumn("_stretch", F.floor((F.col("epoch") - 1) / stretch_size()))
-    parts = _joined(marked.select("*", F.col("epoch").alias("start_index"), F.col("epoch").alias("end_index"), F.col("timestamp").alias("start_time"), F.col("timestamp").alias("end_time"), F.lit(1).cast("long").alias("n_epochs")), ["subject", "_stretch"])
-    return _joined(parts, ["subject"])
+def pieces(df: DataFrame, flag: Column, *columns: str) -> DataFrame:
+    """Each epoch in which ``flag`` holds as a piece of a run: subject, _stretch, start_index, end_index, n_epochs and ``columns``."""
+    marked = df.where(F.coalesce(flag, F.lit(False)))
+    return marked.select("subject", F.floor((F.col("epoch") - 1) / stretch_size()).alias("_stretch"), F.col("epoch").alias("start_index"), F.col("epoch").alias("end_index"), F.lit(1).cast("long").alias("n_epochs"), *columns)
 
 
-def _joined(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Pieces of runs, those of ``keys`` that touch as one."""
+def joined(parts: DataFrame, keys: list[str], allowed: int = 0, *extra: Column) -> DataFrame:
+    """Pieces of runs, those of ``keys`` with at most ``allowed`` epochs between them as one, with ``extra`` aggregates."""
     order = Window.partitionBy(*keys).orderBy("start_index")
-    apart = F.when(F.col("start_index") == F.lag("end_index").over(order) + 1, 0).otherwise(1)
-    numbered = pieces.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_run").agg(
-        F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.min("start_time").alias("start_time"),
-        F.max("end_time").alias("end_time"), F.sum("n_epochs").alias("n_epochs"),
-    ).drop("_run")
+    apart = F.when(F.col("start_index") - F.lag("end_index").over(order) <= allowed + 1, 0).otherwise(1)
+    numbered = parts.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_run").agg(F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.sum("n_epochs").alias("n_epochs"), *extra).drop("_run")
+
+
+def runs(df: DataFrame, flag: Column) -> DataFrame:
+    """One row for each run in which ``flag`` holds: subject, start_index, end_index, start_time, end_time and n_epochs."""
+    times = [F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")]
+    parts = pieces(df.withColumns({"start_time": F.col("timestamp"), "end_time": F.col("timestamp")}), flag, "start_time", "end_time")
+    return joined(joined(parts, ["subject", "_stretch"], 0, *times), ["subject"], 0, *times)
 
 
 def renumber(df: DataFrame, name: str, order: str = "start_index") -> DataFrame:

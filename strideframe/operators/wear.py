@@ -2,7 +2,7 @@
 
 Whether a non-wear window may begin at an epoch, and where its extension ends, are
 windows over the series. Only the choice of windows, each after the end of the one
-before, goes through a subject's candidates one by one.
+before, goes through a subject's candidates one by one, those that end alike at once.
 """
 
 from __future__ import annotations
@@ -72,20 +72,27 @@ def candidates(epochs: DataFrame, rule: WearRule, counts: Column) -> DataFrame:
 
 
 def non_wear(epochs: DataFrame, rule: WearRule = CHOI, counts: str = "axis1") -> DataFrame:
-    """The non-wear stretches that are found one after another: subject, start, end."""
+    """The non-wear stretches that are found one after another: subject, start, end.
+
+    Neighbouring starts whose windows end alike are one row, so what the choice goes
+    through is about as many rows as there are stretches, not epochs.
+    """
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("epoch")
-        taken, at = [], 0
-        for i, (start, resume) in enumerate(zip(rows["epoch"], rows["resume"])):
-            if start >= at:
-                taken.append(i)
+        rows = rows.sort_values("first")
+        out, at = [], 0
+        for first, last, end, resume in zip(*(rows[c].tolist() for c in ("first", "last", "end", "resume"))):
+            while (start := max(first, at)) <= last:
+                out.append((start, end))
                 at = resume
-        out = rows.iloc[taken]
-        return pd.DataFrame({"subject": out["subject"], "start": out["epoch"], "end": out["end"]})
+        return pd.DataFrame({"subject": rows["subject"].iloc[0], "start": [a for a, _ in out], "end": [b for _, b in out]})
 
+    w = series()
     found = candidates(epochs, rule, F.col(counts)).where("qualifies")
-    return found.groupBy("subject").applyInPandas(choose, "subject string, start long, end long")
+    same = (F.col("epoch") == F.lag("epoch").over(w) + 1) & (F.col("end") == F.lag("end").over(w)) & (F.col("resume") == F.lag("resume").over(w))
+    found = found.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_n", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = found.groupBy("subject", "_n").agg(F.min("epoch").alias("first"), F.max("epoch").alias("last"), F.first("end").alias("end"), F.first("resume").alias("resume"))
+    return starts.groupBy("subject").applyInPandas(choose, "subject string, start long, end long")
 
 
 def wear(epochs: DataFrame, rule: WearRule = CHOI, counts: str = "axis1", name: str = "wear_time") -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from strideframe.operators import bouts, islands, sleep, wear
@@ -232,3 +233,25 @@ def test_one_long_series_is_many_tasks(spark):
     marked = sleep.cole_kripke(df, rescore=True)
     periods = sleep.sleep_periods(marked, epoch_seconds=1)
     assert periods.count() == n // 1200 and periods.where("wake_time > 0.2").count() == 0
+
+
+def test_bouts_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(islands, "STRETCH", 7)
+    rng = random.Random(12)
+    series = [[rng.choices(["moderate", "light", None], rng.choice([[6, 2, 0.5], [1, 5, 0], [9, 1, 0]]))[0] for _ in range(rng.randint(1, 120))] for _ in range(30)] + [["light"] * 20, ["moderate"] * 15 + ["light"] * 2]
+    df = _epochs(spark, series, "intensity", "string").withColumn("wear_time", F.lit(True))
+    drops, sitting = bouts.mvpa_bouts(df, 6, 2).collect(), wear.wear_periods(df.withColumn("wear_time", F.col("intensity") == "light")).collect()
+    for k, s in enumerate(series):
+        assert sorted((r.start_index, r.end_index) for r in drops if r.subject == f"s{k:03d}") == scan_drops([x == "moderate" for x in s], 6, 2), s
+        assert sum(r.n_epochs for r in sitting if r.subject == f"s{k:03d}") == s.count("light")
+    for r in drops:
+        assert r.mvpa_minutes == series[int(r.subject[1:])][r.start_index - 1 : r.end_index].count("moderate")
+
+
+def test_share_bouts_against_a_scan():
+    rng = random.Random(13)
+    for _ in range(3000):
+        active = [rng.random() < rng.choice([0.2, 0.75, 0.85, 0.95]) for _ in range(rng.randint(0, 200))]
+        least = rng.randint(1, 12)
+        assert [(a, b) for a, b, _ in bouts.share_bouts(np.array(active, int), least)] == scan_80(active, least)
+        assert all(n == sum(active[a - 1 : b]) for a, b, n in bouts.share_bouts(np.array(active, int), least))
