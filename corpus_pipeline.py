@@ -88,7 +88,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: Hashed n-gram scores, fingerprints and merges have no SQL form; tests hold each operator against a brute-force version.
+#: Hashed n-gram scores, fingerprints and merges have no SQL form; tests hold each operator, and run() as a whole, against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -1,9 +1,14 @@
+import hashlib
 import random
+import re
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from .test_classifiers import prose
+from .test_bpe import library  # noqa: F401
+from .test_classifiers import plain_base, prose
+from .test_mixing import plain_taken
+from .test_simhash import fingerprint, least_reachable
 
 
 def test_stages_work_on_what_is_left(spark, documents, tmp_path):
@@ -40,6 +45,57 @@ def test_stages_work_on_what_is_left(spark, documents, tmp_path):
     assert key(again) == key(seen)
 
 
+def plain_removal(rows, n=13):
+    """Texts less the windows that an earlier document has; words of changed ones parted by one space."""
+    first, words = {}, {i: t.split() for i, t in rows.items()}
+    for i in sorted(words):
+        for k in range(len(words[i]) - n + 1):
+            first.setdefault(tuple(words[i][k : k + n]), i)
+    out = {}
+    for i, w in words.items():
+        gone = {p for k in range(len(w) - n + 1) if first[tuple(w[k : k + n])] < i for p in range(k, k + n)}
+        out[i] = " ".join(x for p, x in enumerate(w) if p not in gone) if gone else rows[i]
+    return out
+
+
+def test_the_whole_pipeline_against_plain_forms(spark, documents, library, tmp_path):  # noqa: F811
+    rng = random.Random(8)
+    shared, rows = [prose(40) for _ in range(4)], []
+    for i in range(160):
+        text = " \n".join([prose(rng.randint(10, 70)), rng.choice(shared) if i % 3 == 0 else prose(20), prose(rng.randint(1, 60))])
+        rows.append((i, "%% || " + text if i % 11 == 0 else text, rng.choice(["a", "b", "b", "c", None])))
+    for i in range(40):  # copies and slight edits
+        words = rows[rng.randrange(160)][1].split(" ")
+        if i % 2:
+            words[rng.randrange(len(words))] = f"edit{i}"
+        rows.append((1000 + i, " ".join(words), "b"))
+    rows += [(2000, None, "a"), (2001, "", "b"), (2002, "so so so " * 40, "a"), (2003, prose(49), "c")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    # With labels of one kind there is no threshold, and the base rules alone decide.
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    def passes(text):
+        n_words, *_, repeated = plain_base(text or "")
+        return n_words >= 50 and 100 * repeated <= 50 * n_words
+
+    left = {i: (t, s) for i, t, s in rows if passes(t)}
+    prints = {i: fingerprint(t) for i, (t, _) in left.items()}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    left = {i: left[i] for i, least in least_reachable(near, prints).items() if i == least}
+    assert 100 < len(left) < 185 and 2003 not in left
+    texts = plain_removal({i: t for i, (t, _) in left.items()})
+    assert sum(len(texts[i]) < len(t) for i, (t, _) in left.items()) > 20
+    want = []
+    for (i, n, _), (taken,) in plain_taken(documents([(i, texts[i], s) for i, (_, s) in left.items()])).items():
+        words = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", texts[i])
+        parts = [texts[i]] * (taken // n) + (["".join(words[: taken % n])] if taken % n else [])
+        for part in parts:
+            ids = library.encode_ordinary(part)
+            want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()))
+    assert found == sorted(want)
+
+
 def test_stages_take_odd_rows(spark, odd, documents, tmp_path):
     spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     long = documents([(i, prose(80)) for i in range(20, 24)] + [(None, prose(80)), (None, None), (20, prose(90))])
