@@ -15,6 +15,8 @@ column named as the fingerprint gives way to it, all others may have any names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,19 +70,23 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, F.lit(1.0)).otherwise(2.0 * both / all_)
 
 
-def _first_difference(x: Column, y: Column, most: Column, at_end: bool = False) -> Column:
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _agreeing(x: Column, y: Column, most: Column, at_end: bool = False) -> Column:
     """How many of the first (or last) ``most`` digests of two arrays are the same."""
     of = lambda a, i: F.get(a, F.size(a) - 1 - i if at_end else i)
     apart = F.filter(F.sequence(F.lit(0), most - 1), lambda i: of(x, i) != of(y, i))
     return F.when(most > 0, F.coalesce(F.get(apart, F.lit(0)), most)).otherwise(0)
 
 
-def _differing(x: Column, y: Column) -> tuple[Column, Column, Column]:
-    """Where two arrays of digests differ, between what they have in common at both ends: the first place, and how many of each."""
+def _between(x: Column, y: Column, fn: Callable[[Column, Column, Column], Column]) -> Column:
+    """``fn`` of where two arrays of digests begin to differ and how many of each lie between what they have in common at both ends."""
     shorter = F.least(F.size(x), F.size(y))
-    begin = _first_difference(x, y, shorter)
-    end = _first_difference(x, y, shorter - begin, at_end=True)
-    return begin, F.size(x) - begin - end, F.size(y) - begin - end
+    ends = lambda begin: F.struct(begin.alias("begin"), _agreeing(x, y, shorter - begin, at_end=True).alias("end"))
+    return _let(_let(_agreeing(x, y, shorter), ends), lambda e: fn(e["begin"], F.size(x) - e["begin"] - e["end"], F.size(y) - e["begin"] - e["end"]))
 
 
 def differing_branches(a: Column, b: Column) -> Column:
@@ -90,20 +96,16 @@ def differing_branches(a: Column, b: Column) -> Column:
     from the end, are left alone, and so are the paragraphs of those between. An inserted
     section is what came, and moves none of those after it.
     """
-    begin, n_a, n_b = _differing(section_nodes(a), section_nodes(b))
-
-    def paragraphs(sections: Column, n: Column) -> Column:
-        some = F.slice(sections, begin + 1, n)
-        numbered = F.transform(some, lambda s, i: F.struct((begin + i).alias("number"), s.alias("paragraphs")))
-        of = lambda s: F.transform(s["paragraphs"], lambda p, j: F.struct(node(p).alias("digest"), F.array(s["number"], j).alias("at")))
-        return F.flatten(F.transform(numbered, of))
 
-    def told(x: Column, y: Column) -> Column:
-        first, n_x, n_y = _differing(x["digest"], y["digest"])
-        return F.struct(F.slice(x["at"], first + 1, n_x).alias("gone"), F.slice(y["at"], first + 1, n_y).alias("came"))
+    def below(begin: Column, n_a: Column, n_b: Column) -> Column:
+        some = F.struct(F.slice(a, begin + 1, n_a).alias("a"), F.slice(b, begin + 1, n_b).alias("b"), begin.alias("begin"))
+        digests = lambda sections: F.flatten(F.transform(sections, lambda s: F.transform(s, node)))
+        places = lambda sections, first: F.flatten(F.transform(sections, lambda s, i: F.transform(F.sequence(F.lit(1), F.size(s)), lambda j: F.array(first + i, j - 1))))
+        flat = lambda p: F.struct(digests(p["a"]).alias("x"), digests(p["b"]).alias("y"), places(p["a"], p["begin"]).alias("at_x"), places(p["b"], p["begin"]).alias("at_y"))
+        told = lambda q: _between(q["x"], q["y"], lambda first, n_x, n_y: F.struct(F.slice(q["at_x"], first + 1, n_x).alias("gone"), F.slice(q["at_y"], first + 1, n_y).alias("came")))
+        return _let(_let(some, flat), told)
 
-    both = F.array(F.struct(paragraphs(a, n_a).alias("x"), paragraphs(b, n_b).alias("y")))
-    return F.get(F.transform(both, lambda p: told(p["x"], p["y"])), F.lit(0))
+    return _let(F.struct(section_nodes(a).alias("x"), section_nodes(b).alias("y")), lambda p: _between(p["x"], p["y"], below))
 
 
 def fingerprints(df: DataFrame, text: str = "text", output: str = "fingerprint") -> DataFrame:
