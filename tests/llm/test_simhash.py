@@ -106,7 +106,7 @@ def test_pairs_of_a_group_of_near_copies_dont_grow_with_its_square(spark):
     for n in (300, 1200):
         values = sorted({flipped(base, rng, 2) for _ in range(n)})
         df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "simhash long")
-        made[len(values)] = simhash.links(*simhash.places(df)).count()
+        made[len(values)] = simhash.links(*simhash.places(df)).distinct().count()  # a pair may meet in several cells
     (n, few), (m, many) = sorted(made.items())
     assert many / m <= few / n < simhash.CROWD
 
