@@ -206,7 +206,7 @@ def hexed(v):
 
 
 def page_file(path, n_pages, values, rate=50.0, head=True, end="\r\n", broken=()):
-    text = ["Device Identity", "Device Unique Serial Code:012345", "Device Type:GENEActiv", "", "Subject Info", "Subject Code:S:7", ""]
+    text = ["Device Identity", "Device Unique Serial Code:012345", "Device Type:X", "", "Subject Info", "Subject Code:S:7", ""]
     text += ["Calibration Data", *[f"{a} gain:{g}{end}{a} offset:{o}" for a, g, o in (("x", 25600, 100), ("y", 25600, -200), ("z", 12800, 0))], "Volts:100", "Lux:500", "", "Memory Status", f"Number of Pages:{n_pages}", ""] if head else []
     for p in range(n_pages):
         t = BEGIN + timedelta(seconds=p * 300 / rate)
