@@ -165,6 +165,38 @@ def test_quality_threshold():
     assert quality.best_threshold(np.array([]), np.array([1.0])) == float("-inf")
 
 
+def test_quality_learns_from_every_label(spark, documents):
+    """More labels than any sample: target counts and the threshold come from all of them."""
+    rng = random.Random(5)
+    n = 44_000
+    quality_of = [int(rng.random() < 0.7) for _ in range(n)]
+    words = [[f"{a}{b}{c}" for a in "abcd" for b in "efgh" for c in "ijk"], [f"{a}{b}{c}" for a in "abcd" for b in "efgh" for c in "lmn"]]
+    texts = [" ".join(rng.choice(words[rng.random() < 0.45 + 0.1 * q]) for _ in range(52)) for q in quality_of]
+    labels = spark.createDataFrame(list(enumerate(quality_of)), "doc_id long, quality int")
+    found = quality.judge(documents(list(enumerate(texts))), labels, keep=["doc_id"]).toPandas().sort_values("doc_id")
+    fit = np.array([r.fit for r in spark.range(n).selectExpr("pmod(xxhash64(id, 5), 2) = 0 AS fit").collect()])
+    grams, good, size = [quality.buckets(t) for t in texts], np.array(quality_of) == 1, 1 << quality.BUCKET_BITS
+    count = lambda chosen: np.bincount(np.concatenate([grams[i] for i in np.flatnonzero(chosen)]), minlength=size).astype(float)
+    ratios = quality.log_ratios(count(fit | ~fit), count(fit & good))
+    scores = np.array([ratios[g].mean() for g in grams])
+    assert np.allclose(found["score"].to_numpy(), scores, atol=1e-12, rtol=0)
+    judged = ~fit & ~found["base_failed"].to_numpy()
+    threshold = quality.best_threshold(scores[judged & good], scores[judged & ~good])
+    assert (found["kept"].to_numpy() == (~found["base_failed"].to_numpy() & (scores >= threshold))).all()
+
+
+def test_quality_threshold_by_ranges(spark):
+    rng = random.Random(3)
+    for values in (6, 60, 10**9):
+        rows = [(rng.randrange(values) / 8, rng.random() < 0.5) for _ in range(700)]
+        rows = [(s + 0.2 * values / 8 * g, g) for s, g in rows]
+        plain = quality.best_threshold(np.array([s for s, g in rows if g]), np.array([s for s, g in rows if not g]))
+        assert quality.threshold_of(spark.createDataFrame(rows, "score double, good boolean").repartition(5)) == plain
+    assert quality.threshold_of(spark.createDataFrame([(1.0, True)], "score double, good boolean")) == float("-inf")
+    assert quality.threshold_of(spark.createDataFrame([(1.0, False), (2.0, True)], "score double, good boolean")) == 1.5
+    assert quality.threshold_of(spark.createDataFrame([(1.0, True), (2.0, False)], "score double, good boolean")) == float("-inf")
+
+
 @pytest.fixture(scope="module")
 def license_model():
     return licenses.train([prose(40) for _ in range(60)])
