@@ -235,6 +235,23 @@ def test_one_long_series_is_many_tasks(spark):
     assert periods.count() == n // 1200 and periods.where("wake_time > 0.2").count() == 0
 
 
+def test_stretches_leave_their_subjects_task(spark, monkeypatch):
+    """Also after windows by subject, which number the epochs, the stretches of one series are dealt out to many tasks."""
+    monkeypatch.setattr(islands, "STRETCH", 1000)
+    n, before = 60_000, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("16", "false")):
+            spark.conf.set(k, v)
+        df = spark.range(1, n + 1).select(F.lit("a").alias("subject"), F.col("id").alias("epoch"), (F.col("id") % 700).cast("double").alias("axis1"))
+        df = df.withColumn("epoch", F.row_number().over(islands.series()).cast("long"))
+        for found in (sleep.cole_kripke(df), sleep.cole_kripke(df, rescore=True), sleep.sadeh(df), islands.overlapped(df, 1, 200)):
+            tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(tasks) > 8 and max(tasks) < n / 3, tasks
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_bouts_over_stretches(spark, monkeypatch):
     monkeypatch.setattr(islands, "STRETCH", 7)
     rng = random.Random(12)
