@@ -3,10 +3,12 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
+from strideframe.llm.quality import base_failed, base_features
 
 from .test_bpe import library  # noqa: F401
-from .test_classifiers import plain_base, prose
+from .test_classifiers import labelled, plain_base, plain_quality, prose
 from .test_mixing import plain_taken
 from .test_simhash import fingerprint, least_reachable
 
@@ -96,6 +98,15 @@ def test_the_whole_pipeline_against_plain_forms(spark, documents, library, tmp_p
     assert found == sorted(want)
 
 
+def test_quality_stage_keeps_what_all_labels_say(spark, documents, tmp_path):
+    texts, quality_of = labelled()
+    spark.createDataFrame(list(enumerate(quality_of)), "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    failed = np.array([base_failed(f[0], f[4]) for f in map(base_features, texts)])
+    _, kept = plain_quality(spark, texts, quality_of, failed)
+    found = corpus_pipeline.quality_rules(spark, documents(list(enumerate(texts))), str(tmp_path)).select("doc_id").collect()
+    assert sorted(r.doc_id for r in found) == np.flatnonzero(kept).tolist() and 0 < kept.sum() < len(texts)
+
+
 def test_stages_take_odd_rows(spark, odd, documents, tmp_path):
     spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     long = documents([(i, prose(80)) for i in range(20, 24)] + [(None, prose(80)), (None, None), (20, prose(90))])
