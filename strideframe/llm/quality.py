@@ -164,19 +164,20 @@ def judge(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
     ``labels`` has ``key`` and quality (1 for trusted). Of the texts, the half that the target may come from is joined with
-    labels; of the other half the scores are.
+    labels; of the other half the scores are. A text's key tells its half and a label follows its text, so keys of
+    another type, such as int beside long, lose no label.
     """
     fit = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(2)) == 0
     known = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max("quality").alias("quality"))
     texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.col("key").isNotNull())
     raw = corpus_counts(df, text)
     # By shuffle at any size, so what moves grows with the texts only.
-    target = texts.where(fit).join(known.where(fit & (F.col("quality") == 1)).hint("shuffle_hash"), "key", "left_semi")
+    target = texts.where(fit).join(known.where("quality = 1").hint("shuffle_hash"), "key", "left_semi")
     trusted = corpus_counts(target, "text")
     if not trusted.any():
         ratios, threshold = np.zeros(len(raw)), -math.inf
     else:
         ratios = log_ratios(raw, trusted)
         scored = _judge(texts.where(~fit), "text", ratios, ["key"]).where("not base_failed").select("key", "score")
-        threshold = threshold_of(scored.join(known.where(~fit), "key").select("score", (F.col("quality") == 1).alias("good")))
+        threshold = threshold_of(scored.join(known, "key").select("score", (F.col("quality") == 1).alias("good")))
     return _judge(df, text, ratios, keep).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))

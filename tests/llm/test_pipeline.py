@@ -107,6 +107,18 @@ def test_quality_stage_keeps_what_all_labels_say(spark, documents, tmp_path):
     assert sorted(r.doc_id for r in found) == np.flatnonzero(kept).tolist() and 0 < kept.sum() < len(texts)
 
 
+def test_quality_stage_takes_all_labels_whatever_the_type_of_their_keys(spark, documents, tmp_path):
+    """xxhash64 of equal keys differs by type; labels were lost where theirs and their text's fell apart."""
+    texts, quality_of = labelled(3000)
+    failed = np.array([base_failed(f[0], f[4]) for f in map(base_features, texts)])
+    _, kept = plain_quality(spark, texts, quality_of, failed)
+    labels = spark.createDataFrame(list(enumerate(quality_of)), "doc_id long, quality int")
+    for kind in ("long", "int", "string"):
+        labels.select(F.col("doc_id").cast(kind), "quality").write.parquet(f"{tmp_path}/{kind}/labels.parquet")
+        found = corpus_pipeline.quality_rules(spark, documents(list(enumerate(texts))), f"{tmp_path}/{kind}").select("doc_id").collect()
+        assert sorted(r.doc_id for r in found) == np.flatnonzero(kept).tolist(), kind
+
+
 def test_stages_take_odd_rows(spark, odd, documents, tmp_path):
     spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     long = documents([(i, prose(80)) for i in range(20, 24)] + [(None, prose(80)), (None, None), (20, prose(90))])
