@@ -23,10 +23,16 @@ from pyspark.sql import functions as F
 from .common import cut
 
 LEAF_CHARS = 80
-#: Each character of what they are applied to is in one match.
-SECTION = r"[\s\S]+?(?:\n[ \t\r]*\n[ \t\r\n]*|\z)"
+#: Each character of what they are applied to is in one match. Matches go ahead by loops over classes; to try at
+#: each character whether one ends there takes several times as long.
+SECTION = r"(?s:.)[^\n]*(?:\n(?![ \t\r]*\n)[^\n]*)*+(?:\n[ \t\r]*\n[ \t\r\n]*)?"
 PARAGRAPH = r"[^\n]+\n*|\n+"
-LEAF = rf"[\s\S]{{1,{LEAF_CHARS - 1}}}?(?:[.!?,;:](?=\s)|\z)|[\s\S]{{{LEAF_CHARS}}}"
+MARK = ".!?,;:"
+#: A character, then those that end no leaf, and the next one. The first branch is for leaves without marks within, as most are.
+LEAF = (
+    rf"(?s:.)[^{MARK}]{{0,{LEAF_CHARS - 2}}}+(?:[{MARK}](?=\s)|[^{MARK}]|\z)"
+    rf"|(?s:.)(?:[^{MARK}]|[{MARK}](?!\s)){{0,{LEAF_CHARS - 2}}}+(?s:.)?"
+)
 #: Hex digits of a leaf's digest, and of those that a fingerprint holds.
 DIGEST, SHORT = 32, 8
 #: doc_ids are above this; rows without one get numbers from here down.
